@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op10_language_id
+from .license_scan import OP4_SQL, op4_license_scan
+from .quality import op7_quality
+from .secret_scan import op8_secret_scan
 from .simhash import op6_simhash
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op6_simhash)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_decontaminate,
+        op3_exact_dedup,
+        op4_license_scan,
+        op6_simhash,
+        op7_quality,
+        op8_secret_scan,
+        op10_language_id,
+    )
+}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL}
