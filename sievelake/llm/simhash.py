@@ -66,15 +66,35 @@ def with_fingerprints(docs: DataFrame, width: int = 3, text_col: str = "text", n
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint) of every variant: for each open block, the closed 48 bits within radius 1."""
+    """(key, code) of every variant: for each open block, the closed 48 bits within radius 1.
+
+    The code holds the open block's bits and which closed bit was flipped; with the key it gives the
+    fingerprint back, in fewer bytes to shuffle than the fingerprint.
+    """
     one = np.uint64(1)
     flips = np.concatenate(([np.uint64(0)], one << np.arange(_CLOSED, dtype=np.uint64)))
-    keys = []
+    which = np.arange(_CLOSED + 1, dtype=np.int32) << _OPEN
+    keys, codes = [], []
     for block in range(64 // _OPEN):
         low = np.uint64(block * _OPEN)
         closed = fps & ((one << low) - one) | (fps >> (low + np.uint64(_OPEN)) << low if block < 3 else np.uint64(0))
+        opened = (fps >> low & np.uint64((1 << _OPEN) - 1)).astype(np.int32)
         keys.append((np.uint64(block << _CLOSED) | (closed[:, None] ^ flips[None, :])).ravel())
-    return np.concatenate(keys), np.tile(np.repeat(fps, _CLOSED + 1), 64 // _OPEN)
+        codes.append((opened[:, None] | which[None, :]).ravel())
+    return np.concatenate(keys), np.concatenate(codes)
+
+
+def owners(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The fingerprints that emitted these variants."""
+    one = np.uint64(1)
+    flip = (codes >> _OPEN).astype(np.uint64)
+    closed = keys & ((one << np.uint64(_CLOSED)) - one)
+    closed ^= np.where(flip > 0, one << (np.maximum(flip, one) - one), np.uint64(0))
+    low = (keys >> np.uint64(_CLOSED)) * np.uint64(_OPEN)
+    opened = (codes & ((1 << _OPEN) - 1)).astype(np.uint64)
+    below = closed & ((one << low) - one)
+    above = np.where(low < _CLOSED, closed >> low << np.minimum(low + np.uint64(_OPEN), np.uint64(63)), np.uint64(0))
+    return below | opened << low | above
 
 
 def forest(members: np.ndarray, block: int) -> list[tuple[int, int]]:
@@ -149,6 +169,8 @@ def _meet(codes: np.ndarray, rows: np.ndarray, opened: np.ndarray, mask: int, ki
 
 def run_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of equal keys; both arrays sorted by key."""
+    if not len(keys):
+        return keys, fps
     head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(head, len(keys)))
     left, right = [], []
@@ -179,30 +201,33 @@ def near_links(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(fps), 2048):
-                keys, owners = variants(fps[k : k + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], names=["key", "fp"])
+                keys, codes = variants(fps[k : k + 2048])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(codes)], names=["key", "code"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that the last batch ended in
 
         def links(parts):
-            keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = run_links(keys, fps)
+            keys, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            many = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
+            many = many[1:] | many[:-1]
+            a, b = run_links(keys[many], owners(keys[many], codes[many]))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            keys, fps = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            codes = batch.column(1).to_numpy(zero_copy_only=False)
             if not len(keys):
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
-                yield links([*held, (keys[:cut], fps[:cut])])
+                yield links([*held, (keys[:cut], codes[:cut])])
                 held = []
-            held.append((keys[cut:].copy(), fps[cut:].copy()))
+            held.append((keys[cut:].copy(), codes[cut:].copy()))
         if held:
             yield links(held)
 
-    met = nodes.select("fp").mapInArrow(emit, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    met = nodes.select("fp").mapInArrow(emit, "key long, code int").repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(scan, "a long, b long").distinct()
 
 
