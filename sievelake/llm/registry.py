@@ -6,20 +6,26 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op10_language_id
 from .license_scan import OP4_SQL, op4_license_scan
+from .mixing import OP5_SQL, op5_mix_sources
+from .packing import op1_pack_tokens
 from .quality import op7_quality
+from .revisits import OP9_SQL, op9_revisits
 from .secret_scan import op8_secret_scan
 from .simhash import op6_simhash
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pack_tokens,
         op2_decontaminate,
         op3_exact_dedup,
         op4_license_scan,
+        op5_mix_sources,
         op6_simhash,
         op7_quality,
         op8_secret_scan,
+        op9_revisits,
         op10_language_id,
     )
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_mix_sources": OP5_SQL, "op9_revisits": OP9_SQL}
