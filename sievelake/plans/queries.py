@@ -1,0 +1,354 @@
+"""Queries over the library that the table of documents makes; each takes (spark, sf_dir)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, scores
+from ..functions.text import clean_text, decode_entities, excerpt, word_diff, words
+from ..operators import library, review, scoring, shingles, tier1
+from ..sources.library import library_of_documents, upload_log
+
+#: Ceiling of the blocked-candidates query, low enough that blocking applies in small libraries.
+LOW_CEILING = 100
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library_of_documents(spark, sf_dir)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical files with their Tier-1 flag and, unless that is set, their extraction."""
+    rows = tier1.with_tier1(uploads(spark, sf_dir)).withColumn("format", names.format_of(F.col("extension")))
+    fmt, units = F.col("format"), F.col("units")
+    rows = rows.withColumn("expected_min_chars", scores.expected_chars(fmt, units, units, units))
+    rows = rows.withColumn("actual_chars", F.when(fmt == "unsupported", 0).otherwise(F.length("text")))
+    ok = scores.extraction_ok(fmt, F.col("actual_chars"), F.col("expected_min_chars"))
+    rows = rows.withColumn("extraction_ok", ~F.col("deduplicated") & ok)
+    reason = scores.extraction_reason(fmt, F.col("extension"), F.col("extraction_ok"))
+    return (
+        rows.withColumn("extraction_reason", F.when(~F.col("deduplicated"), reason))
+        .withColumn("page_count", F.when(~F.col("deduplicated") & fmt.isin("pptx", "pdf"), units))
+        .withColumn("extracted_text", F.when(F.col("extraction_ok"), F.col("text")))
+        .drop("text")
+    )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
+
+
+def all_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.file_shingles(texts(spark, sf_dir))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.flagged_pairs(files(spark, sf_dir).drop("extracted_text"), all_shingles(spark, sf_dir))
+
+
+# Tier 1
+
+
+def tier1_blobs(spark, sf_dir):
+    return tier1.blobs(uploads(spark, sf_dir)).drop("first_seq")
+
+
+def tier1_flags(spark, sf_dir):
+    return tier1.with_tier1(uploads(spark, sf_dir)).select("user_id", "file_id", "sha256_hash", "deduplicated")
+
+
+def shared_badges(spark, sf_dir):
+    refs = tier1.blobs(uploads(spark, sf_dir)).where("ref_count > 1")
+    return refs.select("user_id", "sha256_hash", F.concat(F.lit("Shared storage ×"), F.col("ref_count").cast("string")).alias("badge"))
+
+
+def dedup_ratio_by_user(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    empty = spark.createDataFrame([], "user_id string, status string")
+    return library.library_stats(up, tier1.blobs(up), empty).select("user_id", "uploaded", "stored", "ratio", "saved")
+
+
+def running_counts(spark, sf_dir):
+    return tier1.running_file_count(uploads(spark, sf_dir))
+
+
+# Names
+
+
+def ext_stem(spark, sf_dir):
+    name = F.col("filename")
+    return uploads(spark, sf_dir).select("file_id", names.extension_of(name).alias("extension"), names.stem_of(name).alias("stem"))
+
+
+def rename_split(spark, sf_dir):
+    new = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("  renamed."), "filename")).when(F.col("file_id") % 3 == 1, "   ").otherwise(F.lit("plain"))
+    parts = uploads(spark, sf_dir).select("file_id", names.rename_parts(new).alias("p"))
+    return parts.select("file_id", "p.filename", "p.filename_stem", "p.extension")
+
+
+def format_of(spark, sf_dir):
+    return uploads(spark, sf_dir).select("file_id", "extension", names.format_of(F.upper("extension")).alias("format"))
+
+
+def filename_pairs(spark, sf_dir):
+    found = scoring.name_pairs(files(spark, sf_dir).drop("extracted_text"))
+    return found.select("user_id", "a_id", "b_id", F.round("filename_score", 9).alias("filename_score"))
+
+
+# Confidence
+
+
+def expected_floor(spark, sf_dir):
+    return files(spark, sf_dir).select("file_id", "format", "expected_min_chars")
+
+
+def confidence_ok(spark, sf_dir):
+    return files(spark, sf_dir).where("NOT deduplicated").select("file_id", "actual_chars", "expected_min_chars", "extraction_ok")
+
+
+def extraction_report(spark, sf_dir):
+    return files(spark, sf_dir).where("NOT deduplicated").select(
+        "user_id", "file_id", "extraction_ok", "extraction_reason", "expected_min_chars", "actual_chars", "page_count", F.length("extracted_text").alias("stored_chars")
+    )
+
+
+# Shingles
+
+
+def shingle_counts(spark, sf_dir):
+    made = all_shingles(spark, sf_dir).groupBy("user_id", "file_id")
+    return made.agg(F.count("*").alias("n_shingles"), F.countDistinct("shingle_hash").alias("n_distinct"))
+
+
+def shingle_offsets(spark, sf_dir):
+    return all_shingles(spark, sf_dir).select("file_id", "start_offset")
+
+
+def shingle_hash_fnv(spark, sf_dir):
+    rows = all_shingles(spark, sf_dir).where("start_offset = 0")
+    return rows.select("file_id", "shingle_hash")
+
+
+def word_counts(spark, sf_dir):
+    return texts(spark, sf_dir).select("file_id", F.size(words(F.col("extracted_text"))).alias("n_words"))
+
+
+def doc_frequency(spark, sf_dir):
+    """How many shingles of a tenant stand in how many files."""
+    return shingles.doc_frequency(all_shingles(spark, sf_dir)).groupBy("user_id", "doc_count").agg(F.count("*").alias("n_shingles"))
+
+
+def shingled_file_count(spark, sf_dir):
+    return shingles.shingled_file_count(all_shingles(spark, sf_dir))
+
+
+def df_top_k(spark, sf_dir):
+    """The ten highest document frequencies of each tenant."""
+    from pyspark.sql import Window as W
+
+    counted = shingles.doc_frequency(all_shingles(spark, sf_dir))
+    ranked = counted.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("doc_count"), "shingle_hash")))
+    return ranked.where("place <= 10").select("user_id", "place", "doc_count")
+
+
+def rpc_doc_frequencies(spark, sf_dir):
+    """Frequencies of the shingles that begin files, looked up in the stored table."""
+    made = all_shingles(spark, sf_dir)
+    found = shingles.frequencies_of(shingles.doc_frequency(made), made.where("start_offset = 0"))
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("doc_count").alias("total"))
+
+
+def rpc_file_shingles(spark, sf_dir):
+    made = all_shingles(spark, sf_dir)
+    found = shingles.shingles_of(made, uploads(spark, sf_dir).where("file_id % 5 = 0"))
+    return found.groupBy("user_id", "file_id").agg(F.count("*").alias("n"), F.max("start_offset").alias("last_offset"))
+
+
+# Candidates
+
+
+def size_buckets(spark, sf_dir):
+    low, high = scores.size_band(F.col("size_bytes"))
+    return uploads(spark, sf_dir).select("file_id", scores.size_bucket(F.col("size_bytes")).alias("bucket"), low.alias("low"), high.alias("high"))
+
+
+def candidates_full(spark, sf_dir):
+    """How many earlier files each newer one is compared with."""
+    found = scoring.all_candidates(files(spark, sf_dir).drop("extracted_text"))
+    return found.groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
+
+
+def candidates_blocked(spark, sf_dir):
+    return scoring.all_candidates(files(spark, sf_dir).drop("extracted_text"), LOW_CEILING).groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
+
+
+# Scores
+
+
+def _rounded(df, column):
+    return df.withColumn(column, F.round(column, 8))
+
+
+def jaccard_plain(spark, sf_dir):
+    return _rounded(scoring.plain_jaccard(all_shingles(spark, sf_dir)), "score")
+
+
+def jaccard_idf_snapshot(spark, sf_dir):
+    return _rounded(scoring.snapshot_scores(all_shingles(spark, sf_dir)), "score")
+
+
+def jaccard_idf_asof(spark, sf_dir):
+    return _rounded(scoring.content_scores(all_shingles(spark, sf_dir)), "content_score")
+
+
+def _shown(df):
+    for c in ("content_score", "filename_score", "composite_score"):
+        df = _rounded(df, c)
+    return df
+
+
+def composite_pairs(spark, sf_dir):
+    return _shown(scoring.content_pairs(files(spark, sf_dir).drop("extracted_text"), all_shingles(spark, sf_dir)))
+
+
+def flagged_pairs(spark, sf_dir):
+    return _shown(pairs(spark, sf_dir)).orderBy(F.desc("composite_score"), "file_a_id", "file_b_id")
+
+
+# Review
+
+
+def review_queue(spark, sf_dir):
+    return _shown(review.review_queue(pairs(spark, sf_dir), files(spark, sf_dir)))
+
+
+def pending_counts(spark, sf_dir):
+    return review.pending_counts(pairs(spark, sf_dir))
+
+
+def pairs_for_file(spark, sf_dir):
+    """Pairs of the file with the most pending pairs (of those, the smallest id)."""
+    from pyspark.sql import Window as W
+
+    found = pairs(spark, sf_dir)
+    most = review.pending_counts(found).withColumn("_p", F.row_number().over(W.orderBy(F.desc("pending"), "file_id"))).where("_p = 1")
+    top = most.select("user_id", F.col("file_id").alias("top_id"))
+    return found.join(F.broadcast(top), "user_id").where("file_a_id = top_id OR file_b_id = top_id").select("top_id", "file_a_id", "file_b_id", "confidence")
+
+
+def evidence_top2(spark, sf_dir):
+    return review.evidence(pairs(spark, sf_dir), all_shingles(spark, sf_dir), texts(spark, sf_dir))
+
+
+def metadata_deltas(spark, sf_dir):
+    return review.metadata_deltas(pairs(spark, sf_dir).where("confidence = 'metadata-only'"), files(spark, sf_dir))
+
+
+def label_map(spark, sf_dir):
+    return pairs(spark, sf_dir).select("file_a_id", "file_b_id", scores.confidence_label(F.col("confidence")).alias("label"))
+
+
+def text_diff(spark, sf_dir):
+    """Word differences of flagged content pairs."""
+    return review.pair_diffs(pairs(spark, sf_dir), texts(spark, sf_dir))
+
+
+# Library
+
+
+def file_list(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    return library.file_list(up, tier1.blobs(up), review.pending_counts(pairs(spark, sf_dir)))
+
+
+def library_stats(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    return library.library_stats(up, tier1.blobs(up), pairs(spark, sf_dir))
+
+
+def format_bytes(spark, sf_dir):
+    return uploads(spark, sf_dir).select("file_id", scores.format_bytes(F.col("size_bytes") * F.col("size_bytes")).alias("shown"))
+
+
+def format_percent(spark, sf_dir):
+    return uploads(spark, sf_dir).select("file_id", scores.format_percent(F.col("units") / 8.0).alias("shown"))
+
+
+def log_messages(spark, sf_dir):
+    counts = pairs(spark, sf_dir).groupBy(F.col("file_b_id").alias("file_id")).agg(F.count("*").alias("n_pairs"))
+    return upload_log(files(spark, sf_dir), counts)
+
+
+def excerpts(spark, sf_dir):
+    at = (F.col("file_id") * 37 % 400).cast("int")
+    return texts(spark, sf_dir).select("file_id", excerpt(F.col("extracted_text"), at).alias("excerpt"))
+
+
+# Lifecycle
+
+
+def _deletes(up):
+    return up.where("file_id % 4 = 0").select("user_id", "file_id")
+
+
+def delete_refcounts(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    return library.delete_files(up, tier1.blobs(up), _deletes(up))[1].select("user_id", "sha256_hash", "ref_count")
+
+
+def delete_freed_blobs(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    return library.delete_files(up, tier1.blobs(up), _deletes(up))[2]
+
+
+def delete_results(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    return library.delete_results(up, tier1.blobs(up), _deletes(up))
+
+
+def df_after_delete(spark, sf_dir):
+    made = all_shingles(spark, sf_dir)
+    left = shingles.drop_frequency(shingles.doc_frequency(made), made.where("file_id % 4 = 0"))
+    return left.groupBy("user_id", "doc_count").agg(F.count("*").alias("n_shingles"))
+
+
+def pairs_after_delete(spark, sf_dir):
+    gone = _deletes(uploads(spark, sf_dir))
+    return library.cascade(pairs(spark, sf_dir), gone, "file_a_id", "file_b_id").select("file_a_id", "file_b_id", "status")
+
+
+def keep_pairs(spark, sf_dir):
+    found = pairs(spark, sf_dir)
+    kept = found.where("(file_a_id + file_b_id) % 2 = 0").select("file_a_id", "file_b_id")
+    return review.keep_pairs(found, kept).select("file_a_id", "file_b_id", "status")
+
+
+def rename_files(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    new = up.where("file_id % 3 = 0").select("user_id", "file_id", F.when(F.col("file_id") % 2 == 0, " ").otherwise("New.Name.TXT").alias("new_name"))
+    return library.rename_files(up, new).select("file_id", "filename", "filename_stem", "extension")
+
+
+def tenant_scope(spark, sf_dir):
+    return library.scoped(uploads(spark, sf_dir), "fr").select("user_id", "file_id", "sha256_hash")
+
+
+# Text
+
+
+def entity_decode(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.sha2(decode_entities(F.col("html")), 256).alias("sha256"))
+
+
+def cleaned_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.sha2(clean_text(F.col("html")), 256).alias("sha256"))
+
+
+def name_diff(spark, sf_dir):
+    """Word differences of each part's name and its neighbour's, of a table apart from the library."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    return part.join(other, "p_partkey").select("p_partkey", word_diff("p_name", "next_name").alias("diff"))

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import oracles, queries
+
+#: Without SQL, as word differences are beyond it.
+_OWN = ("text_diff", "name_diff")
+
+QUERIES = {name: getattr(queries, name) for name in (*oracles.SQL, *_OWN)}
+ORACLES: dict[str, str] = dict(oracles.SQL)
