@@ -14,14 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, scores
+from ..sources.stage import staged
 from .shingles import postings, ranked_postings
 from .tier1 import running_file_count
 
 
-def file_sets(shingles: DataFrame) -> DataFrame:
+def file_sets(ranked: DataFrame) -> DataFrame:
     """(user_id, file_id, upload_seq, n, n_shingled, own_logs): distinct shingles, files with shingles so
     far, and the sum of the logs of the frequencies of its shingles on arrival."""
-    sums = ranked_postings(shingles).groupBy("user_id", "file_id", "upload_seq").agg(F.count("*").alias("n"), F.sum(F.ln("rank")).alias("own_logs"))
+    sums = ranked.groupBy("user_id", "file_id", "upload_seq").agg(F.count("*").alias("n"), F.sum(F.ln("rank")).alias("own_logs"))
     return sums.join(running_file_count(sums.select("user_id", "file_id", "upload_seq")).withColumnRenamed("n_files", "n_shingled"), ["user_id", "file_id"])
 
 
@@ -37,9 +38,10 @@ def sharing_pairs(ranked: DataFrame) -> DataFrame:
 
 def content_scores(shingles: DataFrame) -> DataFrame:
     """(user_id, a_id, b_id, shared, content_score, provisional) on arrival of b, for pairs that share."""
-    sets = file_sets(shingles)
+    ranked = staged(ranked_postings(shingles), "ranked")
+    sets = staged(file_sets(ranked), "sets")
     one = lambda p: sets.select("user_id", F.col("file_id").alias(f"{p}_id"), F.col("upload_seq").alias(f"{p}_seq"), F.col("n").alias(f"{p}_n"), F.col("own_logs").alias(f"{p}_logs"), F.col("n_shingled").alias(f"{p}_count"))
-    pairs = sharing_pairs(ranked_postings(shingles)).join(one("b"), ["user_id", "b_id"]).join(one("a"), ["user_id", "a_id"])
+    pairs = sharing_pairs(ranked).join(one("b"), ["user_id", "b_id"]).join(one("a"), ["user_id", "a_id"])
     later = W.partitionBy("user_id", "a_id").orderBy("b_seq", "b_id").rowsBetween(W.unboundedPreceding, 0)
     pairs = pairs.withColumn("a_logs_then", F.col("a_logs") + F.sum("growth").over(later))
     log_n = F.ln(F.col("b_count").cast("double"))
@@ -135,9 +137,12 @@ def all_candidates(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -
     return _candidates(files, ceiling).select("user_id", "a_id", "b_id")
 
 
-def content_pairs(files: DataFrame, shingles: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -> DataFrame:
-    """Compared pairs with a common shingle, with content, name and composite scores."""
-    scored = content_scores(shingles).join(_side(files, "a"), ["user_id", "a_id"])
+def content_pairs(files: DataFrame, shingles: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = 0.0) -> DataFrame:
+    """Compared pairs with a common shingle and a content score from ``least``, with name and composite
+    scores. Edit distances are taken for these pairs only."""
+    found = content_scores(shingles)
+    found = found.where(F.col("content_score") >= least) if least > 0 else found
+    scored = found.join(_side(files, "a"), ["user_id", "a_id"])
     scored = scored.join(_side(newer_files(files, ceiling), "b", BLOCK), ["user_id", "b_id"])
     return _scored(within_block(scored), F.col("content_score"), F.col("provisional"))
 
@@ -168,7 +173,9 @@ def _scored(pairs: DataFrame, content, provisional) -> DataFrame:
 
 def flagged_pairs(files: DataFrame, shingles: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -> DataFrame:
     """The review queue's new rows: file_a_id < file_b_id, scores, confidence, status pending."""
-    content = content_pairs(files, shingles, ceiling).where("flagged")
+    # Equal names add NAME_WEIGHT at most, so no lower content score can reach the flag.
+    least = (scores.FLAG_COMPOSITE - scores.NAME_WEIGHT) / scores.CONTENT_WEIGHT - 1e-9
+    content = content_pairs(files, shingles, ceiling, least).where("flagged")
     both = content.unionByName(name_pairs(files, ceiling).where("flagged"))
     return both.select(
         "user_id", F.least("a_id", "b_id").alias("file_a_id"), F.greatest("a_id", "b_id").alias("file_b_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import names, scores
 from ..functions.text import clean_text, decode_entities, excerpt, word_diff, words
 from ..operators import library, review, scoring, shingles, tier1
 from ..sources.library import library_of_documents, upload_log
+from ..sources.stage import staged
 
 #: Ceiling of the blocked-candidates query, low enough that blocking applies in small libraries.
 LOW_CEILING = 100
@@ -18,33 +21,55 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library_of_documents(spark, sf_dir)
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logical files with their Tier-1 flag and, unless that is set, their extraction."""
-    rows = tier1.with_tier1(uploads(spark, sf_dir)).withColumn("format", names.format_of(F.col("extension")))
-    fmt, units = F.col("format"), F.col("units")
-    rows = rows.withColumn("expected_min_chars", scores.expected_chars(fmt, units, units, units))
-    rows = rows.withColumn("actual_chars", F.when(fmt == "unsupported", 0).otherwise(F.length("text")))
-    ok = scores.extraction_ok(fmt, F.col("actual_chars"), F.col("expected_min_chars"))
-    rows = rows.withColumn("extraction_ok", ~F.col("deduplicated") & ok)
-    reason = scores.extraction_reason(fmt, F.col("extension"), F.col("extraction_ok"))
-    return (
-        rows.withColumn("extraction_reason", F.when(~F.col("deduplicated"), reason))
-        .withColumn("page_count", F.when(~F.col("deduplicated") & fmt.isin("pptx", "pdf"), units))
-        .withColumn("extracted_text", F.when(F.col("extraction_ok"), F.col("text")))
-        .drop("text")
-    )
-
-
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
-
-
-def all_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingles.file_shingles(texts(spark, sf_dir))
-
-
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.flagged_pairs(files(spark, sf_dir).drop("extracted_text"), all_shingles(spark, sf_dir))
+class Library:
+    """The stored tables of a library, each written once when it is first used.
+
+    Files come without their texts, so that what joins them moves narrow rows and reads no text again.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.uploads = uploads(spark, sf_dir)
+
+    @cached_property
+    def _measured(self) -> DataFrame:
+        """Files with their Tier-1 flag and, unless that is set, their extraction."""
+        rows = self.uploads.withColumn("format", names.format_of(F.col("extension")))
+        rows = rows.withColumn("n_chars", F.length("text")).drop("text")
+        rows = tier1.with_tier1(staged(rows, "uploads"))
+        fmt, units = F.col("format"), F.col("units")
+        rows = rows.withColumn("expected_min_chars", scores.expected_chars(fmt, units, units, units))
+        rows = rows.withColumn("actual_chars", F.when(fmt == "unsupported", 0).otherwise(F.col("n_chars")))
+        ok = scores.extraction_ok(fmt, F.col("actual_chars"), F.col("expected_min_chars"))
+        rows = rows.withColumn("extraction_ok", ~F.col("deduplicated") & ok)
+        reason = scores.extraction_reason(fmt, F.col("extension"), F.col("extraction_ok"))
+        return (
+            rows.withColumn("extraction_reason", F.when(~F.col("deduplicated"), reason))
+            .withColumn("page_count", F.when(~F.col("deduplicated") & fmt.isin("pptx", "pdf"), units))
+            .drop("n_chars")
+        )
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return staged(self._measured, "files")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Usable texts. The join drops rows before any text is shingled."""
+        usable = self.files.where("extraction_ok").select("file_id")
+        rows = self.uploads.select("user_id", "file_id", "upload_seq", F.col("text").alias("extracted_text"))
+        return rows.join(usable, "file_id", "left_semi")
+
+    @cached_property
+    def shingles(self) -> DataFrame:
+        return staged(shingles.file_shingles(self.texts), "shingles")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return staged(scoring.flagged_pairs(self.files, self.shingles), "pairs")
+
+    @cached_property
+    def blobs(self) -> DataFrame:
+        return tier1.blobs(self.files)
 
 
 # Tier 1
@@ -92,7 +117,8 @@ def format_of(spark, sf_dir):
 
 
 def filename_pairs(spark, sf_dir):
-    found = scoring.name_pairs(files(spark, sf_dir).drop("extracted_text"))
+    lib = Library(spark, sf_dir)
+    found = scoring.name_pairs(lib.files)
     return found.select("user_id", "a_id", "b_id", F.round("filename_score", 9).alias("filename_score"))
 
 
@@ -100,16 +126,19 @@ def filename_pairs(spark, sf_dir):
 
 
 def expected_floor(spark, sf_dir):
-    return files(spark, sf_dir).select("file_id", "format", "expected_min_chars")
+    lib = Library(spark, sf_dir)
+    return lib.files.select("file_id", "format", "expected_min_chars")
 
 
 def confidence_ok(spark, sf_dir):
-    return files(spark, sf_dir).where("NOT deduplicated").select("file_id", "actual_chars", "expected_min_chars", "extraction_ok")
+    lib = Library(spark, sf_dir)
+    return lib.files.where("NOT deduplicated").select("file_id", "actual_chars", "expected_min_chars", "extraction_ok")
 
 
 def extraction_report(spark, sf_dir):
-    return files(spark, sf_dir).where("NOT deduplicated").select(
-        "user_id", "file_id", "extraction_ok", "extraction_reason", "expected_min_chars", "actual_chars", "page_count", F.length("extracted_text").alias("stored_chars")
+    lib = Library(spark, sf_dir)
+    return lib.files.where("NOT deduplicated").select(
+        "user_id", "file_id", "extraction_ok", "extraction_reason", "expected_min_chars", "actual_chars", "page_count", F.when(F.col("extraction_ok"), F.col("actual_chars")).alias("stored_chars")
     )
 
 
@@ -117,50 +146,59 @@ def extraction_report(spark, sf_dir):
 
 
 def shingle_counts(spark, sf_dir):
-    made = all_shingles(spark, sf_dir).groupBy("user_id", "file_id")
+    lib = Library(spark, sf_dir)
+    made = lib.shingles.groupBy("user_id", "file_id")
     return made.agg(F.count("*").alias("n_shingles"), F.countDistinct("shingle_hash").alias("n_distinct"))
 
 
 def shingle_offsets(spark, sf_dir):
-    return all_shingles(spark, sf_dir).select("file_id", "start_offset")
+    lib = Library(spark, sf_dir)
+    return lib.shingles.select("file_id", "start_offset")
 
 
 def shingle_hash_fnv(spark, sf_dir):
-    rows = all_shingles(spark, sf_dir).where("start_offset = 0")
+    lib = Library(spark, sf_dir)
+    rows = lib.shingles.where("start_offset = 0")
     return rows.select("file_id", "shingle_hash")
 
 
 def word_counts(spark, sf_dir):
-    return texts(spark, sf_dir).select("file_id", F.size(words(F.col("extracted_text"))).alias("n_words"))
+    lib = Library(spark, sf_dir)
+    return lib.texts.select("file_id", F.size(words(F.col("extracted_text"))).alias("n_words"))
 
 
 def doc_frequency(spark, sf_dir):
     """How many shingles of a tenant stand in how many files."""
-    return shingles.doc_frequency(all_shingles(spark, sf_dir)).groupBy("user_id", "doc_count").agg(F.count("*").alias("n_shingles"))
+    lib = Library(spark, sf_dir)
+    return shingles.doc_frequency(lib.shingles).groupBy("user_id", "doc_count").agg(F.count("*").alias("n_shingles"))
 
 
 def shingled_file_count(spark, sf_dir):
-    return shingles.shingled_file_count(all_shingles(spark, sf_dir))
+    lib = Library(spark, sf_dir)
+    return shingles.shingled_file_count(lib.shingles)
 
 
 def df_top_k(spark, sf_dir):
     """The ten highest document frequencies of each tenant."""
+    lib = Library(spark, sf_dir)
     from pyspark.sql import Window as W
 
-    counted = shingles.doc_frequency(all_shingles(spark, sf_dir))
+    counted = shingles.doc_frequency(lib.shingles)
     ranked = counted.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("doc_count"), "shingle_hash")))
     return ranked.where("place <= 10").select("user_id", "place", "doc_count")
 
 
 def rpc_doc_frequencies(spark, sf_dir):
     """Frequencies of the shingles that begin files, looked up in the stored table."""
-    made = all_shingles(spark, sf_dir)
+    lib = Library(spark, sf_dir)
+    made = lib.shingles
     found = shingles.frequencies_of(shingles.doc_frequency(made), made.where("start_offset = 0"))
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("doc_count").alias("total"))
 
 
 def rpc_file_shingles(spark, sf_dir):
-    made = all_shingles(spark, sf_dir)
+    lib = Library(spark, sf_dir)
+    made = lib.shingles
     found = shingles.shingles_of(made, uploads(spark, sf_dir).where("file_id % 5 = 0"))
     return found.groupBy("user_id", "file_id").agg(F.count("*").alias("n"), F.max("start_offset").alias("last_offset"))
 
@@ -175,12 +213,14 @@ def size_buckets(spark, sf_dir):
 
 def candidates_full(spark, sf_dir):
     """How many earlier files each newer one is compared with."""
-    found = scoring.all_candidates(files(spark, sf_dir).drop("extracted_text"))
+    lib = Library(spark, sf_dir)
+    found = scoring.all_candidates(lib.files)
     return found.groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
 
 
 def candidates_blocked(spark, sf_dir):
-    return scoring.all_candidates(files(spark, sf_dir).drop("extracted_text"), LOW_CEILING).groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
+    lib = Library(spark, sf_dir)
+    return scoring.all_candidates(lib.files, LOW_CEILING).groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
 
 
 # Scores
@@ -191,15 +231,18 @@ def _rounded(df, column):
 
 
 def jaccard_plain(spark, sf_dir):
-    return _rounded(scoring.plain_jaccard(all_shingles(spark, sf_dir)), "score")
+    lib = Library(spark, sf_dir)
+    return _rounded(scoring.plain_jaccard(lib.shingles), "score")
 
 
 def jaccard_idf_snapshot(spark, sf_dir):
-    return _rounded(scoring.snapshot_scores(all_shingles(spark, sf_dir)), "score")
+    lib = Library(spark, sf_dir)
+    return _rounded(scoring.snapshot_scores(lib.shingles), "score")
 
 
 def jaccard_idf_asof(spark, sf_dir):
-    return _rounded(scoring.content_scores(all_shingles(spark, sf_dir)), "content_score")
+    lib = Library(spark, sf_dir)
+    return _rounded(scoring.content_scores(lib.shingles), "content_score")
 
 
 def _shown(df):
@@ -209,62 +252,73 @@ def _shown(df):
 
 
 def composite_pairs(spark, sf_dir):
-    return _shown(scoring.content_pairs(files(spark, sf_dir).drop("extracted_text"), all_shingles(spark, sf_dir)))
+    lib = Library(spark, sf_dir)
+    return _shown(scoring.content_pairs(lib.files, lib.shingles))
 
 
 def flagged_pairs(spark, sf_dir):
-    return _shown(pairs(spark, sf_dir)).orderBy(F.desc("composite_score"), "file_a_id", "file_b_id")
+    lib = Library(spark, sf_dir)
+    return _shown(lib.pairs).orderBy(F.desc("composite_score"), "file_a_id", "file_b_id")
 
 
 # Review
 
 
 def review_queue(spark, sf_dir):
-    return _shown(review.review_queue(pairs(spark, sf_dir), files(spark, sf_dir)))
+    lib = Library(spark, sf_dir)
+    return _shown(review.review_queue(lib.pairs, lib.files))
 
 
 def pending_counts(spark, sf_dir):
-    return review.pending_counts(pairs(spark, sf_dir))
+    lib = Library(spark, sf_dir)
+    return review.pending_counts(lib.pairs)
 
 
 def pairs_for_file(spark, sf_dir):
     """Pairs of the file with the most pending pairs (of those, the smallest id)."""
+    lib = Library(spark, sf_dir)
     from pyspark.sql import Window as W
 
-    found = pairs(spark, sf_dir)
+    found = lib.pairs
     most = review.pending_counts(found).withColumn("_p", F.row_number().over(W.orderBy(F.desc("pending"), "file_id"))).where("_p = 1")
     top = most.select("user_id", F.col("file_id").alias("top_id"))
     return found.join(F.broadcast(top), "user_id").where("file_a_id = top_id OR file_b_id = top_id").select("top_id", "file_a_id", "file_b_id", "confidence")
 
 
 def evidence_top2(spark, sf_dir):
-    return review.evidence(pairs(spark, sf_dir), all_shingles(spark, sf_dir), texts(spark, sf_dir))
+    lib = Library(spark, sf_dir)
+    return review.evidence(lib.pairs, lib.shingles, lib.texts)
 
 
 def metadata_deltas(spark, sf_dir):
-    return review.metadata_deltas(pairs(spark, sf_dir).where("confidence = 'metadata-only'"), files(spark, sf_dir))
+    lib = Library(spark, sf_dir)
+    return review.metadata_deltas(lib.pairs.where("confidence = 'metadata-only'"), lib.files)
 
 
 def label_map(spark, sf_dir):
-    return pairs(spark, sf_dir).select("file_a_id", "file_b_id", scores.confidence_label(F.col("confidence")).alias("label"))
+    lib = Library(spark, sf_dir)
+    return lib.pairs.select("file_a_id", "file_b_id", scores.confidence_label(F.col("confidence")).alias("label"))
 
 
 def text_diff(spark, sf_dir):
     """Word differences of flagged content pairs."""
-    return review.pair_diffs(pairs(spark, sf_dir), texts(spark, sf_dir))
+    lib = Library(spark, sf_dir)
+    return review.pair_diffs(lib.pairs, lib.texts)
 
 
 # Library
 
 
 def file_list(spark, sf_dir):
+    lib = Library(spark, sf_dir)
     up = uploads(spark, sf_dir)
-    return library.file_list(up, tier1.blobs(up), review.pending_counts(pairs(spark, sf_dir)))
+    return library.file_list(up, tier1.blobs(up), review.pending_counts(lib.pairs))
 
 
 def library_stats(spark, sf_dir):
+    lib = Library(spark, sf_dir)
     up = uploads(spark, sf_dir)
-    return library.library_stats(up, tier1.blobs(up), pairs(spark, sf_dir))
+    return library.library_stats(up, tier1.blobs(up), lib.pairs)
 
 
 def format_bytes(spark, sf_dir):
@@ -276,13 +330,15 @@ def format_percent(spark, sf_dir):
 
 
 def log_messages(spark, sf_dir):
-    counts = pairs(spark, sf_dir).groupBy(F.col("file_b_id").alias("file_id")).agg(F.count("*").alias("n_pairs"))
-    return upload_log(files(spark, sf_dir), counts)
+    lib = Library(spark, sf_dir)
+    counts = lib.pairs.groupBy(F.col("file_b_id").alias("file_id")).agg(F.count("*").alias("n_pairs"))
+    return upload_log(lib.files, counts)
 
 
 def excerpts(spark, sf_dir):
+    lib = Library(spark, sf_dir)
     at = (F.col("file_id") * 37 % 400).cast("int")
-    return texts(spark, sf_dir).select("file_id", excerpt(F.col("extracted_text"), at).alias("excerpt"))
+    return lib.texts.select("file_id", excerpt(F.col("extracted_text"), at).alias("excerpt"))
 
 
 # Lifecycle
@@ -308,23 +364,27 @@ def delete_results(spark, sf_dir):
 
 
 def df_after_delete(spark, sf_dir):
-    made = all_shingles(spark, sf_dir)
+    lib = Library(spark, sf_dir)
+    made = lib.shingles
     left = shingles.drop_frequency(shingles.doc_frequency(made), made.where("file_id % 4 = 0"))
     return left.groupBy("user_id", "doc_count").agg(F.count("*").alias("n_shingles"))
 
 
 def pairs_after_delete(spark, sf_dir):
+    lib = Library(spark, sf_dir)
     gone = _deletes(uploads(spark, sf_dir))
-    return library.cascade(pairs(spark, sf_dir), gone, "file_a_id", "file_b_id").select("file_a_id", "file_b_id", "status")
+    return library.cascade(lib.pairs, gone, "file_a_id", "file_b_id").select("file_a_id", "file_b_id", "status")
 
 
 def keep_pairs(spark, sf_dir):
-    found = pairs(spark, sf_dir)
+    lib = Library(spark, sf_dir)
+    found = lib.pairs
     kept = found.where("(file_a_id + file_b_id) % 2 = 0").select("file_a_id", "file_b_id")
     return review.keep_pairs(found, kept).select("file_a_id", "file_b_id", "status")
 
 
 def rename_files(spark, sf_dir):
+    lib = Library(spark, sf_dir)
     up = uploads(spark, sf_dir)
     new = up.where("file_id % 3 = 0").select("user_id", "file_id", F.when(F.col("file_id") % 2 == 0, " ").otherwise("New.Name.TXT").alias("new_name"))
     return library.rename_files(up, new).select("file_id", "filename", "filename_stem", "extension")
