@@ -29,11 +29,12 @@ def file_sets(ranked: DataFrame) -> DataFrame:
 def sharing_pairs(ranked: DataFrame) -> DataFrame:
     """(user_id, a_id, b_id, shared, shared_logs, growth) of files with a common shingle; a came first."""
     a = ranked.select("user_id", "shingle_hash", F.col("file_id").alias("a_id"), F.col("rank").alias("ra"))
-    b = ranked.select("user_id", "shingle_hash", F.col("file_id").alias("b_id"), F.col("rank").alias("rb"))
-    met = a.join(b, (a.user_id == b.user_id) & (a.shingle_hash == b.shingle_hash) & (a.ra < b.rb)).drop(b.user_id)
-    return met.groupBy("user_id", "a_id", "b_id").agg(
-        F.count("*").alias("shared"), F.sum(F.ln("rb")).alias("shared_logs"), F.sum(F.ln("rb") - F.ln(F.col("rb") - 1)).alias("growth")
+    log = F.ln("rank")  # taken once for each posting, not for each pair
+    b = ranked.where("rank > 1").select(
+        "user_id", "shingle_hash", F.col("file_id").alias("b_id"), F.col("rank").alias("rb"), log.alias("log_r"), (log - F.ln(F.col("rank") - 1)).alias("step")
     )
+    met = a.join(b, ["user_id", "shingle_hash"]).where("ra < rb")
+    return met.groupBy("user_id", "a_id", "b_id").agg(F.count("*").alias("shared"), F.sum("log_r").alias("shared_logs"), F.sum("step").alias("growth"))
 
 
 def content_scores(shingles: DataFrame) -> DataFrame:
@@ -155,7 +156,9 @@ def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least
     met = _candidates(files, ceiling).where("NOT (a_extraction_ok AND b_extraction_ok)")
     x, y = F.length("a_filename_stem"), F.length("b_filename_stem")
     met = met.where(F.abs(x - y) <= (1 - least) * F.greatest(x, y) + 1e-6)
-    close = met.where(names.filename_similarity(F.col("a_filename_stem"), F.col("b_filename_stem")) >= least)
+    # The banded distance, -1 beyond its bound, is cheaper than the full one that the rest then gets.
+    banded = f"levenshtein(lower(a_filename_stem), lower(b_filename_stem), cast({1 - least!r}D * greatest(length(a_filename_stem), length(b_filename_stem)) + 1e-6 AS int) + 1)"
+    close = met.where(f"{banded} >= 0").where(names.filename_similarity(F.col("a_filename_stem"), F.col("b_filename_stem")) >= least)
     return _scored(close, F.lit(None).cast("double"), F.lit(False))
 
 
