@@ -1,0 +1,75 @@
+"""Decontamination against windows compared one by one."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from sievelake.llm import decontaminate as d
+from tests.llm import cases
+
+
+def split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def brute(text, items, window=13):
+    w = split(text)
+    hit, found = set(), set()
+    for key, body in items:
+        v = split(body)
+        n = min(window, len(v))
+        if key is None or not n:
+            continue
+        for j in range(len(v) - n + 1):
+            for i in range(len(w) - n + 1):
+                if w[i : i + n] == v[j : j + n]:
+                    hit |= set(range(i, i + n))
+                    found.add(str(key))
+    keys = ",".join(sorted(found))
+    return len(w), len(hit), len(found), hashlib.sha256(keys.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def world(seed, n_docs=25):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "b", "c", "É", "x1"])
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 9)))) for k in range(12)] + [(3, None), (None, "a b"), (40, " .,"), (2, "a, B")]
+    texts = [(k, " ".join(rng.choice([word(), "zz", word()]) for _ in range(rng.randrange(40)))) for k in range(n_docs)]
+    texts += [(100, None), (101, ""), (102, "..."), (103, "A-b c"), (103, "A-b c"), (104, "zz " * 3000 + "a b c")]
+    return items, texts
+
+
+@pytest.mark.parametrize(("window", "shard_words"), [(4, 400_000), (3, 6)])
+def test_against_brute_force(spark, window, shard_words):
+    items, texts = world(window)
+    docs = cases.docs(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = d.find_contamination(docs, bench, window=window, shard_words=shard_words)
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows.collect())
+    assert got == sorted((k, *brute(t, items, window)) for k, t in texts)
+
+
+def test_windows_of_thirteen(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = [(1, "x " + item[: item.index(" w12")] + " y"), (2, "x " + " ".join(f"w{i}" for i in range(3, 16)) + " y"), (3, item.upper() + " " + item), (4, "z " * 400 + item)]
+    rows = d.find_contamination(cases.docs(spark, texts), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.contaminated) for r in rows} == {1: (0, False), 2: (13, True), 3: (40, True), 4: (20, False)}
+    assert next(r for r in rows if r.doc_id == 2).spans[0].start == 1
+
+
+def test_removal_keeps_clean_rows_whole(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    texts = [(1, "clean text"), (2, "say: One, TWO three! end"), (3, None)]
+    docs = cases.docs(spark, texts)
+    kept = d.remove_contamination(docs, bench)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: (r.text, r.labels) for r in kept.collect()} == {1: ("clean text", "clash"), 3: (None, "clash")}
+    cut = {r.doc_id: r.text for r in d.remove_contamination(docs, bench, cut=True).collect()}
+    assert cut == {1: "clean text", 2: "say: ! end", 3: None}
+
+
+def test_empty(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert d.find_contamination(cases.empty(spark), bench).collect() == []
+    assert [r.contaminated for r in d.find_contamination(cases.docs(spark, [(1, "a b")]), bench).collect()] == [False]

@@ -1,0 +1,76 @@
+"""Mixing: the deviation bound at every place, wholeness, and a brute-force scheduler."""
+
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+
+from sievelake.llm import mixing as m
+from tests.llm import cases
+
+
+def brute_period(parts, slots):
+    """Earliest deadline first, one slot after another."""
+    done, out = Counter(), []
+    for t in range(slots):
+        ready = [(-(-(done[s] + 1) * slots // c), s) for s, c in sorted(parts.items()) if done[s] * slots // c <= t]
+        s = min(ready)[1]
+        done[s] += 1
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 2.5, "c": 0.01}])
+def test_order_and_deviation(spark, weights):
+    rng = random.Random(4)
+    names = ["a"] * 300 + ["b"] * 60 + ["c"] * 30 + [None] * 11
+    rng.shuffle(names)
+    docs = cases.docs(spark, [(k, "t") for k in range(len(names))], lambda k: names[k])
+    rows = m.mix_sources(docs, weights, block_rows=4, slots=50).collect()
+    assert sorted(r.mix_position for r in rows) == list(range(len(names)))
+    assert sorted(r.doc_id for r in rows) == list(range(len(names)))
+    counts = Counter(x or "" for x in names)
+    share = {s: (counts[s] ** 0.5 if weights is None else weights.get(s, 1.0)) for s in counts}
+    exact = {s: share[s] / sum(share.values()) * (50 - len(counts)) for s in counts}
+    parts = {s: 1 + int(exact[s]) for s in counts}
+    for s in sorted(counts, key=lambda s: (int(exact[s]) - exact[s], s))[: 50 - sum(parts.values())]:
+        parts[s] += 1
+    period = brute_period(parts, 50)
+    slot_of = {}
+    for s in counts:
+        order = sorted((r for r in rows if r.mix_source == s), key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id))
+        places = [t for t, x in enumerate(period) if x == s]
+        for rank, r in enumerate(order):
+            k, j = divmod(rank // 4, parts[s])
+            slot_of[r.doc_id] = k * 50 + places[j]
+            assert r.mix_block == rank // 4
+    assert {r.doc_id: r.mix_slot for r in rows} == slot_of
+    # Less than one block off after any number of slots, while every source lasts.
+    held = {}
+    for r in rows:
+        held.setdefault(r.mix_slot, r.mix_source)
+    last = min(max(r.mix_slot for r in rows if r.mix_source == s) for s in counts)
+    done = Counter()
+    for t in range(last):
+        done[held[t]] += 1
+        assert all(abs(done[s] - parts[s] / 50 * (t + 1)) < 1 for s in counts)
+
+
+def test_mixed_order_keeps_rows_and_columns(spark):
+    docs = cases.docs(spark, [(1, None), (1, None), (None, "x"), (2, "y")], lambda k: None)
+    mixed = m.in_mixed_order(docs)
+    assert mixed.columns == docs.columns and sorted(str(r) for r in mixed.collect()) == sorted(str(r) for r in docs.collect())
+    assert m.mix_sources(docs).select("mix_position").distinct().count() == 4
+
+
+def test_empty_and_too_many(spark):
+    assert m.mix_sources(cases.empty(spark)).collect() == []
+    docs = cases.docs(spark, [(k, "t") for k in range(5)], lambda k: f"s{k}")
+    with pytest.raises(Exception, match="more sources"):
+        m.mix_sources(docs, slots=4).collect()
+
+
+def test_no_python_in_the_plan(spark):
+    plan = m.mix_sources(cases.docs(spark, [(1, "t")]))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -1,0 +1,77 @@
+"""Secret scans: base spans against the patterns on text, and the battery on known strings."""
+
+import hashlib
+import random
+import re
+import string
+
+from sievelake.llm import secret_scan as s
+from tests.llm import cases
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    spans.sort()
+    n = [sum(k == x for _, k, _ in spans) for x in range(3)]
+    return *n, hashlib.sha256(",".join(f"{s.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def texts():
+    rng = random.Random(8)
+    hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    out = [None, "", "token=", "token = short", 'É token="' + hexed(40) + '" x', "PassWord:abcdefgh secret='12345678'", "passwordpassword: token=token=abcdefgh"]
+    out += ["AKIA" + "A1B2C3D4E5F6", "AKIAAKIA" + "Z" * 9, "akia" + "A" * 20, "AKIA" + "A" * 11, "x" + hexed(32) + "g" + hexed(31), hexed(33) + "\n" + hexed(50)]
+    out += ["api_key: " + hexed(64) + " apikey=apikey=abcdefghij", "toKen=abcdefgh toſken=abcdefgh", "secret token : 'x' passwd==abcdefghi", "🙂" * 7 + "token=abcdefgh.=-/+_"]
+    pieces = ["token", "=", " ", '"', "'", ":", "api_key", "secret", "AKIA", "ABCDEFGHIJKLMNOP", "abcdef0123456789", "ü", "\n", "."]
+    return out + ["".join(rng.choices(pieces, k=rng.randrange(30))) for _ in range(200)]
+
+
+def test_base_spans(spark):
+    rows = list(enumerate(texts())) + [(0, None)]
+    got = s.scan_secrets(cases.docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted((k, *brute(t)) for k, t in rows)
+    for r in got:
+        base = ",".join(x for x in r.spans.split(",") if not x.startswith("random"))
+        assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256
+
+
+def test_grouping_of_texts_changes_nothing(monkeypatch):
+    raws = [(t or "").encode() for t in texts()]
+    whole = s.scan_text(raws)
+    assert whole == [s.scan_text([r])[0] for r in raws]
+
+
+def test_battery_tells_random_from_ordered():
+    rng = random.Random(1)
+    for alphabet in (string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_uppercase + "234567"):
+        tokens = ["".join(rng.choices(alphabet, k=40)).encode() for _ in range(400)]
+        passed = sum(s.randomness(t) > 0.01 for t in tokens)
+        assert passed > 370
+    for ordered in (b"0123456789abcdef0123456789abcdef", b"a1" * 20, b"aaaaaaaaaaaaaaaaaaaa1111111111111111", b"abcdefghijklmnopqrstuvwxyz0123456789"):
+        assert s.randomness(ordered) < 0.01
+
+
+def test_method_finds_a_bare_secret_and_spares_words(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=44))
+    words = ["internationalization" * 2, "a" * 30, "release-2024-01-01-2024-01-02", "x1" * 15]
+    rows = [(1, f"see {key} here")] + [(10 + k, f"the {w} end") for k, w in enumerate(words * 30)]
+    got = {r.doc_id: r.spans for r in s.scan_secrets(cases.docs(spark, rows)).collect()}
+    assert got[1] == "random:4:48"
+    assert not any(got[k] for k in got if k != 1)
+
+
+def test_cuts_rise_where_words_pass():
+    top = s.BINS - 1
+    assert s.cuts({top: 50}, {}, 0.05)[0] <= top
+    few = s.cuts({top: 10}, {top: 90, 0: 10}, 0.05)
+    assert few[0] == s.BINS
+
+
+def test_empty(spark):
+    assert s.scan_secrets(cases.empty(spark)).collect() == []
