@@ -26,11 +26,15 @@ def file_sets(ranked: DataFrame) -> DataFrame:
     return sums.join(running_file_count(sums.select("user_id", "file_id", "upload_seq")).withColumnRenamed("n_files", "n_shingled"), ["user_id", "file_id"])
 
 
-def sharing_pairs(ranked: DataFrame) -> DataFrame:
-    """(user_id, a_id, b_id, shared, shared_logs, growth) of files with a common shingle; a came first."""
+def sharing_pairs(ranked: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """(user_id, a_id, b_id, shared, shared_logs, growth) of files with a common shingle; a came first.
+
+    With ``newer`` (some of the ranked postings) only pairs whose later file is among them.
+    """
+    newer = ranked if newer is None else newer
     a = ranked.select("user_id", "shingle_hash", F.col("file_id").alias("a_id"), F.col("rank").alias("ra"))
     log = F.ln("rank")  # taken once for each posting, not for each pair
-    b = ranked.where("rank > 1").select(
+    b = newer.where("rank > 1").select(
         "user_id", "shingle_hash", F.col("file_id").alias("b_id"), F.col("rank").alias("rb"), log.alias("log_r"), (log - F.ln(F.col("rank") - 1)).alias("step")
     )
     met = a.join(b, ["user_id", "shingle_hash"]).where("ra < rb")
@@ -40,9 +44,14 @@ def sharing_pairs(ranked: DataFrame) -> DataFrame:
 def content_scores(shingles: DataFrame) -> DataFrame:
     """(user_id, a_id, b_id, shared, content_score, provisional) on arrival of b, for pairs that share."""
     ranked = staged(ranked_postings(shingles), "ranked")
-    sets = staged(file_sets(ranked), "sets")
+    return weighted_scores(sharing_pairs(ranked), staged(file_sets(ranked), "sets"))
+
+
+def weighted_scores(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Scores of sharing pairs. ``sets`` has each file's logs as they were before the first of ``pairs``
+    came (its own on arrival, if it came later): the growth of all later pairs is added up here."""
     one = lambda p: sets.select("user_id", F.col("file_id").alias(f"{p}_id"), F.col("upload_seq").alias(f"{p}_seq"), F.col("n").alias(f"{p}_n"), F.col("own_logs").alias(f"{p}_logs"), F.col("n_shingled").alias(f"{p}_count"))
-    pairs = sharing_pairs(ranked).join(one("b"), ["user_id", "b_id"]).join(one("a"), ["user_id", "a_id"])
+    pairs = pairs.join(one("b"), ["user_id", "b_id"]).join(one("a"), ["user_id", "a_id"])
     later = W.partitionBy("user_id", "a_id").orderBy("b_seq", "b_id").rowsBetween(W.unboundedPreceding, 0)
     pairs = pairs.withColumn("a_logs_then", F.col("a_logs") + F.sum("growth").over(later))
     log_n = F.ln(F.col("b_count").cast("double"))
@@ -85,11 +94,13 @@ def _with_sets(pairs: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFr
     return pairs
 
 
-def newer_files(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -> DataFrame:
-    """Files that look for candidates on arrival (no Tier-1 duplicates), with whether blocking applies to
-    them and the sizes that it lets through."""
+def newer_files(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, only: DataFrame | None = None) -> DataFrame:
+    """Files that look for candidates on arrival (no Tier-1 duplicates; of ``only``, if given), with whether
+    blocking applies to them and the sizes that it lets through."""
     low, high = scores.size_band(F.col("size_bytes"))
     counted = files.join(running_file_count(files), ["user_id", "file_id"])
+    if only is not None:
+        counted = counted.join(only.select("user_id", "file_id"), ["user_id", "file_id"], "left_semi")
     return counted.where("NOT deduplicated").select("*", (F.col("n_files") > ceiling).alias("blocked"), low.alias("size_low"), high.alias("size_high"))
 
 
@@ -113,7 +124,7 @@ BLOCK = ("blocked", "size_low", "size_high")
 DEALS = 16
 
 
-def _candidates(files: DataFrame, ceiling: int) -> DataFrame:
+def _candidates(files: DataFrame, ceiling: int, only: DataFrame | None = None) -> DataFrame:
     """a_* and b_* attributes of each newer file b and every earlier file a that it is compared with.
 
     A file up to the ceiling meets all before it, at most ceiling ** 2 / 2 pairs in a tenant, dealt out by
@@ -121,7 +132,7 @@ def _candidates(files: DataFrame, ceiling: int) -> DataFrame:
     """
     counted = files.join(running_file_count(files), ["user_id", "file_id"])
     early = counted.where(F.col("n_files") < ceiling).drop("n_files")
-    b = _side(newer_files(files, ceiling), "b", BLOCK)
+    b = _side(newer_files(files, ceiling, only), "b", BLOCK)
     earlier = "a_upload_seq < b_upload_seq"
     dealt = b.where("NOT b_blocked").withColumn("_deal", F.pmod(F.xxhash64("b_id"), F.lit(DEALS)))
     full = _side(early, "a").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
@@ -138,22 +149,21 @@ def all_candidates(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -
     return _candidates(files, ceiling).select("user_id", "a_id", "b_id")
 
 
-def content_pairs(files: DataFrame, shingles: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = 0.0) -> DataFrame:
-    """Compared pairs with a common shingle and a content score from ``least``, with name and composite
-    scores. Edit distances are taken for these pairs only."""
-    found = content_scores(shingles)
+def content_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = 0.0, only: DataFrame | None = None) -> DataFrame:
+    """Compared pairs of content scores ``found``, from ``least``, with name and composite scores. Edit
+    distances are taken for these pairs only."""
     found = found.where(F.col("content_score") >= least) if least > 0 else found
     scored = found.join(_side(files, "a"), ["user_id", "a_id"])
-    scored = scored.join(_side(newer_files(files, ceiling), "b", BLOCK), ["user_id", "b_id"])
+    scored = scored.join(_side(newer_files(files, ceiling, only), "b", BLOCK), ["user_id", "b_id"])
     return _scored(within_block(scored), F.col("content_score"), F.col("provisional"))
 
 
-def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = scores.FLAG_NAME) -> DataFrame:
+def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = scores.FLAG_NAME, only: DataFrame | None = None) -> DataFrame:
     """Compared pairs of which one has no usable text and whose names are at least ``least`` alike.
 
     Lengths that differ by more than (1 - least) of the longer are left out before any distance is taken.
     """
-    met = _candidates(files, ceiling).where("NOT (a_extraction_ok AND b_extraction_ok)")
+    met = _candidates(files, ceiling, only).where("NOT (a_extraction_ok AND b_extraction_ok)")
     x, y = F.length("a_filename_stem"), F.length("b_filename_stem")
     met = met.where(F.abs(x - y) <= (1 - least) * F.greatest(x, y) + 1e-6)
     # The banded distance, -1 beyond its bound, is cheaper than the full one that the rest then gets.
@@ -174,12 +184,15 @@ def _scored(pairs: DataFrame, content, provisional) -> DataFrame:
     )
 
 
-def flagged_pairs(files: DataFrame, shingles: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -> DataFrame:
-    """The review queue's new rows: file_a_id < file_b_id, scores, confidence, status pending."""
+def flagged_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, only: DataFrame | None = None) -> DataFrame:
+    """The review queue's new rows: file_a_id < file_b_id, scores, confidence, status pending.
+
+    ``found``: content scores of the pairs that share a shingle; ``only``: the files that just came.
+    """
     # Equal names add NAME_WEIGHT at most, so no lower content score can reach the flag.
     least = (scores.FLAG_COMPOSITE - scores.NAME_WEIGHT) / scores.CONTENT_WEIGHT - 1e-9
-    content = content_pairs(files, shingles, ceiling, least).where("flagged")
-    both = content.unionByName(name_pairs(files, ceiling).where("flagged"))
+    content = content_pairs(files, found, ceiling, least, only).where("flagged")
+    both = content.unionByName(name_pairs(files, ceiling, only=only).where("flagged"))
     return both.select(
         "user_id", F.least("a_id", "b_id").alias("file_a_id"), F.greatest("a_id", "b_id").alias("file_b_id"),
         "content_score", "filename_score", "composite_score", "confidence", F.lit("pending").alias("status"),

@@ -65,7 +65,7 @@ class Library:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return staged(scoring.flagged_pairs(self.files, self.shingles), "pairs")
+        return staged(scoring.flagged_pairs(self.files, scoring.content_scores(self.shingles)), "pairs")
 
     @cached_property
     def blobs(self) -> DataFrame:
@@ -253,7 +253,7 @@ def _shown(df):
 
 def composite_pairs(spark, sf_dir):
     lib = Library(spark, sf_dir)
-    return _shown(scoring.content_pairs(lib.files, lib.shingles))
+    return _shown(scoring.content_pairs(lib.files, scoring.content_scores(lib.shingles)))
 
 
 def flagged_pairs(spark, sf_dir):
