@@ -119,7 +119,7 @@ SQL = {
     "expected_floor": _q("SELECT file_id, format, expected_min_chars FROM files"),
     "confidence_ok": _q("SELECT file_id, actual_chars, expected_min_chars, ok AS extraction_ok FROM files WHERE NOT deduplicated"),
     "extraction_report": _q(
-        """SELECT user_id, file_id, ok AS extraction_ok, extraction_reason, expected_min_chars, actual_chars, page_count, CASE WHEN ok THEN length(text) END AS stored_chars
+        """SELECT user_id, file_id, ok AS extraction_ok, extraction_reason, expected_min_chars, actual_chars, page_count, CASE WHEN ok THEN length(text)::INTEGER END AS stored_chars
         FROM files JOIN reasons USING (file_id) WHERE NOT deduplicated"""
     ),
     "shingle_counts": _q("SELECT user_id, file_id, count(*) AS n_shingles, count(DISTINCT s) AS n_distinct FROM sh GROUP BY ALL"),
@@ -138,7 +138,7 @@ SQL = {
     "doc_frequency": _q("SELECT user_id, doc_count::INTEGER AS doc_count, count(*) AS n_shingles FROM (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL) GROUP BY ALL"),
     "shingled_file_count": _q("SELECT user_id, count(DISTINCT file_id) AS n_files FROM sh GROUP BY 1"),
     "df_top_k": _q(
-        """SELECT user_id, place, doc_count::INTEGER AS doc_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY doc_count DESC) AS place
+        """SELECT user_id, place::INTEGER AS place, doc_count::INTEGER AS doc_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY doc_count DESC) AS place
         FROM (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL)) WHERE place <= 10"""
     ),
     "rpc_doc_frequencies": _q(
