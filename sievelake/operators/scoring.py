@@ -192,7 +192,9 @@ def flagged_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL
     # Equal names add NAME_WEIGHT at most, so no lower content score can reach the flag.
     least = (scores.FLAG_COMPOSITE - scores.NAME_WEIGHT) / scores.CONTENT_WEIGHT - 1e-9
     content = content_pairs(files, found, ceiling, least, only).where("flagged")
-    both = content.unionByName(name_pairs(files, ceiling, only=only).where("flagged"))
+    # Names that are alike enough to be compared here are alike enough to be flagged; a filter on the flag
+    # would be pushed down and take every distance once more.
+    both = content.unionByName(name_pairs(files, ceiling, scores.FLAG_NAME, only))
     return both.select(
         "user_id", F.least("a_id", "b_id").alias("file_a_id"), F.greatest("a_id", "b_id").alias("file_b_id"),
         "content_score", "filename_score", "composite_score", "confidence", F.lit("pending").alias("status"),
