@@ -11,7 +11,7 @@ from ..functions import names, scores
 from ..functions.text import clean_text, decode_entities, excerpt, word_diff, words
 from ..operators import library, review, scoring, shingles, tier1
 from ..sources.library import library_of_documents, upload_log
-from ..sources.stage import staged
+from ..sources.stage import spread, staged
 
 #: Ceiling of the blocked-candidates query, low enough that blocking applies in small libraries.
 LOW_CEILING = 100
@@ -61,7 +61,7 @@ class Library:
 
     @cached_property
     def shingles(self) -> DataFrame:
-        return staged(shingles.file_shingles(self.texts), "shingles")
+        return staged(shingles.file_shingles(spread(self.texts)), "shingles")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -277,12 +277,10 @@ def pending_counts(spark, sf_dir):
 def pairs_for_file(spark, sf_dir):
     """Pairs of the file with the most pending pairs (of those, the smallest id)."""
     lib = Library(spark, sf_dir)
-    from pyspark.sql import Window as W
-
-    found = lib.pairs
-    most = review.pending_counts(found).withColumn("_p", F.row_number().over(W.orderBy(F.desc("pending"), "file_id"))).where("_p = 1")
-    top = most.select("user_id", F.col("file_id").alias("top_id"))
-    return found.join(F.broadcast(top), "user_id").where("file_a_id = top_id OR file_b_id = top_id").select("top_id", "file_a_id", "file_b_id", "confidence")
+    most = review.pending_counts(lib.pairs).orderBy(F.desc("pending"), "file_id").limit(1)
+    top = F.broadcast(most.select("user_id", F.col("file_id").alias("top_id")))  # one row
+    found = lib.pairs.join(top, "user_id").where("file_a_id = top_id OR file_b_id = top_id")
+    return found.select("top_id", "file_a_id", "file_b_id", "confidence")
 
 
 def evidence_top2(spark, sf_dir):
