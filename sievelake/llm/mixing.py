@@ -92,9 +92,13 @@ def mix_sources(
     """``docs`` with mix_source, mix_block (its block in its source), mix_slot and mix_position (its place
     in the mixture, from 0). Without weights a source weighs the square root of its rows."""
     kept = [c for c in docs.columns if c.lower() not in RESULT]
-    digest = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
-    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], source.alias("mix_source"), digest.alias("_h"))
+    # The input's columns go under other names meanwhile, so that none clashes with what is added.
+    own_names = {c: f"_in{k}" for k, c in enumerate(docs.columns)}
+    docs = docs.toDF(*own_names.values())
+    id_col, source_col = own_names[id_col], own_names[source_col]
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    rows = docs.select(*[F.col(own_names[c]) for c in kept], source.alias("mix_source"), digest.alias("_h"))
     n_rows = docs.count()
     digits = 2
     while 16**digits * GROUP_ROWS < n_rows:
@@ -107,7 +111,7 @@ def mix_sources(
     counts = rows.groupBy("mix_source").agg(F.count("*").alias("n"))
     slots_of = F.broadcast(period(source_parts(counts, weights, default_weight, slots), slots))
 
-    own = W.partitionBy("mix_source", "_g").orderBy("_h", F.col(f"`{id_col}`"))
+    own = W.partitionBy("mix_source", "_g").orderBy("_h", id_col)
     ranked = rows.withColumn("_rn", F.row_number().over(own)).join(groups, ["mix_source", "_g"])
     ranked = ranked.withColumn("_rank", F.col("_earlier") + F.col("_rn") - 1)
     ranked = ranked.withColumn("mix_block", F.expr(f"_rank div {block_rows}"))
@@ -119,7 +123,7 @@ def mix_sources(
         f"aggregate(zip_with(all_n, zip_with(all_c, before, (c, b) -> (_k * c + b) * {block_rows}L), (n, m) -> least(n, m)), 0L, (a, x) -> a + x)"
     )
     return placed.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(own_names[c]).alias(c) for c in kept],
         "mix_source",
         "mix_block",
         (F.col("_k") * slots + F.col("slot")).alias("mix_slot"),
