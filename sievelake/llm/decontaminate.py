@@ -4,9 +4,9 @@ The automaton of all items is built once and streamed over every document: the s
 carries the longest suffix of the document that occurs in some item. Where that length reaches the
 window, the last ``window`` words stand in an item; items shorter than the window match whole.
 
-Items are split into shards of at most ``shard_words`` words. One automaton per shard is broadcast
-(so what is broadcast is bounded however many items there are) and the shards run one after another
-over the same rows, carrying the hits found so far: no shuffle and no join at any size.
+Items are split into shards of about ``shard_words`` words, fetched one after another; one automaton
+per shard is broadcast. A task takes a batch of whole texts through all shards, one automaton in memory
+at a time: no shuffle, no join and no second pass over the documents, however many items there are.
 
 Defined results: a null or empty text has no words and is clean; items that are null, have a null id
 or have no words are ignored; repeated items count once by id; repeated documents are each judged;
@@ -16,8 +16,8 @@ an empty table gives an empty result; input columns that clash with the result's
 from __future__ import annotations
 
 import hashlib
-import json
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -137,7 +137,7 @@ class ItemAutomaton:
                     u = self.at_whole[link[u]] if u else -1
 
 
-def item_shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -> list[list]:
+def item_shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list]:
     """Items in shards of bounded size; a shard is fetched only when its automaton is built."""
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text")
@@ -162,10 +162,8 @@ def find_contamination(
 ) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit, spans (word ranges, end exclusive), items,
     n_items, items_sha256 and contaminated: n_hit >= min_hit and n_hit / n_words >= coverage."""
-    out = docs
     spark = docs.sparkSession
     num, den = coverage
-    carry = [("_hits", T.StringType())]
     final = [
         ("n_words", T.LongType()),
         ("n_hit", T.LongType()),
@@ -176,42 +174,38 @@ def find_contamination(
         ("contaminated", T.BooleanType()),
     ]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    shards = [spark.sparkContext.broadcast(ItemAutomaton(items, window)) for items in item_shards(benchmark, item_id, item_text, shard_words)]
 
-    def scanner(shared, first: bool, last: bool):
-        def run(texts: pa.Array, *before: pa.Array):
-            automaton = shared.value
-            rows, carried = [], []
-            for k, raw in enumerate(binaries(texts)):
-                words = words_of(raw) if raw else []
-                hit, found = (set(), set()) if first else map(set, json.loads(before[0][k].as_py()))
-                automaton.scan(words, hit, found)
-                if not last:
-                    carried.append(json.dumps([sorted(hit), sorted(found)]))
-                    continue
-                keys = sorted(found)
-                spans: list[dict] = []
-                for i in sorted(hit):
-                    if spans and spans[-1]["end"] == i:
-                        spans[-1]["end"] = i + 1
-                    else:
-                        spans.append({"start": i, "end": i + 1})
-                n, h = len(words), len(hit)
-                digest = hashlib.sha256(",".join(keys).encode()).hexdigest()
-                rows.append((n, h, spans, keys, len(keys), digest, h > 0 and h >= min_hit and den * h >= num * n))
-            if not last:
-                return [pa.array(carried, pa.string())]
-            types = [pa.int64(), pa.int64(), span_type, pa.list_(pa.string()), pa.int64(), pa.string(), pa.bool_()]
-            return [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
-
-        return run
+    def run(texts: pa.Array):
+        raws = binaries(texts)
+        sizes = [0] * len(raws)
+        hits: list[set[int]] = [set() for _ in raws]
+        found: list[set[str]] = [set() for _ in raws]
+        for shard in shards:
+            automaton = shard.value
+            for k, raw in enumerate(raws):
+                if raw:
+                    words = words_of(raw)
+                    sizes[k] = len(words)
+                    automaton.scan(words, hits[k], found[k])
+            if len(shards) > 1:
+                del automaton
+                vars(shard).pop("_value", None)  # read again from the executor's own file for the next batch
+        rows = []
+        for n, hit, items in zip(sizes, hits, found, strict=True):
+            keys = sorted(items)
+            spans: list[dict] = []
+            for i in sorted(hit):
+                if spans and spans[-1]["end"] == i:
+                    spans[-1]["end"] = i + 1
+                else:
+                    spans.append({"start": i, "end": i + 1})
+            digest = hashlib.sha256(",".join(keys).encode()).hexdigest()
+            rows.append((n, len(hit), spans, keys, len(keys), digest, bool(hit) and len(hit) >= min_hit and den * len(hit) >= num * n))
+        types = [pa.int64(), pa.int64(), span_type, pa.list_(pa.string()), pa.int64(), pa.string(), pa.bool_()]
+        return [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
 
-    shards = list(item_shards(benchmark, item_id, item_text, shard_words)) or [[]]
-    for k, items in enumerate(shards):
-        first, last = k == 0, k == len(shards) - 1
-        shared = spark.sparkContext.broadcast(ItemAutomaton(items, window))
-        needs = [text_col] if first else [text_col, "_hits"]
-        out = add_columns(out, final if last else carry, scanner(shared, first, last), *needs)
-    return out.drop("_hits")
+    return add_columns(docs, final, run, text_col)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False, **options) -> DataFrame:
