@@ -19,7 +19,7 @@ last; repeated rows (same id, same text) keep one of them; an empty table gives
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,20 @@ class CountingQuotientFilter:
         first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
         return CountingQuotientFilter(both[first], np.add.reduceat(counts, first) if len(first) else counts, self.bits, self.low, self.high)
 
+    @classmethod
+    def merged(cls, filters: Iterable[CountingQuotientFilter]) -> CountingQuotientFilter | None:
+        """All of ``filters`` merged, like sizes first: a fingerprint is moved a logarithmic number of times."""
+        held: list[CountingQuotientFilter] = []
+        for one in filters:
+            held.append(one)
+            while len(held) > 1 and len(held[-2].counts) <= 2 * len(held[-1].counts):
+                last = held.pop()
+                held[-1] = held[-1].merge(last)
+        while len(held) > 1:
+            last = held.pop()
+            held[-1] = held[-1].merge(last)
+        return held[0] if held else None
+
     def ranges(self, n: int) -> Iterator[tuple[int, bytes]]:
         """Cut into n quotient ranges: (range, packed remainders and counters), empty ones left out."""
         step = (self.high - self.low) // n
@@ -117,18 +131,13 @@ def repeated_fingerprints(keys: DataFrame, n_rows: int) -> DataFrame:
         n *= 2
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = CountingQuotientFilter.of(np.zeros(0, np.uint64))
-        for batch in batches:
-            whole = whole.merge(CountingQuotientFilter.of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-        if cut := list(whole.ranges(n)):
+        whole = CountingQuotientFilter.merged(CountingQuotientFilter.of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches)
+        if whole is not None and (cut := list(whole.ranges(n))):
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], names=["part", "data"])
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, whole = key[0].as_py(), None
-        for batch in batches:
-            for data in batch.column(1).to_pylist():
-                one = CountingQuotientFilter.unpack(k, n, data)
-                whole = one if whole is None else whole.merge(one)
+        k = key[0].as_py()
+        whole = CountingQuotientFilter.merged(CountingQuotientFilter.unpack(k, n, data) for batch in batches for data in batch.column(1).to_pylist())
         many = whole.counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(whole.fingerprints()[many].view(np.int64)), pa.array(whole.counts[many], pa.int64())], names=["fp", "n"])
 

@@ -18,7 +18,10 @@ def test_filters_merge_without_loss():
     for p in parts[1:]:
         whole = whole.merge(e.CountingQuotientFilter.of(p))
     values, counts = np.unique(np.concatenate(parts), return_counts=True)
-    assert (whole.fingerprints() == values).all() and (whole.counts == counts).all()
+    together = e.CountingQuotientFilter.merged(e.CountingQuotientFilter.of(p) for p in parts)
+    for one in (whole, together):
+        assert (one.fingerprints() == values).all() and (one.counts == counts).all()
+    assert e.CountingQuotientFilter.merged([]) is None
     back = [e.CountingQuotientFilter.unpack(k, 256, data) for k, data in whole.ranges(256)]
     assert (np.concatenate([b.fingerprints() for b in back]) == values).all()
     assert (np.concatenate([b.counts for b in back]) == counts).all()
