@@ -149,7 +149,7 @@ SQL = {
         """, runs AS (SELECT file_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS t, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS k FROM toks),
         placed AS (SELECT file_id, t, k, sum(length(t)) OVER (PARTITION BY file_id ORDER BY k) - length(t) AS pos FROM runs),
         ws AS (SELECT file_id, pos, row_number() OVER (PARTITION BY file_id ORDER BY k DESC) AS back FROM placed WHERE NOT regexp_matches(t, '^\\s'))
-        SELECT user_id, file_id, count(*) AS n, max(pos)::INTEGER AS last_offset FROM ws JOIN toks USING (file_id) WHERE back >= 5 AND file_id % 5 = 0 GROUP BY ALL"""
+        SELECT user_id, file_id, count(*) AS n, max(pos)::INTEGER AS last_offset FROM ws JOIN toks USING (file_id) WHERE back >= 5 GROUP BY ALL"""
     ),
     "size_buckets": _q(
         """SELECT file_id, b::BIGINT AS bucket, ceil(pow(1.2::DOUBLE, b - 1))::BIGINT AS low, floor(pow(1.2::DOUBLE, b + 2))::BIGINT - 1 AS high
