@@ -10,7 +10,8 @@
    so a text that a third of all rows hold moves once per task.
 
 Routing tests membership in a broadcast sorted array where the counted fingerprints fit
-``BROADCAST_BYTES``, and is a shuffled semi-join beyond that.
+``BROADCAST_BYTES``. Beyond that a broadcast bitmap of the repeated quotients (``BITMAP_BITS`` top bits,
+32 MB at most) holds back nearly all other texts, and a shuffled semi-join decides on the rest.
 
 Defined results: null text counts as empty; of rows with equal text the smallest doc_id stays, null ids
 last; repeated rows (same id, same text) keep one of them; an empty table gives an empty result.
@@ -31,6 +32,7 @@ from .common import BROADCAST_BYTES, SPACE_BYTES, add_columns, binaries, staged,
 
 RANGE_ROWS = 500_000
 SEED = 0
+BITMAP_BITS = 28
 
 
 def normalised(raw: bytes | None) -> bytes:
@@ -144,29 +146,43 @@ def repeated_fingerprints(keys: DataFrame, n_rows: int) -> DataFrame:
     return keys.select("fp").mapInArrow(build, "part int, data binary").groupBy("part").applyInArrow(merge, "fp long, n long")
 
 
+def quotient_bitmap(repeated: DataFrame) -> np.ndarray:
+    """One bit for each value of the fingerprints' top bits, set where a repeated one has it."""
+    place = F.shiftrightunsigned("fp", 64 - BITMAP_BITS) + 1
+    cut = repeated.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((1 << BITMAP_BITS) >> 3, np.uint8)
+    for r in cut.toLocalIterator():  # pieces of 4 KB, as many as the bitmap has at most
+        at = (r.k - 1) * len(r.bits)
+        out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def verified_groups(docs: DataFrame, repeated: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(fp, text_sha256, group_size) of texts that byte comparison finds on several rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    shared = None
-    if repeated.count() * 8 <= broadcast_bytes:
+    small = repeated.count() * 8 <= broadcast_bytes
+    if small:
         shared = spark.sparkContext.broadcast(np.sort(np.array([r.fp for r in repeated.select("fp").collect()], np.int64)))
+    else:
+        shared = spark.sparkContext.broadcast(quotient_bitmap(repeated))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = [normalised(raw) for raw in binaries(batch.column(0))]
             fp = np.array([xxhash.xxh64_intdigest(t, SEED) for t in clean], np.uint64).view(np.int64)
-            if shared is None:
-                keep = np.arange(len(fp))
+            known = shared.value
+            if not small:
+                place = (fp.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                keep = np.flatnonzero(known[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             else:
-                known = shared.value
                 at = np.minimum(np.searchsorted(known, fp), max(len(known) - 1, 0))
                 keep = np.flatnonzero(known[at] == fp) if len(known) else at[:0]
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array([clean[i].decode() for i in keep], pa.string())], names=["fp", "body"])
 
     routed = texts.mapInArrow(route, "fp long, body string")
-    if shared is None:
+    if not small:
         routed = routed.join(repeated.select("fp"), "fp", "left_semi")
     same = routed.groupBy("fp", "body").agg(F.count("*").alias("group_size")).where("group_size > 1")
     return same.select("fp", F.sha2("body", 256).alias("text_sha256"), "group_size")

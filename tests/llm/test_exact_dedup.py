@@ -27,6 +27,12 @@ def test_filters_merge_without_loss():
     assert (np.concatenate([b.counts for b in back]) == counts).all()
 
 
+def test_bitmap_has_the_repeated_quotients(spark):
+    fps = [0, 1, -1, 5 << 36, (5 << 36) + 7, 32767 << 36, 32768 << 36, -(1 << 63)]
+    bits = np.unpackbits(e.quotient_bitmap(spark.createDataFrame([(v,) for v in fps], "fp long")), bitorder="little")
+    assert np.flatnonzero(bits).tolist() == sorted({(v % (1 << 64)) >> 36 for v in fps})
+
+
 def brute(rows):
     clean = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
     out = []
