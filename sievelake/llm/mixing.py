@@ -14,12 +14,15 @@ about ``GROUP_ROWS`` and the groups' counts are summed, so a source with a third
 like any other. What is broadcast has at most Q rows; more sources than slots is an error.
 
 Defined results: a null source is the source ''; weights name sources, a source without one takes
-``default_weight``; weights of absent sources are ignored; null ids come first in their source; repeated
-rows keep places of their own; an empty table gives an empty result; clashing columns are replaced.
+``default_weight``; weights of absent sources are ignored; null ids come first in their source; rows
+of one id keep places of their own, in the order of a hash of their columns; an empty table gives an empty
+result; clashing columns are replaced.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,7 +114,9 @@ def mix_sources(
     counts = rows.groupBy("mix_source").agg(F.count("*").alias("n"))
     slots_of = F.broadcast(period(source_parts(counts, weights, default_weight, slots), slots))
 
-    own = W.partitionBy("mix_source", "_g").orderBy("_h", id_col)
+    # Rows of one id go by their contents, so that a task that runs again gives them the same places.
+    alike = [F.col(own_names[c]) for c in kept if not re.search("map<|variant", docs.schema[own_names[c]].dataType.simpleString())]
+    own = W.partitionBy("mix_source", "_g").orderBy("_h", id_col, F.xxhash64(F.lit(0), *alike))
     ranked = rows.withColumn("_rn", F.row_number().over(own)).join(groups, ["mix_source", "_g"])
     ranked = ranked.withColumn("_rank", F.col("_earlier") + F.col("_rn") - 1)
     ranked = ranked.withColumn("mix_block", F.expr(f"_rank div {block_rows}"))

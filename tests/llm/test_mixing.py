@@ -64,6 +64,15 @@ def test_mixed_order_keeps_rows_and_columns(spark):
     assert m.mix_sources(docs).select("mix_position").distinct().count() == 4
 
 
+def test_rows_of_one_id_keep_their_places(spark):
+    rows = [(1, f"t{k % 7}") for k in range(40)]
+    placed = []
+    for order in (rows, rows[::-1]):
+        docs = cases.docs(spark, order, lambda k: "a").repartition(3)
+        placed.append(sorted((r.mix_position, r.text) for r in m.mix_sources(docs).collect()))
+    assert placed[0] == placed[1] and [p for p, _ in placed[0]] == list(range(40))
+
+
 def test_empty_and_too_many(spark):
     assert m.mix_sources(cases.empty(spark)).collect() == []
     docs = cases.docs(spark, [(k, "t") for k in range(5)], lambda k: f"s{k}")
