@@ -7,8 +7,9 @@ else last-modified dates where both have one. A match merges the headers: the re
 ones except those that describe the body or the connection.
 
 The join is two windows: within (URL, time chunk), and over a URL's chunks (``CHUNKS`` at most), each of
-which hands on its last full response. So a URL with a third of all records is dealt out by time, and
-no group is larger than a chunk of one URL. Only keys, validators and headers move, never bodies.
+which hands on its last full response. Chunks divide the span of all but the outermost records evenly, so
+a URL with a third of all records is dealt out by time, and no group is larger than a chunk of one URL.
+Only keys, validators and headers move, never bodies.
 
 Defined results: a null URL or time, or a URL that is not http(s), is ``invalid``; no earlier response is
 ``orphan``; unequal validators are ``mismatch``; none in common is ``unverified``; repeated records each
@@ -68,8 +69,10 @@ def resolve_revisits(records: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """One row per revisit of ``records`` (record_id long, url, ts long, status int, etag, last_modified,
     headers map, payload_digest): record_id, canonical, ts, refers_to, refers_ts, outcome, payload_digest
     and headers (merged where resolved, else the revisit's own)."""
-    span = records.agg(F.min("ts"), F.max("ts")).first()
-    low, width = span[0] or 0, max(1, ((span[1] or 0) - (span[0] or 0)) // chunks + 1)
+    # A few odd times must not widen the chunks: the outer ones take what lies beyond nearly all records.
+    low, high = records.agg(F.percentile_approx(F.col("ts").cast("long"), [0.001, 0.999], 10_000)).first()[0] or (0, 0)
+    width = max(1, (high - low) // chunks + 1)
+    chunk = F.greatest(F.lit(0), F.least(F.lit(chunks - 1), F.floor((F.col("ts").cast("double") - F.lit(float(low))) / F.lit(float(width)))))
     rows = records.where(F.col("status").isin(200, 304)).select(
         F.col("record_id").cast("long").alias("record_id"),
         canonical_url(F.col("url")).alias("canonical"),
@@ -81,7 +84,7 @@ def resolve_revisits(records: DataFrame, chunks: int = CHUNKS) -> DataFrame:
         "payload_digest",
     )
     valid = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    usable = rows.where(valid).withColumn("chunk", F.expr(f"(ts - {low}L) div {width}L"))
+    usable = rows.where(valid).withColumn("chunk", chunk.cast("int"))
     response = F.when(F.col("full"), F.struct("ts", "record_id", "etag", "modified", "headers", "payload_digest"))
     within = W.partitionBy("canonical", "chunk").orderBy("ts", "full", "record_id").rowsBetween(W.unboundedPreceding, 0)
     near = usable.withColumn("near", F.last(response, ignorenulls=True).over(within)).where(~F.col("full"))

@@ -63,7 +63,7 @@ def test_against_brute_force(spark, chunks):
     for k in range(160):
         url = rng.choice(["http://a.org/x"] * 6 + ["http://b.org/", None])
         headers = rng.choice([None, {}, {"Age": str(k), "ETag": "q"}, {"age": "1", "Content-Type": "t", "X": str(k)}])
-        rows.append((k, url, rng.choice([None, *range(40)]), rng.choice([200, 304, 304, 404]), rng.choice([None, "e1", "W/e1", "e2", " "]), rng.choice([None, "d1", "d2"]), headers, f"p{k}", "clash", 0))
+        rows.append((k, url, rng.choice([None, *range(40), *range(40), -(2**63), 2**63 - 1]), rng.choice([200, 304, 304, 404]), rng.choice([None, "e1", "W/e1", "e2", " "]), rng.choice([None, "d1", "d2"]), headers, f"p{k}", "clash", 0))
     rows.append(rows[3])
     df = spark.createDataFrame(rows, SCHEMA)
     got = [(x.record_id, x.refers_to, x.outcome, tuple(sorted(x.headers.items()))) for x in r.resolve_revisits(df, chunks).collect()]
