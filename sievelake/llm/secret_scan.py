@@ -8,7 +8,9 @@ middle, and lag-1 serial correlation. The token's p-value is the smallest of the
 Runs of letters only are ordinary words; they are scored the same way and serve as decoys. For each
 length class the share of decoys that look random at a cut estimates how many ordinary strings pass it,
 and the smallest cut whose estimated false-discovery rate is at most ``FDR`` is taken: short tokens, on
-which the tests have little power, need a higher p-value than long ones. Counts by (class, bin) over all
+which the tests have little power, need a higher p-value than long ones. The share is shrunk by a prior of
+``1 / FDR`` decoys that do not look random, so a cut rises only as decoys are seen to pass it, by degrees.
+Distinct tokens are counted, so copies of one document weigh nothing. Counts by (class, bin) over all
 documents are all that is gathered; they are at most ``CLASSES * BINS`` rows.
 
 One narrow pass reads the texts; its findings are staged, and the cuts are applied to them.
@@ -122,6 +124,10 @@ def length_class(n: int) -> int:
     return min(CLASSES - 1, int(2 * math.log2(n / MIN_TOKEN)))
 
 
+def key_of(token: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(token, digest_size=7).digest(), "big") >> 1
+
+
 def bin_of(p: float) -> int:
     """Ascending in p: the last bin holds the most random-looking."""
     return max(0, BINS - 1 + math.ceil(8 * math.log10(max(p, 1e-12))))
@@ -143,8 +149,9 @@ def _at(text: bytes, words, pattern) -> list:
     return found
 
 
-def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, float]], list[int]]]:
-    """For each text: base spans (kind, start, end), candidate tokens (start, end, p), decoys' codes.
+def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, float, int]], list[int]]]:
+    """For each text: base spans (kind, start, end), candidate tokens (start, end, p, key), and decoys as
+    key * 256 + code. Keys are hashes that tell distinct tokens.
 
     Texts are scanned as one block joined by line feeds, which no pattern or token can hold.
     """
@@ -172,15 +179,15 @@ def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list
                 put(0, s, lambda z, a=s + m.start(), b=s + m.end(): (2, a - z, b - z))
         if token.isalpha():
             code = length_class(e - s) * BINS + bin_of(randomness(token))
-            put(2, s, lambda z, c=code: c)
+            put(2, s, lambda z, c=key_of(token) << 8 | code: c)
         elif re.search(rb"[0-9]", token) and re.search(rb"[A-Za-z]", token):
             p = randomness(token)
-            put(1, s, lambda z, a=s, b=e, p=p: (a - z, b - z, p))
+            put(1, s, lambda z, a=s, b=e, p=p, k=key_of(token): (a - z, b - z, p, k))
     return out
 
 
-SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
-_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("key", T.LongType())])
+_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("key", pa.int64())]))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -195,34 +202,34 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 size += len(texts[n])
                 n += 1
             for raw, (base, tokens, odd) in zip(texts[k:n], scan_text(texts[k:n]), strict=True):
-                rows = [(*b, None) for b in base] + [(3, *t) for t in tokens]
+                rows = [(*b, None, None) for b in base] + [(3, *t) for t in tokens]
                 point = {}
                 at = chars = 0
                 for o in sorted({o for r in rows for o in r[1:3]}):
                     chars += len(raw[at:o].decode())
                     point[o], at = chars, o
-                spans.append([{"kind": kind, "start": point[s], "end": point[e], "p": p} for kind, s, e, p in rows])
+                spans.append([{"kind": kind, "start": point[s], "end": point[e], "p": p, "key": key} for kind, s, e, p, key in rows])
                 decoys.append(odd)
             k = n
-        return [pa.array(spans, _SPAN), pa.array(decoys, pa.list_(pa.int32()))]
+        return [pa.array(spans, _SPAN), pa.array(decoys, pa.list_(pa.int64()))]
 
-    return add_columns(docs, [("_spans", T.ArrayType(SPAN)), ("_decoys", T.ArrayType(T.IntegerType()))], run, text_col)
+    return add_columns(docs, [("_spans", T.ArrayType(SPAN)), ("_decoys", T.ArrayType(T.LongType()))], run, text_col)
 
 
 def cuts(targets: dict[int, int], decoys: dict[int, int], rate: float) -> list[int]:
     """For each length class, the lowest bin whose estimated false-discovery rate is at most ``rate``.
 
-    With few decoys the estimate takes one more than were seen, so that none seen is not none.
+    The decoys' share has a prior of ``1 / rate`` decoys that pass no cut: where none is seen to pass, the
+    battery itself decides, however many were seen; where they pass, the estimate grows with their number.
     """
     out = []
     for c in range(CLASSES):
         t = np.array([targets.get(c * BINS + b, 0) for b in range(BINS)])[::-1].cumsum()[::-1]
         d = np.array([decoys.get(c * BINS + b, 0) for b in range(BINS)])[::-1].cumsum()[::-1]
-        estimate = (d + 1) / (d[0] + 1) * t[0] / np.maximum(t, 1)
+        estimate = d / (d[0] + 1 / rate) * t[0] / np.maximum(t, 1)
         low = BINS - 1 - 24  # p of 1e-3: what uniform tokens fall below once in a thousand
         ok = [b for b in range(low, BINS) if t[b] and estimate[b] <= rate]
-        # With fewer words of this length than the rate can resolve, only the battery itself decides.
-        out.append(ok[0] if ok else low if d[0] + 1 < 1 / rate else BINS)
+        out.append(ok[0] if ok else BINS if t[low] else low)
     return out
 
 
@@ -231,11 +238,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) ->
     array of kind, start, end, p)."""
     found = staged(find_spans(docs, text_col).drop(text_col), "spans")
     by = {}
-    for name, codes in (("targets", F.transform(F.filter("_spans", lambda s: s.kind == 3), lambda s: _code(s))), ("decoys", F.col("_decoys"))):
-        counted = found.select(F.explode(codes).alias("code")).groupBy("code").count()
+    tokens = F.transform(F.filter("_spans", lambda s: s.kind == 3), lambda s: F.shiftleft(s.key, 8).bitwiseOR(_code(s).cast("long")))
+    for name, keyed in (("targets", tokens), ("decoys", F.col("_decoys"))):
+        distinct = found.select(F.explode(keyed).alias("keyed")).distinct()
+        counted = distinct.groupBy(F.col("keyed").bitwiseAND(255).alias("code")).count()
         by[name] = {r.code: r["count"] for r in counted.collect()}  # CLASSES * BINS rows at most
     least = cuts(by["targets"], by["decoys"], rate)
-    listed = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *SPAN.fields[1:]]))
+    listed = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *SPAN.fields[1:4]]))
 
     def run(spans: pa.Array):
         rows = []
@@ -245,7 +254,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) ->
             n = [sum(s["kind"] == k for s in own) for k in range(3)]
             text = [f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in own]
             base = ",".join(t for t, s in zip(text, own, strict=True) if s["kind"] < 3)
-            rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), ",".join(text), [s | {"kind": KINDS[s["kind"]]} for s in own]))
+            rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), ",".join(text), [{"kind": KINDS[s["kind"]], "start": s["start"], "end": s["end"], "p": s["p"]} for s in own]))
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))]
         return [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]
 

@@ -73,5 +73,25 @@ def test_cuts_rise_where_words_pass():
     assert few[0] == s.BINS
 
 
+def test_cuts_do_not_drop_a_class_by_the_number_of_decoys():
+    top, low = s.BINS - 1, s.BINS - 1 - 24
+    for share in (0.05, 0.2, 0.97):
+        targets = {top: 1000 - int(share * 1000), 0: int(share * 1000)}
+        for n in (0, 1, 18, 19, 50, 98, 99, 200):
+            assert s.cuts(targets, {0: n}, 0.05)[0] == low, (share, n)
+    assert s.cuts({top: 80, 0: 20}, {top - 20: 1, 0: 199}, 0.05)[0] == low
+
+
+def test_copies_of_a_document_change_no_cut(spark):
+    rng = random.Random(5)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=22)) + "7" for _ in range(8)]
+    looks_random = next(w for w in iter(lambda: "".join(rng.choices(string.ascii_lowercase, k=23)), "") if s.randomness(w.encode()) > 0.3)
+    words = ["".join(rng.choices("aeinrst", k=3)) * 7 + "ab" for _ in range(200)]
+    for copies, n in ((1, 0), (1, 18), (1, 19), (1, 50), (1, 200), (3000, 200)):
+        rows = list(enumerate([f"x {k} y" for k in keys] + words[:n] + [looks_random] * (copies if copies > 1 else 0)))
+        got = {r.doc_id: r.spans for r in s.scan_secrets(cases.docs(spark, rows)).collect()}
+        assert [got[k] for k in range(8)] == ["random:2:25"] * 8, (copies, n)
+
+
 def test_empty(spark):
     assert s.scan_secrets(cases.empty(spark)).collect() == []
