@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-The patterns give the base spans. The method then takes every maximal run of ``[A-Za-z0-9+/_=-]`` of at
-least ``MIN_TOKEN`` characters, infers its encoding (hex, base32, base36, base62 or base64) and tests
+The patterns give the base spans. The method then takes every maximal run of ``[A-Za-z0-9+/_=-]``, cuts it
+at each ``=`` that is not final padding, and tests each piece of at least ``MIN_TOKEN`` characters that some
+alphabet holds, and such parts of it between ``-`` and ``_``, between ``/`` and ``+``, and between any of
+these; of passing pieces that overlap the longest is reported. For a piece it infers the encoding (hex, base32, base36, base62 or base64) and tests
 its symbols against uniform randomness: chi-squared over the alphabet, Wald-Wolfowitz runs about the
 middle, and lag-1 serial correlation. The token's p-value is the smallest of the three, times three.
 
@@ -21,6 +23,7 @@ documents are each scanned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -37,6 +40,8 @@ from .common import add_columns, binaries, staged, table
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
+VALUES = re.compile(rb"[^=]+(?:=+\Z)?")
+PARTS = tuple(re.compile(p) for p in (rb".+", rb"[^-_]+", rb"[^/+]+", rb"[^-_/+]+"))
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
 
@@ -120,6 +125,15 @@ def randomness(token: bytes) -> float:
     return min(1.0, 3 * min(uniformity(symbols, k), runs(symbols, k), serial_correlation(symbols, k)))
 
 
+def pieces(token: bytes) -> list[tuple[int, int]]:
+    """The parts of a run that are tested each on its own, in order."""
+    found = set()
+    for whole in VALUES.finditer(token):
+        for cut in PARTS:
+            found.update((whole.start() + m.start(), whole.start() + m.end()) for m in cut.finditer(whole[0]) if m.end() - m.start() >= MIN_TOKEN)
+    return [(a, b) for a, b in sorted(found) if encoding_of(token[a:b].rstrip(b"="))]
+
+
 def length_class(n: int) -> int:
     return min(CLASSES - 1, int(2 * math.log2(n / MIN_TOKEN)))
 
@@ -177,12 +191,14 @@ def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list
         for m in HEX.finditer(token):
             if len(m[0]) >= 32:
                 put(0, s, lambda z, a=s + m.start(), b=s + m.end(): (2, a - z, b - z))
-        if token.isalpha():
-            code = length_class(e - s) * BINS + bin_of(randomness(token))
-            put(2, s, lambda z, c=key_of(token) << 8 | code: c)
-        elif re.search(rb"[0-9]", token) and re.search(rb"[A-Za-z]", token):
-            p = randomness(token)
-            put(1, s, lambda z, a=s, b=e, p=p, k=key_of(token): (a - z, b - z, p, k))
+        for i, j in pieces(token):
+            piece = token[i:j]
+            if piece.isalpha():
+                code = length_class(j - i) * BINS + bin_of(randomness(piece))
+                put(2, s, lambda z, c=key_of(piece) << 8 | code: c)
+            elif re.search(rb"[0-9]", piece) and re.search(rb"[A-Za-z]", piece):
+                p = randomness(piece)
+                put(1, s, lambda z, a=s + i, b=s + j, p=p, k=key_of(piece): (a - z, b - z, p, k))
     return out
 
 
@@ -233,6 +249,16 @@ def cuts(targets: dict[int, int], decoys: dict[int, int], rate: float) -> list[i
     return out
 
 
+def longest(passed: list[dict]) -> list[dict]:
+    """Of pieces that overlap, the longest."""
+    out: list[dict] = []
+    for s in sorted(passed, key=lambda s: (s["start"] - s["end"], s["start"])):
+        at = bisect.bisect(out, s["start"], key=lambda o: o["start"])
+        if (at == 0 or out[at - 1]["end"] <= s["start"]) and (at == len(out) or s["end"] <= out[at]["start"]):
+            out.insert(at, s)
+    return out
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) -> DataFrame:
     """``docs`` without its text, with n_assign, n_access, n_hex, base_sha256, spans and found (an
     array of kind, start, end, p)."""
@@ -249,7 +275,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) ->
     def run(spans: pa.Array):
         rows = []
         for own in spans.to_pylist():
-            own = [s for s in own if s["kind"] < 3 or bin_of(s["p"]) >= least[length_class(s["end"] - s["start"])]]
+            passed = [s for s in own if s["kind"] == 3 and bin_of(s["p"]) >= least[length_class(s["end"] - s["start"])]]
+            own = [s for s in own if s["kind"] < 3] + longest(passed)
             own.sort(key=lambda s: (s["start"], s["kind"], s["end"]))
             n = [sum(s["kind"] == k for s in own) for k in range(3)]
             text = [f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in own]

@@ -93,5 +93,28 @@ def test_copies_of_a_document_change_no_cut(spark):
         assert [got[k] for k in range(8)] == ["random:2:25"] * 8, (copies, n)
 
 
+def test_secrets_in_assignments_urls_and_paths(spark):
+    rng = random.Random(11)
+    plain = string.ascii_letters + string.digits
+    key = "".join(rng.choices(plain, k=43)) + "7"
+    padded = "".join(rng.choices(plain, k=20)) + "+/9" + "".join(rng.choices(plain, k=15)) + "=="
+    word = "internationalizationinternationalization"
+    texts = [f"NAME={key}", f"AWS_SECRET_ACCESS_KEY={padded}", f"https://x.org/a?key={key}&sig={padded}", f"api/v1-x/{key}", f"a+b-c_{key}", f"{word}-{word}-{word}/{key}", f"x={key}=y"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans.split(",") for r in s.scan_secrets(cases.docs(spark, rows)).collect()}
+    for k, t in rows:
+        for secret in (key, padded):
+            if secret in t:
+                at = t.index(secret)
+                spans = [tuple(map(int, x.split(":")[1:])) for x in got[k] if x.startswith("random")]
+                # A part of a path before it may be reported with it, where both fit one alphabet.
+                assert any(at - 4 <= a <= at and b == at + len(secret) for a, b in spans), (t, got[k])
+
+
+def test_overlapping_pieces_are_reported_once():
+    spans = [{"start": a, "end": b} for a, b in ((0, 30), (5, 25), (30, 50), (29, 49))]
+    assert s.longest(spans) == [spans[0], spans[2]]
+
+
 def test_empty(spark):
     assert s.scan_secrets(cases.empty(spark)).collect() == []
