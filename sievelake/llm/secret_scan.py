@@ -3,11 +3,13 @@
 The patterns give the base spans. The method then takes every maximal run of ``[A-Za-z0-9+/_=-]``, cuts it
 at each ``=`` that is not final padding, and tests each piece of at least ``MIN_TOKEN`` characters that some
 alphabet holds, and such parts of it between ``-`` and ``_``, between ``/`` and ``+``, and between any of
-these; of passing pieces that overlap the longest is reported. For a piece it infers the encoding (hex, base32, base36, base62 or base64) and tests
-its symbols against uniform randomness: chi-squared over the alphabet, Wald-Wolfowitz runs about the
-middle, and lag-1 serial correlation. The token's p-value is the smallest of the three, times three.
+these; of passing pieces that overlap the longest is reported. For a piece it infers the encoding (digits,
+hex, upper case, base32, base36, letters, base62 or base64) and tests its symbols against uniform
+randomness: chi-squared over the alphabet, Wald-Wolfowitz runs about the middle, and lag-1 serial
+correlation. The token's p-value is the smallest of the three, times three.
 
-Runs of letters only are ordinary words; they are scored the same way and serve as decoys. For each
+Lower-case runs of letters, the first may be a capital, are ordinary words; they are scored the same way
+and serve as decoys, so no such run is reported. All others are tested, of digits only or letters too. For each
 length class the share of decoys that look random at a cut estimates how many ordinary strings pass it,
 and the smallest cut whose estimated false-discovery rate is at most ``FDR`` is taken: short tokens, on
 which the tests have little power, need a higher p-value than long ones. The share is shrunk by a prior of
@@ -40,6 +42,7 @@ from .common import add_columns, binaries, staged, table
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
+WORD = re.compile(rb"[A-Za-z][a-z]+")
 VALUES = re.compile(rb"[^=]+(?:=+\Z)?")
 PARTS = tuple(re.compile(p) for p in (rb".+", rb"[^-_]+", rb"[^/+]+", rb"[^-_/+]+"))
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -56,11 +59,14 @@ _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 _DIGITS, _UPPER, _SMALL = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
+    "decimal": _DIGITS,
     "hex": _DIGITS + b"abcdef",
     "HEX": _DIGITS + b"ABCDEF",
+    "UPPER": _UPPER,
     "base32": _UPPER + b"234567",
     "base36": _DIGITS + _SMALL,
     "BASE36": _DIGITS + _UPPER,
+    "letters": _UPPER + _SMALL,
     "base62": _DIGITS + _UPPER + _SMALL,
     "base64": _UPPER + _SMALL + _DIGITS + b"+/",
     "base64url": _UPPER + _SMALL + _DIGITS + b"-_",
@@ -193,10 +199,10 @@ def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list
                 put(0, s, lambda z, a=s + m.start(), b=s + m.end(): (2, a - z, b - z))
         for i, j in pieces(token):
             piece = token[i:j]
-            if piece.isalpha():
+            if WORD.fullmatch(piece):
                 code = length_class(j - i) * BINS + bin_of(randomness(piece))
                 put(2, s, lambda z, c=key_of(piece) << 8 | code: c)
-            elif re.search(rb"[0-9]", piece) and re.search(rb"[A-Za-z]", piece):
+            else:
                 p = randomness(piece)
                 put(1, s, lambda z, a=s + i, b=s + j, p=p, k=key_of(piece): (a - z, b - z, p, k))
     return out

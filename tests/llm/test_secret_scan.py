@@ -116,5 +116,15 @@ def test_overlapping_pieces_are_reported_once():
     assert s.longest(spans) == [spans[0], spans[2]]
 
 
+def test_secrets_of_letters_or_digits_only(spark):
+    rng = random.Random(12)
+    keys = ["".join(rng.choices(a, k=n)) for a in (string.ascii_letters, string.digits, string.ascii_uppercase) for n in (24, 48)]
+    rows = [(k, f"see {key} here") for k, key in enumerate(keys)] + [(100 + k, "internationalization" * 2) for k in range(30)]
+    rows += [(200, "1" * 40), (201, "A" * 40), (202, "Internationalization")]
+    got = {r.doc_id: r.spans for r in s.scan_secrets(cases.docs(spark, rows)).collect()}
+    assert [got[k].split(",")[-1] for k in range(len(keys))] == [f"random:4:{4 + len(key)}" for key in keys]
+    assert not any("random" in got[k] for k in got if k >= 100)
+
+
 def test_empty(spark):
     assert s.scan_secrets(cases.empty(spark)).collect() == []
