@@ -14,6 +14,11 @@ What passes is verified on the sets. Base phrases go through the same join, with
 block and threshold 1, and are verified as places where their words stand consecutively. Templates are a
 fixed parameter, so nothing that grows is broadcast; both passes are narrow, so no key is hot.
 
+That is ``op4_license_scan``, whose SQL takes lines. ``op4_license_windows`` takes word windows across line
+breaks instead (``lines=False``): for each template every minimal window of at most ``WINDOW`` times its
+words that holds the threshold; of windows that overlap, the fullest. Wrapped notices are found, and the
+scattered words of one long line are not. The prefix filter and the length filter hold for whole texts.
+
 Defined results: a null text counts as empty; no places give null first_word and last_word, empty labels
 and score 0; repeated documents are each scanned; an empty table gives an empty result.
 """
@@ -32,6 +37,7 @@ from pyspark.sql import types as T
 from .common import add_columns, binaries, table, words_of
 
 THRESHOLD = 0.9
+WINDOW = 2
 # The base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 # Notices and the labels they stand for.
@@ -77,6 +83,7 @@ class TemplateIndex:
         self.rank = {t: i for i, t in enumerate(sorted(tokens, key=lambda t: (frequency.get(t, 0), t)))}
         self.sets = [(sorted(self.rank[w] for w in set(words_of(text.encode()))), label) for text, label in templates]
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s, _ in self.sets]
+        self.reach = [WINDOW * len(words_of(text.encode())) for text, _ in templates]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (ranks, _) in enumerate(self.sets):
             for i, r in enumerate(ranks[: len(ranks) - self.need[k] + 1]):
@@ -98,6 +105,38 @@ class TemplateIndex:
         return [(k, s / len(self.sets[k][0])) for k, s in shares if s >= self.need[k]]
 
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, start, end, containment) of the windows that hold a template to the threshold."""
+        placed = [(p, self.rank[w]) for p, w in enumerate(words) if w in self.rank]
+        have = {r for _, r in placed}
+        out = []
+        for k in sorted({k for r in have for k, _ in self.prefix.get(r, ())}):
+            own, need = frozenset(self.sets[k][0]), self.need[k]
+            if len(own & have) < need:
+                continue
+            at = [(p, r) for p, r in placed if r in own]
+            held: Counter[int] = Counter()
+            left, best = 0, None
+            for p, r in at:
+                held[r] += 1
+                # Words too far back go, and those that come again further on.
+                while at[left][0] <= p - self.reach[k] or held[at[left][1]] > 1:
+                    held[at[left][1]] -= 1
+                    if not held[at[left][1]]:
+                        del held[at[left][1]]
+                    left += 1
+                if len(held) >= need:
+                    found = (k, at[left][0], p + 1, len(held) / len(own))
+                    if best and found[1] >= best[2]:
+                        out.append(best)
+                        best = None
+                    if best is None or found[3] > best[3]:
+                        best = found
+            if best:
+                out.append(best)
+        return out
+
+
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     found, at, n = [], -1, len(phrase)
     try:
@@ -121,7 +160,7 @@ RESULT = [
 ]
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text_col: str = "text", lines: bool = True) -> DataFrame:
     """``docs`` with the columns of ``RESULT``; score is the best containment, 1 where a phrase stands."""
     frequency = document_frequencies(docs, vocabulary(templates) | vocabulary(phrases), text_col)
     index = TemplateIndex(templates, frequency, threshold)
@@ -139,7 +178,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
                 if at := places(words, split[k]):
                     base.add(phrases[k][1])
                     starts += at
-        if not index.prefix_tokens.isdisjoint(words):
+        if not lines and not index.prefix_tokens.isdisjoint(words):
+            for k, a, b, share in index.windows(words):
+                found.append({"label": templates[k][1], "start_word": a, "end_word": b, "containment": share})
+        elif not index.prefix_tokens.isdisjoint(words):
             start = 0
             for line in raw.split(b"\n"):
                 block = words_of(line)
@@ -161,6 +203,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "matches")
 
 
+def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), lines=False).drop("text", "matches")
+
+
 _ROWS = ", ".join(f"({i}, '{t}', '{label}')" for i, (t, label) in enumerate(TEMPLATES))
 _BASE = ", ".join(f"('{t}', '{label}')" for t, label in PHRASES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

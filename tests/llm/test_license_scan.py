@@ -53,5 +53,38 @@ def test_against_brute_force(spark):
     assert {m.label for r in got for m in r.matches} >= {"mit", "bsd", "cc0"}
 
 
+def brute_windows(text, threshold=s.THRESHOLD):
+    """The best share of each label over all windows of twice the template's words."""
+    w, best = split(text), {}
+    for body, label in s.TEMPLATES:
+        t, n = set(body.split()), s.WINDOW * len(body.split())
+        share = max((len(t & set(w[i : i + n])) for i in range(len(w))), default=0)
+        if share >= math.ceil(threshold * len(t) - 1e-9):
+            best[label] = max(best.get(label, 0), share / len(t))
+    return best
+
+
+def test_wrapped_notices_and_scattered_words(spark):
+    rng = random.Random(9)
+    vocab = sorted({w for t, _ in s.TEMPLATES for w in t.split()})
+    wrapped = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", "bsd"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "mpl-2.0"),
+    ]
+    texts = [t for t, _ in wrapped] + [" ".join(b.replace(" ", rng.choice("\n "), 3) for b, _ in s.TEMPLATES)]
+    texts += [" ".join(w + " filler" * 40 for w in b.split()) for b, _ in s.TEMPLATES] + [None, ""]
+    texts += [" ".join(rng.choices(vocab, k=300)) for _ in range(20)]
+    texts += ["\n".join(rng.sample(b.split(), len(b.split()))) + " x" * 50 + f" {b}" for b, _ in s.TEMPLATES]
+    got = {r.doc_id: r for r in s.scan_licenses(cases.docs(spark, list(enumerate(texts))), phrases=(("no such phrase", "none"),), lines=False).collect()}
+    for k, (_, label) in enumerate(wrapped):
+        assert got[k].labels == label and got[k].score == 1.0
+    for k, text in enumerate(texts):
+        best = brute_windows(text)
+        assert got[k].labels == ",".join(sorted(best)) and got[k].score == max(best.values(), default=0.0), text
+        assert all(m.end_word <= got[k].n_words for m in got[k].matches)
+    assert all(got[k].labels == "" for k in range(4, 4 + len(s.TEMPLATES)))
+
+
 def test_empty(spark):
     assert s.scan_licenses(cases.empty(spark)).collect() == []
