@@ -6,7 +6,7 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op10_language_id
 from .license_scan import OP4_SQL, op4_license_scan, op4_license_windows
-from .mixing import OP5_SQL, op5_mix_sources
+from .mixing import OP5_SQL, op5_mix_sources, op5_mix_weights
 from .packing import op1_pack_tokens
 from .quality import op7_quality
 from .revisits import OP9_SQL, op9_revisits
@@ -27,6 +27,7 @@ QUERIES = {
         op9_revisits,
         op10_language_id,
         op4_license_windows,
+        op5_mix_weights,
     )
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_mix_sources": OP5_SQL, "op9_revisits": OP9_SQL}

@@ -73,6 +73,45 @@ def test_rows_of_one_id_keep_their_places(spark):
     assert placed[0] == placed[1] and [p for p, _ in placed[0]] == list(range(40))
 
 
+def off_by(order, share):
+    """The most any source is off its share of the slots so far, while all last."""
+    left, done, worst = Counter(order), Counter(), 0.0
+    for t, name in enumerate(order, 1):
+        done[name] += 1
+        if done[name] == left[name]:
+            return worst
+        worst = max(worst, *(abs(done[x] - share[x] * t) for x in share))
+    return worst
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.5, **{f"s{k}": 0.5 / 60 for k in range(60)}}, {"a": 7.3, "b": 2.2, "c": 0.4, "d": 0.1}])
+def test_weights_are_met_at_every_slot(spark, weights):
+    total = sum(weights.values())
+    names = [s for s, w in weights.items() for _ in range(int(3000 * w / total) + 1)]
+    docs = cases.docs(spark, [(k, "t") for k in range(len(names))], lambda k: names[k])
+    rows = sorted(m.mix_sources(docs, weights, block_rows=1).collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in rows] == list(range(len(names)))
+    slots = [r.mix_slot for r in rows]
+    assert slots == sorted(set(slots))
+    assert off_by([r.mix_source for r in rows], {s: w / total for s, w in weights.items()}) < 2
+    assert all(m.worst_deviation(p) < 2 for p in m.tree_paths(weights).values())
+
+
+def test_tree_bound_and_odd_weights():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 10, 1000):
+        for _ in range(20):
+            paths = m.tree_paths({f"s{k}": rng.random() ** rng.choice((0, 1, 8)) for k in range(n)})
+            assert len(paths) == n and all(m.worst_deviation(p) < 2 for p in paths.values())
+    assert set(m.tree_paths({"a": 0.0, "b": 0.0, "c": 1.0})) == {"a", "b", "c"}
+
+
+def test_zero_weights_lose_no_row(spark):
+    docs = cases.docs(spark, [(k, "t") for k in range(90)], lambda k: "ab"[k % 2])
+    rows = m.mix_sources(docs, {"a": 0, "b": 1}, block_rows=4).collect()
+    assert sorted(r.mix_position for r in rows) == list(range(90))
+
+
 def test_empty_and_too_many(spark):
     assert m.mix_sources(cases.empty(spark)).collect() == []
     docs = cases.docs(spark, [(k, "t") for k in range(5)], lambda k: f"s{k}")
