@@ -112,6 +112,14 @@ def test_zero_weights_lose_no_row(spark):
     assert sorted(r.mix_position for r in rows) == list(range(90))
 
 
+def test_more_sources_than_the_period_has_slots(spark, tmp_path):
+    n = m.SLOTS + 200
+    cases.docs(spark, [(k, "t") for k in range(2 * n)], lambda k: f"site{k % n}").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (m.op5_mix_sources, m.op5_mix_weights):
+        rows = query(spark, str(tmp_path)).collect()
+        assert sorted(r.mix_position for r in rows) == list(range(2 * n)) and len({r.doc_id for r in rows}) == 2 * n
+
+
 def test_empty_and_too_many(spark):
     assert m.mix_sources(cases.empty(spark)).collect() == []
     docs = cases.docs(spark, [(k, "t") for k in range(5)], lambda k: f"s{k}")
