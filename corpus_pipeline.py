@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 Quality rejects go, one document of each near-duplicate group stays, contaminated documents go, the rest is
-put in mixed order of sources, and its token ids are packed. A stage judges all that its predecessor kept.
+put in mixed order of sources, and its token ids are packed in that order: packed rows by (shard, row) follow
+the mixture. A stage judges all that its predecessor kept.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    # What was written comes back in any order of files, so the places in the mixture are taken again.
+    return packing.pack_documents(mixing.in_mixed_order(docs), in_order=True)
 
 
 STAGES = [

@@ -116,13 +116,18 @@ def pack_documents(
     pad: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    in_order: bool = False,
 ) -> DataFrame:
-    """Packed rows of all documents; see ``SCHEMA``."""
+    """Packed rows of all documents; see ``SCHEMA``. ``in_order``: a window's rows go by the mean place of
+    their pieces in what was read."""
     kind = "<u2" if eos < 1 << 16 else "<u4"
 
     def packed(pieces: list, shard: int, first: int) -> pa.RecordBatch:
         rows = []
-        for n, members in enumerate(best_fit_decreasing([len(p[2]) for p in pieces], row_tokens)):
+        packs = best_fit_decreasing([len(p[2]) for p in pieces], row_tokens)
+        if in_order:
+            packs = sorted(packs, key=lambda members: sum(members) / len(members))
+        for n, members in enumerate(packs):
             ids = np.full(row_tokens, pad, kind)
             ends = np.cumsum([len(pieces[i][2]) for i in members])
             for i, end in zip(members, ends, strict=True):

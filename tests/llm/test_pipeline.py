@@ -45,3 +45,26 @@ def test_odd_tables(spark, tmp_path):
         rows = corpus_pipeline.run(spark, path).collect()
         ids = [d for r in rows for d in r.doc_ids]
         assert ids.count(4) <= 1 and (table is odd or not rows)
+
+
+@pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no vocabulary here")
+def test_packed_order_has_the_target_shares(spark, tmp_path):
+    # A hot source outlasts the others, so what comes first must hold them by their weights.
+    source = ["hot"] * 4000 + ["a"] * 250 + ["b"] * 250
+    docs = cases.docs(spark, [(k, f"w{k} " * (60 if s == "hot" else 30)) for k, s in enumerate(source)], lambda k: source[k])
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    mixed = dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs, "")
+    path = str(tmp_path / "mixed")
+    mixed.write.parquet(path)
+    read = spark.read.parquet(path).repartition(3, "source")  # an order that is not the mixture's
+    packed = corpus_pipeline.STAGES[-1][1](spark, read, "").collect()
+    packed.sort(key=lambda r: (r.shard, r.row))
+    first = {}
+    for d in (d for r in packed for d in r.doc_ids):
+        first.setdefault(d, len(first))
+    order = [source[d] for d in sorted(first, key=first.get)]
+    assert sorted(first) == list(range(len(source)))
+    weight = {"hot": 4000**0.5, "a": 250**0.5, "b": 250**0.5}
+    held = order[:750]  # the small sources last for 250 / 0.167 = 1,500 places
+    assert all(abs(held.count(s) / 750 - w / sum(weight.values())) < 0.1 for s, w in weight.items())
+    assert set(order[-1000:]) == {"hot"}
