@@ -162,6 +162,11 @@ def shingle_hash_fnv(spark, sf_dir):
     return rows.select("file_id", "shingle_hash")
 
 
+def shingle_hashes(spark, sf_dir):
+    """The hashes of all shingles of the files."""
+    return Library(spark, sf_dir).shingles.select("file_id", "start_offset", "shingle_hash")
+
+
 def word_counts(spark, sf_dir):
     lib = Library(spark, sf_dir)
     return lib.texts.select("file_id", F.size(words(F.col("extracted_text"))).alias("n_words"))
@@ -196,6 +201,14 @@ def rpc_doc_frequencies(spark, sf_dir):
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("doc_count").alias("total"))
 
 
+def rpc_all_doc_frequencies(spark, sf_dir):
+    """Frequencies of all shingles of each file, looked up in the stored table."""
+    made = Library(spark, sf_dir).shingles
+    found = shingles.frequencies_of(shingles.doc_frequency(made), made)
+    own = made.select("user_id", "file_id", "shingle_hash").distinct().join(found, ["user_id", "shingle_hash"])
+    return own.groupBy("user_id", "file_id").agg(F.count("*").alias("n"), F.sum("doc_count").alias("total"))
+
+
 def rpc_file_shingles(spark, sf_dir):
     lib = Library(spark, sf_dir)
     made = lib.shingles

@@ -1,7 +1,9 @@
 """Vectors of the scalar functions, and the operators on small libraries."""
 
 import io
+import os
 import random
+import re
 import zipfile
 import zlib
 from datetime import datetime
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from sievelake import schema
 from sievelake.functions import names, scores, text
 from sievelake.operators import library, review, scoring, shingles, tier1
+from sievelake.plans import queries
 from sievelake.sources import extract
 from sievelake.sources import library as source
 from sievelake.streaming.ingest import UPLOADS, LibraryState
@@ -363,3 +366,24 @@ def test_log_and_buckets(spark):
     wanted = spark.createDataFrame([("files", False), ("new", False)], "id string, public boolean")
     assert {(r.id, r.public) for r in source.register_buckets(buckets, wanted).collect()} == {("files", True), ("new", False)}
     assert datetime(2026, 1, 1)  # tests run in UTC sessions
+
+
+def test_hashes_and_frequencies_of_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    hashes, freq = set(), {}
+    for r in queries.Library(spark, sf).texts.collect():
+        placed = [(m.start(), m[0]) for m in re.finditer(r"[^\s﻿]+", r.extracted_text)]
+        for k in range(len(placed) - 4):
+            h = text.shingle_hash(" ".join(w for _, w in placed[k : k + 5]))
+            hashes.add((r.file_id, placed[k][0], h))
+            freq.setdefault((r.user_id, h), set()).add(r.file_id)
+    got = [tuple(r) for r in queries.shingle_hashes(spark, sf).collect()]
+    assert len(got) == len(hashes) and set(got) == hashes
+    total = {}
+    for (user, _), files in freq.items():
+        for f in files:
+            n, t = total.get((user, f), (0, 0))
+            total[user, f] = n + 1, t + len(files)
+    assert {(r.user_id, r.file_id): (r.n, r.total) for r in queries.rpc_all_doc_frequencies(spark, sf).collect()} == total
