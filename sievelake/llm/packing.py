@@ -10,15 +10,20 @@ A row holds its ids as a little-endian binary of exactly ``row_tokens`` ids (pad
 segment lengths, the places where positions restart, and for each segment its document and the offset in
 that document's tokens. ``unpack`` gives documents back exactly; ``write_matrices`` writes id matrices.
 
-Defined results: a null or empty text is one ``eos``; null ids stay null; repeated documents are each
-packed; an empty table gives no rows; which documents share a row depends on how the table is read, the
-tokens of each document do not. The vocabulary file is read on each executor from ``tokenizer``.
+Defined results: a null or empty text is one ``eos``; ids are of any type that Arrow carries and come back
+in it, null ids stay null; repeated documents are each packed; a text may be of any length and hold runs of
+blanks of any length (``encode_text``); of pieces of one length those read first are placed first, and of
+rows equally full the one that came to that fill last is taken; columns other than the id and the text are
+not read, so none can clash; an empty table gives no rows. Which documents share a row depends on how the
+table is read, the tokens of each document do not. The vocabulary file is read on each executor from
+``tokenizer``.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
 
@@ -35,10 +42,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 EOS = 50256
 ROW_TOKENS = 2048
 WINDOW_TOKENS = 1 << 20
-SCHEMA = (
-    "shard int, row long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, "
-    "doc_ids array<long>, doc_offsets array<long>"
-)
+#: White space as the pattern's engine sees it, in runs that its backtracking stack might not hold.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+COLUMNS = {
+    "shard": T.IntegerType(), "row": T.LongType(), "n_tokens": T.IntegerType(), "input_ids": T.BinaryType(), "cu_seqlens": T.ArrayType(T.IntegerType()),
+    "position_resets": T.ArrayType(T.IntegerType()), "doc_ids": None, "doc_offsets": T.ArrayType(T.LongType()),
+}
 
 _loaded: dict[str, object] = {}
 
@@ -54,6 +63,21 @@ def encoder(path: str):
     return _loaded[path]
 
 
+def encode_text(tokenizer, text: str) -> list[int]:
+    """What ``encode_ordinary`` gives, also where a run of blanks is too long for the pattern's engine.
+
+    A run begins a piece of its own, up to its end or, before other text, to its last blank, which goes
+    with that text. Such a piece is merged without the pattern; what is between runs is encoded as ever.
+    """
+    ids, at = [], 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += tokenizer.encode_ordinary(text[at : run.start()])
+        ids += tokenizer._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return ids + tokenizer.encode_ordinary(text[at:] if at else text)
+
+
 class CapacityTree:
     """Open rows by remaining capacity; a segment tree finds the smallest capacity that suffices."""
 
@@ -118,9 +142,11 @@ def pack_documents(
     text_col: str = "text",
     in_order: bool = False,
 ) -> DataFrame:
-    """Packed rows of all documents; see ``SCHEMA``. ``in_order``: a window's rows go by the mean place of
+    """Packed rows of all documents; see ``COLUMNS``. ``in_order``: a window's rows go by the mean place of
     their pieces in what was read."""
     kind = "<u2" if eos < 1 << 16 else "<u4"
+    schema = T.StructType([T.StructField(n, t or T.ArrayType(docs.schema[id_col].dataType)) for n, t in COLUMNS.items()])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def packed(pieces: list, shard: int, first: int) -> pa.RecordBatch:
         rows = []
@@ -134,17 +160,15 @@ def pack_documents(
                 ids[end - len(pieces[i][2]) : end] = pieces[i][2]
             bounds = [0, *ends.tolist()]
             rows.append((shard, first + n, bounds[-1], ids.tobytes(), bounds, bounds[:-1], [pieces[i][0] for i in members], [pieces[i][1] for i in members]))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        merges = encoder(tokenizer)
         shard = TaskContext.get().partitionId()
         pieces, held, made = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), eos], kind)
+                ids = np.array([*encode_text(merges, text.as_py() or ""), eos], kind)
                 for at in range(0, len(ids), row_tokens):
                     pieces.append((doc, at, ids[at : at + row_tokens]))
                 held += len(ids)
@@ -156,7 +180,7 @@ def pack_documents(
         if pieces:
             yield packed(pieces, shard, made)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def unpack(rows, id_bytes: int = 2) -> dict:

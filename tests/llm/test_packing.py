@@ -51,6 +51,26 @@ def test_round_trip(spark):
         assert r.position_resets == r.cu_seqlens[:-1] and len(r.doc_ids) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
 
 
+def test_long_runs(spark):
+    encode = packing.encoder(packing.TOKENIZER)
+    rng = random.Random(4)
+    blanks = " \n\t\r\x85\xa0\u2003\u3000\x1c"
+    for _ in range(300):  # cut and uncut encodings agree where both can be had
+        parts = [rng.choice(["a", " b", "7", "é", "!", "\x1c", "".join(rng.choices(blanks, k=rng.choice([1, 2, 30]))), rng.choice(blanks[:8]) * rng.choice([9_999, 10_000, 10_001])]) for _ in range(rng.randrange(1, 6))]
+        text = "".join(parts)
+        assert packing.encode_text(encode, text) == encode.encode_ordinary(text)
+    texts = [(1, " " * 2_000_000 + "a"), (2, "x" * 1_000_000), (3, "\n" * 1_000_000), (4, "a" + "\n " * 600_000 + " z")]
+    back = packing.unpack(packing.pack_documents(cases.docs(spark, texts)).collect())
+    assert {k: encode.decode(v[:-1]) for k, v in back.items()} == dict(texts)
+
+
+def test_ids_of_other_types(spark):
+    rows = [("a-1", "one"), (None, "two"), ("b", None)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((d or "" for r in packed.collect() for d in r.doc_ids)) == ["", "a-1", "b"]
+    assert packed.schema["doc_ids"].dataType.simpleString() == "array<string>"
+
+
 def test_null_ids_repeats_and_empty(spark):
     packed = packing.pack_documents(cases.docs(spark, [(None, "a b"), (1, "c"), (1, "c")])).collect()
     assert sorted((d is None, d or 0) for r in packed for d in r.doc_ids) == [(False, 1), (False, 1), (True, 0)]
