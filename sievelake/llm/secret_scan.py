@@ -4,23 +4,26 @@ The patterns give the base spans. The method then takes every maximal run of ``[
 at each ``=`` that is not final padding, and tests each piece of at least ``MIN_TOKEN`` characters that some
 alphabet holds, and such parts of it between ``-`` and ``_``, between ``/`` and ``+``, and between any of
 these; of passing pieces that overlap the longest is reported. For a piece it infers the encoding (digits,
-hex, upper case, base32, base36, letters, base62 or base64) and tests its symbols against uniform
-randomness: chi-squared over the alphabet, Wald-Wolfowitz runs about the middle, and lag-1 serial
-correlation. The token's p-value is the smallest of the three, times three.
-
-Lower-case runs of letters, the first may be a capital, are ordinary words; they are scored the same way
-and serve as decoys, so no such run is reported. All others are tested, of digits only or letters too. For each
-length class the share of decoys that look random at a cut estimates how many ordinary strings pass it,
-and the smallest cut whose estimated false-discovery rate is at most ``FDR`` is taken: short tokens, on
-which the tests have little power, need a higher p-value than long ones. The share is shrunk by a prior of
-``1 / FDR`` decoys that do not look random, so a cut rises only as decoys are seen to pass it, by degrees.
-Distinct tokens are counted, so copies of one document weigh nothing. Counts by (class, bin) over all
-documents are all that is gathered; they are at most ``CLASSES * BINS`` rows.
+hex, upper or lower case, base32, base36, letters, base62 or base64) and tests its symbols against uniform
+randomness: chi-squared over the alphabet, and over its kinds of symbols (vowels and other letters of either
+case, digits, marks); runs about the middle (Wald-Wolfowitz); and lag-1 serial correlation. The piece's
+p-value is the smallest of these, times their number.
+
+What looks random may still be ordinary, and short pieces or narrow alphabets tell least. So each piece has
+``DECOYS`` decoys of its own: the words and numbers that stand near it in its document, written in its
+encoding and cut to its length (names, paths, dates, codes). Pieces and decoys are counted by encoding,
+length class and p. At a cut, the share of decoys that pass estimates how many of the pieces would pass if
+all were ordinary, and the lowest cut is taken whose estimated false-discovery rate is at most ``FDR``. As
+every piece brings its decoys, one rule holds for a table with one piece and for one with billions; a
+group in which no cut meets the rate reports nothing. Distinct pieces are counted, so copies of one
+document weigh nothing. The counts over all documents are all that is gathered; they are at most one row
+for each alphabet, class and bin.
 
 One narrow pass reads the texts; its findings are staged, and the cuts are applied to them.
 
 Defined results: a null text counts as empty; no span gives zero counts and empty lists; repeated
-documents are each scanned; an empty table gives an empty result.
+documents are each scanned; equal pieces have equal p, and a cut takes all of a bin or none; columns other
+than the text pass through, but those named like a result are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -42,7 +46,8 @@ from .common import add_columns, binaries, staged, table
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
-WORD = re.compile(rb"[A-Za-z][a-z]+")
+LONG_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+ORDINARY = re.compile(rb"[A-Za-z]{2,15}|[0-9]{1,6}")
 VALUES = re.compile(rb"[^=]+(?:=+\Z)?")
 PARTS = tuple(re.compile(p) for p in (rb".+", rb"[^-_]+", rb"[^/+]+", rb"[^-_/+]+"))
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -50,8 +55,14 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_TOKEN = 20
 FDR = 0.05
+DECOYS = 60
+#: Bytes on either side of a piece that its decoys take their words from.
+NEAR = 2048
 CLASSES = 6
 BINS = 40
+LOW = BINS - 1 - 24  # p of 1e-3: what uniform tokens fall below once in a thousand
+#: Stands in where a document has next to no words of its own.
+PLAIN = b"the version of this file and its name were changed in the last update for all users of the system data report".split()
 GROUP_BYTES = 4 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -63,6 +74,7 @@ ALPHABETS = {
     "hex": _DIGITS + b"abcdef",
     "HEX": _DIGITS + b"ABCDEF",
     "UPPER": _UPPER,
+    "lower": _SMALL,
     "base32": _UPPER + b"234567",
     "base36": _DIGITS + _SMALL,
     "BASE36": _DIGITS + _UPPER,
@@ -71,8 +83,14 @@ ALPHABETS = {
     "base64": _UPPER + _SMALL + _DIGITS + b"+/",
     "base64url": _UPPER + _SMALL + _DIGITS + b"-_",
 }
-_INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
+_NAMES = list(ALPHABETS)
+_INDEX, _KINDS_OF = {}, {}
+for _name, _own in ALPHABETS.items():
+    _INDEX[_name] = np.full(256, -1, np.int16)
+    _INDEX[_name][list(_own)] = np.arange(len(_own))
+    #: Vowels and other letters of either case, digits, and marks, numbered as far as the alphabet has them.
+    _KINDS_OF[_name] = np.unique([next((i for i, s in enumerate((b"AEIOU", b"aeiou", _UPPER, _SMALL, _DIGITS)) if c in s), 5) for c in _own], return_inverse=True)[1]
 
 
 def encoding_of(token: bytes) -> str | None:
@@ -81,54 +99,120 @@ def encoding_of(token: bytes) -> str | None:
     return next((name for name, a in _SETS.items() if have <= a), None)
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _tail(z: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in z.tolist()])
 
 
-def uniformity(symbols: list[int], k: int) -> float:
-    """Upper-tail p of chi-squared against equal shares, by the Wilson-Hilferty cube root with the
-    statistic's exact variance for few symbols."""
-    n = len(symbols)
-    seen = np.bincount(symbols, minlength=k)
-    statistic = float((seen.astype(float) ** 2).sum() * k / n - n)
-    mean, var = k - 1, 2 * (k - 1) * (n - 1) / n
+def uniformity(symbols: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each row, the upper-tail p of chi-squared against the symbols' shares, by the Wilson-Hilferty cube
+    root with the statistic's exact variance for few symbols."""
+    (m, n), k = symbols.shape, len(share)
+    seen = np.bincount((symbols + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+    statistic = (seen.astype(float) ** 2 / share).sum(axis=1) / n - n
+    mean, var = k - 1, 2 * (k - 1) + ((1 / share).sum() - k * k - 2 * k + 2) / n
     df, scale = 2 * mean * mean / var, var / (2 * mean)
-    return _tail(((max(statistic, 0) / scale / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
-
-
-def runs(symbols: list[int], k: int) -> float:
-    """Two-sided p of the number of runs above and below the middle of the alphabet."""
-    high = [s >= k / 2 for s in symbols]
-    a = sum(high)
-    b = len(high) - a
-    if not a or not b:
-        return 2 * 0.5 ** len(high)
-    n = a + b
-    count = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
-    mean = 2 * a * b / n + 1
+    return _tail(((np.maximum(statistic, 0) / scale / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
+def runs(symbols: np.ndarray, k: int) -> np.ndarray:
+    """For each row, the two-sided p of the number of runs above and below the middle of the alphabet."""
+    high = symbols >= k / 2
+    n = symbols.shape[1]
+    a = high.sum(axis=1)
+    count = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    mean = 2 * a * (n - a) / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
-    return 1.0 if var <= 0 else 2 * _tail(max(0.0, abs(count - mean) - 0.5) / math.sqrt(var))
+    z = np.maximum(0.0, abs(count - mean) - 0.5) / np.sqrt(np.where(var > 0, var, 1.0))
+    return np.where((a == 0) | (a == n), 2 * 0.5**n, np.where(var > 0, 2 * _tail(z), 1.0))
 
 
-def serial_correlation(symbols: list[int], k: int) -> float:
-    """Two-sided p of the lag-1 correlation of neighbouring symbols."""
-    x = np.array(symbols, float) - (k - 1) / 2
-    power = float((x * x).sum())
-    if power <= 0:
-        return 0.0
-    n = len(x)
-    return 2 * _tail(abs(float((x[1:] * x[:-1]).sum()) / power + 1 / n) * math.sqrt(n))
+def serial_correlation(symbols: np.ndarray, k: int) -> np.ndarray:
+    """For each row, the two-sided p of the lag-1 correlation of neighbouring symbols."""
+    x = symbols - (k - 1) / 2
+    n = symbols.shape[1]
+    power = (x * x).sum(axis=1)
+    off = abs((x[:, 1:] * x[:, :-1]).sum(axis=1) / np.where(power > 0, power, 1.0) + 1 / n)
+    return np.where(power > 0, 2 * _tail(off * math.sqrt(n)), 0.0)
+
+
+def battery(symbols: np.ndarray, name: str) -> np.ndarray:
+    """The p-value of each row of symbols of an alphabet against uniform randomness."""
+    k, kinds = len(ALPHABETS[name]), _KINDS_OF[name]
+    p = [uniformity(symbols, np.full(k, 1 / k)), runs(symbols, k), serial_correlation(symbols, k)]
+    if kinds.max():
+        p.append(uniformity(kinds[symbols], np.bincount(kinds) / k))
+    return np.minimum(1.0, len(p) * np.min(p, axis=0))
+
+
+def _symbols(tokens: list[bytes], name: str) -> np.ndarray:
+    return _INDEX[name][np.frombuffer(b"".join(tokens), np.uint8)].reshape(len(tokens), -1).astype(np.int64)
 
 
 def randomness(token: bytes) -> float:
-    """The battery's p-value against uniform randomness in the token's own encoding; 0 if it has none."""
+    """The battery's p-value of a token in its own encoding; 0 if it has none."""
     body = token.rstrip(b"=")
     name = encoding_of(body)
     if name is None or len(body) < 2:
         return 0.0
-    index = _INDEX[name]
-    symbols, k = [index[c] for c in body], len(index)
-    return min(1.0, 3 * min(uniformity(symbols, k), runs(symbols, k), serial_correlation(symbols, k)))
+    return float(battery(_symbols([body], name), name)[0])
+
+
+def ordinary(near: bytes, name: str, n: int, count: int, seed: int) -> list[bytes]:
+    """``count`` strings of n symbols that write the words and numbers of a text in an encoding.
+
+    Words keep their order and each string begins elsewhere among them. Between them stand separators, if the
+    encoding has any, and numbers: the text's own, years, days and round ones, by a generator of the given seed.
+    """
+    rng = random.Random(seed)
+    found = ORDINARY.findall(LONG_RUN.sub(b" ", near))
+    words = [w for w in found if not w.isdigit()]
+    if len(words) < 8:
+        words += PLAIN
+    numbers = [w for w in found if w.isdigit()]
+    numbers += [b"%d" % rng.randrange(1990, 2036) for _ in range(4)] + [b"%02d" % rng.randrange(1, 32) for _ in range(8)] + [b"%d" % (rng.randrange(1, 10) * 10 ** rng.randrange(1, 4)) for _ in range(2)]
+    number = lambda: rng.choice(numbers)
+    if name == "decimal":
+        part = lambda w: number()
+    elif name in ("hex", "HEX"):
+        # Fields of a fixed width, as in dumps, tables and colours.
+        width, digits = rng.choice((2, 4, 8)), b"%x" if name == "hex" else b"%X"
+        part = lambda w: (digits % int(number())).zfill(width)
+    elif name in ("lower", "UPPER", "letters"):
+        part = lambda w: w
+    elif name in ("base36", "BASE36", "base62", "base32"):
+        part = lambda w: w + number() if rng.random() < 0.4 else w
+    else:
+        marks = (b"-", b"_") if name == "base64url" else (b"/", b"+")
+        part = lambda w: (rng.choice((w, w, number(), w + number()))) + rng.choice((marks[0], marks[0], marks[1]))
+    if name in ("HEX", "UPPER", "BASE36", "base32"):
+        case = bytes.upper
+    elif name in ("letters", "base62"):
+        case = bytes.capitalize
+    elif name in ("base64", "base64url"):
+        case = rng.choice((bytes.lower, bytes.lower, bytes.capitalize, bytes.upper))
+    else:
+        case = bytes.lower
+    at, made, size = rng.randrange(len(words)), [], 0
+    have, step = _SETS[name], n // 4 + 1
+    while size < count * step + n:
+        one = part(case(words[at % len(words)]))
+        if name == "base32":
+            one = bytes(c for c in one if c in have)
+        made.append(one)
+        size += len(one)
+        at += 1
+    whole = b"".join(made)
+    return [whole[i : i + n] for i in range(0, count * step, step)]
+
+
+def judged(token: bytes, near: bytes) -> tuple[float, int, list[int]]:
+    """A piece's p, its group by encoding and length, and the bins of those of its decoys that reach ``LOW``."""
+    body = token.rstrip(b"=")
+    name = encoding_of(body)
+    tried = [body, *ordinary(near, name, len(body), DECOYS, key_of(token))]
+    p = battery(_symbols(tried, name), name)
+    group = _NAMES.index(name) * CLASSES + length_class(len(token))
+    return float(p[0]), group, sorted(b for b in map(bin_of, p[1:].tolist()) if b >= LOW)
 
 
 def pieces(token: bytes) -> list[tuple[int, int]]:
@@ -169,16 +253,16 @@ def _at(text: bytes, words, pattern) -> list:
     return found
 
 
-def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, float, int]], list[int]]]:
-    """For each text: base spans (kind, start, end), candidate tokens (start, end, p, key), and decoys as
-    key * 256 + code. Keys are hashes that tell distinct tokens.
+def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list[tuple]]]:
+    """For each text: base spans (kind, start, end), and tested pieces (start, end, p, group, bin, key, decoys).
+    Keys are hashes that tell distinct pieces, decoys the bins of those that may pass.
 
-    Texts are scanned as one block joined by line feeds, which no pattern or token can hold.
+    Texts are scanned as one block joined by line feeds, which no pattern or piece can hold.
     """
     block = b"\n".join(texts)
     ends = np.cumsum([len(t) + 1 for t in texts])
     begins = ends - [len(t) + 1 for t in texts]
-    out: list[tuple[list, list, list]] = [([], [], []) for _ in texts]
+    out: list[tuple[list, list]] = [([], []) for _ in texts]
 
     def put(which: int, start: int, item) -> None:
         k = int(np.searchsorted(ends, start, side="right"))
@@ -197,61 +281,57 @@ def scan_text(texts: list[bytes]) -> list[tuple[list[tuple[int, int, int]], list
         for m in HEX.finditer(token):
             if len(m[0]) >= 32:
                 put(0, s, lambda z, a=s + m.start(), b=s + m.end(): (2, a - z, b - z))
-        for i, j in pieces(token):
-            piece = token[i:j]
-            if WORD.fullmatch(piece):
-                code = length_class(j - i) * BINS + bin_of(randomness(piece))
-                put(2, s, lambda z, c=key_of(piece) << 8 | code: c)
-            else:
-                p = randomness(piece)
-                put(1, s, lambda z, a=s + i, b=s + j, p=p, k=key_of(piece): (a - z, b - z, p, k))
+        if cut := pieces(token):
+            k = int(np.searchsorted(ends, s, side="right"))
+            near = block[max(int(begins[k]), s - NEAR) : s] + b" " + block[e : min(int(ends[k]) - 1, e + NEAR)]
+            for i, j in cut:
+                p, group, decoys = judged(token[i:j], near)
+                put(1, s, lambda z, a=s + i, b=s + j, p=p, g=group, k=key_of(token[i:j]), d=decoys: (a - z, b - z, p, g, bin_of(p), k, d))
     return out
 
 
-SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("key", T.LongType())])
-_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("key", pa.int64())]))
+_FIELDS = [("kind", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType()), ("p", T.DoubleType()), ("group", T.IntegerType()), ("bin", T.IntegerType()), ("key", T.LongType()), ("decoys", T.ArrayType(T.IntegerType()))]
+SPAN = T.StructType([T.StructField(n, t) for n, t in _FIELDS])
+_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("group", pa.int32()), ("bin", pa.int32()), ("key", pa.int64()), ("decoys", pa.list_(pa.int32()))]))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _spans (code points; kind 3: candidate tokens with their p) and _decoys."""
+    """``docs`` with _spans (code points; kind 3: tested pieces with their p)."""
 
     def run(column: pa.Array):
         texts = [raw or b"" for raw in binaries(column)]
-        spans, decoys, k = [], [], 0
+        spans, k = [], 0
         while k < len(texts):
             size, n = 0, k
             while n < len(texts) and (n == k or size + len(texts[n]) <= GROUP_BYTES):
                 size += len(texts[n])
                 n += 1
-            for raw, (base, tokens, odd) in zip(texts[k:n], scan_text(texts[k:n]), strict=True):
-                rows = [(*b, None, None) for b in base] + [(3, *t) for t in tokens]
+            for raw, (base, tokens) in zip(texts[k:n], scan_text(texts[k:n]), strict=True):
+                rows = [(*b, *[None] * 5) for b in base] + [(3, *t) for t in tokens]
                 point = {}
                 at = chars = 0
                 for o in sorted({o for r in rows for o in r[1:3]}):
                     chars += len(raw[at:o].decode())
                     point[o], at = chars, o
-                spans.append([{"kind": kind, "start": point[s], "end": point[e], "p": p, "key": key} for kind, s, e, p, key in rows])
-                decoys.append(odd)
+                spans.append([{"kind": kind, "start": point[s], "end": point[e], **dict(zip(SPAN.names[3:], rest, strict=True))} for kind, s, e, *rest in rows])
             k = n
-        return [pa.array(spans, _SPAN), pa.array(decoys, pa.list_(pa.int64()))]
+        return [pa.array(spans, _SPAN)]
 
-    return add_columns(docs, [("_spans", T.ArrayType(SPAN)), ("_decoys", T.ArrayType(T.LongType()))], run, text_col)
+    return add_columns(docs, [("_spans", T.ArrayType(SPAN))], run, text_col)
 
 
-def cuts(targets: dict[int, int], decoys: dict[int, int], rate: float) -> list[int]:
-    """For each length class, the lowest bin whose estimated false-discovery rate is at most ``rate``.
+def cuts(targets: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], rate: float, each: int = DECOYS) -> dict[int, int]:
+    """For each group, the lowest bin from ``LOW`` whose estimated false-discovery rate is at most ``rate``;
+    ``BINS`` if there is none. Both tables count by (group, bin); every target has ``each`` decoys.
 
-    The decoys' share has a prior of ``1 / rate`` decoys that pass no cut: where none is seen to pass, the
-    battery itself decides, however many were seen; where they pass, the estimate grows with their number.
+    If all targets of a group were ordinary, (decoys that pass + 1) / each of them would pass.
     """
-    out = []
-    for c in range(CLASSES):
-        t = np.array([targets.get(c * BINS + b, 0) for b in range(BINS)])[::-1].cumsum()[::-1]
-        d = np.array([decoys.get(c * BINS + b, 0) for b in range(BINS)])[::-1].cumsum()[::-1]
-        estimate = d / (d[0] + 1 / rate) * t[0] / np.maximum(t, 1)
-        low = BINS - 1 - 24  # p of 1e-3: what uniform tokens fall below once in a thousand
-        ok = [b for b in range(low, BINS) if t[b] and estimate[b] <= rate]
-        out.append(ok[0] if ok else BINS if t[low] else low)
+    out = {}
+    for group in {g for g, _ in targets}:
+        t = np.cumsum([targets.get((group, b), 0) for b in range(BINS)][::-1])[::-1]
+        d = np.cumsum([decoys.get((group, b), 0) for b in range(BINS)][::-1])[::-1]
+        ok = [b for b in range(LOW, BINS) if t[b] and (d[b] + 1) / each <= rate * t[b]]
+        out[group] = ok[0] if ok else BINS
     return out
 
 
@@ -269,19 +349,20 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) ->
     """``docs`` without its text, with n_assign, n_access, n_hex, base_sha256, spans and found (an
     array of kind, start, end, p)."""
     found = staged(find_spans(docs, text_col).drop(text_col), "spans")
-    by = {}
-    tokens = F.transform(F.filter("_spans", lambda s: s.kind == 3), lambda s: F.shiftleft(s.key, 8).bitwiseOR(_code(s).cast("long")))
-    for name, keyed in (("targets", tokens), ("decoys", F.col("_decoys"))):
-        distinct = found.select(F.explode(keyed).alias("keyed")).distinct()
-        counted = distinct.groupBy(F.col("keyed").bitwiseAND(255).alias("code")).count()
-        by[name] = {r.code: r["count"] for r in counted.collect()}  # CLASSES * BINS rows at most
-    least = cuts(by["targets"], by["decoys"], rate)
+    tested = found.select(F.inline(F.filter("_spans", lambda s: s.kind == 3)))
+    # One row for each distinct piece; of its copies' decoys those with the smallest hash.
+    distinct = tested.groupBy("key", "group").agg(F.first("bin").alias("bin"), F.min_by("decoys", F.xxhash64("decoys")).alias("decoys"))
+    at = distinct.select("group", F.lit(True).alias("own"), "bin")
+    at = at.union(distinct.select("group", F.lit(False), F.explode("decoys")))
+    counted = at.groupBy("group", "own", "bin").count().collect()  # two rows for each alphabet, class and bin at most
+    targets, decoys = ({(r.group, r.bin): r["count"] for r in counted if r.own == own} for own in (True, False))
+    least = cuts(targets, decoys, rate)
     listed = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *SPAN.fields[1:4]]))
 
     def run(spans: pa.Array):
         rows = []
         for own in spans.to_pylist():
-            passed = [s for s in own if s["kind"] == 3 and bin_of(s["p"]) >= least[length_class(s["end"] - s["start"])]]
+            passed = [s for s in own if s["kind"] == 3 and s["bin"] >= least[s["group"]]]
             own = [s for s in own if s["kind"] < 3] + longest(passed)
             own.sort(key=lambda s: (s["start"], s["kind"], s["end"]))
             n = [sum(s["kind"] == k for s in own) for k in range(3)]
@@ -292,13 +373,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) ->
         return [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]
 
     new = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("found", listed)]
-    return add_columns(found, new, run, "_spans").drop("_spans", "_decoys")
-
-
-def _code(s):
-    n, p = s.end - s.start, F.greatest(s.p, F.lit(1e-12))
-    kind = F.least(F.lit(CLASSES - 1), F.floor(2 * F.log2(n / F.lit(float(MIN_TOKEN)))))
-    return (kind * BINS + F.greatest(F.lit(0), BINS - 1 + F.ceil(8 * F.log10(p)))).cast("int")
+    return add_columns(found, new, run, "_spans").drop("_spans")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Secret scans: base spans against the patterns on text, and the battery on known strings."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import string
 
+import numpy as np
+
 from sievelake.llm import secret_scan as s
 from tests.llm import cases
 
@@ -66,20 +70,107 @@ def test_method_finds_a_bare_secret_and_spares_words(spark):
     assert not any(got[k] for k in got if k != 1)
 
 
-def test_cuts_rise_where_words_pass():
+def brute_p(token, alphabet):
+    """The battery from its definitions, symbol by symbol."""
+    n, k = len(token), len(alphabet)
+    symbols = [alphabet.index(c) for c in token]
+    tail = lambda z: math.erfc(z / 2**0.5) / 2
+
+    def even(cells):  # (how many, expected)
+        chi = sum((a - e) ** 2 / e for a, e in cells)
+        var = 2 * (len(cells) - 1) + (sum(n / e for _, e in cells) - len(cells) ** 2 - 2 * len(cells) + 2) / n
+        scale, df = var / (2 * (len(cells) - 1)), 2 * (len(cells) - 1) ** 2 / var  # matched by a scaled chi-squared
+        return tail(((chi / scale / df) ** (1 / 3) - 1 + 2 / (9 * df)) / (2 / (9 * df)) ** 0.5)
+
+    p = [even([(token.count(bytes([c])), n / k) for c in alphabet])]
+    kinds = [rb"[0-9]", rb"[AEIOU]", rb"[aeiou]", rb"[B-DF-HJ-NP-TV-Z]", rb"[b-df-hj-np-tv-z]", rb"[^A-Za-z0-9]"]
+    kinds = [f for f in kinds if re.search(f, alphabet)]
+    if len(kinds) > 1:
+        p.append(even([(len(re.findall(f, token)), n * len(re.findall(f, alphabet)) / k) for f in kinds]))
+    side = [2 * c >= k for c in symbols]
+    a, b = side.count(True), side.count(False)
+    if a and b:
+        mean = 1 + 2 * a * b / n
+        var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        turns = len([1 for _ in itertools.groupby(side)])
+        p.append(2 * tail(max(0, abs(turns - mean) - 0.5) / var**0.5) if var > 0 else 1)
+    else:
+        p.append(2 * 0.5**n)
+    x = [c - (k - 1) / 2 for c in symbols]
+    p.append(2 * tail(abs(sum(u * v for u, v in itertools.pairwise(x)) / sum(v * v for v in x) + 1 / n) * n**0.5))
+    return min(1, len(p) * min(p))
+
+
+def test_battery_against_brute_force():
+    rng = random.Random(21)
+    for name, alphabet in s.ALPHABETS.items():
+        for n in (2, 5, 20, 33, 200):
+            tokens = [bytes(rng.choices(alphabet, k=n)) for _ in range(6)] + [alphabet[:1] * n, alphabet[-1:] * n, (alphabet[:2] * n)[:n]]
+            got = s.battery(s._symbols(tokens, name), name)
+            assert np.allclose(got, [brute_p(t, alphabet) for t in tokens], rtol=1e-6, atol=1e-12), name
+            assert np.isclose(s.randomness(tokens[0]), brute_p(tokens[0], s.ALPHABETS[s.encoding_of(tokens[0])]))
+
+
+def test_cuts_against_brute_force():
+    rng = random.Random(22)
+    for _ in range(300):
+        each, rate = rng.choice([20, 60]), rng.choice([0.05, 0.2])
+        targets = {(g, b): rng.randrange(1, 30) for g in (0, 7) for b in range(s.BINS) if rng.random() < 0.4}
+        decoys = {(g, b): rng.randrange(1, 40) for g in (0, 7) for b in range(s.BINS) if rng.random() < rng.choice([0, 0.3])}
+        got = s.cuts(targets, decoys, rate, each)
+        for g in {g for g, _ in targets}:
+            passed = lambda table, cut, g=g: sum(n for (h, b), n in table.items() if h == g and b >= cut)
+            fine = [c for c in range(s.LOW, s.BINS) if passed(targets, c) and (1 + passed(decoys, c)) / each / passed(targets, c) <= rate + 1e-12]
+            assert got[g] == (fine[0] if fine else s.BINS)
+
+
+def test_one_rule_at_any_size():
     top = s.BINS - 1
-    assert s.cuts({top: 50}, {}, 0.05)[0] <= top
-    few = s.cuts({top: 10}, {top: 90, 0: 10}, 0.05)
-    assert few[0] == s.BINS
-
-
-def test_cuts_do_not_drop_a_class_by_the_number_of_decoys():
-    top, low = s.BINS - 1, s.BINS - 1 - 24
-    for share in (0.05, 0.2, 0.97):
-        targets = {top: 1000 - int(share * 1000), 0: int(share * 1000)}
-        for n in (0, 1, 18, 19, 50, 98, 99, 200):
-            assert s.cuts(targets, {0: n}, 0.05)[0] == low, (share, n)
-    assert s.cuts({top: 80, 0: 20}, {top - 20: 1, 0: 199}, 0.05)[0] == low
+    for n in (1, 2, 19, 20, 1000, 10**9):  # the same pieces, more and more of them, and none of their decoys passes
+        assert s.cuts({(0, top): n}, {}, 0.05)[0] == s.LOW
+        # Nine in ten of their decoys pass: none is reported, however many there are.
+        assert s.cuts({(0, top): n}, {(0, top): 54 * n}, 0.05)[0] == s.BINS
+    assert s.cuts({(0, top): 20, (6, top): 20}, {(6, top): 20 * 50}, 0.05) == {0: s.LOW, 6: s.BINS}
+
+
+def ordinary(rng):
+    """Names, paths, dates and model numbers of 30 to 60 characters."""
+    nouns = "server config report backup index user final image module service cluster release draft invoice customer archive kernel driver network session metrics north annual budget quarterly review meeting minutes".split()
+    w, n = lambda: rng.choice(nouns), rng.randrange
+    while True:
+        made = rng.choice([
+            lambda: "/".join([rng.choice(["usr", "home", "var"]), *(w() + rng.choice(["", "", str(n(2, 12))]) for _ in range(n(3, 7))), rng.choice(["v1", "lib64", "2023"])]),
+            lambda: f"{n(1995, 2026)}-{n(1, 13):02}-{n(1, 29):02}T{n(24):02}-{n(60):02}-{n(60):02}Z-{w()}-{n(10000)}",
+            lambda: f"{rng.choice(['SM', 'TX', 'MX'])}{n(100, 9999)}-{rng.choice('ABCDEFGH')}{n(10, 99)}-{rng.choice([128, 256, 512])}GB-{rng.choice(['EU', 'US'])}-{n(2010, 2026)}-{w().upper()}-{w().upper()}",
+            lambda: f"{w()}_{w()}_{n(2000, 2026)}_q{n(1, 5)}_{w()}_v{n(1, 9)}_{w()}",
+            lambda: "".join(w().capitalize() for _ in range(n(4, 7))) + str(n(1, 3000)),
+            lambda: f"{w()}-{w()}-{n(100)}-{w()}{n(100)}-{n(1990, 2026)}-{w()}",
+        ])()
+        if 30 <= len(made) <= 60:
+            return made
+
+
+def test_false_discoveries_among_ordinary_tokens(spark):
+    rng = random.Random(23)
+    plain = string.ascii_letters + string.digits
+    alphabets = [plain, string.hexdigits[:16], string.ascii_uppercase + "234567", plain + "+/", plain + "-_"]
+    tokens = [ordinary(rng) for _ in range(1000)] + ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(30, 61))) for _ in range(50)]
+    prose = "When the meeting was over they sent a short summary of it to all who had asked for one and went back to work on their own parts".split()
+    around = lambda: " ".join(rng.choices(prose, k=25))
+    rows = [(k, f"{around()} {t} {around()}") for k, t in enumerate(tokens)]
+    got = {r.doc_id: sum(f.kind == "random" for f in r.found) for r in s.scan_secrets(cases.docs(spark, rows)).collect()}
+    false, true = sum(got[k] > 0 for k in range(1000)), sum(got[k] > 0 for k in range(1000, 1050))
+    assert true >= 40 and false <= 0.05 * (false + true), (true, false)
+
+
+def test_decoys_follow_the_text():
+    near = b"Katzen und Hunde laufen 1984 durch den Wald, denn sie haben Hunger. " * 3 + b"Q7xZ9kLm2PqRt5VwY8aBcDeF"
+    for name in s.ALPHABETS:
+        made = s.ordinary(near, name, 33, 10, 5)
+        assert len(made) == 10 and all(len(m) == 33 and set(m) <= set(s.ALPHABETS[name]) for m in made)
+        assert made == s.ordinary(near, name, 33, 10, 5) and not any(b"Q7x" in m for m in made)
+        assert len(s.ordinary(b"", name, 20, 3, 1)) == 3
+    assert any(b"HundeLaufen" in m or b"KatzenUnd" in m or b"DurchDen" in m for m in s.ordinary(near, "letters", 60, 30, 5))
 
 
 def test_copies_of_a_document_change_no_cut(spark):
