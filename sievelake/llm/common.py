@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.stage import shared_dir, staged
 
-__all__ = ["BROADCAST_BYTES", "SPACE_BYTES", "WORD_BYTES", "add_columns", "binaries", "set_aside", "shared_dir", "staged", "table", "words_of"]
+__all__ = ["BROADCAST_BYTES", "SPACE_BYTES", "WORD_BYTES", "add_columns", "binaries", "first_rows", "set_aside", "shared_dir", "staged", "table", "words_of"]
 
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -27,6 +28,7 @@ SPACE_BYTES = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 #: A side is broadcast only when it was counted and is no larger than this many bytes.
 BROADCAST_BYTES = 32 << 20
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,6 +61,14 @@ def add_columns(df: DataFrame, new: list[tuple[str, T.DataType]], fn: Callable,
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
+def first_rows(df: DataFrame, group: str, order: list, text_col: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Of each group the first ``most_rows`` rows with a text, as far as their texts hold ``most_bytes`` in all."""
+    own = W.partitionBy(group).orderBy(*order, text_col)
+    size = F.sum(F.octet_length(text_col)).over(own.rowsBetween(W.unboundedPreceding, 0))
+    rows = df.where(F.col(text_col) != "").withColumn("_n", F.row_number().over(own)).withColumn("_size", size)
+    return rows.where((F.col("_n") <= most_rows) & (F.col("_size") <= most_bytes)).drop("_size")
+
+
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
     """Rename columns that clash with ``names``; also the selection that gives ``df``'s columns back."""
     taken = {n.lower() for n in names}

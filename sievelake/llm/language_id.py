@@ -4,16 +4,18 @@ Every word of a text is labelled with a language by forward-backward, so code-sw
 for each word; a text's language is the one with the most expected words. Emissions sum learned weights of
 character n-grams, prefixes, suffixes and a lexicon entry of the word; transitions between neighbouring
 words are learned too. Training maximises the conditional likelihood by stochastic gradient (Adam) on a
-bounded sample: at most ``sample_docs`` labelled texts of each language, those with the smallest hash of
-their id, and of each at most ``SAMPLE_CHARS`` characters in evenly spaced slices. Passages of different
-texts are chained, so that the transitions see language switches.
+bounded sample: of each language at most ``sample_docs`` labelled texts, those with the smallest hash of
+their id, of all at most ``sample_total``, and no more of them than hold ``sample_bytes``; they are read
+whole. Two passes draw it, however many languages there are: one counts them, one keeps the rows under a
+hash that leaves about twice what is wanted of each. Passages of different texts are chained, so that the
+transitions see language switches.
 
 Inference is one narrow pass. Texts are gathered until they hold ``BUFFER_WORDS`` words, and all of them
 step through forward-backward together, so one very long text costs steps but little memory.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is all when nothing
-could be learnt; ties go to the first language in order; repeated documents are alike; an empty table
-gives an empty result.
+could be learnt; ties go to the first language in order; repeated documents are alike; of the input's
+columns only the id is returned, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binaries, table, words_of
+from .common import BROADCAST_BYTES, binaries, first_rows, table, words_of
 from .quality import fold
 
 SAMPLE_DOCS = 300
-SAMPLE_CHARS = 2048
+SAMPLE_TOTAL = 3000
+SAMPLE_BYTES = 64 << 20
 LEXICON = 5000
 BUFFER_WORDS = 1_500_000
 CACHE_WORDS = 200_000
@@ -126,35 +129,44 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 8, seed: int = 7) -> Cha
     if not languages:
         return None
     rng = np.random.default_rng(seed)
+    vocab: dict[bytes, int] = {}
     parts = []
     for raw, lang in texts:
-        words = words_of(raw)
+        numbers = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(raw)], np.int64)
         at = 0
-        while at < len(words):
+        while at < len(numbers):
             n = int(rng.integers(6, 25))
-            parts.append((words[at : at + n], languages.index(lang)))
+            parts.append((numbers[at : at + n], languages.index(lang)))
             at += n
     rng.shuffle(parts)
-    seen = Counter(f for words, _ in parts for w in set(words) for f in features(w))
-    lexicon = {f for f, _ in Counter(b"=" + w for words, _ in parts for w in words).most_common(LEXICON)}
+    listed = list(vocab)
+    seen: Counter[bytes] = Counter()
+    for numbers, _ in parts:
+        for i in set(numbers.tolist()):
+            seen.update(features(listed[i]))
+    often = np.bincount(np.concatenate([numbers for numbers, _ in parts]), minlength=len(listed))
+    lexicon = {b"=" + listed[i] for i in np.argsort(-often, kind="stable")[:LEXICON]}
     kept = [f for f, n in seen.items() if n > 1 and (f[:1] != b"=" or f in lexicon)]
     k = len(languages)
     chain = Chain(languages, {f: i + 1 for i, f in enumerate(kept)}, np.zeros((len(kept) + 1, k)), np.zeros((k, k)), np.zeros(k))
     params = [chain.weights, chain.transitions, chain.start]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    coded: dict[bytes, list[int]] = {}
+    rows = [chain.rows_of(w) for w in listed]
+    edges = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    rows_flat = np.fromiter((i for r in rows for i in r), np.int64, int(edges[-1]))
     chains = [parts[i : i + 2] for i in range(0, len(parts), 2)]
     size, step = 128, 0
     for epoch in range(epochs):
         for at in range(0, len(chains), size):
             batch = chains[at : at + size]
-            words = [w for c in batch for p in c for w in p[0]]
-            gold = np.array([p[1] for c in batch for p in c for _ in p[0]])
+            # Scores and gradients are taken once for each distinct word of the batch.
+            words, which = np.unique(np.concatenate([p[0] for c in batch for p in c]), return_inverse=True)
+            gold = np.repeat([p[1] for c in batch for p in c], [len(p[0]) for c in batch for p in c])
             lengths = np.array([sum(len(p[0]) for p in c) for c in batch])
-            rows = [coded.setdefault(w, []) or coded[w].extend(chain.rows_of(w)) or coded[w] for w in words]
-            sizes = np.array([len(r) for r in rows])
-            flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
-            scores = np.add.reduceat(chain.weights[flat], np.concatenate(([0], sizes.cumsum()[:-1])), axis=0)
+            sizes = edges[words + 1] - edges[words]
+            heads = np.cumsum(sizes) - sizes
+            flat = rows_flat[np.repeat(edges[words] - heads, sizes) + np.arange(sizes.sum())]
+            scores = np.add.reduceat(chain.weights[flat], heads, axis=0)[which]
             marginal, expected, _ = forward_backward(scores, lengths, chain.transitions, chain.start)
             truth = np.eye(k)[gold]
             begins = np.cumsum(lengths) - lengths
@@ -162,9 +174,10 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 8, seed: int = 7) -> Cha
             inner[begins] = False
             pairs = np.zeros((k, k))
             np.add.at(pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-            miss = np.repeat(truth - marginal, sizes, axis=0)
-            gain = np.stack([np.bincount(flat, miss[:, c], len(chain.weights)) for c in range(k)], 1)
-            grads = [gain / size, (pairs - expected) / size, (truth - marginal)[begins].sum(axis=0) / size]
+            miss = truth - marginal
+            own = np.stack([np.bincount(which, miss[:, c], len(words)) for c in range(k)], 1)
+            gain = np.stack([np.bincount(flat, np.repeat(own[:, c], sizes), len(chain.weights)) for c in range(k)], 1)
+            grads = [gain / size, (pairs - expected) / size, miss[begins].sum(axis=0) / size]
             step += 1
             rate = 0.05 * (1 - epoch / epochs)
             for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -176,23 +189,30 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 8, seed: int = 7) -> Cha
     return chain
 
 
-def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Chain | None:
+def fit_languages(
+    docs: DataFrame,
+    sample_docs: int = SAMPLE_DOCS,
+    sample_total: int = SAMPLE_TOTAL,
+    sample_bytes: int = SAMPLE_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> Chain | None:
     """Train on a bounded sample of the labelled rows given; hold rows out by leaving them out of ``docs``."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    languages = sorted(r._lang for r in ids.select("_lang").distinct().collect())
-    picked = None
-    for lang in languages:
-        one = ids.where(F.col("_lang") == lang).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-        picked = one if picked is None else picked.union(one)
-    if picked is None:
+    known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL AND _id IS NOT NULL")
+    counts = {r._lang: r["count"] for r in known.groupBy("_lang").count().collect()}  # a row per language
+    if not counts:
         return None
-    text, step = F.col(text_col), SAMPLE_CHARS // 4
-    slices = F.concat_ws(" ", *[F.substring(text, (F.length(text) / 4 * k).cast("int") + 1, F.lit(step)) for k in range(4)])
-    sliced = F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(slices).alias("text")
-    rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), sliced).join(F.broadcast(picked.distinct()), ["_id", "_lang"])
-    rows = rows.orderBy(F.xxhash64("_id"), "_lang", "text").limit(2 * sample_docs * len(languages)).collect()
-    return train([(r.text.encode(), r._lang) for r in rows if r.text])
+    each = max(1, min(sample_docs, sample_total // len(counts)))
+    # Under this hash stand about twice as many rows as are wanted, or all.
+    under = [(lang, min(int((2 * each + 50) / n * 2**64), 2**64 - 1) - 2**63) for lang, n in counts.items()]
+    limits = docs.sparkSession.createDataFrame(under, T.StructType([known.schema["_lang"], T.StructField("_under", T.LongType())]))
+    if sum(len(str(lang)) + 16 for lang in counts) <= BROADCAST_BYTES:
+        limits = F.broadcast(limits)
+    near = known.join(limits, "_lang").where(F.xxhash64("_id") <= F.col("_under"))
+    rows = first_rows(near, "_lang", [F.xxhash64("_id"), F.col("_id")], "_text", each, sample_bytes // len(counts))
+    rows = rows.select("_id", "_lang", "_text").orderBy(F.xxhash64("_id"), "_lang", "_text").collect()
+    return train([(r._text.encode(), r._lang) for r in rows])
 
 
 class Labeller:

@@ -7,13 +7,14 @@ sum, becomes a probability through logistic calibration on labelled rows that th
 seen, weighted back to the labels' own rate. The calibration also takes the smaller sum per byte: text
 that repeats itself shrinks to nothing with either dictionary, and only that shows it.
 
-The fit reads at most ``sample_rows`` labelled rows of each class, those with the smallest hash of
-their id, and of each at most ``SAMPLE_CHARS`` characters in evenly spaced slices; so the model and what
-is sent to the driver are bounded at any input size. Scoring is one narrow pass over all rows.
+The fit reads at most ``sample_rows`` labelled rows of each class, those with the smallest hash of their
+id, and no more of them than hold ``sample_bytes``; their texts are read whole. So the model and what is sent
+to the driver are bounded at any input size. Scoring is one narrow pass over all rows and whole texts.
 
 Defined results: a null or empty text scores at the calibrated intercept; repeated labels of an id are
 averaged; with no labels of one class the score is the smoothed base rate; repeated documents score
-alike; an empty table gives an empty result.
+alike; a score of exactly 0.5 is predicted 1; input columns that clash with the result's names are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, binaries, set_aside, table
+from .common import add_columns, binaries, first_rows, set_aside, table
 
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 16_384
+SAMPLE_BYTES = 64 << 20
 DICT_BYTES = 96 << 10
 PIECE = 2048
 LEVEL = 3
@@ -112,18 +113,19 @@ def fit_texts(good: list[bytes], bad: list[bytes], good_rate: float) -> Compress
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"
+) -> CompressionModel:
     """Fit on a bounded sample of the labelled rows given; hold rows out by leaving them out of ``labels``."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).alias("good"))
     counts = {r.good: r["count"] for r in known.groupBy("good").count().collect()}
     rate = (counts.get(True, 0) + 1) / (sum(counts.values()) + 2)
     taken = [known.where(F.col("good") == kind).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows) for kind in (True, False)]
     picked = F.broadcast(taken[0].union(taken[1]))  # 2 * sample_rows ids
-    text, step = F.col(text_col), SAMPLE_CHARS // 8
-    slices = F.concat(*[F.substring(text, (F.length(text) / 8 * k).cast("int") + 1, F.lit(step)) for k in range(8)])
-    sliced = F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(slices).alias("text")
-    rows = docs.select(F.col(id_col).alias("_id"), sliced).join(picked, "_id").orderBy(F.xxhash64("_id"), "text").limit(4 * sample_rows).collect()
-    texts = {kind: [r.text.encode() for r in rows if r.good == kind and r.text] for kind in (True, False)}
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id")
+    order = [F.xxhash64("_id"), F.col("_id")]
+    rows = first_rows(rows, "good", order, "text", 2 * sample_rows, sample_bytes).orderBy("good", "_n").collect()
+    texts = {kind: [r.text.encode() for r in rows if r.good == kind] for kind in (True, False)}
     return fit_texts(texts[True], texts[False], rate)
 
 

@@ -83,3 +83,30 @@ def test_query_on_tables(spark):
     assert len(rows) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+def test_many_languages_are_sampled_in_two_passes(spark):
+    rows = [(k, "kato " * 3, f"l{k % 40:02}") for k in range(4000)] + [(5000 + k, "gerst " * 3, "hot") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    read = []
+    train = lambda texts: read.append(texts)
+    g.train, kept = train, g.train
+    try:
+        g.fit_languages(docs, sample_docs=10)
+        g.fit_languages(docs, sample_docs=10, sample_total=82)
+        g.fit_languages(docs, sample_docs=10, sample_bytes=41 * 60)
+    finally:
+        g.train = kept
+    for texts, each in zip(read, (10, 2, 3), strict=True):
+        assert {lang: sum(y == lang for _, y in texts) for _, lang in texts} == {lang: each + (each == 3) * (lang != "hot") for lang in {r[2] for r in rows}}
+
+
+def test_sampled_texts_are_read_whole(spark):
+    docs = spark.createDataFrame([(k, "kato " * 9000 + "schli " * (k % 2), "aa") for k in range(20)], "doc_id long, text string, lang string")
+    read = []
+    g.train, kept = (lambda texts: read.extend(texts)), g.train
+    try:
+        g.fit_languages(docs)
+    finally:
+        g.train = kept
+    assert sorted(len(t) for t, _ in read) == sorted(len(r.text) for r in docs.collect())

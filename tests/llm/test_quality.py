@@ -72,3 +72,15 @@ def test_query_on_tables(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_sample_is_bounded_in_rows_and_bytes_and_read_whole(spark, monkeypatch):
+    docs = cases.docs(spark, [(k, f"{'abc ' * 9000}{k}") for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    read = []
+    monkeypatch.setattr(q, "fit_texts", lambda good, bad, rate: read.append((good, bad)))
+    q.fit_quality(docs, labels)
+    q.fit_quality(docs, labels, sample_rows=5)
+    q.fit_quality(docs, labels, sample_bytes=3 * 36_010)
+    assert [(len(g), len(b)) for g, b in read] == [(20, 20), (5, 5), (3, 3)]
+    assert all(len(t) > 36_000 for g, b in read for t in [*g, *b])
