@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..sources.stage import shared_dir, staged
 
-__all__ = ["BROADCAST_BYTES", "SPACE_BYTES", "WORD_BYTES", "add_columns", "binaries", "first_rows", "set_aside", "shared_dir", "staged", "table", "words_of"]
+__all__ = ["BROADCAST_BYTES", "SPACE_BYTES", "WORD_BYTES", "add_columns", "binaries", "bitmap_of", "first_rows", "in_bitmap", "set_aside", "shared_dir", "staged", "table", "words_of"]
 
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -61,6 +62,23 @@ def add_columns(df: DataFrame, new: list[tuple[str, T.DataType]], fn: Callable,
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
+def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for each value of a column's top ``bits`` bits, set where some row has it."""
+    place = F.shiftrightunsigned(column, 64 - bits) + 1
+    cut = df.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(max(1 << bits, 1 << 15) >> 3, np.uint8)
+    for r in cut.toLocalIterator():  # pieces of 4 KB, as many as the bitmap has at most
+        at = (r.k - 1) * len(r.bits)
+        out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the 64-bit values may be among those that the bitmap was made of."""
+    place = (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def first_rows(df: DataFrame, group: str, order: list, text_col: str, most_rows: int, most_bytes: int) -> DataFrame:
     """Of each group the first ``most_rows`` rows with a text, as far as their texts hold ``most_bytes`` in all."""
     own = W.partitionBy(group).orderBy(*order, text_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SPACE_BYTES, add_columns, binaries, staged, table
+from .common import BROADCAST_BYTES, SPACE_BYTES, add_columns, binaries, bitmap_of, in_bitmap, staged, table
 
 RANGE_ROWS = 500_000
 SEED = 0
@@ -146,26 +146,16 @@ def repeated_fingerprints(keys: DataFrame, n_rows: int) -> DataFrame:
     return keys.select("fp").mapInArrow(build, "part int, data binary").groupBy("part").applyInArrow(merge, "fp long, n long")
 
 
-def quotient_bitmap(repeated: DataFrame) -> np.ndarray:
-    """One bit for each value of the fingerprints' top bits, set where a repeated one has it."""
-    place = F.shiftrightunsigned("fp", 64 - BITMAP_BITS) + 1
-    cut = repeated.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros((1 << BITMAP_BITS) >> 3, np.uint8)
-    for r in cut.toLocalIterator():  # pieces of 4 KB, as many as the bitmap has at most
-        at = (r.k - 1) * len(r.bits)
-        out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
 def verified_groups(docs: DataFrame, repeated: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(fp, text_sha256, group_size) of texts that byte comparison finds on several rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     small = repeated.count() * 8 <= broadcast_bytes
     if small:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r.fp for r in repeated.select("fp").collect()], np.int64)))
+        # As Arrow columns: eight bytes for each fingerprint on the driver, not a row object.
+        shared = spark.sparkContext.broadcast(np.sort(repeated.select("fp").toArrow().column(0).to_numpy()))
     else:
-        shared = spark.sparkContext.broadcast(quotient_bitmap(repeated))
+        shared = spark.sparkContext.broadcast(bitmap_of(repeated, "fp", BITMAP_BITS))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,8 +163,7 @@ def verified_groups(docs: DataFrame, repeated: DataFrame, broadcast_bytes: int =
             fp = np.array([xxhash.xxh64_intdigest(t, SEED) for t in clean], np.uint64).view(np.int64)
             known = shared.value
             if not small:
-                place = (fp.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                keep = np.flatnonzero(known[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                keep = np.flatnonzero(in_bitmap(known, fp, BITMAP_BITS))
             else:
                 at = np.minimum(np.searchsorted(known, fp), max(len(known) - 1, 0))
                 keep = np.flatnonzero(known[at] == fp) if len(known) else at[:0]

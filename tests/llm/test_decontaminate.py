@@ -40,8 +40,9 @@ def world(seed, n_docs=25):
     return items, texts
 
 
-@pytest.mark.parametrize(("window", "shard_words"), [(4, 400_000), (3, 6)])
-def test_against_brute_force(spark, window, shard_words):
+@pytest.mark.parametrize(("window", "shard_words", "routed_rows"), [(4, 400_000, 9), (3, 6, 20_000), (4, 2, 3), (5, 20, 1)])
+def test_against_brute_force(spark, monkeypatch, window, shard_words, routed_rows):
+    monkeypatch.setattr(d, "ROUTED_ROWS", routed_rows)
     items, texts = world(window)
     docs = cases.docs(spark, texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -58,6 +59,27 @@ def test_windows_of_thirteen(spark):
     assert next(r for r in rows if r.doc_id == 2).spans[0].start == 1
 
 
+def test_many_shards_give_what_one_gives(spark):
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([5, 40, 900])))) for k in range(120)]
+    pick = lambda k: items[k][1].split()
+    texts = []
+    for k in range(300):
+        words = rng.choices(vocab, k=rng.randrange(200))
+        for _ in range(rng.randrange(4)):
+            w = pick(rng.randrange(120))
+            at = rng.randrange(max(1, len(w) - 30))
+            words += w[at : at + rng.randrange(5, 60)] + ["zz"]
+        texts.append((k, " ".join(words)))
+    docs, bench = cases.docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    shape = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, str(r.spans), r.items, r.contaminated, r.labels, r.fp) for r in df.collect())
+    one = d.find_contamination(docs, bench)
+    many = d.find_contamination(docs, bench, shard_words=sum(len(t.split()) for _, t in items) // 50)
+    assert sorted(many.columns) == sorted(one.columns) and shape(many) == shape(one)
+    assert sum(r.n_hit > 0 for r in one.collect()) > 100
+
+
 def test_removal_keeps_clean_rows_whole(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     texts = [(1, "clean text"), (2, "say: One, TWO three! end"), (3, None)]

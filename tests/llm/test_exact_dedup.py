@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 
+from sievelake.llm import common
 from sievelake.llm import exact_dedup as e
 from tests.llm import cases
 
@@ -29,7 +30,7 @@ def test_filters_merge_without_loss():
 
 def test_bitmap_has_the_repeated_quotients(spark):
     fps = [0, 1, -1, 5 << 36, (5 << 36) + 7, 32767 << 36, 32768 << 36, -(1 << 63)]
-    bits = np.unpackbits(e.quotient_bitmap(spark.createDataFrame([(v,) for v in fps], "fp long")), bitorder="little")
+    bits = np.unpackbits(common.bitmap_of(spark.createDataFrame([(v,) for v in fps], "fp long"), "fp", e.BITMAP_BITS), bitorder="little")
     assert np.flatnonzero(bits).tolist() == sorted({(v % (1 << 64)) >> 36 for v in fps})
 
 
