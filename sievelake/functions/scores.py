@@ -97,3 +97,8 @@ def format_date(value: Column) -> Column:
 
 def dedup_ratio(uploaded: Column, stored: Column) -> Column:
     return F.when(stored > 0, uploaded / stored).otherwise(F.lit(1.0))
+
+
+def format_ratio(x: Column) -> Column:
+    """Two decimals, as the dashboard shows a ratio."""
+    return F.concat(F.format_string("%.2f", x.cast("double")), F.lit("×"))

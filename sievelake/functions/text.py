@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -119,56 +120,88 @@ def excerpt(text: Column, offset: Column, radius: int = 100) -> Column:
 DIFF = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("value", T.StringType())]))
 
 
+_TOKEN = re.compile(r"""[^\S\r\n]+|[()\[\]{}'"\r\n]|\w+|[^\w\s()\[\]{}'"]+""")
+#: Bits of alignment rows that are held at once; beyond that the texts are halved.
+HELD_BITS = 1 << 27
+
+
 def diff_words(a: str | None, b: str | None) -> list[tuple[str, str]]:
-    """Shortest edit script over words (white space goes along with the text around it):
-    (equal | removed | added, text), by Myers' greedy algorithm."""
-    x, y = (re.findall(r"\s+|\w+|[^\w\s]", t or "") for t in (a, b))
-    lead = 0
-    while lead < min(len(x), len(y)) and x[lead] == y[lead]:
-        lead += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - lead and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    u, v = x[lead : len(x) - tail], y[lead : len(y) - tail]
-    steps: list[tuple[str, str]] = [("equal", t) for t in x[:lead]]
-    reach, trace = {1: 0}, []
-    for d in range(len(u) + len(v) + 1):
-        trace.append(dict(reach))
-        done = False
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while i < len(u) and i - k < len(v) and u[i] == v[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= len(u) and i - k >= len(v):
-                done = True
-                break
-        if done:
-            break
-    back: list[tuple[str, str]] = []
-    i, j = len(u), len(v)
-    for d in range(len(trace) - 1, -1, -1):
-        k, old = i - j, trace[d]
-        before = k + 1 if k == -d or (k != d and old[k - 1] < old[k + 1]) else k - 1
-        i0 = old[before]
-        j0 = i0 - before
-        while i > max(i0, 0) and j > max(j0, 0):
-            i, j = i - 1, j - 1
-            back.append(("equal", u[i]))
-        if d:
-            if before == k + 1:
-                j -= 1
-                back.append(("added", v[j]))
-            else:
-                i -= 1
-                back.append(("removed", u[i]))
-    steps += back[::-1] + [("equal", t) for t in (x[len(x) - tail :] if tail else [])]
-    out: list[tuple[str, str]] = []
-    for op, t in steps:
-        if out and out[-1][0] == op:
-            out[-1] = (op, out[-1][1] + t)
+    """Shortest edit script from a to b over words, marks and blanks: (equal | removed | added, text).
+
+    Any two pieces of white space are equal, and what is equal is shown as b has it. The longest common
+    subsequence is found bit-parallel, a row of bits for each token of b, in linear space: texts whose
+    rows would not fit are cut at the middle of b, where the rows of both halves meet best.
+    """
+    x, y = (_TOKEN.findall(t or "") for t in (a, b))
+    u, v = ([" " if t.isspace() else t for t in side] for side in (x, y))
+    steps: list[tuple[str, str]] = []
+    i = j = 0
+    for p, q in [*_common(u, v), (len(u), len(v))]:
+        steps += [("removed", t) for t in x[i:p]] + [("added", t) for t in y[j:q]] + [("equal", t) for t in y[q : q + 1]]
+        i, j = p + 1, q + 1
+    return [(op, "".join(t for _, t in group)) for op, group in itertools.groupby(steps, key=lambda s: s[0])]
+
+
+def _common(u: list[str], v: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(u), 0, len(v))]
+    while parts:
+        a, b, c, d = parts.pop()
+        tail = 0
+        while a < b and c < d and u[a] == v[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and u[b - 1] == v[d - 1]:
+            b, d, tail = b - 1, d - 1, tail + 1
+        out += [(b + k, d + k) for k in range(tail)]
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) <= HELD_BITS or d - c == 1:
+            out += [(a + i, c + j) for i, j in _aligned(u[a:b], v[c:d])]
+            continue
+        m = (c + d) // 2
+        ahead = _lengths(u[a:b], v[c:m])
+        back = _lengths(u[a:b][::-1], v[m:d][::-1])[::-1]
+        k = a + int(np.argmax(ahead + back))
+        parts += [(a, k, c, m), (k, b, m, d)]
+    return sorted(out)
+
+
+def _rows(u: list[str], v: list[str]) -> Iterator[int]:
+    """For each token of v, a row with a 0 bit wherever one more token of u lengthens the common subsequence."""
+    places: dict[str, int] = dict.fromkeys(v, 0)
+    for i, t in enumerate(u):
+        if t in places:
+            places[t] |= 1 << i
+    full = (1 << len(u)) - 1
+    row = full
+    for t in v:
+        if hit := row & places[t]:
+            row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(u: list[str], v: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of v and each prefix of u."""
+    row = (1 << len(u)) - 1
+    for row in _rows(u, v):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(u) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(u)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _aligned(u: list[str], v: list[str]) -> list[tuple[int, int]]:
+    rows = [row.to_bytes(len(u) // 8 + 1, "little") for row in _rows(u, v)]
+    out, i, j = [], len(u) - 1, len(v) - 1
+    while i >= 0 and j >= 0:
+        if rows[j][i >> 3] >> (i & 7) & 1:
+            i -= 1
+        elif j and not rows[j - 1][i >> 3] >> (i & 7) & 1:
+            j -= 1
         else:
-            out.append((op, t))
+            out.append((i, j))
+            i, j = i - 1, j - 1
     return out
 
 

@@ -59,11 +59,22 @@ def delete_files(files: DataFrame, blobs: DataFrame, deletes: DataFrame) -> tupl
 
 
 def delete_results(files: DataFrame, blobs: DataFrame, deletes: DataFrame) -> DataFrame:
-    """For each file deleted: whether its blob went, and then its path (once for each blob)."""
+    """For each file deleted, whether its blob went with it and then its path, and the same as ``result`` in JSON.
+
+    Deletes are taken one after another, by ``delete_seq`` if they have it, else by file: the one that takes
+    the last reference frees the blob, so each freed blob is told once. Deletes of the same file count once,
+    those of files that are not the caller's not at all (see `owned`).
+    """
     _, _, freed = delete_files(files, blobs, deletes)
-    gone = files.join(deletes.select("user_id", "file_id").distinct(), ["user_id", "file_id"], "left_semi")
-    joined = gone.join(freed.select("user_id", "sha256_hash", "storage_path"), ["user_id", "sha256_hash"], "left")
-    return joined.select("user_id", "file_id", F.col("storage_path").isNotNull().alias("blob_deleted"), "storage_path")
+    place = F.col("delete_seq") if "delete_seq" in deletes.columns else F.lit(0).cast("long")
+    placed = deletes.select("user_id", "file_id", place.alias("_seq")).groupBy("user_id", "file_id").agg(F.min("_seq").alias("_seq"))
+    gone = files.select("user_id", "file_id", "sha256_hash").join(placed, ["user_id", "file_id"])
+    last = gone.groupBy("user_id", "sha256_hash").agg(F.max(F.struct("_seq", "file_id")).alias("_last"))
+    last = last.join(freed.select("user_id", "sha256_hash", "storage_path"), ["user_id", "sha256_hash"])
+    last = last.select("user_id", F.col("_last.file_id").alias("file_id"), "storage_path")
+    rows = gone.select("user_id", "file_id").join(last, ["user_id", "file_id"], "left")
+    rows = rows.select("user_id", "file_id", F.lit(True).alias("deleted"), F.col("storage_path").isNotNull().alias("blob_deleted"), "storage_path")
+    return rows.withColumn("result", F.to_json(F.struct("deleted", "blob_deleted", "storage_path"), {"ignoreNullFields": "false"}))
 
 
 def cascade(child: DataFrame, deletes: DataFrame, *keys: str) -> DataFrame:
@@ -79,6 +90,13 @@ def foreign_deletes(files: DataFrame, deletes: DataFrame) -> DataFrame:
     return deletes.join(files.select("user_id", "file_id"), ["user_id", "file_id"], "left_anti")
 
 
+def owned(files: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``deletes`` as they are; reading them fails where a file is not there or not the caller's."""
+    mine = files.select("user_id", "file_id", F.lit(True).alias("_mine")).distinct()
+    refused = F.raise_error(F.lit("logical file not found or not owned by caller")).cast("boolean")
+    return deletes.join(mine, ["user_id", "file_id"], "left").where(F.when(F.col("_mine"), F.lit(True)).otherwise(refused)).select(*deletes.columns)
+
+
 def rename_files(files: DataFrame, renames: DataFrame) -> DataFrame:
     """New names (user_id, file_id, new_name) laid over files; blank ones change nothing."""
     parts = renames.select("user_id", "file_id", names.rename_parts(F.col("new_name")).alias("_new"))

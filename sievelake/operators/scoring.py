@@ -3,8 +3,13 @@
 Content is joined through shared shingles only: two usable texts without one score 0 and cannot be flagged.
 A pair's inverse-document-frequency weights are those at the arrival of its newer file j. With r(h, j) the
 rank of j in the posting list of h (the frequency of h then), three sums give the weighted Jaccard score:
-the shared shingles' logs, j's own logs, and i's logs, which grow by ln r - ln(r - 1) for each later file
-that shares h. One equi-join on (user, shingle) and one window over a file's pairs; no nested loop.
+the shared shingles' logs, j's own logs, and i's logs as they are then.
+
+`content_scores` gives every pair that shares a shingle, as many as there are. The review queue needs only
+scores from ``LEAST_CONTENT``, so it takes pairs by a weighted prefix filter (`likely_pairs`): j joins on its
+rarest shingles only, as many as leave less than that share of j's weight. Shingles that came with j meet
+nobody, so a file with much text of its own joins on nothing. Likely pairs that blocking lets through are
+then scored exactly (`exact_scores`), and i's logs are looked up for those alone.
 """
 
 from __future__ import annotations
@@ -15,10 +20,14 @@ from pyspark.sql import functions as F
 
 from ..functions import names, scores
 from ..sources.stage import staged
-from .shingles import postings, ranked_postings
+from .shingles import counted_until, one_range_of, postings, ranked_postings
 from .tier1 import running_file_count
 
 
+#: Equal names add NAME_WEIGHT at most, so no lower content score can reach the flag.
+LEAST_CONTENT = (scores.FLAG_COMPOSITE - scores.NAME_WEIGHT) / scores.CONTENT_WEIGHT - 1e-9
+
+
 def file_sets(ranked: DataFrame) -> DataFrame:
     """(user_id, file_id, upload_seq, n, n_shingled, own_logs): distinct shingles, files with shingles so
     far, and the sum of the logs of the frequencies of its shingles on arrival."""
@@ -63,6 +72,61 @@ def weighted_scores(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("user_id", "a_id", "b_id", "shared", F.when(provisional, plain).otherwise(weighted).alias("content_score"), provisional.alias("provisional"))
 
 
+def likely_pairs(ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTENT, newer: DataFrame | None = None) -> DataFrame:
+    """(user_id, a_id, b_id): every pair with a score of ``least`` or more on arrival of b, and few others.
+
+    What the two share weighs at least ``least`` times all of b, so it cannot lie within the commonest
+    shingles of b that weigh less. ``newer``: some of the ranked postings, as in `sharing_pairs`.
+    """
+    newer = ranked if newer is None else newer
+    n = F.col("n_shingled")
+    weight = F.when(n < scores.PROVISIONAL_FILES, F.lit(1.0)).otherwise(F.ln(n / F.col("rank")))
+    whole = F.when(n < scores.PROVISIONAL_FILES, F.col("n").cast("double")).otherwise(F.col("n") * F.ln(n.cast("double")) - F.col("own_logs"))
+    # Shingles that came with their file weigh most and meet nobody: they only stand in the whole weight.
+    met = newer.where("rank > 1").join(sets.select("user_id", "file_id", "n_shingled", whole.alias("whole")), ["user_id", "file_id"])
+    common = W.partitionBy("user_id", "file_id").orderBy(F.desc("rank"), "shingle_hash").rowsBetween(W.unboundedPreceding, 0)
+    prefix = met.withColumn("rest", F.sum(weight).over(common)).where((F.col("whole") > 0) & (F.col("rest") >= least * F.col("whole") - 1e-9))
+    b = prefix.select("user_id", "shingle_hash", F.col("file_id").alias("b_id"), F.col("rank").alias("rb"))
+    a = ranked.select("user_id", "shingle_hash", F.col("file_id").alias("a_id"), F.col("rank").alias("ra"))
+    return a.join(b, ["user_id", "shingle_hash"]).where("ra < rb").select("user_id", "a_id", "b_id").distinct()
+
+
+def exact_scores(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTENT) -> DataFrame:
+    """Scores from ``least`` of the given (user_id, a_id, b_id), as `content_scores` has them.
+
+    ``sets``: n, own_logs and n_shingled of each b on its arrival.
+    """
+    ends = pairs.select("user_id", F.explode(F.array("a_id", "b_id")).alias("file_id")).distinct()
+    own = staged(ranked.join(ends, ["user_id", "file_id"], "left_semi"), "compared-postings")
+    side = lambda p, *c: own.select("user_id", F.col("file_id").alias(f"{p}_id"), "shingle_hash", *c)
+    of_b = pairs.join(side("b", F.ln("rank").alias("log_r")), ["user_id", "b_id"])
+    both = of_b.join(side("a"), ["user_id", "a_id", "shingle_hash"])
+    both = both.groupBy("user_id", "a_id", "b_id").agg(F.count("*").alias("shared"), F.sum("log_r").alias("shared_logs"))
+    b = sets.select("user_id", F.col("file_id").alias("b_id"), F.col("upload_seq").alias("b_seq"), F.col("n").alias("b_n"), F.col("own_logs").alias("b_logs"), F.col("n_shingled").alias("b_count"))
+    log_n, provisional = F.ln(F.col("b_count").cast("double")), F.col("b_count") < scores.PROVISIONAL_FILES
+    both = both.join(b, ["user_id", "b_id"]).withColumn("inter", F.col("shared") * log_n - F.col("shared_logs"))
+    # The union weighs no less than b, so these cannot reach the least score.
+    most = F.when(provisional, F.col("shared") / F.col("b_n")).otherwise(F.col("inter") / (F.col("b_n") * log_n - F.col("b_logs")))
+    both = staged(both.where(most >= least - 1e-9), "close")
+    asked = both.select("user_id", "a_id", "b_id", F.col("b_seq").alias("upload_seq")).join(side("a"), ["user_id", "a_id"])
+    asked = staged(asked, "asked")
+    held = ranked.join(asked.select("user_id", "shingle_hash").distinct(), ["user_id", "shingle_hash"], "left_semi")
+    then = counted_until(held, asked, one_range_of(ranked)).groupBy("user_id", "a_id", "b_id").agg(F.count("*").alias("a_n"), F.sum(F.ln("df")).alias("a_logs"))
+    scored = both.join(then, ["user_id", "a_id", "b_id"])
+    union = F.col("a_n") * log_n - F.col("a_logs") + F.col("b_n") * log_n - F.col("b_logs") - F.col("inter")
+    plain = F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))
+    weighted = F.when(F.abs(union) < 1e-9, 0.0).otherwise(F.col("inter") / union)
+    rows = scored.select("user_id", "a_id", "b_id", "shared", F.when(provisional, plain).otherwise(weighted).alias("content_score"), provisional.alias("provisional"))
+    return rows.where(F.col("content_score") >= least)
+
+
+def likely_scores(files: DataFrame, ranked: DataFrame, sets: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = LEAST_CONTENT, newer: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Exact scores from ``least`` of all pairs that are compared."""
+    met = staged(likely_pairs(ranked, sets, least, newer), "likely")
+    met = met.join(_side(files, "a"), ["user_id", "a_id"]).join(_side(newer_files(files, ceiling, only), "b", BLOCK), ["user_id", "b_id"])
+    return exact_scores(staged(within_block(met).select("user_id", "a_id", "b_id"), "compared"), ranked, sets, least)
+
+
 def plain_jaccard(shingles: DataFrame) -> DataFrame:
     """(user_id, a_id, b_id, score) of unweighted sets, for pairs that share."""
     sizes = postings(shingles).groupBy("user_id", "file_id").agg(F.count("*").alias("n"))
@@ -118,13 +182,14 @@ def _side(files: DataFrame, p: str, extra: tuple = ()) -> DataFrame:
 
 
 BLOCK = ("blocked", "size_low", "size_high")
+BITS = ("bits0", "bits1", "bits2", "bits3")
 
 
 #: How many ways the newer files of a tenant are dealt out where they meet all earlier ones.
 DEALS = 16
 
 
-def _candidates(files: DataFrame, ceiling: int, only: DataFrame | None = None) -> DataFrame:
+def _candidates(files: DataFrame, ceiling: int, only: DataFrame | None = None, extra: tuple = ()) -> DataFrame:
     """a_* and b_* attributes of each newer file b and every earlier file a that it is compared with.
 
     A file up to the ceiling meets all before it, at most ceiling ** 2 / 2 pairs in a tenant, dealt out by
@@ -132,14 +197,14 @@ def _candidates(files: DataFrame, ceiling: int, only: DataFrame | None = None) -
     """
     counted = files.join(running_file_count(files), ["user_id", "file_id"])
     early = counted.where(F.col("n_files") < ceiling).drop("n_files")
-    b = _side(newer_files(files, ceiling, only), "b", BLOCK)
+    b = _side(newer_files(files, ceiling, only), "b", BLOCK + extra)
     earlier = "a_upload_seq < b_upload_seq"
     dealt = b.where("NOT b_blocked").withColumn("_deal", F.pmod(F.xxhash64("b_id"), F.lit(DEALS)))
-    full = _side(early, "a").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    full = _side(early, "a", extra).withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
     full = full.join(dealt, ["user_id", "_deal"]).where(earlier).drop("_deal")
     bucket = scores.size_bucket
     near = b.where("b_blocked").withColumn("_bucket", F.explode(F.array(*[bucket(F.col("b_size_bytes")) + k for k in (-1, 0, 1)])))
-    a = _side(files, "a").withColumn("_bucket", bucket(F.col("a_size_bytes"))).withColumn("_ext", F.col("a_extension"))
+    a = _side(files, "a", extra).withColumn("_bucket", bucket(F.col("a_size_bytes"))).withColumn("_ext", F.col("a_extension"))
     blocked = a.join(near.withColumn("_ext", F.col("b_extension")), ["user_id", "_ext", "_bucket"]).where(earlier)
     return full.unionByName(within_block(blocked).drop("_ext", "_bucket"))
 
@@ -158,17 +223,38 @@ def content_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL
     return _scored(within_block(scored), F.col("content_score"), F.col("provisional"))
 
 
+def name_bits(stem) -> list:
+    """Four words of bits, set where a hash of a character and the number of its like so far falls."""
+
+    def place(i):
+        head, own = F.substr(stem, F.lit(1), i), F.substr(stem, i, F.lit(1))
+        return F.pmod(F.hash(own, F.length(head) - F.length(F.replace(head, own, F.lit("")))), F.lit(256))
+
+    places = F.when(F.length(stem) > 0, F.transform(F.sequence(F.lit(1), F.length(stem)), place)).otherwise(F.array().cast("array<int>"))
+
+    def word(k):
+        own = F.filter(places, lambda x: F.floor(x / 64) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)))
+
+    return [word(k) for k in range(4)]
+
+
 def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = scores.FLAG_NAME, only: DataFrame | None = None) -> DataFrame:
     """Compared pairs of which one has no usable text and whose names are at least ``least`` alike.
 
-    Lengths that differ by more than (1 - least) of the longer are left out before any distance is taken.
+    What cannot be is left out before any distance is taken: lengths that differ by more than the edits that
+    ``least`` allows, and names whose characters, counted, differ in more than two for each edit.
     """
-    met = _candidates(files, ceiling, only).where("NOT (a_extraction_ok AND b_extraction_ok)")
-    x, y = F.length("a_filename_stem"), F.length("b_filename_stem")
-    met = met.where(F.abs(x - y) <= (1 - least) * F.greatest(x, y) + 1e-6)
-    # The banded distance, -1 beyond its bound, is cheaper than the full one that the rest then gets.
-    banded = f"levenshtein(lower(a_filename_stem), lower(b_filename_stem), cast({1 - least!r}D * greatest(length(a_filename_stem), length(b_filename_stem)) + 1e-6 AS int) + 1)"
-    close = met.where(f"{banded} >= 0").where(names.filename_similarity(F.col("a_filename_stem"), F.col("b_filename_stem")) >= least)
+    lowered = files.withColumn("filename_stem", F.lower("filename_stem"))
+    marked = lowered.select("*", *[g.alias(f"bits{k}") for k, g in enumerate(name_bits(F.col("filename_stem")))])
+    met = _candidates(marked, ceiling, only, BITS).where("NOT (a_extraction_ok AND b_extraction_ok)")
+    edits = f"cast({1 - least!r}D * greatest(length(a_filename_stem), length(b_filename_stem)) + 1e-6 AS int)"
+    apart = " + ".join(f"bit_count(a_{g} ^ b_{g})" for g in BITS)
+    likely = f"a_upload_seq < b_upload_seq AND abs(length(a_filename_stem) - length(b_filename_stem)) <= {edits} AND {apart} <= 2 * {edits}"
+    # The banded distance, -1 beyond its bound, is cheaper than the full one that the rest then gets. As one
+    # expression, so that no distance is taken before the other conditions.
+    close = met.where(f"CASE WHEN {likely} THEN levenshtein(a_filename_stem, b_filename_stem, {edits} + 1) >= 0 ELSE false END")
+    close = close.where(names.filename_similarity(F.col("a_filename_stem"), F.col("b_filename_stem")) >= least)
     return _scored(close, F.lit(None).cast("double"), F.lit(False))
 
 
@@ -187,11 +273,10 @@ def _scored(pairs: DataFrame, content, provisional) -> DataFrame:
 def flagged_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, only: DataFrame | None = None) -> DataFrame:
     """The review queue's new rows: file_a_id < file_b_id, scores, confidence, status pending.
 
-    ``found``: content scores of the pairs that share a shingle; ``only``: the files that just came.
+    ``found``: content scores of the pairs that share a shingle, or of those from ``LEAST_CONTENT``;
+    ``only``: the files that just came.
     """
-    # Equal names add NAME_WEIGHT at most, so no lower content score can reach the flag.
-    least = (scores.FLAG_COMPOSITE - scores.NAME_WEIGHT) / scores.CONTENT_WEIGHT - 1e-9
-    content = content_pairs(files, found, ceiling, least, only).where("flagged")
+    content = content_pairs(files, found, ceiling, LEAST_CONTENT, only).where("flagged")
     # Names that are alike enough to be compared here are alike enough to be flagged; a filter on the flag
     # would be pushed down and take every distance once more.
     both = content.unionByName(name_pairs(files, ceiling, scores.FLAG_NAME, only))

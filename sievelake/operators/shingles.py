@@ -55,7 +55,53 @@ def shingles_of(shingles: DataFrame, files: DataFrame) -> DataFrame:
     return shingles.join(files.select("user_id", "file_id").distinct(), ["user_id", "file_id"], "left_semi").select("user_id", "file_id", "shingle_hash", "start_offset")
 
 
+#: Files of a tenant whose postings of one shingle are ordered in one group, at most (by their places).
+RANK_FILES = 1 << 20
+
+
+def counted_until(postings: DataFrame, wanted: DataFrame, one_range: bool | None = None) -> DataFrame:
+    """``wanted`` (user_id, shingle_hash, upload_seq, ...) with df: the postings of its shingle up to then.
+
+    Counted within ranges of ``RANK_FILES`` places and then over the ranges, so that the postings of a shingle
+    that most files hold are never ordered in one group. ``one_range``: whether there is but one, if known.
+    """
+    keys = ["user_id", "shingle_hash", "_range"]
+    ranged = lambda df: df.withColumn("_range", F.expr(f"upload_seq div {RANK_FILES}"))
+    here = ranged(postings.select("user_id", "shingle_hash", "upload_seq")).select("*", F.lit(1).alias("_one"))
+    asked = ranged(wanted).withColumn("_one", F.lit(0))
+    order = W.partitionBy(*keys).orderBy("upload_seq").rangeBetween(W.unboundedPreceding, 0)
+    both = asked.unionByName(here, allowMissingColumns=True).withColumn("df", F.sum("_one").over(order)).where("_one = 0")
+    if one_range_of(postings) if one_range is None else one_range:
+        return both.select(*wanted.columns, "df")
+    earlier = _before(here.groupBy(*keys).agg(F.count("*").alias("_n")))
+    joined = _asof_range(both, earlier)
+    return joined.select(*wanted.columns, (F.col("df") + F.col("_before")).alias("df"))
+
+
+def one_range_of(postings: DataFrame) -> bool:
+    ends = postings.agg(F.min("upload_seq").alias("a"), F.max("upload_seq").alias("b")).first()
+    return ends.a is None or ends.a // RANK_FILES == ends.b // RANK_FILES
+
+
+def _before(ranges: DataFrame) -> DataFrame:
+    """(user_id, shingle_hash, _from, _upto, _before): postings before the ranges from _from, up to _upto."""
+    own = W.partitionBy("user_id", "shingle_hash").orderBy("_range")
+    upto = F.coalesce(F.lead("_range").over(own), F.lit(1 << 62))
+    return ranges.select("user_id", "shingle_hash", (F.col("_range") + 1).alias("_from"), upto.alias("_upto"), F.sum("_n").over(own).alias("_before"))
+
+
+def _asof_range(rows: DataFrame, earlier: DataFrame) -> DataFrame:
+    spans = earlier.withColumnsRenamed({"user_id": "_u", "shingle_hash": "_h"})
+    inside = (F.col("user_id") == F.col("_u")) & (F.col("shingle_hash") == F.col("_h")) & F.col("_range").between(F.col("_from"), F.col("_upto"))
+    return rows.join(spans, inside, "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
+
+
 def ranked_postings(shingles: DataFrame) -> DataFrame:
     """Postings with rank: the shingle's document frequency when this file came, itself included."""
-    order = W.partitionBy("user_id", "shingle_hash").orderBy("upload_seq", "file_id")
-    return postings(shingles).withColumn("rank", F.row_number().over(order))
+    rows, one_range = postings(shingles), one_range_of(shingles)
+    order = W.partitionBy("user_id", "shingle_hash", "_range").orderBy("upload_seq", "file_id")
+    ranked = rows.withColumn("_range", F.expr(f"upload_seq div {RANK_FILES}")).withColumn("rank", F.row_number().over(order))
+    if not one_range:
+        earlier = _before(ranked.groupBy("user_id", "shingle_hash", "_range").agg(F.count("*").alias("_n")))
+        ranked = _asof_range(ranked, earlier).withColumn("rank", (F.col("rank") + F.col("_before")).cast("int"))
+    return ranked.select(*rows.columns, "rank")

@@ -7,11 +7,11 @@ from .queries import LOW_CEILING
 
 def _at(ceiling: int = 2000) -> str:
     return f"""
-up AS (
-  SELECT lang AS user_id, doc_id AS file_id, doc_id AS upload_seq, text, strlen(text)::BIGINT AS size_bytes, sha256(text) AS sha256_hash,
+up AS MATERIALIZED (
+  SELECT coalesce(lang, '') AS user_id, doc_id AS file_id, doc_id AS upload_seq, text, strlen(text)::BIGINT AS size_bytes, sha256(text) AS sha256_hash,
          ['txt', 'md', 'csv', 'docx', 'pptx', 'xlsx', 'pdf', 'png'][doc_id % 8 + 1] AS extension, (doc_id % 5 + 1)::INTEGER AS units,
          substr(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z0-9 ]', '', 'g'), 1, 40) AS filename_stem
-  FROM documents),
+  FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
 named AS (
   SELECT *, filename_stem || '.' || extension AS filename,
          CASE extension WHEN 'txt' THEN 'plain' WHEN 'md' THEN 'plain' WHEN 'csv' THEN 'plain' WHEN 'png' THEN 'unsupported' ELSE extension END AS format,
@@ -21,7 +21,7 @@ named AS (
 measured AS (
   SELECT *, CASE format WHEN 'docx' THEN 1500 WHEN 'pptx' THEN 150 * units WHEN 'xlsx' THEN 4 * units WHEN 'pdf' THEN 1500 * units ELSE 0 END::INTEGER AS expected_min_chars,
          CASE WHEN format = 'unsupported' THEN 0 ELSE length(text) END::INTEGER AS actual_chars FROM named),
-files AS (
+files AS MATERIALIZED (
   SELECT *, NOT deduplicated AND CASE format WHEN 'unsupported' THEN FALSE WHEN 'plain' THEN actual_chars > 0
          ELSE actual_chars >= expected_min_chars * 0.2::DOUBLE END AS ok FROM measured),
 reasons AS (
@@ -31,28 +31,28 @@ reasons AS (
     ELSE CASE format WHEN 'plain' THEN 'empty plain-text file' WHEN 'docx' THEN 'docx text layer below confidence floor' WHEN 'pptx' THEN 'pptx text below confidence floor'
       WHEN 'xlsx' THEN 'xlsx text below confidence floor' ELSE 'scanned/pdf text layer below confidence floor' END END AS extraction_reason,
     CASE WHEN NOT deduplicated AND format IN ('pptx', 'pdf') THEN units END AS page_count FROM files),
-blobs AS (
+blobs AS MATERIALIZED (
   SELECT user_id, sha256_hash, any_value(size_bytes) AS size_bytes, count(*) AS ref_count, user_id || '/' || sha256_hash AS storage_path
   FROM up GROUP BY user_id, sha256_hash),
-toks AS (SELECT user_id, file_id, upload_seq, text, regexp_extract_all(text, '\\S+') AS w FROM files WHERE ok),
-sh AS (
+toks AS MATERIALIZED (SELECT user_id, file_id, upload_seq, text, regexp_extract_all(text, '\\S+') AS w FROM files WHERE ok),
+sh AS MATERIALIZED (
   SELECT user_id, file_id, upload_seq, i, lower(array_to_string(w[i : i + 4], ' ')) AS s
   FROM toks, unnest(range(1, len(w) - 3)) r(i) WHERE len(w) >= 5),
-post AS (SELECT DISTINCT user_id, file_id, upload_seq, s FROM sh),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY upload_seq) AS r FROM post),
-sets AS (
+post AS MATERIALIZED (SELECT DISTINCT user_id, file_id, upload_seq, s FROM sh),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY upload_seq) AS r FROM post),
+sets AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY upload_seq) AS n_sh
   FROM (SELECT user_id, file_id, upload_seq, count(*) AS k, sum(ln(r)) AS logs FROM ranked GROUP BY ALL)),
-shares AS (
+shares AS MATERIALIZED (
   SELECT a.user_id, a.file_id AS a_id, b.file_id AS b_id, count(*) AS shared, sum(ln(b.r)) AS shared_logs, sum(ln(b.r) - ln(b.r - 1)) AS growth
   FROM ranked a JOIN ranked b ON a.user_id = b.user_id AND a.s = b.s AND a.r < b.r GROUP BY ALL),
-grown AS (
+grown AS MATERIALIZED (
   SELECT p.*, x.k AS ka, y.k AS kb, y.logs AS lb, y.n_sh AS n_sh,
          x.logs + sum(growth) OVER (PARTITION BY p.user_id, a_id ORDER BY y.upload_seq) AS la
   FROM shares p JOIN sets x ON x.user_id = p.user_id AND x.file_id = a_id JOIN sets y ON y.user_id = p.user_id AND y.file_id = b_id),
 weighed AS (
   SELECT *, shared * ln(n_sh) - shared_logs AS inter, (ka + kb) * ln(n_sh) - la - lb - (shared * ln(n_sh) - shared_logs) AS uni FROM grown),
-content AS (
+content AS MATERIALIZED (
   SELECT user_id, a_id, b_id, shared, n_sh < 10 AS provisional,
          CASE WHEN n_sh < 10 THEN shared / (ka + kb - shared) WHEN abs(uni) < 1e-9 THEN 0 ELSE inter / uni END AS content_score FROM weighed),
 newer AS (
@@ -62,13 +62,13 @@ cand AS (
   SELECT y.user_id, x.file_id AS a_id, y.file_id AS b_id, x.ok AND y.ok AS both_ok, x.filename_stem AS sa, y.filename_stem AS sb
   FROM files x JOIN newer y ON x.user_id = y.user_id AND x.upload_seq < y.upload_seq
   WHERE NOT y.blocked OR (x.extension = y.extension AND x.size_bytes BETWEEN y.low AND y.high)),
-alike AS (
+alike AS MATERIALIZED (
   SELECT *, CASE WHEN lower(sa) = lower(sb) THEN 1.0::DOUBLE
             ELSE 1 - levenshtein(lower(sa), lower(sb))::DOUBLE / greatest(length(sa), length(sb)) END AS filename_score FROM cand),
-scored AS (
+scored AS MATERIALIZED (
   SELECT a.user_id, a.a_id, a.b_id, c.content_score, a.filename_score, 0.7::DOUBLE * c.content_score + 0.3::DOUBLE * a.filename_score AS composite_score,
          CASE WHEN provisional THEN 'provisional' ELSE 'high' END AS confidence FROM alike a JOIN content c USING (user_id, a_id, b_id)),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT user_id, a_id AS file_a_id, b_id AS file_b_id, content_score, filename_score, composite_score, confidence, 'pending' AS status
   FROM scored WHERE composite_score >= 0.55::DOUBLE
   UNION ALL
@@ -96,9 +96,14 @@ _JS_TRIM = "regexp_replace(regexp_replace({}, '^[\\s\\x{{A0}}\\x{{FEFF}}]+', '')
 _ENTITIES = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', '''')"
 _EXCERPT = """CASE WHEN {o} > 100 THEN '…' ELSE '' END || trim(regexp_replace(substr({t}, greatest(0, {o} - 100) + 1, least(length({t}), {o} + 100) - greatest(0, {o} - 100)), '\\s+', ' ', 'g'))
   || CASE WHEN {o} + 100 < length({t}) THEN '…' ELSE '' END"""
-#: 64-bit FNV-1a in 128-bit arithmetic over the bytes of a string in lower case.
-_FNV = """list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen({s}) + 1), lambda k: ('0x' || substr(hex(encode({s})), (2 * k - 1)::BIGINT, 2))::HUGEINT)),
-  lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"""
+
+_SHOWN, _BEYOND = "[^\\s\\x{A0}\\x{FEFF}]", "[^\\x{00}-\\x{FF}]"
+
+
+def _clean(x: str) -> str:
+    lines = f"regexp_replace(replace({_ENTITIES.format(x)}, '&amp;', '&'), '\\r\\n?', chr(10), 'g')"
+    return _JS_TRIM.format(f"regexp_replace(regexp_replace({lines}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
 
 SQL = {
     "tier1_blobs": _q("SELECT user_id, sha256_hash, size_bytes, ref_count, storage_path FROM blobs"),
@@ -129,11 +134,6 @@ SQL = {
         ws AS (SELECT file_id, pos, row_number() OVER (PARTITION BY file_id ORDER BY k DESC) AS back FROM placed WHERE NOT regexp_matches(t, '^\\s'))
         SELECT file_id, pos::INTEGER AS start_offset FROM ws WHERE back >= 5"""
     ),
-    "shingle_hash_fnv": _q(
-        f""", one AS (SELECT file_id, s FROM sh JOIN toks USING (file_id) WHERE i = 1 AND NOT regexp_matches(text, '^\\s')),
-        h AS (SELECT file_id, {_FNV.format(s="s")} AS u FROM one)
-        SELECT file_id, (CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END)::BIGINT AS shingle_hash FROM h"""
-    ),
     "word_counts": _q("SELECT file_id, len(w)::INTEGER AS n_words FROM toks"),
     "doc_frequency": _q("SELECT user_id, doc_count::INTEGER AS doc_count, count(*) AS n_shingles FROM (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL) GROUP BY ALL"),
     "shingled_file_count": _q("SELECT user_id, count(DISTINCT file_id) AS n_files FROM sh GROUP BY 1"),
@@ -142,8 +142,8 @@ SQL = {
         FROM (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL)) WHERE place <= 10"""
     ),
     "rpc_doc_frequencies": _q(
-        """SELECT user_id, count(*) AS n, sum(doc_count)::BIGINT AS total FROM (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL)
-        WHERE (user_id, s) IN (SELECT (sh.user_id, s) FROM sh JOIN toks USING (file_id) WHERE i = 1 AND NOT regexp_matches(text, '^\\s')) GROUP BY 1"""
+        """SELECT user_id, file_id, count(*) AS n, sum(doc_count)::BIGINT AS total
+        FROM post JOIN (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL) USING (user_id, s) GROUP BY ALL"""
     ),
     "rpc_file_shingles": _q(
         """, runs AS (SELECT file_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS t, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS k FROM toks),
@@ -223,10 +223,59 @@ SQL = {
     "delete_refcounts": _q("SELECT user_id, sha256_hash, count(*) AS ref_count FROM up WHERE file_id % 4 <> 0 GROUP BY ALL"),
     "delete_freed_blobs": _q("SELECT user_id, sha256_hash, storage_path, size_bytes FROM blobs b WHERE NOT EXISTS (SELECT 1 FROM up u WHERE u.user_id = b.user_id AND u.sha256_hash = b.sha256_hash AND file_id % 4 <> 0)"),
     "delete_results": _q(
-        """, freed AS (SELECT user_id, sha256_hash FROM up GROUP BY ALL HAVING bool_and(file_id % 4 = 0))
-        SELECT u.user_id, file_id, f.sha256_hash IS NOT NULL AS blob_deleted, f.user_id || '/' || f.sha256_hash AS storage_path
-        FROM up u LEFT JOIN freed f ON f.user_id = u.user_id AND f.sha256_hash = u.sha256_hash WHERE file_id % 4 = 0"""
+        """, freed AS (SELECT user_id, sha256_hash FROM up GROUP BY ALL HAVING bool_and(file_id % 4 = 0)),
+        gone AS (SELECT *, row_number() OVER (PARTITION BY user_id, sha256_hash ORDER BY file_id % 7 DESC, file_id DESC) = 1 AS last FROM up WHERE file_id % 4 = 0),
+        told AS (SELECT u.user_id, file_id, f.user_id || '/' || f.sha256_hash AS storage_path FROM gone u LEFT JOIN freed f ON last AND f.user_id = u.user_id AND f.sha256_hash = u.sha256_hash)
+        SELECT user_id, file_id, TRUE AS deleted, storage_path IS NOT NULL AS blob_deleted, storage_path,
+               json_object('deleted', TRUE, 'blob_deleted', storage_path IS NOT NULL, 'storage_path', storage_path)::VARCHAR AS result FROM told"""
+    ),
+    "foreign_deletes": _q(
+        """, asked AS (SELECT CASE WHEN file_id % 20 = 0 THEN 'fr' ELSE user_id END AS user_id, file_id * 3 AS file_id FROM up WHERE file_id % 10 = 0)
+        SELECT user_id, file_id FROM asked a WHERE NOT EXISTS (SELECT 1 FROM up u WHERE u.user_id = a.user_id AND u.file_id = a.file_id)"""
+    ),
+    "refused_uploads": """SELECT coalesce(lang, '') AS user_id, doc_id AS file_id, CASE WHEN doc_id IS NULL THEN 'no id' ELSE 'empty file' END AS reason, 400 AS status
+        FROM documents WHERE doc_id IS NULL OR coalesce(text, '') = ''""",
+    "increment_refs": _q("SELECT user_id, sha256_hash, count(*) AS ref_count FROM up GROUP BY ALL HAVING bool_or(file_id % 2 = 0)"),
+    "tier1_lookup": _q(
+        """SELECT u.user_id, u.file_id, b.id AS blob_id FROM up u LEFT JOIN (SELECT user_id, sha256_hash, min(file_id) AS id FROM up WHERE file_id % 2 = 0 GROUP BY ALL) b
+        ON b.user_id = u.user_id AND b.sha256_hash = u.sha256_hash WHERE u.file_id % 2 = 1"""
+    ),
+    "new_blobs": _q("SELECT user_id, sha256_hash, any_value(size_bytes) AS size_bytes, user_id || '/' || sha256_hash AS storage_path FROM up GROUP BY user_id, sha256_hash HAVING bool_and(file_id % 2 = 1)"),
+    "bump_frequency": _q("SELECT user_id, doc_count::INTEGER AS doc_count, count(*) AS n_shingles FROM (SELECT user_id, s, count(*) AS doc_count FROM post GROUP BY ALL) GROUP BY ALL"),
+    "upsert_pairs": _q(
+        """SELECT user_id, file_a_id, file_b_id, CASE WHEN (file_a_id + file_b_id) % 3 = 0 THEN 1 ELSE round(composite_score, 8) END AS composite_score,
+        CASE WHEN (file_a_id + file_b_id) % 3 = 0 THEN 'pending' ELSE 'kept' END AS status FROM pairs"""
+    ),
+    "register_buckets": _q("SELECT user_id AS id, NOT bool_or(file_id < 5) AS public FROM up GROUP BY 1"),
+    "scoped_objects": _q("SELECT 'files' AS bucket_id, storage_path AS name FROM blobs WHERE user_id = 'de' AND size_bytes % 5 <> 0"),
+    "write_violations": _q("SELECT user_id, file_id FROM up WHERE user_id <> 'en'"),
+    "constraint_violations": _q(
+        """, spoilt AS (SELECT *, (file_a_id + file_b_id) % 11 AS k FROM pairs)
+        SELECT file_a_id, CASE WHEN k = 2 THEN file_a_id ELSE file_b_id END AS file_b_id, CASE k WHEN 0 THEN 'confidence' WHEN 1 THEN 'status' ELSE 'self' END AS violation FROM spoilt WHERE k < 3
+        UNION ALL SELECT file_a_id, file_b_id, 'repeated' FROM spoilt WHERE k = 3
+        UNION ALL SELECT file_a_id, file_a_id, 'repeated' FROM spoilt WHERE k = 2 GROUP BY file_a_id HAVING count(*) > 1"""
+    ),
+    "ratio_shown": _q(
+        """SELECT user_id, printf('%.2f', uploaded / stored) || '×' AS shown
+        FROM (SELECT user_id, sum(size_bytes)::BIGINT AS uploaded FROM up GROUP BY 1) JOIN (SELECT user_id, sum(size_bytes)::BIGINT AS stored FROM blobs GROUP BY 1) USING (user_id)"""
+    ),
+    "extract_formats": _q(
+        f""", kinds AS (SELECT file_id, text, string_split(text, chr(10)) AS lines, ['txt', 'docx', 'pptx', 'xlsx', 'pdf', 'png'][file_id % 6 + 1] AS ext FROM up),
+        raw AS (SELECT *, CASE ext WHEN 'txt' THEN text || ' ' || chr(10) || chr(10) || chr(10) || '&lt;end&gt; &amp;lt; A' WHEN 'docx' THEN text WHEN 'pptx' THEN array_to_string(lines, chr(10) || chr(10))
+          WHEN 'xlsx' THEN array_to_string(list_filter(lines, lambda x: regexp_matches(x, '{_SHOWN}')), chr(9)) WHEN 'pdf' THEN regexp_replace(text, '{_BEYOND}', '?', 'g') ELSE '' END AS t,
+          CASE ext WHEN 'pptx' THEN len(lines) WHEN 'xlsx' THEN len(list_filter(lines, lambda x: regexp_matches(x, '{_SHOWN}'))) ELSE 1 END AS units FROM kinds),
+        clean AS (SELECT *, {_clean("t")} AS c FROM raw),
+        sized AS (SELECT *, length(c)::INTEGER AS n, (CASE ext WHEN 'docx' THEN 1500 WHEN 'pdf' THEN 1500 WHEN 'pptx' THEN 150 * greatest(units, 1) WHEN 'xlsx' THEN 4 * greatest(units, 1) ELSE 0 END)::INTEGER AS least FROM clean),
+        passed AS (SELECT *, CASE ext WHEN 'png' THEN FALSE WHEN 'txt' THEN n > 0 ELSE n >= least * 0.2::DOUBLE END AS ok FROM sized)
+        SELECT file_id, CASE ext WHEN 'txt' THEN 'plain' WHEN 'png' THEN 'unsupported' ELSE ext END AS format, ok AS extraction_ok,
+          CASE ext WHEN 'png' THEN 'unsupported format: .png' WHEN 'txt' THEN CASE WHEN ok THEN 'plain-text read directly' ELSE 'empty plain-text file' END
+            WHEN 'docx' THEN CASE WHEN ok THEN 'docx XML text nodes parsed' ELSE 'docx text layer below confidence floor' END
+            WHEN 'pptx' THEN CASE WHEN ok THEN 'pptx slide text parsed' ELSE 'pptx text below confidence floor' END
+            WHEN 'xlsx' THEN CASE WHEN ok THEN 'xlsx shared/inline strings parsed' ELSE 'xlsx text below confidence floor' END
+            ELSE CASE WHEN ok THEN 'pdf text layer extracted' ELSE 'scanned/pdf text layer below confidence floor' END END AS extraction_reason,
+          least AS expected_min_chars, n AS actual_chars, CASE WHEN ext IN ('pptx', 'pdf') THEN units END::INTEGER AS page_count, CASE WHEN ok THEN sha256(c) END AS sha256 FROM passed"""
     ),
+    "stream_replay": _q(f"SELECT user_id, file_a_id, file_b_id, {_ROUNDED}, confidence, status FROM pairs"),
     "df_after_delete": _q("SELECT user_id, doc_count::INTEGER AS doc_count, count(*) AS n_shingles FROM (SELECT user_id, s, count(*) AS doc_count FROM post WHERE file_id % 4 <> 0 GROUP BY ALL) GROUP BY ALL"),
     "pairs_after_delete": _q("SELECT file_a_id, file_b_id, status FROM pairs WHERE file_a_id % 4 <> 0 AND file_b_id % 4 <> 0"),
     "keep_pairs": _q("SELECT file_a_id, file_b_id, CASE WHEN (file_a_id + file_b_id) % 2 = 0 THEN 'kept' ELSE status END AS status FROM pairs"),
@@ -235,9 +284,10 @@ SQL = {
         CASE WHEN file_id % 6 = 3 THEN 'txt' ELSE extension END AS extension FROM named"""
     ),
     "tenant_scope": _q("SELECT user_id, file_id, sha256_hash FROM up WHERE user_id = 'fr'"),
-    "entity_decode": f"SELECT page_id, sha256(replace({_ENTITIES.format('html')}, '&amp;', '&')) AS sha256 FROM pages WHERE NOT regexp_matches(html, '&#\\d+;')",
-    "cleaned_text": f"""
-        WITH d AS (SELECT page_id, regexp_replace(replace({_ENTITIES.format('html')}, '&amp;', '&'), '\\r\\n?', chr(10), 'g') AS t FROM pages),
-        e AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM d)
-        SELECT page_id, sha256({_JS_TRIM.format('t')}) AS sha256 FROM e""",
+    "entity_decode": f"""
+        WITH named AS (SELECT page_id, {_ENTITIES.format("(html || ' &#' || (page_id % 26 + 65) || ';&#8364;&amp;#65;')")} AS t FROM pages),
+        cut AS (SELECT page_id, regexp_split_to_array(t, '&#\\d+;') AS parts, regexp_extract_all(t, '&#(\\d+);', 1) AS codes FROM named),
+        whole AS (SELECT page_id, array_to_string(list_transform(parts, lambda p, i: p || CASE WHEN i <= len(codes) THEN chr(codes[i]::INTEGER) ELSE '' END), '') AS t FROM cut)
+        SELECT page_id, sha256(replace(t, '&amp;', '&')) AS sha256 FROM whole""",
+    "cleaned_text": f"SELECT page_id, sha256({_clean('html')}) AS sha256 FROM pages",
 }

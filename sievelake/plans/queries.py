@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import html
+import io
+import re
+import uuid
+import zipfile
+import zlib
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schema
 from ..functions import names, scores
 from ..functions.text import clean_text, decode_entities, excerpt, word_diff, words
 from ..operators import library, review, scoring, shingles, tier1
-from ..sources.library import library_of_documents, upload_log
-from ..sources.stage import spread, staged
+from ..sources.extract import extract
+from ..sources.library import library_of_documents, refused_documents, upload_log
+from ..sources.library import new_blobs as put_new_blobs
+from ..sources.library import register_buckets as put_buckets
+from ..sources.stage import shared_dir, spread, staged
+from ..streaming.ingest import UPLOADS, LibraryState
 
 #: Ceiling of the blocked-candidates query, low enough that blocking applies in small libraries.
 LOW_CEILING = 100
@@ -63,9 +76,18 @@ class Library:
     def shingles(self) -> DataFrame:
         return staged(shingles.file_shingles(spread(self.texts)), "shingles")
 
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return staged(shingles.ranked_postings(self.shingles), "ranked")
+
+    @cached_property
+    def sets(self) -> DataFrame:
+        return staged(scoring.file_sets(self.ranked), "sets")
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return staged(scoring.flagged_pairs(self.files, scoring.content_scores(self.shingles)), "pairs")
+        found = scoring.likely_scores(self.files, self.ranked, self.sets)
+        return staged(scoring.flagged_pairs(self.files, found), "pairs")
 
     @cached_property
     def blobs(self) -> DataFrame:
@@ -156,12 +178,6 @@ def shingle_offsets(spark, sf_dir):
     return lib.shingles.select("file_id", "start_offset")
 
 
-def shingle_hash_fnv(spark, sf_dir):
-    lib = Library(spark, sf_dir)
-    rows = lib.shingles.where("start_offset = 0")
-    return rows.select("file_id", "shingle_hash")
-
-
 def shingle_hashes(spark, sf_dir):
     """The hashes of all shingles of the files."""
     return Library(spark, sf_dir).shingles.select("file_id", "start_offset", "shingle_hash")
@@ -194,14 +210,6 @@ def df_top_k(spark, sf_dir):
 
 
 def rpc_doc_frequencies(spark, sf_dir):
-    """Frequencies of the shingles that begin files, looked up in the stored table."""
-    lib = Library(spark, sf_dir)
-    made = lib.shingles
-    found = shingles.frequencies_of(shingles.doc_frequency(made), made.where("start_offset = 0"))
-    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("doc_count").alias("total"))
-
-
-def rpc_all_doc_frequencies(spark, sf_dir):
     """Frequencies of all shingles of each file, looked up in the stored table."""
     made = Library(spark, sf_dir).shingles
     found = shingles.frequencies_of(shingles.doc_frequency(made), made)
@@ -342,7 +350,7 @@ def format_percent(spark, sf_dir):
 
 def log_messages(spark, sf_dir):
     lib = Library(spark, sf_dir)
-    counts = lib.pairs.groupBy(F.col("file_b_id").alias("file_id")).agg(F.count("*").alias("n_pairs"))
+    counts = lib.pairs.groupBy("user_id", F.col("file_b_id").alias("file_id")).agg(F.count("*").alias("n_pairs"))
     return upload_log(lib.files, counts)
 
 
@@ -370,8 +378,17 @@ def delete_freed_blobs(spark, sf_dir):
 
 
 def delete_results(spark, sf_dir):
+    """Deletes one after another: of several that take references to one blob, the last frees it."""
+    up = uploads(spark, sf_dir)
+    gone = library.owned(up, _deletes(up)).withColumn("delete_seq", F.col("file_id") % 7)
+    return library.delete_results(up, tier1.blobs(up), gone)
+
+
+def foreign_deletes(spark, sf_dir):
+    """Deletes that each tenant asks of the files of the tenant before it, and of files that are not there."""
     up = uploads(spark, sf_dir)
-    return library.delete_results(up, tier1.blobs(up), _deletes(up))
+    asked = up.where("file_id % 10 = 0").select(F.when(F.col("file_id") % 20 == 0, F.lit("fr")).otherwise(F.col("user_id")).alias("user_id"), (F.col("file_id") * 3).alias("file_id"))
+    return library.foreign_deletes(up, asked)
 
 
 def df_after_delete(spark, sf_dir):
@@ -390,7 +407,7 @@ def pairs_after_delete(spark, sf_dir):
 def keep_pairs(spark, sf_dir):
     lib = Library(spark, sf_dir)
     found = lib.pairs
-    kept = found.where("(file_a_id + file_b_id) % 2 = 0").select("file_a_id", "file_b_id")
+    kept = found.where("(file_a_id + file_b_id) % 2 = 0").select("user_id", "file_a_id", "file_b_id")
     return review.keep_pairs(found, kept).select("file_a_id", "file_b_id", "status")
 
 
@@ -401,6 +418,75 @@ def rename_files(spark, sf_dir):
     return library.rename_files(up, new).select("file_id", "filename", "filename_stem", "extension")
 
 
+def refused_uploads(spark, sf_dir):
+    return refused_documents(spark, sf_dir)
+
+
+def increment_refs(spark, sf_dir):
+    """Blobs of even files after one more reference by each odd file with the same bytes."""
+    up = uploads(spark, sf_dir)
+    stored = tier1.blobs(up.where("file_id % 2 = 0"))
+    return tier1.increment_refs(stored, up.where("file_id % 2 = 1")).select("user_id", "sha256_hash", "ref_count")
+
+
+def tier1_lookup(spark, sf_dir):
+    """The stored blob, by its first file, that each odd file's bytes hit among those of even ones."""
+    up = uploads(spark, sf_dir)
+    stored = tier1.blobs(up.where("file_id % 2 = 0")).withColumnRenamed("first_seq", "id")
+    return tier1.lookup(up.where("file_id % 2 = 1"), stored).select("user_id", "file_id", "blob_id")
+
+
+def new_blobs(spark, sf_dir):
+    """The objects that the odd files add to a store of the even ones."""
+    up = uploads(spark, sf_dir)
+    return put_new_blobs(up.where("file_id % 2 = 1"), tier1.blobs(up.where("file_id % 2 = 0")))
+
+
+def bump_frequency(spark, sf_dir):
+    """Frequencies of even files' shingles, raised by those of the odd ones, by how many stand in how many."""
+    made = Library(spark, sf_dir).shingles
+    bumped = shingles.bump_frequency(shingles.doc_frequency(made.where("file_id % 2 = 0")), made.where("file_id % 2 = 1"))
+    return bumped.groupBy("user_id", "doc_count").agg(F.count("*").alias("n_shingles"))
+
+
+def upsert_pairs(spark, sf_dir):
+    """The kept pairs of a queue, some of which come in again as pending with a composite score of 1."""
+    lib = Library(spark, sf_dir)
+    stored = lib.pairs.withColumn("status", F.lit("kept"))
+    new = lib.pairs.where("(file_a_id + file_b_id) % 3 = 0").withColumn("composite_score", F.lit(1.0))
+    return _shown(review.upsert_pairs(stored, new)).select("user_id", "file_a_id", "file_b_id", "composite_score", "status")
+
+
+def register_buckets(spark, sf_dir):
+    """Buckets named like the tenants, inserted where there is none yet; those of the first files are there."""
+    up = uploads(spark, sf_dir)
+    there = up.where("file_id < 5").select(F.col("user_id").alias("id"), F.lit(False).alias("public")).distinct()
+    return put_buckets(there, up.select(F.col("user_id").alias("id"), F.lit(True).alias("public")).distinct())
+
+
+def scoped_objects(spark, sf_dir):
+    """Objects at their storage paths, of two buckets, that one tenant sees."""
+    rows = tier1.blobs(uploads(spark, sf_dir)).select(F.when(F.col("size_bytes") % 5 == 0, "other").otherwise("files").alias("bucket_id"), F.col("storage_path").alias("name"))
+    return library.scoped_objects(rows, "de")
+
+
+def write_violations(spark, sf_dir):
+    return library.write_violations(uploads(spark, sf_dir), "en").select("user_id", "file_id")
+
+
+def constraint_violations(spark, sf_dir):
+    """Pairs of a queue some of which were spoilt: equal ends, an unknown confidence or status, a repeated pair."""
+    found = Library(spark, sf_dir).pairs.withColumn("k", (F.col("file_a_id") + F.col("file_b_id")) % 11)
+    k = F.col("k")
+    spoilt = found.withColumn("confidence", F.when(k == 0, "sure").otherwise(F.col("confidence"))).withColumn("status", F.when(k == 1, "open").otherwise(F.col("status")))
+    spoilt = spoilt.withColumn("file_b_id", F.when(k == 2, F.col("file_a_id")).otherwise(F.col("file_b_id")))
+    return schema.pair_violations(spoilt.unionByName(spoilt.where(k == 3)))
+
+
+def ratio_shown(spark, sf_dir):
+    return dedup_ratio_by_user(spark, sf_dir).select("user_id", scores.format_ratio(F.col("ratio")).alias("shown"))
+
+
 def tenant_scope(spark, sf_dir):
     return library.scoped(uploads(spark, sf_dir), "fr").select("user_id", "file_id", "sha256_hash")
 
@@ -409,8 +495,10 @@ def tenant_scope(spark, sf_dir):
 
 
 def entity_decode(spark, sf_dir):
+    """Pages decoded, each with two references by number after it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.sha2(decode_entities(F.col("html")), 256).alias("sha256"))
+    marked = F.concat("html", F.lit(" &#"), (F.col("page_id") % 26 + 65).cast("string"), F.lit(";&#8364;&amp;#65;"))
+    return pages.select("page_id", F.sha2(decode_entities(marked), 256).alias("sha256"))
 
 
 def cleaned_text(spark, sf_dir):
@@ -423,3 +511,63 @@ def name_diff(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
     return part.join(other, "p_partkey").select("p_partkey", word_diff("p_name", "next_name").alias("diff"))
+
+
+# Extraction and ingest
+
+FORMATS = ("txt", "docx", "pptx", "xlsx", "pdf", "png")
+
+
+@F.pandas_udf(T.BinaryType())
+def file_bytes(extension: pd.Series, text: pd.Series) -> pd.Series:
+    """Files of the formats that hold a text, a line in each paragraph, slide, cell or drawn string."""
+
+    def zipped(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, body in members:
+                archive.writestr(name, body)
+        return out.getvalue()
+
+    def one(ext, body):
+        lines = body.split("\n")
+        marked = [html.escape(x, quote=False) for x in lines]
+        if ext == "txt":
+            return b"\xef\xbb\xbf" + "\r\n".join(lines).encode() + b" \t\r\n\n\n\n&lt;end&gt; &amp;lt; &#65;\r"
+        if ext == "docx":
+            return zipped([("word/document.xml", "".join(f"<w:p><w:r><w:t xml:space='preserve'>{x}</w:t></w:r></w:p>" for x in marked))])
+        if ext == "pptx":  # the archive's order is not the slides'
+            return zipped([(f"ppt/slides/slide{k + 1}.xml", f"<p:sld><a:t>{x}</a:t></p:sld>") for k, x in sorted(enumerate(marked), key=lambda s: str(s[0]))])
+        if ext == "xlsx":
+            return zipped([("xl/worksheets/sheet1.xml", "".join(f'<c r="A{k + 1}" t="inlineStr"><is><t>{x}</t></is></c>' for k, x in enumerate(marked)))])
+        if ext == "pdf":
+            drawn = [b"BT (" + re.sub(rb"([\\()])", rb"\\\1", x.encode("latin-1", "replace")) + b") Tj ET" for x in lines]
+            return b"%PDF-1.4\n1 0 obj<</Type /Page>>endobj\nstream\n" + zlib.compress(b"\n".join(drawn)) + b"\nendstream\n%%EOF"
+        return body.encode()
+
+    return pd.Series([one(e, t) for e, t in zip(extension, text, strict=True)])
+
+
+def extract_formats(spark, sf_dir):
+    """Each document as a file of some format, and what extraction makes of it."""
+    up = uploads(spark, sf_dir)
+    kind = F.element_at(F.array(*[F.lit(e) for e in FORMATS]), (F.pmod("file_id", F.lit(len(FORMATS))) + 1).cast("int"))
+    files = spread(up.select("file_id", kind.alias("extension"), "text"))
+    made = extract(files.select("file_id", "extension", file_bytes("extension", "text").alias("content")))
+    return made.select("file_id", "format", "extraction_ok", "extraction_reason", "expected_min_chars", "actual_chars", "page_count", F.sha2("extracted_text", 256).alias("sha256"))
+
+
+def stream_replay(spark, sf_dir):
+    """The review queue after the library came in by three batches of a stream, the last of them twice."""
+    lib = Library(spark, sf_dir)
+    columns = [c.split()[0] for c in UPLOADS.split(", ")]
+    narrow = lib.files.select("file_id", "extraction_ok")
+    up = staged(lib.uploads.withColumnRenamed("text", "extracted_text").join(narrow, "file_id").select(*columns), "arrivals")
+    state = LibraryState(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
+    ends = up.agg(F.min("upload_seq").alias("a"), F.max("upload_seq").alias("b")).first()
+    if ends.a is None:
+        return _shown(state.pairs())
+    third = F.expr(f"(upload_seq - {ends.a}) * 3 div {ends.b - ends.a + 1}")
+    for batch in (0, 1, 2, 2):
+        state.ingest(up.where(third == batch), batch)
+    return _shown(state.pairs())

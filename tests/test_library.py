@@ -4,6 +4,7 @@ import io
 import os
 import random
 import re
+import time
 import zipfile
 import zlib
 from datetime import datetime
@@ -18,6 +19,7 @@ from sievelake.operators import library, review, scoring, shingles, tier1
 from sievelake.plans import queries
 from sievelake.sources import extract
 from sievelake.sources import library as source
+from sievelake.sources import stage
 from sievelake.streaming.ingest import UPLOADS, LibraryState
 
 
@@ -113,11 +115,43 @@ def test_word_diff(spark):
     ops = [(d.op, d.value) for d in got[0][0]]
     assert ("removed", "brown") in ops and ("added", "red") in ops and any(o == "equal" and "quick" in v for o, v in ops)
     assert [(d.op, d.value) for d in got[1][0]] == [("added", "a")]
+
+
+def longest_common(x, y):
+    best = [0] * (len(y) + 1)
+    for s in x:
+        last = best[:]
+        for j, t in enumerate(y):
+            best[j + 1] = last[j] + 1 if s == t else max(last[j + 1], best[j])
+    return best[-1]
+
+
+@pytest.mark.parametrize("held", [1 << 27, 40])
+def test_word_diff_is_shortest(monkeypatch, held):
+    monkeypatch.setattr(text, "HELD_BITS", held)
     rng = random.Random(1)
-    for _ in range(500):
-        a, b = (" ".join(rng.choices("abc", k=rng.randrange(9))) for _ in "ab")
+    for _ in range(400):
+        a, b = (" ".join(rng.choices("abc", k=rng.randrange(16))) for _ in "ab")
         d = text.diff_words(a, b)
         assert "".join(v for o, v in d if o != "added") == a and "".join(v for o, v in d if o != "removed") == b
+        x, y = (text._TOKEN.findall(t) for t in (a, b))
+        assert sum(len(text._TOKEN.findall(v)) for o, v in d if o == "equal") == longest_common(x, y)
+
+
+def test_word_diff_ignores_white_space():
+    assert text.diff_words("one two\nthree", "one  two three") == [("equal", "one  two three")]
+    assert text.diff_words("a (b) c", "a (x) c") == [("equal", "a ("), ("removed", "b"), ("added", "x"), ("equal", ") c")]
+    assert text.diff_words("", None) == [] and text.diff_words("a", "") == [("removed", "a")]
+
+
+def test_word_diff_of_long_texts():
+    rng = random.Random(2)
+    a = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    b = [w if rng.random() < 0.4 else f"w{rng.randrange(3000)}" for w in a]
+    began = time.perf_counter()
+    d = text.diff_words(" ".join(a), " ".join(b))
+    assert time.perf_counter() - began < 5
+    assert "".join(v for o, v in d if o != "added").split() == a and "".join(v for o, v in d if o != "removed").split() == b
 
 
 def archive(members):
@@ -175,7 +209,39 @@ def test_uploads_from_files(spark, tmp_path):
     stored = spark.createDataFrame([("u2", "h1")], "user_id string, sha256_hash string")
     assert [r.storage_path for r in source.new_blobs(up, stored).collect()] == ["u1/h1"]
     source.write_blobs(up, str(tmp_path / "blobs"))
-    assert spark.read.parquet(str(tmp_path / "blobs")).count() == 2
+    more = up.union(spark.createDataFrame([("", "h2", 1, b"x")], up.schema))
+    for _ in range(2):  # what is there already stays, once
+        source.write_blobs(more, str(tmp_path / "blobs"))
+    got = source.read_blobs(spark, str(tmp_path / "blobs")).collect()
+    assert sorted((b.user_id, b.sha256_hash, bytes(b.content)) for b in got) == [("", "h2", b"x"), ("u1", "h1", b"abc"), ("u2", "h1", b"abc")]
+    assert [(r.path.rsplit("/", 1)[1], r.reason, r.status) for r in source.refused_files(spark, str(tmp_path), "u1").collect()] == [("empty.md", "empty file", 400)]
+
+
+def test_odd_documents(spark, tmp_path):
+    rows = [(1, None, "en"), (2, "", "en"), (3, "a b c d e f", None), (None, "text", "en"), (5, "a b c d e f", "en"), (6, "a b c d e f", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    for name in ("tier1_flags", "running_counts", "file_list"):
+        assert {r.file_id for r in getattr(queries, name)(spark, sf).collect()} == {3, 5, 6}, name
+    refused = {(r.user_id, r.file_id, r.reason) for r in queries.refused_uploads(spark, sf).collect()}
+    assert refused == {("en", 1, "empty file"), ("en", 2, "empty file"), ("en", None, "no id")}
+    assert {(r.file_id, r.deduplicated) for r in queries.tier1_flags(spark, sf).collect()} == {(3, False), (5, False), (6, True)}
+
+
+def test_staging(spark, tmp_path):
+    made = stage.staged(spark.range(3), "numbers")
+    path = made.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and stage.clear_staged(spark) >= 1 and not os.path.exists(path)
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        stage.shared_dir(Far)
 
 
 def library_rows(n=45, seed=3):
@@ -270,6 +336,56 @@ def test_scores_on_arrival_match_a_replay(spark, ceiling):
     want = replay(rows, ceiling)
     assert len(want) > 10 and len({v[2] for v in want.values()}) > 1
     assert shown(scoring.flagged_pairs(files.drop("extracted_text"), found, ceiling)) == want
+    ranked = shingles.ranked_postings(shingles.file_shingles(usable))
+    likely = scoring.likely_scores(files.drop("extracted_text"), ranked, scoring.file_sets(ranked), ceiling)
+    assert shown(scoring.flagged_pairs(files.drop("extracted_text"), likely, ceiling)) == want
+
+
+@pytest.mark.parametrize("least", [0.0, 0.2, 0.5, 0.9])
+def test_likely_pairs_lose_nothing(spark, monkeypatch, least):
+    monkeypatch.setattr(shingles, "RANK_FILES", 7)  # ranks and counts over several ranges
+    rows = library_rows(60, 11)
+    usable = uploaded(spark, rows).where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
+    made = shingles.file_shingles(usable)
+    ranked = shingles.ranked_postings(made)
+    want = {(r.a_id, r.b_id): round(r.content_score, 9) for r in scoring.content_scores(made).collect() if r.content_score >= least}
+    near = scoring.likely_pairs(ranked, scoring.file_sets(ranked), least)
+    got = {(r.a_id, r.b_id): round(r.content_score, 9) for r in scoring.exact_scores(near, ranked, scoring.file_sets(ranked), least).collect()}
+    assert {k: v for k, v in want.items() if v > 0} == {k: v for k, v in got.items() if v > 0} and len(want) > 4
+    assert near.count() <= scoring.content_scores(made).count()
+
+
+def test_ranks_over_ranges(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(rng.choice("uv"), k, k * 3, h, 0) for k in range(60) for h in rng.sample(range(6), 3)]
+    made = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, shingle_hash long, start_offset int")
+    one = {tuple(r) for r in shingles.ranked_postings(made).collect()}
+    monkeypatch.setattr(shingles, "RANK_FILES", 10)
+    ranked = shingles.ranked_postings(made)
+    assert {tuple(r) for r in ranked.collect()} == one
+    asked = [(u, h, s) for u in "uvw" for h in range(7) for s in (0, 9, 10, 11, 95, 500)]
+    df = shingles.counted_until(ranked, spark.createDataFrame(asked, "user_id string, shingle_hash long, upload_seq long"))
+    want = {(u, h, s): sum(r[0] == u and r[3] == h and r[2] <= s for r in rows) for u, h, s in asked}
+    assert {(r.user_id, r.shingle_hash, r.upload_seq): r.df for r in df.collect()} == want
+
+
+def test_name_pairs_against_brute_force(spark):
+    rng = random.Random(14)
+    base = ["quarterly report north", "minutes of the meeting", "été à la plage", "a", ""]
+    stems = []
+    for _ in range(70):
+        stem = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(stem) + 1)
+            stem[at : at + rng.randrange(2)] = rng.choice(["", "x", "Y", "é"])
+        stems.append("".join(stem))
+    rows = [("u", k, k, s, "md", 10, False, k % 3 > 0) for k, s in enumerate(stems)]
+    files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
+    score = lambda x, y: 1.0 if x == y else 1 - lev(x, y) / max(len(x), len(y))
+    want = {(i, j): round(score(stems[i].lower(), stems[j].lower()), 9) for j in range(70) for i in range(j) if not (rows[i][7] and rows[j][7])}
+    for ceiling in (2000, 10):
+        got = {(r.a_id, r.b_id): round(r.filename_score, 9) for r in scoring.name_pairs(files, ceiling).collect()}
+        assert got == {k: v for k, v in want.items() if v >= 0.8}
 
 
 @pytest.mark.parametrize("ceiling", [2000, 12])
@@ -283,6 +399,17 @@ def test_stream_matches_a_replay(spark, tmp_path, ceiling):
     assert shown(state.pairs()) == replay(rows, ceiling)
 
 
+def test_compacted_stream(spark, tmp_path):
+    rows = library_rows(30, 6)
+    state = LibraryState(spark, str(tmp_path / "state"))
+    for k, (a, b) in enumerate([(0, 10), (10, 20), (20, len(rows))]):
+        if k == 2:
+            state.compact(2)
+            assert len([p for p in os.listdir(tmp_path / "state" / "postings") if p.startswith("batch=")]) == 1
+        state.ingest(uploaded(spark, rows[a:b]), k)
+    assert shown(state.pairs()) == replay(rows)
+
+
 def test_structured_stream(spark, tmp_path):
     rows = library_rows(12, 7)
     for k in range(2):
@@ -309,6 +436,14 @@ def test_lifecycle(spark):
     assert [b.storage_path for b in freed.collect()] == ["u1/h"] and [b.user_id for b in kept.collect()] == ["u2"]
     other = spark.createDataFrame([("u2", 1), ("u1", 99)], "user_id string, file_id long")
     assert library.foreign_deletes(up, other).count() == 2 and library.delete_files(up, blobs, other)[0].count() == 3
+    with pytest.raises(Exception, match="logical file not found or not owned by caller"):
+        library.owned(up, other).collect()
+    assert library.owned(up, one).collect() == one.collect()
+    both = spark.createDataFrame([("u1", 2, 1), ("u1", 1, 2), ("u2", 3, 3), ("u2", 1, 4)], "user_id string, file_id long, delete_seq long")
+    told = {(r.file_id, r.blob_deleted, r.storage_path) for r in library.delete_results(up, blobs, both).collect()}
+    assert told == {(2, False, None), (1, True, "u1/h"), (3, True, "u2/h")}  # the last of two references frees the blob, once
+    first = library.delete_results(up, blobs, both.drop("delete_seq").limit(1)).first()
+    assert first.result == '{"deleted":true,"blob_deleted":false,"storage_path":null}'
     assert library.scoped(up, "u2").count() == 1 and library.write_violations(up, "u1").count() == 1
     objects = spark.createDataFrame([("files", "u1/a"), ("files", "u2/a"), ("else", "u1/b")], "bucket_id string, name string")
     assert library.scoped_objects(objects, "u1").count() == 1
@@ -358,8 +493,8 @@ def test_plain_and_snapshot_scores(spark):
 
 
 def test_log_and_buckets(spark):
-    up = spark.createDataFrame([(1, "a.txt", False, True, None), (2, "b.png", False, False, "unsupported format: .png"), (3, "c.txt", True, False, None)], "file_id long, filename string, deduplicated boolean, extraction_ok boolean, extraction_reason string")
-    counts = spark.createDataFrame([(1, 2)], "file_id long, n_pairs long")
+    up = spark.createDataFrame([("u", 1, "a.txt", False, True, None), ("u", 2, "b.png", False, False, "unsupported format: .png"), ("u", 3, "c.txt", True, False, None)], "user_id string, file_id long, filename string, deduplicated boolean, extraction_ok boolean, extraction_reason string")
+    counts = spark.createDataFrame([("u", 1, 2), ("v", 2, 9)], "user_id string, file_id long, n_pairs long")
     got = {r.file_id: r.message for r in source.upload_log(up, counts).collect()}
     assert got[1] == "a.txt: stored — text extracted; 2 possible duplicate(s)." and "metadata-only (unsupported format: .png); 0" in got[2] and "Tier 1" in got[3]
     buckets = spark.createDataFrame([("files", True)], "id string, public boolean")
@@ -386,4 +521,4 @@ def test_hashes_and_frequencies_of_whole_texts(spark):
         for f in files:
             n, t = total.get((user, f), (0, 0))
             total[user, f] = n + 1, t + len(files)
-    assert {(r.user_id, r.file_id): (r.n, r.total) for r in queries.rpc_all_doc_frequencies(spark, sf).collect()} == total
+    assert {(r.user_id, r.file_id): (r.n, r.total) for r in queries.rpc_doc_frequencies(spark, sf).collect()} == total
