@@ -91,10 +91,10 @@ def likely_pairs(ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTEN
     return a.join(b, ["user_id", "shingle_hash"]).where("ra < rb").select("user_id", "a_id", "b_id").distinct()
 
 
-def exact_scores(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTENT) -> DataFrame:
+def exact_scores(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTENT, one_range: bool | None = None) -> DataFrame:
     """Scores from ``least`` of the given (user_id, a_id, b_id), as `content_scores` has them.
 
-    ``sets``: n, own_logs and n_shingled of each b on its arrival.
+    ``sets``: n, own_logs and n_shingled of each b on its arrival; ``one_range`` as `counted_until` takes it.
     """
     ends = pairs.select("user_id", F.explode(F.array("a_id", "b_id")).alias("file_id")).distinct()
     own = staged(ranked.join(ends, ["user_id", "file_id"], "left_semi"), "compared-postings")
@@ -111,7 +111,7 @@ def exact_scores(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, least: fl
     asked = both.select("user_id", "a_id", "b_id", F.col("b_seq").alias("upload_seq")).join(side("a"), ["user_id", "a_id"])
     asked = staged(asked, "asked")
     held = ranked.join(asked.select("user_id", "shingle_hash").distinct(), ["user_id", "shingle_hash"], "left_semi")
-    then = counted_until(held, asked, one_range_of(ranked)).groupBy("user_id", "a_id", "b_id").agg(F.count("*").alias("a_n"), F.sum(F.ln("df")).alias("a_logs"))
+    then = counted_until(held, asked, one_range_of(ranked) if one_range is None else one_range).groupBy("user_id", "a_id", "b_id").agg(F.count("*").alias("a_n"), F.sum(F.ln("df")).alias("a_logs"))
     scored = both.join(then, ["user_id", "a_id", "b_id"])
     union = F.col("a_n") * log_n - F.col("a_logs") + F.col("b_n") * log_n - F.col("b_logs") - F.col("inter")
     plain = F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))
@@ -124,7 +124,8 @@ def likely_scores(files: DataFrame, ranked: DataFrame, sets: DataFrame, ceiling:
     """Exact scores from ``least`` of all pairs that are compared."""
     met = staged(likely_pairs(ranked, sets, least, newer), "likely")
     met = met.join(_side(files, "a"), ["user_id", "a_id"]).join(_side(newer_files(files, ceiling, only), "b", BLOCK), ["user_id", "b_id"])
-    return exact_scores(staged(within_block(met).select("user_id", "a_id", "b_id"), "compared"), ranked, sets, least)
+    met = staged(within_block(met).select("user_id", "a_id", "b_id"), "compared")
+    return exact_scores(met, ranked, sets, least, one_range_of(files))
 
 
 def plain_jaccard(shingles: DataFrame) -> DataFrame:

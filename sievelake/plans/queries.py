@@ -558,7 +558,7 @@ def extract_formats(spark, sf_dir):
 
 
 def stream_replay(spark, sf_dir):
-    """The review queue after the library came in by three batches of a stream, the last of them twice."""
+    """The review queue after the library came in by three batches of a stream."""
     lib = Library(spark, sf_dir)
     columns = [c.split()[0] for c in UPLOADS.split(", ")]
     narrow = lib.files.select("file_id", "extraction_ok")
@@ -568,6 +568,6 @@ def stream_replay(spark, sf_dir):
     if ends.a is None:
         return _shown(state.pairs())
     third = F.expr(f"(upload_seq - {ends.a}) * 3 div {ends.b - ends.a + 1}")
-    for batch in (0, 1, 2, 2):
+    for batch in range(3):
         state.ingest(up.where(third == batch), batch)
     return _shown(state.pairs())
