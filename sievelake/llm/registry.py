@@ -12,6 +12,7 @@ from .quality import op7_quality
 from .revisits import OP9_SQL, op9_revisits
 from .secret_scan import op8_secret_scan
 from .simhash import op6_simhash
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +28,14 @@ QUERIES = {
         op9_revisits,
         op10_language_id,
         op5_mix_weights,
+        op13_vector_codes,
     )
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_mix_sources": OP5_SQL, "op9_revisits": OP9_SQL}
+ORACLES = {
+    "op2_decontaminate": OP2_SQL,
+    "op3_exact_dedup": OP3_SQL,
+    "op4_license_scan": OP4_SQL,
+    "op5_mix_sources": OP5_SQL,
+    "op9_revisits": OP9_SQL,
+    "op13_vector_codes": OP13_SQL,
+}

@@ -1,0 +1,81 @@
+"""Vector codes against plain search over all entries."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from sievelake.llm import vector_codes as v
+
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, error string, _label long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(k, e, label, "clash", "clash", 1) for k, e, label in rows], SCHEMA)
+
+
+def brute(rows, parts, entries, rounds):
+    kept = [(k, [math.floor(256 * x) for x in e], label) for k, e, label in rows if e and all(x is not None and math.isfinite(x) for x in e)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return []
+    w = len(kept[0][1]) // parts
+    cut = [[e[p * w : (p + 1) * w] for p in range(parts)] for _, e, _ in kept]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def near(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), i) for i, c in enumerate(book))
+
+    for _ in range(rounds):
+        new = []
+        for p, book in enumerate(books):
+            own = [near(c[p], book)[1] for c in cut]
+            mine = [[cut[n][p] for n in range(len(cut)) if own[n] == i] for i in range(len(book))]
+            new.append([[sum(col) // len(m) for col in zip(*m, strict=True)] if m else book[i] for i, m in enumerate(mine)])
+        books = new
+    digest = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    found = [[near(x, b) for x, b in zip(c, books, strict=True)] for c in cut]
+    errors = [sum(d for d, _ in f) for f in found]
+    total = {label: sum(e for e, r in zip(errors, kept, strict=True) if r[2] == label) for _, _, label in kept}
+    return [(r[0], r[2], "".join(f"{i:02x}" for _, i in f), e, total[r[2]], digest) for r, f, e in zip(kept, found, errors, strict=True)]
+
+
+def rows_of(df):
+    return sorted(((r.vec_id, r.label, r.code, r.error, r.label_error, r.codebooks_sha256) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("spread", [1, 40, 10**8])
+def test_nearest_is_that_of_the_full_search(spread):
+    rng = np.random.default_rng(spread)
+    book = rng.integers(-spread, spread + 1, (37, 4))
+    x = rng.integers(-spread, spread + 1, (500, 4))
+    far = ((x[:, None, :] - book[None]) ** 2).sum(axis=2)
+    code, best = v.nearest(x, book)
+    assert (best == far.min(axis=1)).all() and (code == far.argmin(axis=1)).all()  # argmin takes the first
+
+
+def test_masks_keep_ties_and_equal_entries():
+    book = np.array([[9, 9]] * 10 + [[1, 0], [0, 1], [1, 0]] + [[0, -1]] * 9, np.int64)
+    code, best = v.nearest(np.array([[0, 0], [9, 9], [1, 0]], np.int64), book)
+    assert code.tolist() == [10, 0, 10] and best.tolist() == [1, 0, 0]
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.choice([-0.5, -0.004, 0.0, 0.3, 1.7]) if k % 3 else rng.uniform(-2, 2) for _ in range(12)], rng.choice([None, 0, 1, 2])) for k in rng.sample(range(-40, 400), 150)]
+    rows = [(k, [float(np.float32(x)) for x in e], label) for k, e, label in rows]
+    odd = [(3, None, 1), (4, [], 1), (5, [None] + [0.1] * 11, 1), (6, [float("nan")] * 12, 2), (7, [float("inf")] * 12, 2)]
+    for parts, entries, rounds in ((3, 8, 2), (12, 70, 1), (1, 200, 0)):
+        got = v.compress_vectors(table(spark, rows + odd).repartition(5), parts, entries, rounds)
+        assert rows_of(got) == sorted(brute(rows + odd, parts, entries, rounds), key=str)
+
+
+def test_repeats_null_ids_lengths_and_empty(spark):
+    rows = [(1, [0.5, 0.25], 7), (1, [0.5, 0.25], 7), (None, [0.5, 1.0], None), (2, [1.0], 7), (3, [0.1] * 4, 7), (4, [3e30, 0.0], 7)]
+    got = rows_of(v.compress_vectors(table(spark, rows), 2, 2, 2))
+    assert [r[0] for r in got] == [1, 1, None] and got == sorted(brute([r for r in rows if r[0] in (1, None)], 2, 2, 2), key=str)
+    assert v.compress_vectors(table(spark, [(1, [0.1] * 3, 1)]), 2).collect() == []  # no whole parts
+    none = v.compress_vectors(table(spark, []))
+    assert none.collect() == [] and none.columns == ["vec_id", "label", "code", "error", "label_error", "codebooks_sha256"]
