@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, scores
 from ..sources.stage import staged
+from . import similar_names
 from .shingles import counted_until, one_range_of, postings, ranked_postings
 from .tier1 import running_file_count
 
@@ -31,8 +32,19 @@ LEAST_CONTENT = (scores.FLAG_COMPOSITE - scores.NAME_WEIGHT) / scores.CONTENT_WE
 def file_sets(ranked: DataFrame) -> DataFrame:
     """(user_id, file_id, upload_seq, n, n_shingled, own_logs): distinct shingles, files with shingles so
     far, and the sum of the logs of the frequencies of its shingles on arrival."""
-    sums = ranked.groupBy("user_id", "file_id", "upload_seq").agg(F.count("*").alias("n"), F.sum(F.ln("rank")).alias("own_logs"))
-    return sums.join(running_file_count(sums.select("user_id", "file_id", "upload_seq")).withColumnRenamed("n_files", "n_shingled"), ["user_id", "file_id"])
+    file = ["user_id", "file_id", "upload_seq", *_life(ranked)]
+    sums = ranked.groupBy(*file).agg(F.count("*").alias("n"), F.sum(F.ln("rank")).alias("own_logs"))
+    return sums.join(running_file_count(sums.select(*file)).withColumnRenamed("n_files", "n_shingled"), ["user_id", "file_id"])
+
+
+def _life(df: DataFrame) -> list[str]:
+    """The column that tells when a file went, where there is one."""
+    return ["gone_seq"] if "gone_seq" in df.columns else []
+
+
+def living(p: str = "a", at: str = "b_upload_seq") -> str:
+    """Whether file ``p`` had come and not gone when ``at`` was the time."""
+    return f"{p}_upload_seq < {at} AND ({p}_gone_seq IS NULL OR {p}_gone_seq > {at})"
 
 
 def sharing_pairs(ranked: DataFrame, newer: DataFrame | None = None) -> DataFrame:
@@ -86,9 +98,10 @@ def likely_pairs(ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTEN
     met = newer.where("rank > 1").join(sets.select("user_id", "file_id", "n_shingled", whole.alias("whole")), ["user_id", "file_id"])
     common = W.partitionBy("user_id", "file_id").orderBy(F.desc("rank"), "shingle_hash").rowsBetween(W.unboundedPreceding, 0)
     prefix = met.withColumn("rest", F.sum(weight).over(common)).where((F.col("whole") > 0) & (F.col("rest") >= least * F.col("whole") - 1e-9))
-    b = prefix.select("user_id", "shingle_hash", F.col("file_id").alias("b_id"), F.col("rank").alias("rb"))
-    a = ranked.select("user_id", "shingle_hash", F.col("file_id").alias("a_id"), F.col("rank").alias("ra"))
-    return a.join(b, ["user_id", "shingle_hash"]).where("ra < rb").select("user_id", "a_id", "b_id").distinct()
+    b = prefix.select("user_id", "shingle_hash", F.col("file_id").alias("b_id"), F.col("upload_seq").alias("b_upload_seq"), F.col("rank").alias("rb"))
+    a = ranked.select("user_id", "shingle_hash", F.col("file_id").alias("a_id"), F.col("upload_seq").alias("a_upload_seq"), F.col("rank").alias("ra"), *[F.col(c).alias(f"a_{c}") for c in _life(ranked)])
+    earlier = living() if _life(ranked) else "ra < rb"
+    return a.join(b, ["user_id", "shingle_hash"]).where(earlier).select("user_id", "a_id", "b_id").distinct()
 
 
 def exact_scores(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, least: float = LEAST_CONTENT, one_range: bool | None = None) -> DataFrame:
@@ -183,7 +196,6 @@ def _side(files: DataFrame, p: str, extra: tuple = ()) -> DataFrame:
 
 
 BLOCK = ("blocked", "size_low", "size_high")
-BITS = ("bits0", "bits1", "bits2", "bits3")
 
 
 #: How many ways the newer files of a tenant are dealt out where they meet all earlier ones.
@@ -224,38 +236,15 @@ def content_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL
     return _scored(within_block(scored), F.col("content_score"), F.col("provisional"))
 
 
-def name_bits(stem) -> list:
-    """Four words of bits, set where a hash of a character and the number of its like so far falls."""
-
-    def place(i):
-        head, own = F.substr(stem, F.lit(1), i), F.substr(stem, i, F.lit(1))
-        return F.pmod(F.hash(own, F.length(head) - F.length(F.replace(head, own, F.lit("")))), F.lit(256))
-
-    places = F.when(F.length(stem) > 0, F.transform(F.sequence(F.lit(1), F.length(stem)), place)).otherwise(F.array().cast("array<int>"))
-
-    def word(k):
-        own = F.filter(places, lambda x: F.floor(x / 64) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)))
-
-    return [word(k) for k in range(4)]
-
-
 def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = scores.FLAG_NAME, only: DataFrame | None = None) -> DataFrame:
-    """Compared pairs of which one has no usable text and whose names are at least ``least`` alike.
-
-    What cannot be is left out before any distance is taken: lengths that differ by more than the edits that
-    ``least`` allows, and names whose characters, counted, differ in more than two for each edit.
-    """
+    """Compared pairs of which one has no usable text and whose names are at least ``least`` alike (above 0), by the
+    join of `similar_names`; blocking is looked at again on what it finds."""
     lowered = files.withColumn("filename_stem", F.lower("filename_stem"))
-    marked = lowered.select("*", *[g.alias(f"bits{k}") for k, g in enumerate(name_bits(F.col("filename_stem")))])
-    met = _candidates(marked, ceiling, only, BITS).where("NOT (a_extraction_ok AND b_extraction_ok)")
-    edits = f"cast({1 - least!r}D * greatest(length(a_filename_stem), length(b_filename_stem)) + 1e-6 AS int)"
-    apart = " + ".join(f"bit_count(a_{g} ^ b_{g})" for g in BITS)
-    likely = f"a_upload_seq < b_upload_seq AND abs(length(a_filename_stem) - length(b_filename_stem)) <= {edits} AND {apart} <= 2 * {edits}"
-    # The banded distance, -1 beyond its bound, is cheaper than the full one that the rest then gets. As one
-    # expression, so that no distance is taken before the other conditions.
-    close = met.where(f"CASE WHEN {likely} THEN levenshtein(a_filename_stem, b_filename_stem, {edits} + 1) >= 0 ELSE false END")
-    close = close.where(names.filename_similarity(F.col("a_filename_stem"), F.col("b_filename_stem")) >= least)
+    newer = newer_files(files, ceiling, only)
+    met = similar_names.candidates(lowered, newer, least)
+    bounds = _side(newer, "b", BLOCK).select("user_id", "b_id", "b_extension", "b_size_bytes", *[f"b_{c}" for c in BLOCK])
+    met = within_block(met.join(_side(files, "a").select("user_id", "a_id", "a_extension", "a_size_bytes"), ["user_id", "a_id"]).join(bounds, ["user_id", "b_id"]))
+    close = similar_names.alike(met.select("user_id", "a_id", "b_id"), lowered, least)
     return _scored(close, F.lit(None).cast("double"), F.lit(False))
 
 

@@ -60,26 +60,37 @@ RANK_FILES = 1 << 20
 
 
 def counted_until(postings: DataFrame, wanted: DataFrame, one_range: bool | None = None) -> DataFrame:
-    """``wanted`` (user_id, shingle_hash, upload_seq, ...) with df: the postings of its shingle up to then.
+    """``wanted`` (user_id, shingle_hash, upload_seq, ...) with df: the postings of its shingle up to then, less those
+    of files that were gone by then where the postings have gone_seq.
 
     Counted within ranges of ``RANK_FILES`` places and then over the ranges, so that the postings of a shingle
     that most files hold are never ordered in one group. ``one_range``: whether there is but one, if known.
     """
     keys = ["user_id", "shingle_hash", "_range"]
     ranged = lambda df: df.withColumn("_range", F.expr(f"upload_seq div {RANK_FILES}"))
-    here = ranged(postings.select("user_id", "shingle_hash", "upload_seq")).select("*", F.lit(1).alias("_one"))
+    here = ranged(_steps(postings))
     asked = ranged(wanted).withColumn("_one", F.lit(0))
     order = W.partitionBy(*keys).orderBy("upload_seq").rangeBetween(W.unboundedPreceding, 0)
     both = asked.unionByName(here, allowMissingColumns=True).withColumn("df", F.sum("_one").over(order)).where("_one = 0")
     if one_range_of(postings) if one_range is None else one_range:
         return both.select(*wanted.columns, "df")
-    earlier = _before(here.groupBy(*keys).agg(F.count("*").alias("_n")))
+    earlier = _before(here.groupBy(*keys).agg(F.sum("_one").alias("_n")))
     joined = _asof_range(both, earlier)
     return joined.select(*wanted.columns, (F.col("df") + F.col("_before")).alias("df"))
 
 
+def _steps(postings: DataFrame) -> DataFrame:
+    """(user_id, shingle_hash, upload_seq, _one): 1 where a file comes, -1 where it goes."""
+    came = postings.select("user_id", "shingle_hash", "upload_seq", F.lit(1).alias("_one"))
+    if "gone_seq" not in postings.columns:
+        return came
+    went = postings.where("gone_seq IS NOT NULL").select("user_id", "shingle_hash", F.col("gone_seq").alias("upload_seq"), F.lit(-1).alias("_one"))
+    return came.unionByName(went)
+
+
 def one_range_of(postings: DataFrame) -> bool:
-    ends = postings.agg(F.min("upload_seq").alias("a"), F.max("upload_seq").alias("b")).first()
+    last = F.greatest("upload_seq", "gone_seq") if "gone_seq" in postings.columns else F.col("upload_seq")
+    ends = postings.agg(F.min("upload_seq").alias("a"), F.max(last).alias("b")).first()
     return ends.a is None or ends.a // RANK_FILES == ends.b // RANK_FILES
 
 
@@ -105,3 +116,12 @@ def ranked_postings(shingles: DataFrame) -> DataFrame:
         earlier = _before(ranked.groupBy("user_id", "shingle_hash", "_range").agg(F.count("*").alias("_n")))
         ranked = _asof_range(ranked, earlier).withColumn("rank", (F.col("rank") + F.col("_before")).cast("int"))
     return ranked.select(*rows.columns, "rank")
+
+
+def living_postings(shingles: DataFrame, lives: DataFrame) -> DataFrame:
+    """Postings with gone_seq and rank: how many files that were there held the shingle when this one came, itself
+    included. ``lives``: user_id, file_id, gone_seq (null while the file is there)."""
+    rows = postings(shingles).join(lives.select("user_id", "file_id", "gone_seq"), ["user_id", "file_id"])
+    rows = rows.select("user_id", "shingle_hash", "file_id", "upload_seq", "gone_seq")
+    ranked = counted_until(rows, rows, one_range_of(lives.select("upload_seq", "gone_seq")) if "upload_seq" in lives.columns else None)
+    return ranked.withColumn("rank", F.col("df").cast("int")).drop("df")

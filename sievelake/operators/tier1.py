@@ -38,13 +38,49 @@ def increment_refs(stored: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def running_file_count(uploads: DataFrame) -> DataFrame:
-    """(user_id, file_id, n_files): a tenant's files up to and with this one.
+    """(user_id, file_id, n_files): a tenant's files up to and with this one; with ``gone_seq``, those still there.
 
     Counted by buckets of the upload order and then within each, so that one large tenant is split.
     """
+    if "gone_seq" in uploads.columns:
+        return _living_file_count(uploads)
     bucket = F.expr("upload_seq div 4096")
     rows = uploads.select("user_id", "file_id", "upload_seq", bucket.alias("_b"))
     sums = rows.groupBy("user_id", "_b").agg(F.count("*").alias("_n"))
     sums = sums.select("user_id", "_b", (F.sum("_n").over(W.partitionBy("user_id").orderBy("_b")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(W.partitionBy("user_id", "_b").orderBy("upload_seq", "file_id"))
     return rows.withColumn("_rn", own).join(sums, ["user_id", "_b"]).select("user_id", "file_id", (F.col("_before") + F.col("_rn")).alias("n_files"))
+
+
+def _living_file_count(uploads: DataFrame) -> DataFrame:
+    """As `running_file_count`, over arrivals that add one and deletes that take one away."""
+    came = uploads.select("user_id", F.col("upload_seq").alias("_at"), F.lit(1).alias("_step"), "file_id")
+    went = uploads.where("gone_seq IS NOT NULL").select("user_id", F.col("gone_seq").alias("_at"), F.lit(-1).alias("_step"))
+    steps = came.unionByName(went, allowMissingColumns=True).withColumn("_b", F.expr("_at div 4096"))
+    sums = steps.groupBy("user_id", "_b").agg(F.sum("_step").alias("_n"))
+    sums = sums.select("user_id", "_b", (F.sum("_n").over(W.partitionBy("user_id").orderBy("_b")) - F.col("_n")).alias("_before"))
+    own = W.partitionBy("user_id", "_b").orderBy("_at", "file_id").rowsBetween(W.unboundedPreceding, 0)
+    counted = steps.withColumn("_sum", F.sum("_step").over(own)).where("_step = 1").join(sums, ["user_id", "_b"])
+    return counted.select("user_id", "file_id", (F.col("_before") + F.col("_sum")).alias("n_files"))
+
+
+#: Places of the event order that one group of `with_living_tier1` spans.
+LIFE_RANGE = 1 << 16
+
+
+def with_living_tier1(uploads: DataFrame) -> DataFrame:
+    """``uploads`` (with gone_seq, null while a file is there) with deduplicated: whether a file of the same bytes
+    was still there when it came. The last of them to go takes the blob along, and the next upload stores it anew.
+
+    The latest end of the files before is carried over ranges of the event order, then taken within each, so
+    that copies which a tenant holds by the million are not ordered in one group.
+    """
+    never = F.coalesce("gone_seq", F.lit((1 << 63) - 1))
+    rows = uploads.withColumn("_end", never).withColumn("_range", F.expr(f"upload_seq div {LIFE_RANGE}"))
+    ends = rows.groupBy("user_id", "sha256_hash", "_range").agg(F.max("_end").alias("_last"))
+    over = W.partitionBy("user_id", "sha256_hash").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("user_id", "sha256_hash", "_range", F.max("_last").over(over).alias("_before"))
+    own = W.partitionBy("user_id", "sha256_hash", "_range").orderBy("upload_seq", "file_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.max("_end").over(own)).join(ends, ["user_id", "sha256_hash", "_range"])
+    held = F.greatest(F.coalesce("_own", F.lit(-1)), F.coalesce("_before", F.lit(-1)))
+    return rows.select(*uploads.columns, (held > F.col("upload_seq")).alias("deduplicated"))

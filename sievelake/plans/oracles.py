@@ -78,6 +78,54 @@ pending AS (SELECT user_id, file_id, count(*) AS pending FROM (SELECT user_id, u
 """
 
 
+def _lives(ceiling: int = 2000) -> str:
+    """A library whose files also go: counts and scores by comparing each arrival with all lives."""
+    head, rest = _at(ceiling).split("named AS (", 1)
+    shared_columns = rest.split("row_number()", 1)[0]
+    measured = rest[rest.index("measured AS (") : rest.index("reasons AS (")]
+    there = "{0}.user_id = {1}.user_id AND {0}.t <= {1}.t AND coalesce({0}.gone, 1::BIGINT << 60) > {1}.t"
+    return f"""{head}
+lived AS MATERIALIZED (SELECT *, 2 * file_id AS t, CASE WHEN file_id % 4 = 1 THEN 2 * (file_id + 60 + file_id % 41 * 25) + 1 END AS gone FROM up),
+together AS MATERIALIZED (SELECT y.file_id, count(*) AS n_files, count(*) FILTER (x.sha256_hash = y.sha256_hash) > 1 AS deduplicated FROM lived x JOIN lived y ON {there.format("x", "y")} GROUP BY y.file_id),
+named AS ({shared_columns} n_files, deduplicated FROM lived JOIN together USING (file_id)),
+{measured}
+toks AS MATERIALIZED (SELECT user_id, file_id, t, gone, regexp_extract_all(text, '\\S+') AS w FROM files WHERE ok),
+post AS MATERIALIZED (
+  SELECT DISTINCT user_id, file_id, t, gone, lower(array_to_string(w[i : i + 4], ' ')) AS s FROM toks, unnest(range(1, len(w) - 3)) r(i) WHERE len(w) >= 5),
+lists AS MATERIALIZED (SELECT user_id, s, list(struct_pack(t := t, gone := coalesce(gone, 1::BIGINT << 60))) AS l FROM post GROUP BY ALL),
+own AS MATERIALIZED (SELECT p.*, len(list_filter(l, lambda e: e.t <= p.t AND e.gone > p.t)) AS r FROM post p JOIN lists USING (user_id, s)),
+shingled AS MATERIALIZED (SELECT user_id, file_id, t, gone, count(*) AS k, sum(ln(r)) AS logs FROM own GROUP BY ALL),
+sets AS MATERIALIZED (SELECT y.user_id, y.file_id, any_value(y.k) AS k, any_value(y.logs) AS logs, count(*) AS n FROM shingled x JOIN shingled y ON {there.format("x", "y")} GROUP BY ALL),
+shares AS MATERIALIZED (
+  SELECT b.user_id, a.file_id AS a_id, b.file_id AS b_id, b.t AS b_at, count(*) AS shared, sum(ln(b.r)) AS shared_logs
+  FROM own a JOIN own b ON a.s = b.s AND a.t < b.t AND {there.format("a", "b")} GROUP BY ALL),
+then_logs AS MATERIALIZED (
+  SELECT p.a_id, p.b_id, sum(ln(len(list_filter(l, lambda e: e.t <= p.b_at AND e.gone > p.b_at)))) AS la
+  FROM shares p JOIN post a ON a.file_id = p.a_id JOIN lists l ON l.user_id = a.user_id AND l.s = a.s GROUP BY ALL),
+weighed AS (
+  SELECT p.user_id, p.a_id, p.b_id, y.n < 10 AS provisional, shared / (x.k + y.k - shared) AS plain, shared * ln(y.n) - shared_logs AS inter,
+         (x.k + y.k) * ln(y.n) - la - y.logs - (shared * ln(y.n) - shared_logs) AS uni
+  FROM shares p JOIN then_logs USING (a_id, b_id) JOIN sets x ON x.file_id = a_id JOIN sets y ON y.file_id = b_id),
+content AS MATERIALIZED (
+  SELECT user_id, a_id, b_id, provisional, CASE WHEN provisional THEN plain WHEN abs(uni) < 1e-9 THEN 0 ELSE inter / uni END AS content_score FROM weighed),
+newer AS (
+  SELECT *, n_files > {ceiling} AS blocked, ceil(pow(1.2::DOUBLE, b - 1))::BIGINT AS low, floor(pow(1.2::DOUBLE, b + 2))::BIGINT - 1 AS high
+  FROM (SELECT *, floor(ln(greatest(size_bytes, 1)) / ln(1.2::DOUBLE)) AS b FROM files) WHERE NOT deduplicated),
+alike AS MATERIALIZED (
+  SELECT y.user_id, x.file_id AS a_id, y.file_id AS b_id, x.ok AND y.ok AS both_ok, x.gone IS NULL AND y.gone IS NULL AS still_there,
+         CASE WHEN lower(x.filename_stem) = lower(y.filename_stem) THEN 1.0::DOUBLE
+         ELSE 1 - levenshtein(lower(x.filename_stem), lower(y.filename_stem))::DOUBLE / greatest(length(x.filename_stem), length(y.filename_stem)) END AS filename_score
+  FROM files x JOIN newer y ON {there.format("x", "y")} AND x.t < y.t
+  WHERE NOT y.blocked OR (x.extension = y.extension AND x.size_bytes BETWEEN y.low AND y.high)),
+pairs AS (
+  SELECT a.user_id, a_id AS file_a_id, b_id AS file_b_id, content_score, filename_score, 0.7::DOUBLE * content_score + 0.3::DOUBLE * filename_score AS composite_score,
+         CASE WHEN provisional THEN 'provisional' ELSE 'high' END AS confidence, 'pending' AS status, still_there
+  FROM alike a JOIN content c USING (a_id, b_id) WHERE 0.7::DOUBLE * content_score + 0.3::DOUBLE * filename_score >= 0.55::DOUBLE
+  UNION ALL
+  SELECT user_id, a_id, b_id, NULL, filename_score, filename_score, 'metadata-only', 'pending', still_there FROM alike WHERE NOT both_ok AND filename_score >= 0.8::DOUBLE)
+"""
+
+
 def _q(body: str, ceiling: int = 2000) -> str:
     return f"WITH {_at(ceiling)} {body}"
 
@@ -106,6 +154,8 @@ def _clean(x: str) -> str:
 
 
 SQL = {
+    "flagged_pairs_with_deletes": f"WITH {_lives()} SELECT user_id, file_a_id, file_b_id, {_ROUNDED}, confidence, status, still_there FROM pairs",
+    "tier1_flags_with_deletes": f"WITH {_lives()} SELECT user_id, file_id, deduplicated, ok AS extraction_ok, n_files FROM files",
     "tier1_blobs": _q("SELECT user_id, sha256_hash, size_bytes, ref_count, storage_path FROM blobs"),
     "tier1_flags": _q("SELECT user_id, file_id, sha256_hash, deduplicated FROM files"),
     "shared_badges": _q("SELECT user_id, sha256_hash, 'Shared storage ×' || ref_count AS badge FROM blobs WHERE ref_count > 1"),

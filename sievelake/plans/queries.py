@@ -43,12 +43,14 @@ class Library:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.uploads = uploads(spark, sf_dir)
 
+    _with_tier1 = staticmethod(tier1.with_tier1)
+
     @cached_property
     def _measured(self) -> DataFrame:
         """Files with their Tier-1 flag and, unless that is set, their extraction."""
         rows = self.uploads.withColumn("format", names.format_of(F.col("extension")))
         rows = rows.withColumn("n_chars", F.length("text")).drop("text")
-        rows = tier1.with_tier1(staged(rows, "uploads"))
+        rows = self._with_tier1(staged(rows, "uploads"))
         fmt, units = F.col("format"), F.col("units")
         rows = rows.withColumn("expected_min_chars", scores.expected_chars(fmt, units, units, units))
         rows = rows.withColumn("actual_chars", F.when(fmt == "unsupported", 0).otherwise(F.col("n_chars")))
@@ -94,6 +96,22 @@ class Library:
         return tier1.blobs(self.files)
 
 
+class LivingLibrary(Library):
+    """A library whose files also go. Arrivals and deletes share one order: a file comes at twice its id, and every
+    fourth one goes at an odd place, after 60 to 1,060 further ids."""
+
+    _with_tier1 = staticmethod(tier1.with_living_tier1)
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        gone = F.when(F.pmod("file_id", F.lit(4)) == 1, (F.col("file_id") + 60 + F.pmod("file_id", F.lit(41)) * 25) * 2 + 1)
+        self.uploads = self.uploads.withColumn("upload_seq", F.col("file_id") * 2).withColumn("gone_seq", gone)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return staged(shingles.living_postings(self.shingles, self.files), "ranked")
+
+
 # Tier 1
 
 
@@ -282,6 +300,23 @@ def flagged_pairs(spark, sf_dir):
     return _shown(lib.pairs).orderBy(F.desc("composite_score"), "file_a_id", "file_b_id")
 
 
+def flagged_pairs_with_deletes(spark, sf_dir):
+    """Pairs flagged on arrival in a library whose files also go, and whether both files are still there."""
+    lib = LivingLibrary(spark, sf_dir)
+    left = lib.files.where("gone_seq IS NULL").select("user_id", "file_id")
+    rows = lib.pairs
+    for p in "ab":
+        own = left.select("user_id", F.col("file_id").alias(f"file_{p}_id"), F.lit(True).alias(f"_{p}"))
+        rows = rows.join(own, ["user_id", f"file_{p}_id"], "left")
+    return _shown(rows.withColumn("still_there", F.col("_a").isNotNull() & F.col("_b").isNotNull()).drop("_a", "_b"))
+
+
+def tier1_flags_with_deletes(spark, sf_dir):
+    """Whether each upload's bytes were there when it came, and how many files its tenant had then."""
+    files = LivingLibrary(spark, sf_dir).files
+    return files.join(tier1.running_file_count(files), ["user_id", "file_id"]).select("user_id", "file_id", "deduplicated", "extraction_ok", "n_files")
+
+
 # Review
 
 

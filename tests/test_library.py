@@ -260,11 +260,12 @@ def library_rows(n=45, seed=3):
     return rows
 
 
-def replay(rows, ceiling=2000):
-    """Score uploads one at a time, as they come."""
+def replay(rows, ceiling=2000, gone=None):
+    """Score uploads one at a time, as they come; ``gone``: when files go."""
     stored, texts, sets, out = {}, {}, {}, {}
+    gone = gone or {}
     for u, k, body, stem, ext in rows:
-        mine = [r for r in rows if r[0] == u and r[1] < k]
+        mine = [r for r in rows if r[0] == u and r[1] < k and gone.get(r[1], k) >= k]
         count = len(mine) + 1
         if any(r[2] == body for r in mine):
             stored[k] = False
@@ -276,7 +277,7 @@ def replay(rows, ceiling=2000):
             texts[k] = {" ".join(w[i : i + 5]).lower() for i in range(len(w) - 4)}
             if texts[k]:
                 sets.setdefault(u, {})[k] = texts[k]
-        known = sets.get(u, {})
+        known = {i: s for i, s in sets.get(u, {}).items() if gone.get(i, k) >= k}
         n = len(known)
         df = {}
         for s in known.values():
@@ -341,6 +342,31 @@ def test_scores_on_arrival_match_a_replay(spark, ceiling):
     assert shown(scoring.flagged_pairs(files.drop("extracted_text"), likely, ceiling)) == want
 
 
+@pytest.mark.parametrize("ceiling, span", [(2000, None), (12, None), (2000, 8), (12, 8)])
+def test_scores_with_deletes_match_a_replay(spark, monkeypatch, ceiling, span):
+    """Frequencies, counts, Tier 1 and pairs are those of the files that are there; ``span``: ranges this short."""
+    if span:
+        monkeypatch.setattr(shingles, "RANK_FILES", span)
+        monkeypatch.setattr(tier1, "LIFE_RANGE", span)
+    rows = library_rows(60, 11)
+    rng = random.Random(12)
+    gone = {r[1]: r[1] + rng.choice([0, 1, 5, 20, 90]) + 0.5 for r in rows if rng.random() < 0.5}
+    when = spark.createDataFrame([(k, int(2 * g)) for k, g in gone.items()], "file_id long, gone_seq long")
+    up = uploaded(spark, rows).withColumn("upload_seq", F.col("file_id") * 2).join(when, "file_id", "left")
+    flagged = tier1.with_living_tier1(up)
+    want_flags = {k: any(r[0] == u and r[1] < k and r[2] == body and gone.get(r[1], k) >= k for r in rows) for u, k, body, _, _ in rows}
+    assert {r.file_id: r.deduplicated for r in flagged.collect()} == want_flags
+    files = flagged.withColumn("extraction_ok", ~F.col("deduplicated") & F.col("extraction_ok"))
+    counts = {r.file_id: r.n_files for r in tier1.running_file_count(files).collect()}
+    assert counts == {k: sum(r[0] == u and r[1] <= k and gone.get(r[1], k) >= k for r in rows) for u, k, *_ in rows}
+    usable = files.where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
+    ranked = shingles.living_postings(shingles.file_shingles(usable), files)
+    found = scoring.likely_scores(files.drop("extracted_text"), ranked, scoring.file_sets(ranked), ceiling)
+    want = replay(rows, ceiling, gone)
+    assert want != replay(rows, ceiling) and len(want) > 10
+    assert shown(scoring.flagged_pairs(files.drop("extracted_text"), found, ceiling)) == want
+
+
 @pytest.mark.parametrize("least", [0.0, 0.2, 0.5, 0.9])
 def test_likely_pairs_lose_nothing(spark, monkeypatch, least):
     monkeypatch.setattr(shingles, "RANK_FILES", 7)  # ranks and counts over several ranges
