@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word n-grams; documents
 known by a 128-bit digest, so copies are compared once however many there are. Two sets of n and m link at a
 Jaccard similarity of ``num`` / ``den``, that is at an overlap of need(n, m) = ceil(num * (n + m) / (num + den)).
 
-1. One narrow pass gives each document its size and digest, and each task's counts of all n-grams, folded to
+1. One narrow pass gives each document its size, digest and cuts (4.), and each task's counts of all n-grams, folded to
    ``SKETCH`` counters. The counters of all tasks added up put every n-gram in one global order, rarest
    first. Any order gives the same links; a collision only makes an n-gram look more frequent.
 2. Prefix filter: a link shares an n-gram within the first n - ceil(num * n / den) + 1 of both sets. Each class
@@ -15,7 +15,7 @@ Jaccard similarity of ``num`` / ``den``, that is at an overlap of need(n, m) = c
    meeting of each link. Pairs are made distinct, so each is verified once.
 4. Suffix filter: sets are cut at ``PIVOTS`` - 1 fixed pivots of the hashes; the smaller of both parts, added
    up, bounds the overlap. It is taken from a narrow table, before any set moves.
-5. Pairs that are left are verified on the whole sets, which are made again from the texts of those classes.
+5. Pairs that are left are verified on the whole sets, which are made again from the texts of their classes only.
 
 Only components are asked for, so pairs that are connected already need no look. The meetings come in two
 turns: first each member of a group of one n-gram with the members 1, 2, 4 and 8 places before it by
@@ -48,7 +48,7 @@ from .simhash import components
 WIDTH = 3
 NUM, DEN = 90, 100
 SEED = 7
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 CHUNK_BITS = 16
 PIVOTS = 64
 TILE = 1024
@@ -84,19 +84,26 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-num * n // den) + 1
 
 
+def cuts(grams: np.ndarray) -> np.ndarray:
+    """How many hashes stand in each of ``PIVOTS`` equal parts of their range."""
+    ends = np.arange(1, PIVOTS, dtype=np.uint64) * np.uint64((1 << 64) // PIVOTS)
+    return np.diff(np.searchsorted(grams, ends), prepend=0, append=len(grams)).astype(np.int32)
+
+
 def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row per document (doc_id, n, sig; sig null without words) and rows of the tasks' counters (chunk, counts)."""
+    """A row per document (doc_id, n, sig, cuts; sig null without words) and rows of the tasks' counters (chunk, counts)."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "n", "sig", "chunk", "counts"]
+        names = ["doc_id", "n", "sig", "cuts", "chunk", "counts"]
         for batch in batches:
-            sizes, sigs, waiting, held = [], [], [], 0
+            sizes, sigs, parts, waiting, held = [], [], [], [], 0
             for raw in binaries(batch.column(1)):
                 grams = ngram_set(raw, width)
                 sizes.append(len(grams))
                 sigs.append(digest(grams) if len(grams) else None)
+                parts.append(cuts(grams))
                 waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 held += len(grams)
                 if held > 1 << 21:
@@ -105,14 +112,14 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if waiting:
                 counters += np.bincount(np.concatenate(waiting), minlength=len(counters)).astype(np.int32)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(parts, pa.list_(pa.int32())), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for k, part in enumerate(counters.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
                 none = pa.nulls(1)
                 own = pa.array([zlib.compress(part.astype("<i4").tobytes(), 1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([none.cast(batch.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([k], pa.int32()), own], names=names)
+                yield pa.RecordBatch.from_arrays([none.cast(batch.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.array([k], pa.int32()), own], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, chunk int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, cuts array<int>, chunk int, counts binary")
 
 
 def rarity(keys: DataFrame) -> np.ndarray:
@@ -139,7 +146,7 @@ def rarity(keys: DataFrame) -> np.ndarray:
 
 def prefixes(docs: DataFrame, grades: np.ndarray, width: int, num: int, den: int) -> DataFrame:
     """(gram, sig, n, place): the rarest n-grams of each class, each class once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(grades)  # 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(grades)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -208,35 +215,37 @@ def _distinct(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def suffix_filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose cuts leave room for the overlap. ``classes``: sig, n, cuts."""
+    side = lambda p: classes.select(F.col("sig").alias(p), F.col("n").alias(f"{p}_n"), F.col("cuts").alias(f"{p}_cuts"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.aggregate(F.zip_with("a_cuts", "b_cuts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return both.where((num + den) * most.cast("long") >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
 def class_sets(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
-    """(sig, n, cuts, grams) of the wanted classes (sig), made again from one text of each."""
-    first = staged(keys.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("first_id")).select("first_id").distinct(), "first-ids")
-    if first.count() * 16 <= broadcast_bytes:
-        first = F.broadcast(first)
-    texts = docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi").select("text")
+    """(sig, grams) of the wanted classes (sig), made again from one text of each."""
+    first = staged(keys.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("first_id")), "first-ids")
+    ids, sigs = first.select("first_id").distinct(), first.select("sig")
+    if first.count() * 32 <= broadcast_bytes:
+        ids, sigs = F.broadcast(ids), F.broadcast(sigs)
+    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.first_id), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        ends = np.arange(1, PIVOTS, dtype=np.uint64) * np.uint64((1 << 64) // PIVOTS)
         for batch in batches:
             for raw in binaries(batch.column(0)):
                 own = ngram_set(raw, width)
                 if not len(own) or (sig := digest(own)) in seen:
                     continue
                 seen.add(sig)
-                cuts = np.diff(np.searchsorted(own, ends), prepend=0, append=len(own)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([sig], pa.binary()), pa.array([len(own)], pa.int32()), pa.array([cuts], pa.list_(pa.int32())), pa.array([own.tobytes()], pa.binary())], names=["sig", "n", "cuts", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([sig], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=["sig", "grams"])
 
-    made = texts.mapInArrow(run, "sig binary, n int, cuts array<int>, grams binary")
-    return made.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+    return texts.mapInArrow(run, "sig binary, grams binary").join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: the suffix filter, then the whole sets."""
-    narrow = lambda p: sets.select(F.col("sig").alias(p), F.col("n").alias(f"{p}_n"), F.col("cuts").alias(f"{p}_cuts"))
-    both = pairs.join(narrow("a"), "a").join(narrow("b"), "b")
-    most = F.aggregate(F.zip_with("a_cuts", "b_cuts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = staged(both.where((num + den) * most.cast("long") >= num * (F.col("a_n") + F.col("b_n")).cast("long")).select("a", "b"), "near-pairs")
+def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``near`` whose whole sets link."""
     whole = near.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("a_grams")), "a")
     whole = whole.join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("b_grams")), "b")
 
@@ -269,10 +278,16 @@ def jaccard_components(
     made = staged(set_keys(docs, width), "set-keys")
     keys = made.where("chunk IS NULL").select("doc_id", "n", "sig")
     shared = staged(shared_prefixes(prefixes(docs, rarity(made), width, num, den)), "shared-prefixes")
-    sets = staged(class_sets(docs, keys, shared.select("sig").distinct(), width, broadcast_bytes), "class-sets")
-    links = staged(verified(near_pairs(shared, num, den), sets, num, den), "links")
+    classes = staged(made.where("sig IS NOT NULL").select("sig", "n", "cuts").dropDuplicates(["sig"]), "classes")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        near = staged(suffix_filtered(pairs, classes, num, den), "near-pairs")
+        ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        return staged(verified(near, staged(class_sets(docs, keys, ends, width, broadcast_bytes), "class-sets"), num, den), "links")
+
+    links = links_of(near_pairs(shared, num, den))
     labels = components(links)
-    more = staged(verified(apart_pairs(shared, labels, num, den, tile), sets, num, den), "more-links")
+    more = links_of(apart_pairs(shared, labels, num, den, tile))
     if not more.isEmpty():
         labels = components(links.union(more))
     classes = keys.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
