@@ -133,11 +133,19 @@ def exact_scores(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, least: fl
     return rows.where(F.col("content_score") >= least)
 
 
-def likely_scores(files: DataFrame, ranked: DataFrame, sets: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = LEAST_CONTENT, newer: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Exact scores from ``least`` of all pairs that are compared."""
+def likely_scores(
+    files: DataFrame,
+    ranked: DataFrame,
+    sets: DataFrame,
+    ceiling: int = scores.FULL_COMPARE_FILES,
+    least: float = LEAST_CONTENT,
+    newer: DataFrame | None = None,
+    only: DataFrame | None = None,
+    older: DataFrame | None = None,
+) -> DataFrame:
+    """Exact scores from ``least`` of all pairs that are compared. ``older``: see `flagged_pairs`."""
     met = staged(likely_pairs(ranked, sets, least, newer), "likely")
-    met = met.join(_side(files, "a"), ["user_id", "a_id"]).join(_side(newer_files(files, ceiling, only), "b", BLOCK), ["user_id", "b_id"])
-    met = staged(within_block(met).select("user_id", "a_id", "b_id"), "compared")
+    met = staged(within_block(_met(met, files, ceiling, only, older)).select("user_id", "a_id", "b_id"), "compared")
     return exact_scores(met, ranked, sets, least, one_range_of(files))
 
 
@@ -227,24 +235,41 @@ def all_candidates(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES) -
     return _candidates(files, ceiling).select("user_id", "a_id", "b_id")
 
 
-def content_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = 0.0, only: DataFrame | None = None) -> DataFrame:
+def _met(pairs: DataFrame, files: DataFrame, ceiling: int, only: DataFrame | None, older: DataFrame | None) -> DataFrame:
+    """``pairs`` with the attributes of a, of the version that was there when b came, and of b."""
+    older = files if older is None else older
+    life = _life(older)
+    both = pairs.join(_side(older, "a", tuple(life)), ["user_id", "a_id"]).join(_side(newer_files(files, ceiling, only), "b", BLOCK), ["user_id", "b_id"])
+    return both.where(living()) if life else both
+
+
+def capped_candidates(files: DataFrame, cap: int, ceiling: int = scores.FULL_COMPARE_FILES) -> DataFrame:
+    """(user_id, a_id, b_id): of each newer file's candidates the ``cap`` that came first.
+
+    The rank is limited before any pair is shuffled, so a task passes on at most ``cap`` pairs of a newer file.
+    """
+    first = F.row_number().over(W.partitionBy("user_id", "b_id").orderBy("a_upload_seq", "a_id"))
+    met = _candidates(files, ceiling).select("user_id", "a_id", "b_id", "a_upload_seq")
+    return met.withColumn("place", first).where(F.col("place") <= cap).select("user_id", "a_id", "b_id")
+
+
+def content_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = 0.0, only: DataFrame | None = None, older: DataFrame | None = None) -> DataFrame:
     """Compared pairs of content scores ``found``, from ``least``, with name and composite scores. Edit
     distances are taken for these pairs only."""
     found = found.where(F.col("content_score") >= least) if least > 0 else found
-    scored = found.join(_side(files, "a"), ["user_id", "a_id"])
-    scored = scored.join(_side(newer_files(files, ceiling, only), "b", BLOCK), ["user_id", "b_id"])
-    return _scored(within_block(scored), F.col("content_score"), F.col("provisional"))
+    return _scored(within_block(_met(found, files, ceiling, only, older)), F.col("content_score"), F.col("provisional"))
 
 
-def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = scores.FLAG_NAME, only: DataFrame | None = None) -> DataFrame:
+def name_pairs(files: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, least: float = scores.FLAG_NAME, only: DataFrame | None = None, older: DataFrame | None = None) -> DataFrame:
     """Compared pairs of which one has no usable text and whose names are at least ``least`` alike (above 0), by the
     join of `similar_names`; blocking is looked at again on what it finds."""
-    lowered = files.withColumn("filename_stem", F.lower("filename_stem"))
+    older = (files if older is None else older).withColumn("filename_stem", F.lower("filename_stem"))
     newer = newer_files(files, ceiling, only)
-    met = similar_names.candidates(lowered, newer, least)
+    met = similar_names.candidates(older, newer, least)
     bounds = _side(newer, "b", BLOCK).select("user_id", "b_id", "b_extension", "b_size_bytes", *[f"b_{c}" for c in BLOCK])
-    met = within_block(met.join(_side(files, "a").select("user_id", "a_id", "a_extension", "a_size_bytes"), ["user_id", "a_id"]).join(bounds, ["user_id", "b_id"]))
-    close = similar_names.alike(met.select("user_id", "a_id", "b_id"), lowered, least)
+    sized = _side(older, "a").select("user_id", "a_id", F.col("a_upload_seq").alias("a_seq"), "a_extension", "a_size_bytes")
+    met = within_block(met.join(sized, ["user_id", "a_id", "a_seq"]).join(bounds, ["user_id", "b_id"]))
+    close = similar_names.alike(met.select("user_id", "a_id", "a_seq", "b_id", "b_seq"), older, least)
     return _scored(close, F.lit(None).cast("double"), F.lit(False))
 
 
@@ -260,16 +285,17 @@ def _scored(pairs: DataFrame, content, provisional) -> DataFrame:
     )
 
 
-def flagged_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, only: DataFrame | None = None) -> DataFrame:
+def flagged_pairs(files: DataFrame, found: DataFrame, ceiling: int = scores.FULL_COMPARE_FILES, only: DataFrame | None = None, older: DataFrame | None = None) -> DataFrame:
     """The review queue's new rows: file_a_id < file_b_id, scores, confidence, status pending.
 
     ``found``: content scores of the pairs that share a shingle, or of those from ``LEAST_CONTENT``;
-    ``only``: the files that just came.
+    ``only``: the files that just came; ``older``: the files as they are met, a row for each name that a file had
+    one after another, with upload_seq and gone_seq from when and until when it had it.
     """
-    content = content_pairs(files, found, ceiling, LEAST_CONTENT, only).where("flagged")
+    content = content_pairs(files, found, ceiling, LEAST_CONTENT, only, older).where("flagged")
     # Names that are alike enough to be compared here are alike enough to be flagged; a filter on the flag
     # would be pushed down and take every distance once more.
-    both = content.unionByName(name_pairs(files, ceiling, scores.FLAG_NAME, only))
+    both = content.unionByName(name_pairs(files, ceiling, scores.FLAG_NAME, only, older))
     return both.select(
         "user_id", F.least("a_id", "b_id").alias("file_a_id"), F.greatest("a_id", "b_id").alias("file_b_id"),
         "content_score", "filename_score", "composite_score", "confidence", F.lit("pending").alias("status"),

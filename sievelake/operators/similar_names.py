@@ -1,17 +1,18 @@
 """Pairs of alike file names by an edit-distance join on partitioned segments.
 
 Names of m characters at most k edits apart (k follows from the similarity and the longer name) are met as
-follows. The longer name is cut into k + 1 segments of even length. Edits cannot touch all of them, and the
-first segment by which fewer edits than segments lie to its left is whole: the other name holds it, shifted by
-at most s (its number, from 0) counted from the left, and by at most k - s counted from the right. So
+follows. The longer name is cut into k + 1 segments, each around a q-gram of its own. Edits cannot touch all of them,
+and the first segment by which fewer edits than segments lie to its left is whole: the other name holds its q-gram,
+shifted by at most s (its number, from 0) counted from the left, and by at most k - s counted from the right. So
 
-* each name as the longer one gives one q-gram of each segment, the rarest there, with its place;
+* each name as the longer one gives k + 1 disjoint q-grams with their places, chosen so that the fewest other names
+  hold them (`rarest`): what a naming scheme repeats is left out as far as the name has enough else;
 * each name as the shorter one gives all its q-grams with their places;
 * they meet on the tenant, the block where blocking applies, and the q-gram, and are left where lengths or
   places are too far apart, or where the two are not compared at all.
 
-A q-gram that many names hold is the common part of a naming scheme. Its names are salted over groups of
-``HOT_NAMES``, as counted beforehand in ``COUNTERS`` buckets (a table of that size is broadcast).
+A q-gram that many names hold all the same is salted over groups of ``HOT_NAMES`` names, as counted beforehand in
+``COUNTERS`` buckets (a table of that size is broadcast).
 
 Candidates are made distinct before any distance is taken. Distances are then banded and taken only where
 counted characters allow them.
@@ -19,8 +20,10 @@ counted characters allow them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names, scores
 from ..sources.stage import staged
@@ -57,14 +60,38 @@ def _gram_length(length: str, least: float) -> str:
     return f"least({GRAM}, ({length}) div ({_edits(length, least)} + 1))"
 
 
+def rarest(counts: list[int], q: int, picks: int) -> list[int]:
+    """Where ``picks`` disjoint q-grams begin whose counts, one for each place, add up to the least; ascending."""
+    size = len(counts) + q - 1
+    # least[j][p]: j q-grams among the first p characters.
+    least = [[0] * (size + 1)] + [[1 << 60] * (size + 1) for _ in range(picks)]
+    for j in range(1, picks + 1):
+        own, before = least[j], least[j - 1]
+        for p in range(j * q, size + 1):
+            own[p] = min(own[p - 1], before[p - q] + counts[p - q])
+    found, p = [], size
+    for j in range(picks, 0, -1):
+        while p > 0 and least[j][p] == least[j][p - 1]:
+            p -= 1
+        p -= q
+        found.append(p)
+    return found[::-1]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _rarest(counts: pd.Series, q: pd.Series, picks: pd.Series) -> pd.Series:
+    return pd.Series([rarest([int(n) for n in c], a, b) for c, a, b in zip(counts, q, picks, strict=True)])
+
+
 def participants(files: DataFrame, newer: DataFrame) -> DataFrame:
-    """(user_id, file_id, ext, bucket, as_a, as_b): where each file takes part, as an earlier file and as a newer one.
+    """(user_id, file_id, upload_seq, ext, bucket, as_a, as_b): where each file takes part, as an earlier one and as a
+    newer one. Names that a file got later are rows of their own and only earlier ones.
 
     Up to the ceiling a tenant's files meet in one block (ext and bucket null). Beyond it a newer file looks into
     the buckets of its extension around its own size.
     """
     ends = newer.groupBy("user_id").agg(*[F.max(F.when(F.col("blocked") == b, F.col("upload_seq"))).alias(n) for b, n in ((False, "_full"), (True, "_sized"))])
-    rows = files.join(ends, "user_id").join(newer.select("user_id", "file_id", "blocked"), ["user_id", "file_id"], "left")
+    rows = files.join(ends, "user_id").join(newer.select("user_id", "file_id", "upload_seq", "blocked"), ["user_id", "file_id", "upload_seq"], "left")
     own = F.struct(F.col("extension").alias("ext"), scores.size_bucket(F.col("size_bytes")).alias("bucket"))
     full = F.struct(F.lit(None).cast("string").alias("ext"), F.lit(None).cast("long").alias("bucket"))
     place = lambda at, a, b: F.struct(at["ext"].alias("ext"), at["bucket"].alias("bucket"), a.alias("as_a"), b.alias("as_b"))
@@ -72,13 +99,13 @@ def participants(files: DataFrame, newer: DataFrame) -> DataFrame:
     no, is_new, is_blocked = F.lit(False), F.coalesce(~F.col("blocked"), F.lit(False)), F.coalesce("blocked", F.lit(False))
     before = lambda c: F.coalesce(F.col("upload_seq") < F.col(c), F.lit(False))
     places = F.array(place(full, before("_full"), is_new), place(own, before("_sized"), is_blocked), *[place(beside(k), no, is_blocked) for k in (-1, 1)])
-    listed = rows.select("user_id", "file_id", F.explode(F.filter(places, lambda p: p["as_a"] | p["as_b"])).alias("p"))
-    return listed.select("user_id", "file_id", "p.*")
+    listed = rows.select("user_id", "file_id", "upload_seq", F.explode(F.filter(places, lambda p: p["as_a"] | p["as_b"])).alias("p"))
+    return listed.select("user_id", "file_id", "upload_seq", "p.*")
 
 
 def candidates(files: DataFrame, newer: DataFrame, least: float) -> DataFrame:
-    """Distinct (user_id, a_id, b_id) that may be ``least`` alike, a being an earlier file that was there and b one
-    of ``newer``, unless both have usable text. ``files``: with lower-cased stems."""
+    """Distinct (user_id, a_id, a_seq, b_id, b_seq) that may be ``least`` alike, a being an earlier file that was there
+    and b one of ``newer``, unless both have usable text. ``files``: with lower-cased stems."""
     gone = F.col("gone_seq") if "gone_seq" in files.columns else F.lit(None).cast("long")
     slim = files.select("user_id", "file_id", "upload_seq", gone.alias("gone_seq"), "extraction_ok", "filename_stem", F.length("filename_stem").alias("len"))
     k = F.expr(_edits("len", least))
@@ -91,38 +118,40 @@ def candidates(files: DataFrame, newer: DataFrame, least: float) -> DataFrame:
     counts = F.broadcast(staged(grams.groupBy("counter").agg(F.count("*").alias("n")), "gram-counts"))  # COUNTERS rows at most
     grams = grams.join(counts, "counter").withColumn("salts", F.expr(f"cast((n - 1) div {HOT_NAMES} + 1 AS int)"))
 
-    # The rarest q-gram of each segment; which one is right for any, so a bucket's count will do.
+    # The rarest disjoint q-grams; which ones is right for any, so a bucket's count will do.
     own = grams.withColumn("k", k).where(f"q = {_gram_length('len', least)}")
-    own = own.withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    own = own.where("pos - 1 >= seg * len div (k + 1) AND pos - 1 + q <= (seg + 1) * len div (k + 1)")
     file = ["user_id", "file_id", "upload_seq", "gone_seq", "extraction_ok", "len", "k"]
-    rare = own.groupBy(*file, "seg").agg(F.min(F.struct("n", "pos", "gram", "salts")).alias("g"))
+    whole = own.groupBy(*file, "q").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "gram", "salts"))).alias("g"))  # of one name
+    picked = whole.withColumn("at", _rarest("g.n", "q", F.col("k") + 1))
+    rare = picked.select(*file, F.posexplode(F.transform("at", lambda p: F.get("g", p))).alias("seg", "g"))
     where = participants(files, newer)
     longer = rare.select(*file, "seg", "g.pos", "g.gram", F.explode(F.sequence(F.lit(0), F.col("g.salts") - 1)).alias("salt"))
-    longer = longer.join(where, ["user_id", "file_id"])
+    longer = longer.join(where, ["user_id", "file_id", "upload_seq"])
     salt = F.pmod(F.hash("file_id"), F.col("salts"))
     shorter = grams.select("user_id", "file_id", "upload_seq", "gone_seq", "extraction_ok", "len", "pos", "gram", salt.alias("salt"))
-    shorter = shorter.join(where, ["user_id", "file_id"])
+    shorter = shorter.join(where, ["user_id", "file_id", "upload_seq"])
     # One number for the whole key; where two keys share it, what follows tells them apart.
     key = F.xxhash64("user_id", "ext", "bucket", "gram", "salt")
     side = lambda df, p, *extra: df.select(key.alias("key"), *[F.col(c).alias(f"{p}_{c}") for c in ("user_id", "file_id", "upload_seq", "gone_seq", "extraction_ok", "len", "pos", "as_a", "as_b", *extra)])
     p, i = side(longer, "p", "k", "seg"), side(shorter, "i")
     there = lambda a, b: f"{a}_as_a AND {b}_as_b AND ({a}_gone_seq IS NULL OR {a}_gone_seq > {b}_upload_seq)"
     met = p.join(i, "key").where(f"""
-        (i_len < p_len OR (i_len = p_len AND i_file_id < p_file_id)) AND p_len - i_len <= p_k AND p_user_id = i_user_id
+        (i_len < p_len OR (i_len = p_len AND i_file_id < p_file_id)) AND i_file_id <> p_file_id AND p_len - i_len <= p_k AND p_user_id = i_user_id
         AND abs(i_pos - p_pos) <= p_seg AND abs((i_pos - p_pos) - (i_len - p_len)) <= p_k - p_seg
         AND NOT (p_extraction_ok AND i_extraction_ok)
         AND CASE WHEN p_upload_seq < i_upload_seq THEN {there("p", "i")} WHEN i_upload_seq < p_upload_seq THEN {there("i", "p")} ELSE false END""")
     older = F.col("p_upload_seq") < F.col("i_upload_seq")
-    a, b = F.when(older, F.col("p_file_id")).otherwise(F.col("i_file_id")), F.when(older, F.col("i_file_id")).otherwise(F.col("p_file_id"))
-    return met.select(F.col("p_user_id").alias("user_id"), a.alias("a_id"), b.alias("b_id")).distinct()
+    end = lambda c, first: F.when(older == first, F.col(f"p_{c}")).otherwise(F.col(f"i_{c}"))
+    ends = [end(c, first).alias(n) for c, n, first in (("file_id", "a_id", True), ("upload_seq", "a_seq", True), ("file_id", "b_id", False), ("upload_seq", "b_seq", False))]
+    return met.select(F.col("p_user_id").alias("user_id"), *ends).distinct()
 
 
 def alike(pairs: DataFrame, files: DataFrame, least: float) -> DataFrame:
     """``pairs`` whose names (lower-cased) are ``least`` alike, with both names."""
-    marked = files.select("user_id", "file_id", "filename_stem", *[g.alias(f"bits{k}") for k, g in enumerate(name_bits(F.col("filename_stem")))])
+    marked = files.select("user_id", "file_id", "upload_seq", "filename_stem", *[g.alias(f"bits{k}") for k, g in enumerate(name_bits(F.col("filename_stem")))])
     for p in "ab":
-        pairs = pairs.join(marked.select("user_id", *[F.col(c).alias(f"{p}_{c.removeprefix('file_')}" if c == "file_id" else f"{p}_{c}") for c in ("file_id", "filename_stem", *BITS)]), ["user_id", f"{p}_id"])
+        own = marked.select("user_id", F.col("file_id").alias(f"{p}_id"), F.col("upload_seq").alias(f"{p}_seq"), *[F.col(c).alias(f"{p}_{c}") for c in ("filename_stem", *BITS)])
+        pairs = pairs.join(own, ["user_id", f"{p}_id", f"{p}_seq"])
     edits = _edits("greatest(length(a_filename_stem), length(b_filename_stem))", least)
     apart = " + ".join(f"bit_count(a_{g} ^ b_{g})" for g in BITS)
     # Banded, and as one expression, so that no distance is taken before the other condition.

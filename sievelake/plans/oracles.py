@@ -155,6 +155,39 @@ def _clean(x: str) -> str:
 
 SQL = {
     "flagged_pairs_with_deletes": f"WITH {_lives()} SELECT user_id, file_a_id, file_b_id, {_ROUNDED}, confidence, status, still_there FROM pairs",
+    "stream_lifecycle": f"WITH {_lives()} SELECT user_id, file_a_id, file_b_id, {_ROUNDED}, confidence, CASE (file_a_id + file_b_id) % 2 WHEN 0 THEN 'kept' ELSE status END AS status FROM pairs WHERE still_there",
+    "committed_blobs": _q("SELECT user_id, sha256_hash, any_value(size_bytes) AS size_bytes, user_id || '/' || sha256_hash AS storage_path FROM up WHERE file_id % 2 = 0 OR file_id % 3 = 0 GROUP BY ALL"),
+    "candidates_capped": _q(
+        """SELECT user_id, b_id, count(*) AS n, sum(a_id) AS sum_a FROM (
+        SELECT user_id, a_id, b_id, row_number() OVER (PARTITION BY user_id, b_id ORDER BY a_id) AS place FROM cand) WHERE place <= 50 GROUP BY ALL""",
+        LOW_CEILING,
+    ),
+    "session_scope": _q(
+        """, objects AS (SELECT * FROM blobs WHERE size_bytes % 5 <> 0), tenants AS (SELECT DISTINCT user_id FROM up), counts AS (
+        SELECT user_id, 'physical_blobs' AS view FROM blobs UNION ALL SELECT user_id, 'logical_files' FROM files UNION ALL SELECT user_id, 'logical_files_text' FROM files WHERE NOT deduplicated
+        UNION ALL SELECT user_id, 'file_shingles' FROM sh UNION ALL SELECT user_id, 'shingle_doc_frequency' FROM (SELECT DISTINCT user_id, s FROM post)
+        UNION ALL SELECT user_id, 'near_duplicate_pairs' FROM pairs UNION ALL SELECT user_id, 'storage_objects' FROM objects)
+        SELECT t.user_id, v.view, count(c.view) AS n_rows FROM tenants t, (SELECT unnest(['physical_blobs', 'logical_files', 'logical_files_text', 'file_shingles', 'shingle_doc_frequency', 'near_duplicate_pairs', 'storage_objects']) AS view) v
+        LEFT JOIN counts c ON c.user_id = t.user_id AND c.view = v.view GROUP BY ALL"""
+    ),
+    "sql_functions": _q(
+        """, heads AS (SELECT user_id, min(file_id) AS file_id, count(DISTINCT file_id) AS n_files FROM sh GROUP BY user_id),
+        df AS (SELECT user_id, s, count(*) AS n FROM post GROUP BY ALL)
+        SELECT t.user_id, coalesce(h.n_files, 0) AS n_files, (SELECT count(*) FROM sh WHERE sh.user_id = h.user_id AND sh.file_id = h.file_id) AS n_shingles,
+               (SELECT count(*) FROM post p WHERE p.user_id = h.user_id AND p.file_id = h.file_id) AS n_hashes,
+               coalesce((SELECT sum(n) FROM post p JOIN df USING (user_id, s) WHERE p.user_id = h.user_id AND p.file_id = h.file_id), 0)::BIGINT AS total
+        FROM (SELECT DISTINCT user_id FROM up) t LEFT JOIN heads h USING (user_id)"""
+    ),
+    "object_outcomes": _q(
+        """SELECT user_id, sha256_hash, CASE WHEN count(*) FILTER (file_id % 2 = 0) > 0 THEN 'stored' END AS early_outcome,
+        CASE WHEN count(*) FILTER (file_id % 2 = 0) > 0 THEN 'already exists' ELSE 'stored' END AS outcome, count(*) FILTER (file_id % 4 <> 0) = 0 AS removed, NULL::VARCHAR AS storage_warning
+        FROM up GROUP BY user_id, sha256_hash"""
+    ),
+    "numbered_files": _q("SELECT file_id, 999 + row_number() OVER (ORDER BY filename, sha256_hash, file_id) AS upload_seq FROM named"),
+    "shown_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '—' ELSE strftime(o_orderdate::DATE + to_hours(o_orderkey % 24) + INTERVAL 5 MINUTE, '%b %-d, %Y, %I:%M %p') END AS shown FROM orders",
+    "refused_parts": """SELECT p_brand AS user_id, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS file_id, CASE WHEN p_partkey % 5 = 0 THEN 'no id' ELSE 'empty file' END AS reason, 400 AS status
+        FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 3 = 0""",
+    "file_pairs": _q("SELECT user_id, file_a_id, file_b_id, confidence FROM pairs, (SELECT file_id FROM pending ORDER BY pending DESC, file_id LIMIT 1) t WHERE file_id IN (file_a_id, file_b_id)"),
     "tier1_flags_with_deletes": f"WITH {_lives()} SELECT user_id, file_id, deduplicated, ok AS extraction_ok, n_files FROM files",
     "tier1_blobs": _q("SELECT user_id, sha256_hash, size_bytes, ref_count, storage_path FROM blobs"),
     "tier1_flags": _q("SELECT user_id, file_id, sha256_hash, deduplicated FROM files"),

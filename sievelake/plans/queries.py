@@ -18,13 +18,15 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions import names, scores
 from ..functions.text import clean_text, decode_entities, excerpt, word_diff, words
-from ..operators import library, review, scoring, shingles, tier1
+from ..operators import identity, library, review, scoring, shingles, tier1
+from ..sources import objects, session
 from ..sources.extract import extract
-from ..sources.library import library_of_documents, refused_documents, upload_log
+from ..sources.library import library_of_documents, refused, refused_documents, upload_log
 from ..sources.library import new_blobs as put_new_blobs
 from ..sources.library import register_buckets as put_buckets
 from ..sources.stage import shared_dir, spread, staged
-from ..streaming.ingest import UPLOADS, LibraryState
+from ..sources.tables import Tables
+from ..streaming.ingest import EVENTS, PAIRS, UPLOADS, LibraryState
 
 #: Ceiling of the blocked-candidates query, low enough that blocking applies in small libraries.
 LOW_CEILING = 100
@@ -262,6 +264,12 @@ def candidates_blocked(spark, sf_dir):
     return scoring.all_candidates(lib.files, LOW_CEILING).groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
 
 
+def candidates_capped(spark, sf_dir):
+    """The first fifty candidates of each newer file where blocking applies, or fewer."""
+    found = scoring.capped_candidates(Library(spark, sf_dir).files, 50, LOW_CEILING)
+    return found.groupBy("user_id", "b_id").agg(F.count("*").alias("n"), F.sum("a_id").alias("sum_a"))
+
+
 # Scores
 
 
@@ -489,7 +497,22 @@ def upsert_pairs(spark, sf_dir):
     lib = Library(spark, sf_dir)
     stored = lib.pairs.withColumn("status", F.lit("kept"))
     new = lib.pairs.where("(file_a_id + file_b_id) % 3 = 0").withColumn("composite_score", F.lit(1.0))
-    return _shown(review.upsert_pairs(stored, new)).select("user_id", "file_a_id", "file_b_id", "composite_score", "status")
+    store = Tables(spark, f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}")
+    keys = ["user_id", "file_a_id", "file_b_id"]
+    store.merge("pairs", PAIRS, keys, stored)
+    store.merge("pairs", PAIRS, keys, new)
+    return _shown(store.read("pairs", PAIRS)).select("user_id", "file_a_id", "file_b_id", "composite_score", "status")
+
+
+def committed_blobs(spark, sf_dir):
+    """The blobs of two writers, of even files and of every third one, of which each blob was committed once."""
+    up = uploads(spark, sf_dir)
+    store = Tables(spark, f"{shared_dir(spark)}/blobs-{uuid.uuid4().hex}")
+    schema = "user_id string, sha256_hash string, size_bytes long, storage_path string"
+    for writer in ("file_id % 2 = 0", "file_id % 3 = 0"):
+        rows = tier1.blobs(up.where(writer)).select("user_id", "sha256_hash", "size_bytes", "storage_path")
+        store.insert_absent("blobs", schema, ["user_id", "sha256_hash"], rows)
+    return store.read("blobs", schema)
 
 
 def register_buckets(spark, sf_dir):
@@ -526,6 +549,84 @@ def tenant_scope(spark, sf_dir):
     return library.scoped(uploads(spark, sf_dir), "fr").select("user_id", "file_id", "sha256_hash")
 
 
+def _stored(spark, sf_dir, *only: str) -> list[str]:
+    """Open the library's stored tables, or ``only`` some, as a session sees them; the tenants."""
+    lib = Library(spark, sf_dir)
+    blobs = tier1.blobs(lib.files)
+    tables = {
+        "physical_blobs": lambda: blobs,
+        "logical_files": lambda: lib.files,
+        "logical_files_text": lambda: lib.files.where("NOT deduplicated").select("user_id", F.col("file_id").alias("logical_file_id"), "extraction_ok", "actual_chars"),
+        "file_shingles": lambda: lib.shingles.select("user_id", F.col("file_id").alias("logical_file_id"), "shingle_hash", "start_offset"),
+        "shingle_doc_frequency": lambda: staged(shingles.doc_frequency(lib.shingles), "frequencies"),
+        "near_duplicate_pairs": lambda: lib.pairs,
+        "storage_objects": lambda: blobs.select(F.when(F.col("size_bytes") % 5 == 0, "other").otherwise("files").alias("bucket_id"), F.col("storage_path").alias("name")),
+    }
+    session.open_library(spark, {name: make() for name, make in tables.items() if not only or name in only})
+    return [r.user_id for r in lib.files.select("user_id").distinct().orderBy("user_id").collect()]  # a row per tenant
+
+
+def session_scope(spark, sf_dir):
+    """What each tenant's session sees of all stored tables, by its session variable."""
+    return session.scoped_counts(spark, _stored(spark, sf_dir))
+
+
+def sql_functions(spark, sf_dir):
+    """Each tenant's calls of the functions in SQL: the shingles of its first file with any, their frequencies, and how
+    many files it has shingled."""
+    rows = None
+    for tenant in _stored(spark, sf_dir, "file_shingles", "shingle_doc_frequency"):
+        session.set_caller(spark, tenant)
+        first = spark.sql("SELECT min(logical_file_id) AS id FROM file_shingles").first().id
+        ids = f"array(CAST({'NULL' if first is None else first} AS BIGINT))"
+        one = spark.sql(f"""
+            SELECT caller_id() AS user_id, shingled_file_count() AS n_files, (SELECT count(*) FROM get_file_shingles({ids})) AS n_shingles,
+                   count(*) AS n_hashes, coalesce(sum(doc_count), 0) AS total
+            FROM get_doc_frequencies((SELECT collect_set(shingle_hash) FROM file_shingles WHERE array_contains({ids}, logical_file_id)))""")
+        rows = one if rows is None else rows.unionByName(one)
+    session.set_caller(spark, None)
+    return rows
+
+
+def object_outcomes(spark, sf_dir):
+    """Objects put by even files and then by all, and removed where deletes free them: each outcome."""
+    up = uploads(spark, sf_dir)
+    root = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    content = up.select("user_id", "file_id", "sha256_hash", F.col("text").cast("binary").alias("content"))
+    early = objects.put_objects(content.where("file_id % 2 = 0"), root)
+    later = objects.put_objects(content, root)
+    removed = objects.remove_objects(library.delete_files(up, tier1.blobs(up), _deletes(up))[2], root)
+    rows = later.select("user_id", "sha256_hash", "storage_path", "outcome").join(early.select("storage_path", F.col("outcome").alias("early_outcome")), "storage_path", "left")
+    return rows.join(removed, "storage_path", "left").select("user_id", "sha256_hash", "early_outcome", "outcome", F.coalesce("removed", F.lit(False)).alias("removed"), "storage_warning")
+
+
+def numbered_files(spark, sf_dir):
+    """Dense numbers of the uploads by name and bytes, from 1,000 on."""
+    rows = uploads(spark, sf_dir).select("file_id", "filename", "sha256_hash")
+    return identity.numbered(rows, ["filename", "sha256_hash", "file_id"], "upload_seq", 1000).select("file_id", "upload_seq")
+
+
+def shown_dates(spark, sf_dir):
+    """Order dates as the file list shows them, each with an hour of its own; every seventh is no date."""
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":05:00Z"))
+    given = F.when(F.col("o_orderkey") % 7 == 0, F.lit("not a date")).otherwise(at)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", scores.format_date(given).alias("shown"))
+
+
+def refused_parts(spark, sf_dir):
+    """Uploads made of the parts' names, of which those of every third are empty and every fifth brings no id."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select(F.col("p_brand").alias("lang"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey")).alias("doc_id"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).otherwise("").alias("text"))
+    return refused(rows)
+
+
+def file_pairs(spark, sf_dir):
+    """The pairs of the file with the most pending pairs (of those, the smallest id)."""
+    lib = Library(spark, sf_dir)
+    most = review.pending_counts(lib.pairs).orderBy(F.desc("pending"), "file_id").first()
+    return review.pairs_for_file(lib.pairs, most.file_id if most else -1).select("user_id", "file_a_id", "file_b_id", "confidence")
+
+
 # Text
 
 
@@ -606,3 +707,26 @@ def stream_replay(spark, sf_dir):
     for batch in range(3):
         state.ingest(up.where(third == batch), batch)
     return _shown(state.pairs())
+
+
+def stream_lifecycle(spark, sf_dir):
+    """The review queue after a library whose files also go came in by five batches of a stream of events, and
+    then every other pair was kept."""
+    lib = LivingLibrary(spark, sf_dir)
+    columns = [c.split()[0] for c in UPLOADS.split(", ")]
+    ok = lib.files.select("file_id", "extraction_ok")
+    came = lib.uploads.withColumnRenamed("text", "extracted_text").join(ok, "file_id").select(F.lit("upload").alias("kind"), *columns)
+    went = lib.files.where("gone_seq IS NOT NULL").select(F.lit("delete").alias("kind"), "user_id", "file_id", F.col("gone_seq").alias("upload_seq"))
+    none = spark.createDataFrame([], EVENTS)
+    events = staged(none.unionByName(came.unionByName(went, allowMissingColumns=True), allowMissingColumns=True), "all-events")
+    state = LibraryState(spark, f"{shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}")
+    ends = events.agg(F.min("upload_seq").alias("a"), F.max("upload_seq").alias("b")).first()
+    if ends.a is None:
+        return _shown(state.pairs())
+    fifth = F.expr(f"(upload_seq - {ends.a}) * 5 div {ends.b - ends.a + 1}")
+    for batch in range(5):
+        state.apply(events.where(fifth == batch), batch)
+    keep = state.pairs().where("(file_a_id + file_b_id) % 2 = 0")
+    keep = keep.select(F.lit("keep").alias("kind"), "user_id", F.col("file_a_id").alias("file_id"), F.col("file_b_id").alias("other_id"), F.lit(ends.b + 1).alias("upload_seq"))
+    state.apply(none.unionByName(keep, allowMissingColumns=True), 5)
+    return _shown(state.pairs())

@@ -67,9 +67,13 @@ def library_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that are no uploads, with the reason and the status that an upload of them would get."""
+    return refused(_documents(spark, sf_dir))
+
+
+def refused(rows: DataFrame) -> DataFrame:
+    """Rows (lang, doc_id, text) that are no uploads, with the reason and the status that an upload of them would get."""
     reason = F.when(F.col("doc_id").isNull(), "no id").when(F.col("text") == "", "empty file")
-    rows = _documents(spark, sf_dir).select(F.col("lang").alias("user_id"), F.col("doc_id").alias("file_id"), reason.alias("reason"))
+    rows = rows.select(F.col("lang").alias("user_id"), F.col("doc_id").alias("file_id"), reason.alias("reason"))
     return rows.where("reason IS NOT NULL").withColumn("status", F.lit(400))
 
 

@@ -1,6 +1,8 @@
 """Vectors of the scalar functions, and the operators on small libraries."""
 
 import io
+import itertools
+import json
 import os
 import random
 import re
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 
 from sievelake import schema
 from sievelake.functions import names, scores, text
-from sievelake.operators import library, review, scoring, shingles, tier1
+from sievelake.operators import identity, library, review, scoring, shingles, similar_names, tier1
 from sievelake.plans import queries
-from sievelake.sources import extract
+from sievelake.sources import extract, objects, session
 from sievelake.sources import library as source
 from sievelake.sources import stage
-from sievelake.streaming.ingest import UPLOADS, LibraryState
+from sievelake.sources.tables import Change, Conflict, Tables
+from sievelake.streaming.ingest import EVENTS, UPLOADS, LibraryState
 
 
 def values(spark, rows, ddl, *columns):
@@ -260,12 +263,14 @@ def library_rows(n=45, seed=3):
     return rows
 
 
-def replay(rows, ceiling=2000, gone=None):
-    """Score uploads one at a time, as they come; ``gone``: when files go."""
+def replay(rows, ceiling=2000, gone=None, renames=()):
+    """Score uploads one at a time, as they come; ``gone``: when files go; ``renames``: (when, file, stem, extension)."""
     stored, texts, sets, out = {}, {}, {}, {}
     gone = gone or {}
     for u, k, body, stem, ext in rows:
         mine = [r for r in rows if r[0] == u and r[1] < k and gone.get(r[1], k) >= k]
+        called = {file: new for at, file, *new in sorted(renames) if at < k}
+        mine = [(*r[:3], *called.get(r[1], r[3:])) for r in mine]
         count = len(mine) + 1
         if any(r[2] == body for r in mine):
             stored[k] = False
@@ -431,11 +436,247 @@ def test_compacted_stream(spark, tmp_path):
     for k, (a, b) in enumerate([(0, 10), (10, 20), (20, len(rows))]):
         if k == 2:
             state.compact(2)
-            assert len([p for p in os.listdir(tmp_path / "state" / "postings") if p.startswith("batch=")]) == 1
+            assert all(len(parts) == 1 for parts in state.tables.latest().parts.values())
         state.ingest(uploaded(spark, rows[a:b]), k)
     assert shown(state.pairs()) == replay(rows)
 
 
+def events_of(spark, rows, gone, renames, others):
+    made = uploaded(spark, rows).withColumn("upload_seq", F.col("file_id") * 2).withColumn("kind", F.lit("upload"))
+    user = {r[1]: r[0] for r in rows}
+    changes = [("delete", user[k], k, int(2 * at), None, None) for k, at in gone.items()]
+    changes += [("rename", user[k], k, int(2 * at), f"{stem}.{ext}", None) for at, k, stem, ext in renames] + others
+    more = spark.createDataFrame(changes, "kind string, user_id string, file_id long, upload_seq long, new_name string, other_id long")
+    return spark.createDataFrame([], EVENTS).unionByName(made, allowMissingColumns=True).unionByName(more, allowMissingColumns=True)
+
+
+@pytest.mark.parametrize("ceiling", [2000, 12])
+def test_stream_of_events_matches_a_replay(spark, tmp_path, ceiling):
+    rows = library_rows(40, 21)
+    rng = random.Random(22)
+    n, user = len(rows), {r[1]: r[0] for r in rows}
+    gone = {r[1]: r[1] + rng.choice([0, 2, 9, 30]) + 0.5 for r in rows if rng.random() < 0.4}
+    renames = sorted((k + rng.choice([0, 3, 11]) + 0.5, k, rng.choice(["quarterly report", "notes", "Minutes"]), rng.choice(["txt", "md"])) for k in rng.sample(range(n), 15))
+    renames = [r for r in renames if gone.get(r[1], r[0] + 1) > r[0]]
+    want = replay(rows, ceiling, gone, renames)
+    assert want != replay(rows, ceiling, gone)
+    left = {p: v for p, v in want.items() if not set(p) & set(gone)}
+    pair = min(left)
+    twice = next(iter(gone))
+    others = [("keep", user[pair[0]], pair[1], 2 * n + 200, None, pair[0]), ("delete", "u9", 3, 2 * n + 201, None, None), ("rename", user[twice], twice, 2 * n + 203, "x.txt", None), ("rename", user[pair[0]], pair[0], 2 * n + 205, "  ", None)]
+    events = events_of(spark, rows, gone, renames, others)
+    state = LibraryState(spark, str(tmp_path / "state"), ceiling)
+    cuts = [0, 17, 18, 50, 10**6]
+    for batch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        state.apply(events.where((F.col("upload_seq") >= a) & (F.col("upload_seq") < b)), batch)
+        if batch == 2:
+            state.compact(2)
+            state.apply(events.where((F.col("upload_seq") >= a) & (F.col("upload_seq") < b)), batch)  # once more
+    assert shown(state.pairs()) == left
+    assert {(p.file_a_id, p.file_b_id) for p in state.pairs().where("status = 'kept'").collect()} == {pair}
+    assert sorted((r.kind, r.user_id, r.file_id) for r in state.refused().collect()) == sorted([("delete", "u9", 3), ("rename", user[twice], twice)])
+    there = {r[1] for r in rows} - set(gone)
+    called = {file: f"{stem}.{ext}" for _, file, stem, ext in renames}
+    assert {r.file_id: r.filename for r in state.files().collect()} == {k: called.get(k, f"{stem}.{ext}") for _, k, _, stem, ext in rows if k in there}
+    bodies = [(r[0], r[2]) for r in rows if r[1] in there]
+    assert sorted(r.ref_count for r in state.references().collect()) == sorted(bodies.count(b) for b in set(bodies))
+    freed = {(u, int(2 * gone[k])) for u, k, body, *_ in rows if k in gone and not any(r[0] == u and r[2] == body and r[1] != k and r[1] < gone[k] and gone.get(r[1], 10**6) > gone[k] for r in rows)}
+    assert {(r.user_id, r.freed_seq) for r in state.freed().collect()} == freed
+
+
+def test_faults_leave_the_last_version(spark, tmp_path, monkeypatch):
+    """A compaction or a batch that stops anywhere before its commit changes nothing."""
+    rows = library_rows(24, 6)
+    state = LibraryState(spark, str(tmp_path / "state"))
+    for k in (0, 1):
+        state.ingest(uploaded(spark, rows[k * 8 : k * 8 + 8]), k)
+    before, want = state.tables.latest(), shown(state.pairs())
+    write, calls = Tables.write, []
+
+    def failing(self, df, table, **marks):
+        calls.append(table)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return write(self, df, table, **marks)
+
+    monkeypatch.setattr(Tables, "write", failing)
+    for work in (lambda: state.compact(2), lambda: state.ingest(uploaded(spark, rows[16:]), 2)):
+        calls.clear()
+        with pytest.raises(OSError):
+            work()
+        assert state.tables.latest() == before and shown(state.pairs()) == want
+    monkeypatch.undo()
+    state.compact(2)
+    state.tables.vacuum()
+    assert shown(state.pairs()) == want
+    state.ingest(uploaded(spark, rows[16:]), 2)
+    assert shown(state.pairs()) == replay(rows)
+
+
+def test_tables(spark, tmp_path):
+    """Two writers of one key leave one row, readers keep their version, and a merge rewrites touched buckets only."""
+    schema, keys = "k long, v string", ["k"]
+    one, two = Tables(spark, str(tmp_path / "t")), Tables(spark, str(tmp_path / "t"))
+    rows = lambda *ks, v: spark.createDataFrame([(k, v) for k in ks], schema)
+    held = lambda t, *s: sorted(map(tuple, t.read("blobs", schema, *s).collect()))
+    assert held(one) == []
+    first = one.latest()
+    late = two.latest()
+    one.insert_absent("blobs", schema, keys, rows(1, 2, 2, v="first"))
+    with pytest.raises(Conflict):
+        two.commit(late, Change({"blobs": two.write_buckets(rows(2, v="lost"), "blobs", keys)}))
+    real, raced = Tables.commit, []
+
+    def race(self, snapshot, change):  # another writer comes in between, once
+        if not raced:
+            raced.append(1)
+            one.insert_absent("blobs", schema, keys, rows(3, v="winner"))
+        return real(self, snapshot, change)
+
+    two.commit = race.__get__(two)
+    two.insert_absent("blobs", schema, keys, rows(2, 3, 4, v="second"))
+    assert held(one) == [(1, "first"), (2, "first"), (3, "winner"), (4, "second")]
+    assert held(one, first) == []
+    before = {p["path"] for p in one.latest().parts["blobs"]}
+    one.merge("blobs", schema, keys, rows(4, v="new"))
+    after = {p["path"]: p["bucket"] for p in one.latest().parts["blobs"]}
+    assert len(set(after) - before) == 1 and held(one)[3] == (4, "new")
+    one.remove("blobs", schema, keys, rows(1, 4, v=""))
+    assert held(one) == [(2, "first"), (3, "winner")]
+    # A fault between two tables: neither is seen.
+    version = one.latest()
+    one.write_buckets(rows(9, v="x"), "blobs", keys)
+    one.write(rows(9, v="x"), "other")
+    assert one.latest() == version and held(one) == [(2, "first"), (3, "winner")]
+    assert one.vacuum() >= 2 and held(one) == [(2, "first"), (3, "winner")]
+
+
+def test_sessions(spark, tmp_path):
+    """A session sees and writes its caller's rows only, and the comparison reaches the scan."""
+    store = Tables(spark, str(tmp_path / "t"))
+    lib = session.StoredLibrary(store)
+    blobs = spark.createDataFrame([(1, "u1", "dead", "u1/dead", 5, 2), (2, "u2", "dead", "u2/dead", 5, 1)], lib.BLOBS)
+    store.merge("physical_blobs", lib.BLOBS, ["user_id", "sha256_hash"], blobs)
+    files = spark.createDataFrame([(10, "u1", 1), (11, "u1", 1), (12, "u2", 2)], lib.FILES)
+    store.merge("logical_files", lib.FILES, ["user_id", "file_id"], files)
+    objects = spark.createDataFrame([("files", "u1/dead"), ("other", "u1/x"), ("files", "u2/dead")], "bucket_id string, name string")
+
+    def opened():
+        frequency = store.read("shingle_doc_frequency", lib.FREQUENCY)
+        session.open_library(spark, {"physical_blobs": store.read("physical_blobs", lib.BLOBS), "shingle_doc_frequency": frequency, "storage_objects": objects})
+
+    opened()
+    assert spark.sql("SELECT * FROM physical_blobs").count() == 0  # no caller
+    session.set_caller(spark, "u1")
+    seen = spark.sql("SELECT * FROM physical_blobs")
+    assert [r.id for r in seen.collect()] == [1]
+    assert "EqualTo(user_id,u1)" in seen._jdf.queryExecution().executedPlan().toString()
+    assert [r.name for r in spark.sql("SELECT name FROM storage_objects").collect()] == ["u1/dead"]
+    assert session.checked_rows(blobs.where("user_id = 'u1'")).count() == 1
+    assert session.checked_objects(objects.where("name = 'u1/dead'")).count() == 1
+    for bad in (session.checked_rows(blobs), session.checked_objects(objects)):
+        with pytest.raises(Exception, match="row-level security"):
+            bad.collect()
+    assert lib.increment_blob_ref(1) == 3 and lib.increment_blob_ref(2) is None and lib.increment_blob_ref(9) is None
+    hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "shingle_hash long")
+    lib.bump_shingle_doc_frequency(hashes(111, 222, 222))
+    lib.bump_shingle_doc_frequency(hashes(111))
+    opened()
+    assert spark.sql("SELECT * FROM get_doc_frequencies(array(111L, 222L, 3L))").count() == 0  # opened anew, no caller
+    session.set_caller(spark, "u1")
+    assert sorted(map(tuple, spark.sql("SELECT * FROM get_doc_frequencies(array(111L, 222L, 3L))").collect())) == [(111, 2), (222, 1)]
+    with pytest.raises(LookupError, match="not owned"):
+        lib.delete_logical_file(12)
+    assert lib.delete_logical_file(10) == {"deleted": True, "blob_deleted": False, "storage_path": None}
+    assert lib.delete_logical_file(11)["blob_deleted"] is False  # the reference that was added is still there
+    with pytest.raises(LookupError):
+        lib.delete_logical_file(11)
+    session.set_caller(spark, "u2")
+    assert lib.delete_logical_file(12) == {"deleted": True, "blob_deleted": True, "storage_path": "u2/dead"}
+    assert sorted((r.id, r.ref_count) for r in store.read("physical_blobs", lib.BLOBS).collect()) == [(1, 1)]
+    session.set_caller(spark, None)
+
+
+def test_objects(spark, tmp_path):
+    """Objects stay as they were put, a second attempt changes nothing, and what cannot be removed is a warning."""
+    rows = [("u1", "aa", b"one"), ("u1", "bb", b"two"), ("u2", "aa", b"other")]
+    up = spark.createDataFrame(rows, "user_id string, sha256_hash string, content binary")
+    root = str(tmp_path / "store")
+    told = lambda df: {r.storage_path: r.outcome for r in df.collect()}
+    assert set(told(objects.put_objects(up, root)).values()) == {"stored"}
+    assert set(told(objects.put_objects(up.withColumn("content", F.lit("new").cast("binary")), root)).values()) == {"already exists"}
+    assert (tmp_path / "store" / "u1" / "aa").read_bytes() == b"one"
+    (tmp_path / "file").write_text("no folder")
+    failed = objects.put_objects(up, str(tmp_path / "file")).collect()
+    assert {r.outcome for r in failed} == {"failed"} and all(r.storage_warning for r in failed)
+    (tmp_path / "store" / "u3" / "folder" / "inner").mkdir(parents=True)
+    gone = spark.createDataFrame([("u1/aa",), ("u1/missing",), ("u3/folder",), (None,)], "storage_path string")
+    removals = objects.remove_objects(gone, root)
+    assert {r.storage_path: r.removed for r in removals.collect()} == {"u1/aa": True, "u1/missing": True, "u3/folder": False}
+    assert not (tmp_path / "store" / "u1" / "aa").exists() and (tmp_path / "store" / "u3" / "folder").exists()
+    results = spark.createDataFrame([(1, True, True, "u1/aa"), (2, True, True, "u3/folder"), (3, True, False, None)], "file_id long, deleted boolean, blob_deleted boolean, storage_path string")
+    shown = {r.file_id: json.loads(r.result) for r in objects.with_storage_warnings(results, removals).collect()}
+    assert "storage_warning" not in shown[1] and shown[2]["storage_warning"] and shown[3] == {"deleted": True, "blob_deleted": False, "storage_path": None}
+
+
+def test_numbers_and_files_as_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(k * 7 % 50, k) for k in range(50)], "x long, y long")
+    got = {r.x: r.n for r in identity.numbered(rows, ["x", "y"], "n", 5).collect()}
+    assert got == {x: x + 5 for x in range(50)}
+    assert identity.numbered(rows.where("false"), ["x"]).count() == 0
+    state = LibraryState(spark, str(tmp_path / "state"))
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    for batch, files in enumerate([{"b.txt": text, "a.txt": text, "c.png": "x"}, {"Report.txt": text + " one", "empty.txt": ""}]):
+        folder = tmp_path / f"in{batch}"
+        folder.mkdir()
+        for name, body in files.items():
+            (folder / name).write_text(body)
+            os.utime(folder / name, (10**9 + batch, 10**9 + batch))
+        read = spark.read.format("binaryFile").load(str(folder))
+        for _ in range(batch + 1):  # the second batch is run twice
+            state.ingest_files(read, "u", batch)
+    assert sorted((r.upload_seq, r.filename, r.deduplicated) for r in state.files().collect()) == [(0, "a.txt", False), (1, "b.txt", True), (2, "c.png", False), (3, "Report.txt", False)]
+    assert [(p.file_a_id, p.file_b_id, p.confidence) for p in state.pairs().collect()] == [(0, 3, "provisional")]
+
+
+def test_rarest_disjoint_grams():
+    rng = random.Random(9)
+    for _ in range(200):
+        q, picks = rng.choice([(1, 1), (2, 3), (3, 2), (3, 4), (0, 1)])
+        counts = [rng.randrange(5) for _ in range(picks * q + rng.randrange(6) - q + 1)]
+        got = similar_names.rarest(counts, q, picks)
+        ways = [c for c in itertools.combinations(range(len(counts)), picks) if all(b - a >= q for a, b in zip(c, c[1:], strict=False))]
+        assert tuple(got) in ways and sum(counts[p] for p in got) == min(sum(counts[p] for p in c) for c in ways)
+
+
+def test_names_of_one_bucket(spark):
+    """Many names of one scheme in one block: few are met, none is lost."""
+    rng = random.Random(5)
+    stem = lambda: "scan of the " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    stems = [stem() for _ in range(3000)]
+    for k in range(0, 3000, 100):
+        stems[k] = stems[k + 1][:20] + "x" + stems[k + 1][21:]
+    rows = [("u", k, k, s, "md", 10, False, False) for k, s in enumerate(stems)]
+    files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
+    newer = scoring.newer_files(files, 10)
+    met = similar_names.candidates(files, newer, 0.8)
+    assert met.count() < 20_000  # of 4.5 million
+    assert {(r.a_id, r.b_id) for r in scoring.name_pairs(files, 10).collect()} == {(k, k + 1) for k in range(0, 3000, 100)}
+
+
+def test_capped_candidates(spark):
+    rows = [("u", k, k, "s", "md", 10 + k % 3, k % 5 == 4, True) for k in range(30)]
+    files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
+    for ceiling in (2000, 8):
+        every = {}
+        for r in scoring.all_candidates(files, ceiling).collect():
+            every.setdefault(r.b_id, []).append(r.a_id)
+        capped = {}
+        for r in scoring.capped_candidates(files, 4, ceiling).collect():
+            capped.setdefault(r.b_id, []).append(r.a_id)
+        assert {b: sorted(a) for b, a in capped.items()} == {b: sorted(a)[:4] for b, a in every.items()}
+
+
 def test_structured_stream(spark, tmp_path):
     rows = library_rows(12, 7)
     for k in range(2):
