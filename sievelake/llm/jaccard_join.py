@@ -18,10 +18,11 @@ Jaccard similarity of ``num`` / ``den``, that is at an overlap of need(n, m) = c
 5. Pairs that are left are verified on the whole sets, which are made again from the texts of their classes only.
 
 Only components are asked for, so pairs that are connected already need no look. The meetings come in two
-turns: first each member of a group of one n-gram with the members 1, 2, 4 and 8 places before it by
-size, then all members whose components still differ. A group of like texts is connected by the first turn,
-with links as many as members, and never gives all its pairs; what the first turn leaves apart is looked up
-exactly, whatever its number. Groups above ``TILE`` members are cut to tiles, and each two tiles are a task.
+turns: first each member of a group of one n-gram with its ``HUBS`` members that share most n-grams with others, the
+least changed of a family, and with those 1, 2, 4 and 8 places before it by size; then all members whose
+components still differ. A group of like texts is connected by the first turn, with links as many as members, and
+never gives all its pairs; what the first turn leaves apart is looked up exactly, whatever its number, and joins
+components, not members. Groups above ``TILE`` members are cut to tiles, and each two tiles are a task.
 
 Defined results: null, empty and blank texts have no set and link with nothing; with fewer words than n the whole
 sequence is the one n-gram; long texts are hashed in pieces; a component's id is its smallest doc_id, null ids
@@ -53,6 +54,7 @@ CHUNK_BITS = 16
 PIVOTS = 64
 TILE = 1024
 STRIDES = (1, 2, 4, 8)
+HUBS = 4
 PIECE_WORDS = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -189,11 +191,17 @@ def _filters(num: int, den: int) -> str:
 
 
 def near_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b): of each n-gram's classes by size, those a few places apart."""
-    order = W.partitionBy("gram").orderBy("n", "sig")
-    before = F.array(*[F.lag(F.struct("sig", "n", "place"), k).over(order) for k in STRIDES])
-    met = shared.withColumn("before", before).select(F.col("sig").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.explode("before").alias("x")).where("x.sig IS NOT NULL")
-    met = met.select("b", "b_n", "b_place", F.col("x.sig").alias("a"), F.col("x.n").alias("a_n"), F.col("x.place").alias("a_place"))
+    """Distinct (a, b): each class of an n-gram with its hubs, and with those a few places before it by size."""
+    degrees = shared.groupBy("sig").agg(F.count("*").alias("degree"))
+    by_size = W.partitionBy("gram").orderBy("n", "sig")
+    by_degree = W.partitionBy("gram").orderBy(F.desc("degree"), "sig").rowsBetween(W.unboundedPreceding, 0)
+    other = F.struct("sig", "n", "place")
+    others = [F.lag(other, k).over(by_size) for k in STRIDES] + [F.nth_value(other, k).over(by_degree) for k in range(1, HUBS + 1)]
+    met = shared.join(degrees, "sig").withColumn("others", F.array(*others)).withColumn("x", F.explode("others"))
+    met = met.where("x.sig IS NOT NULL AND x.sig <> sig").select(F.struct("sig", "n", "place").alias("y"), "x")
+    # The larger set is b.
+    small, large = F.when(F.col("x.n") <= F.col("y.n"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.n") <= F.col("y.n"), F.col("y")).otherwise(F.col("x"))
+    met = met.select(small.alias("s"), large.alias("l")).select(*[F.col(f"{v}.{c}").alias(n) for v, p in (("s", "a"), ("l", "b")) for c, n in (("sig", p), ("n", f"{p}_n"), ("place", f"{p}_place"))])
     return _distinct(met.where(_filters(num, den)))
 
 
@@ -263,6 +271,18 @@ def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return whole.select("a", "b", "a_grams", "b_grams").mapInArrow(check, "a binary, b binary")
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further ``links``, which join components as a whole."""
+    for p in "ab":
+        own = labels.select(F.col("node").alias(p), F.col("label").alias(f"{p}_label"))
+        links = links.join(own, p, "left").withColumn(f"{p}_label", F.coalesce(f"{p}_label", p))
+    upper = components(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()).toDF("label", "top")
+    named = labels.join(upper, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    # Classes that no link had before stand in for themselves.
+    alone = upper.join(labels.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
+    return named.unionByName(alone)
+
+
 def jaccard_components(
     docs: DataFrame,
     num: int = NUM,
@@ -285,11 +305,10 @@ def jaccard_components(
         ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         return staged(verified(near, staged(class_sets(docs, keys, ends, width, broadcast_bytes), "class-sets"), num, den), "links")
 
-    links = links_of(near_pairs(shared, num, den))
-    labels = components(links)
+    labels = components(links_of(near_pairs(shared, num, den)))
     more = links_of(apart_pairs(shared, labels, num, den, tile))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = joined_labels(labels, more)
     classes = keys.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     named = classes.join(labels, classes.sig == labels.node, "left").select("sig", "first_id", F.coalesce("label", "sig").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
