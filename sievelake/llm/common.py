@@ -79,12 +79,21 @@ def in_bitmap(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+#: A text above this share of a group's bytes is drawn only after all others.
+LARGE_SHARE = 16
+
+
 def first_rows(df: DataFrame, group: str, order: list, text_col: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """Of each group the first ``most_rows`` rows with a text, as far as their texts hold ``most_bytes`` in all."""
-    own = W.partitionBy(group).orderBy(*order, text_col)
-    size = F.sum(F.octet_length(text_col)).over(own.rowsBetween(W.unboundedPreceding, 0))
+    """Of each group the first ``most_rows`` rows with a text, as far as their texts hold ``most_bytes`` in all.
+
+    Texts of more than a sixteenth of that come after all others, so that none keeps many out, and a group with
+    any text has one row at least, even if that one is larger.
+    """
+    bytes_of = F.octet_length(text_col).cast("long")
+    own = W.partitionBy(group).orderBy(bytes_of > most_bytes // LARGE_SHARE, *order, text_col)
+    size = F.sum(bytes_of).over(own.rowsBetween(W.unboundedPreceding, 0))
     rows = df.where(F.col(text_col) != "").withColumn("_n", F.row_number().over(own)).withColumn("_size", size)
-    return rows.where((F.col("_n") <= most_rows) & (F.col("_size") <= most_bytes)).drop("_size")
+    return rows.where((F.col("_n") <= most_rows) & ((F.col("_size") <= most_bytes) | (F.col("_n") == 1))).drop("_size")
 
 
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:

@@ -7,7 +7,7 @@ the left branch's where round(t * p) steps, p being its share of the node's weig
 than half a slot from its share and passes on only its branch's part of that, so after any number of slots
 each source is less than two blocks from its share (`worst_deviation`). A block's slot follows in closed form
 from its place in its source, up the tree; places come from counts of rows in ranges of slots. Shares are
-held to a part in 2^30, which is less than a block in 10^9 slots; a weight of 0 comes last.
+held to a part in 2^30, which is less than a block in 10^9 slots; a weight of 0 comes last, sources of it in turns.
 
 With ``slots`` given, weights become whole parts c of that period Q (one part each, the rest in proportion
 with largest remainder). Block i of a source is released at floor(i * Q / c) and due at
@@ -145,7 +145,9 @@ def slotted(docs: DataFrame, weights: dict[str, float] | None, default_weight: f
     # In whole numbers, so that the two branches of a node never claim one slot.
     half = f"(2L * j + 1L) * {ONE // 2}L"
     slot = F.expr(f"aggregate(_path, mix_block, (j, x) -> least(if(x.left, ({half} - 1L) div x.share, {half} div x.share), {LAST_SLOT}L))")
-    return ranked.join(paths, "mix_source").withColumn("mix_slot", slot).drop("_path"), kept
+    placed = ranked.join(paths, "mix_source").withColumn("mix_slot", slot).drop("_path")
+    # What comes after all slots that are told apart, as all of a weight of 0 does, takes turns block by block.
+    return placed.withColumn("mix_slot", F.when(F.col("mix_slot") < LAST_SLOT, F.col("mix_slot")).otherwise(LAST_SLOT + F.col("mix_block"))), kept
 
 
 def _by_weights(docs: DataFrame, *options) -> DataFrame:

@@ -24,6 +24,8 @@ One narrow pass reads the texts; its findings are staged, and the cuts are appli
 Defined results: a null text counts as empty; no span gives zero counts and empty lists; repeated
 documents are each scanned; equal pieces have equal p, and a cut takes all of a bin or none; columns other
 than the text pass through, but those named like a result are replaced; an empty table gives an empty result.
+Runs of any length are tested whole, with memory of a few times the run; a long run of base64 takes some 20 seconds a
+megabyte, as each of its parts between marks is a piece with decoys of its own.
 """
 
 from __future__ import annotations
@@ -58,6 +60,11 @@ FDR = 0.05
 DECOYS = 60
 #: Bytes on either side of a piece that its decoys take their words from.
 NEAR = 2048
+#: Beyond this a piece and its decoys are tested one after another, and by sums over pieces of ``PIECE``.
+LONG_PIECE = 1 << 15
+PIECE = 1 << 18
+#: Decoys of one piece begin at most this far apart, so that long ones overlap and take little more than one.
+DECOY_STEP = 1 << 13
 CLASSES = 6
 BINS = 40
 LOW = BINS - 1 - 24  # p of 1e-3: what uniform tokens fall below once in a thousand
@@ -103,36 +110,50 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in z.tolist()])
 
 
-def uniformity(symbols: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """For each row, the upper-tail p of chi-squared against the symbols' shares, by the Wilson-Hilferty cube
-    root with the statistic's exact variance for few symbols."""
-    (m, n), k = symbols.shape, len(share)
-    seen = np.bincount((symbols + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+def _uniformity(seen: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
+    """For each row of counts of n symbols, the upper-tail p of chi-squared against the symbols' shares, by the
+    Wilson-Hilferty cube root with the statistic's exact variance for few symbols."""
+    k = len(share)
     statistic = (seen.astype(float) ** 2 / share).sum(axis=1) / n - n
     mean, var = k - 1, 2 * (k - 1) + ((1 / share).sum() - k * k - 2 * k + 2) / n
     df, scale = 2 * mean * mean / var, var / (2 * mean)
     return _tail(((np.maximum(statistic, 0) / scale / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
 
 
-def runs(symbols: np.ndarray, k: int) -> np.ndarray:
-    """For each row, the two-sided p of the number of runs above and below the middle of the alphabet."""
-    high = symbols >= k / 2
-    n = symbols.shape[1]
-    a = high.sum(axis=1)
-    count = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+def uniformity(symbols: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """`_uniformity` of rows of symbols."""
+    return _uniformity(_counted(symbols, len(share)), symbols.shape[1], share)
+
+
+def _counted(symbols: np.ndarray, k: int) -> np.ndarray:
+    m = len(symbols)
+    return np.bincount((symbols + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+
+
+def _runs(a: np.ndarray, changes: np.ndarray, n: int) -> np.ndarray:
+    """For each row of n symbols, a of them above the middle, the two-sided p of its number of runs."""
+    count = 1 + changes
     mean = 2 * a * (n - a) / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
     z = np.maximum(0.0, abs(count - mean) - 0.5) / np.sqrt(np.where(var > 0, var, 1.0))
-    return np.where((a == 0) | (a == n), 2 * 0.5**n, np.where(var > 0, 2 * _tail(z), 1.0))
+    return np.where((a == 0) | (a == n), 2 * 0.5 ** min(n, 1000), np.where(var > 0, 2 * _tail(z), 1.0))
+
+
+def runs(symbols: np.ndarray, k: int) -> np.ndarray:
+    """For each row, the two-sided p of the number of runs above and below the middle of the alphabet."""
+    high = symbols >= k / 2
+    return _runs(high.sum(axis=1), (high[:, 1:] != high[:, :-1]).sum(axis=1), symbols.shape[1])
+
+
+def _serial(power: np.ndarray, product: np.ndarray, n: int) -> np.ndarray:
+    off = abs(product / np.where(power > 0, power, 1.0) + 1 / n)
+    return np.where(power > 0, 2 * _tail(off * math.sqrt(n)), 0.0)
 
 
 def serial_correlation(symbols: np.ndarray, k: int) -> np.ndarray:
     """For each row, the two-sided p of the lag-1 correlation of neighbouring symbols."""
     x = symbols - (k - 1) / 2
-    n = symbols.shape[1]
-    power = (x * x).sum(axis=1)
-    off = abs((x[:, 1:] * x[:, :-1]).sum(axis=1) / np.where(power > 0, power, 1.0) + 1 / n)
-    return np.where(power > 0, 2 * _tail(off * math.sqrt(n)), 0.0)
+    return _serial((x * x).sum(axis=1), (x[:, 1:] * x[:, :-1]).sum(axis=1), symbols.shape[1])
 
 
 def battery(symbols: np.ndarray, name: str) -> np.ndarray:
@@ -144,6 +165,28 @@ def battery(symbols: np.ndarray, name: str) -> np.ndarray:
     return np.minimum(1.0, len(p) * np.min(p, axis=0))
 
 
+def long_battery(token: memoryview, name: str) -> float:
+    """`battery` of one long token: all tests go by sums, added up over pieces of ``PIECE`` symbols."""
+    k, kinds, n = len(ALPHABETS[name]), _KINDS_OF[name], len(token)
+    seen, high, changes, power, product = np.zeros(k, np.int64), 0, 0, 0.0, 0.0
+    for at in range(0, n, PIECE):
+        # One symbol more, as neighbours are of both pieces.
+        own = _INDEX[name][np.frombuffer(token[at : at + PIECE + 1], np.uint8)]
+        first = own[:PIECE]
+        seen += np.bincount(first, minlength=k)
+        above = own >= k / 2
+        high += int(above[:PIECE].sum())
+        changes += int((above[1:] != above[:-1]).sum())
+        x = own - (k - 1) / 2
+        power += float((x[:PIECE] ** 2).sum())
+        product += float((x[1:] * x[:-1]).sum())
+    row = lambda v: np.array([v])
+    p = [_uniformity(seen[None], n, np.full(k, 1 / k)), _runs(row(high), row(changes), n), _serial(row(power), row(product), n)]
+    if kinds.max():
+        p.append(_uniformity(np.bincount(kinds, weights=seen)[None], n, np.bincount(kinds) / k))
+    return float(min(1.0, len(p) * np.min(p)))
+
+
 def _symbols(tokens: list[bytes], name: str) -> np.ndarray:
     return _INDEX[name][np.frombuffer(b"".join(tokens), np.uint8)].reshape(len(tokens), -1).astype(np.int64)
 
@@ -157,10 +200,10 @@ def randomness(token: bytes) -> float:
     return float(battery(_symbols([body], name), name)[0])
 
 
-def ordinary(near: bytes, name: str, n: int, count: int, seed: int) -> list[bytes]:
+def ordinary(near: bytes, name: str, n: int, count: int, seed: int) -> list:
     """``count`` strings of n symbols that write the words and numbers of a text in an encoding.
 
-    Words keep their order and each string begins elsewhere among them. Between them stand separators, if the
+    Long ones are views of one string. Words keep their order and each string begins elsewhere among them. Between them stand separators, if the
     encoding has any, and numbers: the text's own, years, days and round ones, by a generator of the given seed.
     """
     rng = random.Random(seed)
@@ -192,17 +235,16 @@ def ordinary(near: bytes, name: str, n: int, count: int, seed: int) -> list[byte
         case = rng.choice((bytes.lower, bytes.lower, bytes.capitalize, bytes.upper))
     else:
         case = bytes.lower
-    at, made, size = rng.randrange(len(words)), [], 0
-    have, step = _SETS[name], n // 4 + 1
-    while size < count * step + n:
+    at, whole = rng.randrange(len(words)), bytearray()
+    have, step = _SETS[name], min(n // 4, DECOY_STEP) + 1
+    while len(whole) < count * step + n:
         one = part(case(words[at % len(words)]))
         if name == "base32":
             one = bytes(c for c in one if c in have)
-        made.append(one)
-        size += len(one)
+        whole += one
         at += 1
-    whole = b"".join(made)
-    return [whole[i : i + n] for i in range(0, count * step, step)]
+    seen = memoryview(bytes(whole)) if n > LONG_PIECE else bytes(whole)
+    return [seen[i : i + n] for i in range(0, count * step, step)]
 
 
 def judged(token: bytes, near: bytes) -> tuple[float, int, list[int]]:
@@ -210,7 +252,7 @@ def judged(token: bytes, near: bytes) -> tuple[float, int, list[int]]:
     body = token.rstrip(b"=")
     name = encoding_of(body)
     tried = [body, *ordinary(near, name, len(body), DECOYS, key_of(token))]
-    p = battery(_symbols(tried, name), name)
+    p = np.array([long_battery(memoryview(t), name) for t in tried]) if len(body) > LONG_PIECE else battery(_symbols(tried, name), name)
     group = _NAMES.index(name) * CLASSES + length_class(len(token))
     return float(p[0]), group, sorted(b for b in map(bin_of, p[1:].tolist()) if b >= LOW)
 

@@ -130,3 +130,15 @@ def test_empty_and_too_many(spark):
 def test_no_python_in_the_plan(spark):
     plan = m.mix_sources(cases.docs(spark, [(1, "t")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_sources_without_weight_take_turns(spark):
+    docs = spark.createDataFrame([(k, "abz"[k % 3], None) for k in range(300)], "doc_id long, source string, text string")
+    got = m.mix_sources(docs, {"a": 1.0, "b": 0.0, "z": 0.0}, block_rows=4).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(300)) and {r.mix_source for r in got[:100]} == {"a"}
+    late = {}
+    for r in got[100:]:
+        late.setdefault(r.mix_slot, []).append(r.mix_source)
+    assert len(late) >= 25 and max(map(len, late.values())) <= 8  # no slot holds more than a block of each
+    heads = [sum(r.mix_source == "b" for r in got[100:n]) - (n - 100) / 2 for n in range(100, 300)]
+    assert max(map(abs, heads)) <= 4

@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from sievelake.llm import common
 from sievelake.llm import quality as q
 from tests.llm import cases
 
@@ -84,3 +85,13 @@ def test_sample_is_bounded_in_rows_and_bytes_and_read_whole(spark, monkeypatch):
     q.fit_quality(docs, labels, sample_bytes=3 * 36_010)
     assert [(len(g), len(b)) for g, b in read] == [(20, 20), (5, 5), (3, 3)]
     assert all(len(t) > 36_000 for g, b in read for t in [*g, *b])
+
+
+def test_a_large_text_keeps_no_others_out(spark):
+    """The first by hash may be of any size; each group has a row at least."""
+    rows = [("a", 0, "x" * 900), *[("a", k, "y" * 40) for k in range(1, 30)], ("b", 0, "z" * 5000), ("c", 0, ""), ("d", 0, "v" * 800), ("d", 1, "w" * 50), ("d", 2, "u" * 30)]
+    df = spark.createDataFrame(rows, "g string, k long, t string")
+    drawn = {}
+    for r in common.first_rows(df, "g", ["k"], "t", 10, 1000).collect():
+        drawn.setdefault(r.g, set()).add(r.k)
+    assert drawn == {"a": set(range(1, 11)), "b": {0}, "d": {0, 1, 2}}

@@ -6,8 +6,10 @@ import math
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from sievelake.llm import secret_scan as s
 from tests.llm import cases
@@ -219,3 +221,30 @@ def test_secrets_of_letters_or_digits_only(spark):
 
 def test_empty(spark):
     assert s.scan_secrets(cases.empty(spark)).collect() == []
+
+
+def test_long_pieces_are_judged_by_sums(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(s, "PIECE", 97)
+    for name, alphabet in s.ALPHABETS.items():
+        for n in (96, 97, 98, 500):
+            for token in (bytes(rng.choice(list(alphabet), n).tolist()), bytes(sorted(rng.choice(list(alphabet), n).tolist())), alphabet[:1] * n):
+                want = s.battery(s._symbols([token], name), name)[0]
+                assert math.isclose(s.long_battery(memoryview(token), name), want, rel_tol=1e-6, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["hex", "base62"])
+def test_long_runs_in_bounded_memory(name):
+    """A megabyte of random symbols, found whole with a few times its size."""
+    rng = np.random.default_rng(6)
+    token = np.frombuffer(s.ALPHABETS[name], np.uint8)[rng.integers(0, len(s.ALPHABETS[name]), 1_000_000, np.uint8)].tobytes()
+    monkey = s.DECOYS
+    s.DECOYS = 3  # one after another: their number changes the time only
+    try:
+        tracemalloc.start()
+        _, found = s.scan_text([b"a long key " + token + b" ends here"])[0]
+        used = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        s.DECOYS = monkey
+    assert [(a, b) for a, b, *_ in found] == [(11, 11 + len(token))] and used < 24 << 20
