@@ -188,6 +188,13 @@ SQL = {
     "refused_parts": """SELECT p_brand AS user_id, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS file_id, CASE WHEN p_partkey % 5 = 0 THEN 'no id' ELSE 'empty file' END AS reason, 400 AS status
         FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 3 = 0""",
     "file_pairs": _q("SELECT user_id, file_a_id, file_b_id, confidence FROM pairs, (SELECT file_id FROM pending ORDER BY pending DESC, file_id LIMIT 1) t WHERE file_id IN (file_a_id, file_b_id)"),
+    "shingle_digests": _q(
+        """, bytes AS (SELECT user_id, file_id, hex(encode(s)) AS x FROM sh),
+        folded AS (SELECT user_id, file_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::HUGEINT)),
+          lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM bytes),
+        signed AS (SELECT user_id, file_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS h FROM folded)
+        SELECT user_id, file_id, count(*) AS n, bit_xor(h) AS folded, min(h) AS least, max(h) AS greatest FROM signed GROUP BY ALL"""
+    ),
     "tier1_flags_with_deletes": f"WITH {_lives()} SELECT user_id, file_id, deduplicated, ok AS extraction_ok, n_files FROM files",
     "tier1_blobs": _q("SELECT user_id, sha256_hash, size_bytes, ref_count, storage_path FROM blobs"),
     "tier1_flags": _q("SELECT user_id, file_id, sha256_hash, deduplicated FROM files"),

@@ -78,7 +78,7 @@ class Library:
 
     @cached_property
     def shingles(self) -> DataFrame:
-        return staged(shingles.file_shingles(spread(self.texts)), "shingles")
+        return staged(shingles.file_shingles(spread(self.texts, self.uploads)), "shingles")
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -203,6 +203,13 @@ def shingle_hashes(spark, sf_dir):
     return Library(spark, sf_dir).shingles.select("file_id", "start_offset", "shingle_hash")
 
 
+def shingle_digests(spark, sf_dir):
+    """All shingle hashes of each file, folded to one number, with the least and the greatest."""
+    made = Library(spark, sf_dir).shingles.groupBy("user_id", "file_id")
+    h = "shingle_hash"
+    return made.agg(F.count("*").alias("n"), F.bit_xor(h).alias("folded"), F.min(h).alias("least"), F.max(h).alias("greatest"))
+
+
 def word_counts(spark, sf_dir):
     lib = Library(spark, sf_dir)
     return lib.texts.select("file_id", F.size(words(F.col("extracted_text"))).alias("n_words"))

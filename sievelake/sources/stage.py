@@ -44,10 +44,12 @@ def clear_staged(spark: SparkSession) -> int:
     return n
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for Python work on rows of a few files.
 
-    An input that is read in more parts than that, as any large one is, is not shuffled.
+    An input that is read in more parts than that, as any large one is, is not shuffled. ``scan``: the plain scan
+    that ``df`` comes from; asking a plan with joins how many partitions it has would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = (df if scan is None else scan).rdd.getNumPartitions()
+    return df if parts >= cores else df.repartition(cores)
