@@ -12,8 +12,8 @@ on all 64 bits. Variants of 32 bits also meet by chance, about 8 times a variant
 
 Nodes are classes of equal shingle sets, so copies count once. No group is expanded into all its pairs: first each
 fingerprint's texts meet that of its nearest fingerprint and each other's first, and what links is joined. Then
-variants go round again with the component of each, and only pairs of different components are checked, all of
-them. That is exact: a pair that was never looked at is in one component already.
+all pairs of different components are checked: those of runs of up to ``SMALL_RUN`` were kept; the fingerprints of
+larger runs go round again with their components. That is exact: a pair that was never looked at is in one component.
 
 A run of one variant is compared in tiles of bounded memory, each member with each other (distinct fingerprints
 only); its sets of shingles are read for the pairs that are checked.
@@ -43,6 +43,7 @@ RADIUS = 6
 WIDTH = 5
 NUM, DEN = 4, 5
 TILE_CELLS = 1 << 22
+SMALL_RUN = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.uint64(16)
 _BLOCK = np.uint64((1 << 16) - 1)
@@ -141,6 +142,19 @@ def nearest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def close(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fp, fp, bits between them) of each pair within the radius in runs of at most ``SMALL_RUN``; sorted by key."""
+    head, size = _runs(keys)
+    found = [(fps[:0], fps[:0], np.zeros(0, np.int32))]
+    for k in np.unique(size[size > 1]).tolist():
+        square = fps[head[size == k, None] + np.arange(k)]
+        for i in range(k - 1):
+            bits = np.bitwise_count(square[:, i + 1 :] ^ square[:, i, None])
+            run, j = np.nonzero(bits <= RADIUS)
+            found.append((square[run, i], square[run, i + 1 + j], bits[run, j].astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def apart(keys: np.ndarray, fps: np.ndarray, labels: list[bytes]) -> Iterator[tuple]:
     """(fps, labels, fps, labels) of pairs within the radius in a run whose labels differ, tile by tile."""
     code_of: dict[bytes, int] = {}
@@ -204,16 +218,22 @@ def _many(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[at], owners(keys[at], part.column("code").to_numpy()[at]), at
 
 
-def nearest_links(fps: DataFrame) -> DataFrame:
-    """(fp, other) for each distinct fingerprint with any other within the radius: the nearest."""
+def met_pairs(fps: DataFrame) -> DataFrame:
+    """(a, b, bits, large) of distinct fingerprints within the radius: all that meet in a run of at most ``SMALL_RUN``,
+    and from larger runs each one's nearest, marked large."""
 
     def scan(part: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, own, _ = _many(part)
-        a, b, bits = nearest(keys, own)
-        yield pa.RecordBatch.from_pydict({"fp": pa.array(a.view(np.int64)), "other": pa.array(b.view(np.int64)), "bits": pa.array(bits)})
+        size = _runs(keys)[1]
+        big = np.repeat(size > SMALL_RUN, size)
+        for far, found in ((False, close(keys[~big], own[~big])), (True, nearest(keys[big], own[big]))):
+            x, y, bits = found
+            x, y = x.view(np.int64), y.view(np.int64)
+            columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(bits), pa.array(np.full(len(x), far))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "bits", "large"])
 
-    met = _met(fps, False).mapInArrow(lambda batches: _by_runs(batches, scan), "fp long, other long, bits int")
-    return met.groupBy("fp").agg(F.min(F.struct("bits", "other")).alias("near")).select("fp", "near.other")
+    met = _met(fps, False).mapInArrow(lambda batches: _by_runs(batches, scan), "a long, b long, bits int, large boolean")
+    return met.groupBy("a", "b", "bits").agg(F.max("large").alias("large"))
 
 
 def apart_links(nodes: DataFrame) -> DataFrame:
@@ -244,20 +264,23 @@ def class_labels(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
         ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         return staged(verified(near, staged(class_sets(texts, keys, ends, WIDTH, broadcast_bytes), "near-sets"), NUM, DEN), "near-links")
 
-    links = staged(nearest_links(fps.select("fp")), "nearest")
+    links = staged(met_pairs(fps.select("fp")), "near-met")
+    both = links.select(F.col("a").alias("fp"), F.col("b").alias("other"), "bits", "large").union(links.select("b", "a", "bits", "large"))
+    nearest_of = staged(both.groupBy("fp").agg(F.min(F.struct("bits", "other")).alias("near"), F.max("large").alias("large")), "nearest")
     of = lambda fp, sig: fps.select(F.col("fp").alias(fp), F.col("sig").alias(sig))
-    first = links.join(of("fp", "a"), "fp").join(of("other", "b"), "other").select("a", "b")
+    first = nearest_of.select("fp", "near.other").join(of("fp", "a"), "fp").join(of("other", "b"), "other").select("a", "b")
     alike = classes.alias("c").join(fps.where("n > 1").alias("f"), "fp").where("c.sig <> f.sig").select(F.col("f.sig").alias("a"), F.col("c.sig").alias("b"))
     labels = components(checked(first.union(alike)))
 
     labelled = classes.join(labels, classes.sig == labels.node, "left").select("fp", "sig", F.coalesce("label", "sig").alias("label"))
-    meeting = links.select("fp").union(fps.where("n > 1").select("fp")).distinct()
+    meeting = nearest_of.select("fp").union(fps.where("n > 1").select("fp")).distinct()
     labelled = staged(labelled.join(meeting, "fp", "left_semi"), "near-labelled")
-    pairs = apart_links(labelled.select("fp", "label").distinct())
-    for p in "ab":
-        own = labelled.select(F.col("fp").alias(p), F.col("label").alias(f"{p}_label"), F.col("sig").alias(f"{p}_sig"))
-        pairs = pairs.join(own, [p, f"{p}_label"])
-    more = checked(pairs.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")))
+    side = lambda p: labelled.select(F.col("fp").alias(p), F.col("label").alias(f"{p}_label"), F.col("sig").alias(f"{p}_sig"))
+    same = fps.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    pairs = links.select("a", "b").union(same).join(side("a"), "a").join(side("b"), "b").where("a_label <> b_label")
+    far = apart_links(labelled.join(nearest_of.where("large").select("fp"), "fp", "left_semi").select("fp", "label").distinct())
+    far = far.join(side("a"), ["a", "a_label"]).join(side("b"), ["b", "b_label"])
+    more = checked(pairs.select("a_sig", "b_sig").union(far.select("a_sig", "b_sig")).toDF("a", "b"))
     return labels if more.isEmpty() else staged(joined_labels(labels, more), "near-labels")
 
 

@@ -82,6 +82,9 @@ def test_runs_against_brute_force(monkeypatch, cells):
             if least <= m.RADIUS:
                 want[a, least] = want.get((a, least), 0) + 1
     assert got == want
+    few = np.bincount(keys.astype(np.int64) >> 6)[keys.astype(np.int64) >> 6] <= m.SMALL_RUN
+    listed = sorted((min(a, b), max(a, b), n) for a, b, n in zip(*(x.tolist() for x in m.close(keys[few], fps[few])), strict=True))
+    assert listed == sorted((a, b, (a ^ b).bit_count()) for run in runs if len(run) <= m.SMALL_RUN for a in run for b in run if a < b and (a ^ b).bit_count() <= m.RADIUS)
     labels = [rng.choice([b"x", b"y", b"z"]) for _ in fps]
     pairs = sorted(tuple(sorted(((a, x), (b, y)))) for part in m.apart(keys, fps, labels) for a, x, b, y in zip(part[0].tolist(), part[1], part[2].tolist(), part[3], strict=True))
     named = [(int(k), int(f), x) for k, f, x in zip(keys, fps, labels, strict=True)]
@@ -94,7 +97,7 @@ def test_runs_against_brute_force(monkeypatch, cells):
     assert pairs == wanted and pairs
 
 
-def test_groups_against_brute_force(spark):
+def test_groups_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     texts = [t for n, words, edits in ((40, 200, 4), (30, 90, 2), (25, 400, 12), (3, 8, 1)) for t in family(rng, n, words, edits)]
     texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(40)] + texts[:10]
@@ -103,7 +106,8 @@ def test_groups_against_brute_force(spark):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     docs = cases.docs(spark, rows)
-    for limit in (1 << 20, 0):
+    for limit, small in ((1 << 20, 16), (0, 1)):
+        monkeypatch.setattr(m, "SMALL_RUN", small)
         kept = m.keep_one(docs, broadcast_bytes=limit)
         assert kept.columns == docs.columns
         assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
