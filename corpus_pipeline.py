@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-Quality rejects go, one document of each near-duplicate group stays (SimHash candidates, five-word shingles 0.8 alike), contaminated documents go, the rest is
-put in mixed order of sources, and its token ids are packed in that order: packed rows by (shard, row) follow
+Quality rejects go, one document of each near-duplicate group stays (SimHash candidates, five-word shingles
+0.8 alike), contaminated documents go, the rest is put in mixed order of sources, and its token ids are packed in that order: packed rows by (shard, row) follow
 the mixture, as the packing stage takes the places again from what it reads. A stage judges all that its
 predecessor kept, and all but the last return the columns of documents as they came.
 
@@ -9,7 +9,8 @@ Defined results of the stages, in their order:
 
 1. a null or empty text scores at the model's intercept and is kept or rejected by it; equal texts alike; with
    no labels of one class the base rate decides;
-2. texts without words, null and empty ones too, are one group; of a group the smallest id stays, null ids last, of repeated rows one;
+2. texts without words, null and empty ones too, are one group; of a group the smallest id stays, null ids last, of
+   repeated rows one;
 3. null and empty texts are clean; with no items all rows stay;
 4. no row goes; a null source is the source '', null ids come first in it, equal ids go by their contents;
 5. a null or empty text is one end mark, null ids stay null, texts of any length are split without loss.
