@@ -202,6 +202,16 @@ def test_extraction(spark):
     assert got[10].extraction_reason.startswith("extraction error: ") and not got[10].extraction_ok
 
 
+def test_deflated_streams_that_end_in_a_carriage_return():
+    body = next(b for k in range(10_000) if (b := zlib.compress(f"BT ({k}) Tj ET".encode())).endswith(b"\r"))
+    text = zlib.decompress(body)[4:-7].decode()
+    for end in (b"\n", b"\r\n"):
+        content = b"%PDF-1.4\n1 0 obj<</Type /Page>>\nstream\n" + body + end + b"endstream\n%%EOF"
+        assert extract.pdf_text(content) == (text, 1)
+    plain = b"%PDF-1.4\n1 0 obj<</Type /Page>>\nstream\r\nBT (as it is) Tj ET\r\nendstream\n%%EOF"
+    assert extract.pdf_text(plain) == ("as it is", 1)
+
+
 def test_uploads_from_files(spark, tmp_path):
     for name, body in (("Report.TXT", b"abc"), ("empty.md", b""), ("noext", b"abc")):
         (tmp_path / name).write_bytes(body)
