@@ -241,6 +241,13 @@ def test_odd_documents(spark, tmp_path):
     assert {(r.file_id, r.deduplicated) for r in queries.tier1_flags(spark, sf).collect()} == {(3, False), (5, False), (6, True)}
 
 
+def test_stems_of_documents_without_a_name(spark, tmp_path):
+    rows = [("en", 1, "One. Two\nthree"), ("en", 2, "\nno first line"), ("zh", 3, "文字。\nmore"), ("en", 4, "...")]
+    spark.createDataFrame(rows, "lang string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.file_id: (r.extension, r.stem) for r in queries.ext_stem(spark, str(tmp_path)).collect()}
+    assert got == {1: ("md", "One Two"), 2: ("csv", ""), 3: ("docx", ""), 4: ("pptx", "")}
+
+
 def test_staging(spark, tmp_path):
     made = stage.staged(spark.range(3), "numbers")
     path = made.inputFiles()[0].removeprefix("file://")
