@@ -403,6 +403,33 @@ def test_likely_pairs_lose_nothing(spark, monkeypatch, least):
     assert near.count() <= scoring.content_scores(made).count()
 
 
+def test_capped_candidates_make_no_pair_beyond_the_cap(spark, tmp_path):
+    rows = [("u", k, k, "s", "txt", 1000 + k % 3, False, True) for k in range(400)]
+    files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
+    for ceiling in (10, 500):
+        found = scoring.capped_candidates(stage.staged(files, "capped"), 4, ceiling)
+        got = {(r.a_id, r.b_id) for r in found.collect()}
+        assert got == {(a, b) for b in range(400) for a in range(min(4, b))}
+        assert len(got) >= max(_joined_rows(found)) - 10 * 400
+
+
+def _joined_rows(df):
+    """Rows that each join of a plan that was run gives."""
+    out, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            todo.append(plan.executedPlan())
+        if "QueryStage" in name:
+            todo.append(plan.plan())
+        if "Join" in name:
+            out.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return out
+
+
 def test_ranks_over_ranges(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(rng.choice("uv"), k, k * 3, h, 0) for k in range(60) for h in rng.sample(range(6), 3)]
