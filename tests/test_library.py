@@ -403,6 +403,45 @@ def test_likely_pairs_lose_nothing(spark, monkeypatch, least):
     assert near.count() <= scoring.content_scores(made).count()
 
 
+def test_shared_postings_leave_out_what_meets_nobody(spark, monkeypatch):
+    monkeypatch.setattr(text, "HELD_TEXT", 64)
+    rows = library_rows(60, 11)
+    usable = uploaded(spark, rows).where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
+    made = shingles.file_shingles(usable)
+    one = usable.orderBy("file_id").limit(1).withColumn("extracted_text", F.concat("extracted_text", F.lit(" and five more words here")))
+    assert shingles.one_row_each(shingles.file_hashes(usable.union(one))).count() == shingles.file_hashes(usable).count()
+    hashes = shingles.one_row_each(shingles.file_hashes(usable))
+    every = shingles.ranked_postings(made)
+    often = {(r.user_id, r.shingle_hash) for r in every.where("rank = 2").collect()}
+    ranked = shingles.shared_postings(hashes)
+    want = sorted((r.user_id, r.shingle_hash, r.file_id, r.upload_seq, r.rank) for r in every.collect() if (r.user_id, r.shingle_hash) in often)
+    assert sorted(tuple(r) for r in ranked.collect()) == want and 0 < len(want) < every.count()
+    sizes = hashes.select("user_id", "file_id", "upload_seq", F.size("hashes").cast("long").alias("n"))
+    near = lambda df: sorted((r.file_id, r.n, r.n_shingled, round(r.own_logs, 9)) for r in df.collect())
+    sets = scoring.sets_with(sizes, ranked)
+    assert near(sets) == near(scoring.file_sets(every))
+    found = lambda df: sorted((r.a_id, r.b_id, round(r.content_score, 9)) for r in df.collect())
+    old, new = scoring.likely_pairs(every, scoring.file_sets(every)), scoring.likely_pairs(ranked, sets)
+    got = found(scoring.exact_scores(new, ranked, sets, sizes=sets))
+    assert got == found(scoring.exact_scores(old, every, scoring.file_sets(every))) and got
+    counted = lambda df: sorted(tuple(r) for r in df.collect())
+    assert counted(shingles.hash_frequency(hashes)) == counted(shingles.doc_frequency(made))
+    frequency = {(r.user_id, r.shingle_hash): r.doc_count for r in shingles.doc_frequency(made).collect()}
+    sums = {}
+    for r in every.collect():
+        n, total = sums.get((r.user_id, r.file_id), (0, 0))
+        sums[r.user_id, r.file_id] = (n + 1, total + frequency[r.user_id, r.shingle_hash])
+    assert {(r.user_id, r.file_id): (r.n, r.total) for r in shingles.frequency_sums(hashes).collect()} == sums
+
+
+def test_texts_are_shingled_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "HELD_TEXT", 10)
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 4, "b" * 5, "c" * 2, None, "d" * 50, "", "e"]})
+    assert [b.column("t").to_pylist() for b in text._by_bytes(iter([batch]), "t")] == [["aaaa", "bbbbb"], ["cc", None], ["d" * 50], ["", "e"]]
+
+
 def test_capped_candidates_make_no_pair_beyond_the_cap(spark, tmp_path):
     rows = [("u", k, k, "s", "txt", 1000 + k % 3, False, True) for k in range(400)]
     files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
