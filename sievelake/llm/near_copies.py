@@ -11,12 +11,15 @@ two bits: 6 * 33 = 198. Two fingerprints within the radius meet in a common vari
 on all 64 bits. Variants of 32 bits also meet by chance, about 8 times a variant for 10^9 fingerprints.
 
 Nodes are classes of equal shingle sets, so copies count once. No group is expanded into all its pairs: first each
-fingerprint's texts meet that of its nearest fingerprint and each other's first, and what links is joined. Then
-all pairs of different components are checked: those of runs of up to ``SMALL_RUN`` were kept; the fingerprints of
-larger runs go round again with their components. That is exact: a pair that was never looked at is in one component.
+fingerprint's texts meet that of its nearest fingerprint and each other's first, and what links is joined. Then all
+that is still apart is looked up, exactly: pairs of runs of up to ``SMALL_RUN`` were kept; the texts of larger runs
+and of repeated fingerprints (`wide`) are found by what a link needs: a common rare shingle, at places that leave
+room for the overlap (`jaccard_join`), and fingerprints within the radius. They, too, first meet the hubs of their
+shingles. So a family of like texts that do not link is not listed pair by pair. A pair that was never looked at is in one component.
 
 A run of one variant is compared in tiles of bounded memory, each member with each other (distinct fingerprints
-only); its sets of shingles are read for the pairs that are checked.
+only). Only texts whose fingerprints meet another's are read again; a bitmap of their classes picks them, so nothing
+that grows is collected.
 
 Defined results: texts without words, null and empty ones among them, are one group; fewer than five words are one
 shingle; texts of any length are read whole; of a group the smallest id stays, null ids last, of repeated rows
@@ -35,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, add_columns, binaries, set_aside, staged
-from .jaccard_join import class_sets, digest, joined_labels, ngram_set, verified
+from .common import BROADCAST_BYTES, add_columns, binaries, bitmap_of, in_bitmap, set_aside, staged
+from .jaccard_join import TILE, apart_pairs, digest, joined_labels, near_pairs, ngram_set, prefixes, rarity, set_keys, shared_prefixes, suffix_filtered, verified
 from .simhash import SEED, components
 
 RADIUS = 6
@@ -44,6 +47,7 @@ WIDTH = 5
 NUM, DEN = 4, 5
 TILE_CELLS = 1 << 22
 SMALL_RUN = 16
+BITMAP_BITS = 25  # 4 MB
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.uint64(16)
 _BLOCK = np.uint64((1 << 16) - 1)
@@ -156,7 +160,8 @@ def close(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def apart(keys: np.ndarray, fps: np.ndarray, labels: list[bytes]) -> Iterator[tuple]:
-    """(fps, labels, fps, labels) of pairs within the radius in a run whose labels differ, tile by tile."""
+    """(fps, labels, fps, labels) of pairs within the radius in a run whose labels differ, tile by tile: what the second
+    turn has to look at, listed in full. The stage itself asks `wide_pairs`; tests compare with this."""
     code_of: dict[bytes, int] = {}
     codes = np.array([code_of.setdefault(x, len(code_of)) for x in labels], np.int64)
     names = list(code_of)
@@ -174,21 +179,17 @@ def apart(keys: np.ndarray, fps: np.ndarray, labels: list[bytes]) -> Iterator[tu
                 yield member[a], [names[k] for k in own[a]], member[b], [names[k] for k in own[b]]
 
 
-def _met(nodes: DataFrame, labelled: bool) -> DataFrame:
-    """The variants of ``nodes`` (fp, with labels: label), runs together in sorted partitions."""
+def _met(fps: DataFrame) -> DataFrame:
+    """The variants of ``fps`` (fp), runs together in sorted partitions."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(0, len(fps), 2048):
-                own = fps[k : k + 2048]
-                keys, codes = variants(own)
-                columns = {"key": pa.array(keys.view(np.int64)), "code": pa.array(codes)}
-                if labelled:
-                    columns["label"] = batch.column("label").take(pa.array(np.tile(np.repeat(np.arange(k, k + len(own)), 33), len(_CLOSED))))
-                yield pa.RecordBatch.from_pydict(columns)
-
-    made = nodes.mapInArrow(emit, "key long, code int" + (", label binary" if labelled else ""))
+            own = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(own), 2048):
+                keys, codes = variants(own[k : k + 2048])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(codes)], names=["key", "code"])
+
+    made = fps.mapInArrow(emit, "key long, code int")
     return made.repartition(F.shiftright("key", _FLIP_BITS)).sortWithinPartitions("key")
 
 
@@ -210,12 +211,12 @@ def _by_runs(batches: Iterator[pa.RecordBatch], scan: Callable) -> Iterator[pa.R
         yield from scan(pa.Table.from_batches(held))
 
 
-def _many(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, fingerprints and places of the rows in runs of more than one."""
+def _many(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and fingerprints of the rows in runs of more than one."""
     keys = part.column("key").to_numpy().view(np.uint64)
     head, size = _runs(keys)
     at = np.flatnonzero(np.repeat(size > 1, size))
-    return keys[at], owners(keys[at], part.column("code").to_numpy()[at]), at
+    return keys[at], owners(keys[at], part.column("code").to_numpy()[at])
 
 
 def met_pairs(fps: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def met_pairs(fps: DataFrame) -> DataFrame:
     and from larger runs each one's nearest, marked large."""
 
     def scan(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, own, _ = _many(part)
+        keys, own = _many(part)
         size = _runs(keys)[1]
         big = np.repeat(size > SMALL_RUN, size)
         for far, found in ((False, close(keys[~big], own[~big])), (True, nearest(keys[big], own[big]))):
@@ -232,55 +233,90 @@ def met_pairs(fps: DataFrame) -> DataFrame:
             columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(bits), pa.array(np.full(len(x), far))]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "bits", "large"])
 
-    met = _met(fps, False).mapInArrow(lambda batches: _by_runs(batches, scan), "a long, b long, bits int, large boolean")
+    met = _met(fps).mapInArrow(lambda batches: _by_runs(batches, scan), "a long, b long, bits int, large boolean")
     return met.groupBy("a", "b", "bits").agg(F.max("large").alias("large"))
 
 
-def apart_links(nodes: DataFrame) -> DataFrame:
-    """(a, a_label, b, b_label): pairs within the radius of ``nodes`` (fp, label) with different labels."""
+def class_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, text): one text of each wanted class (sig). ``rows``: sig, text; a text of no wanted class does not move,
+    unless it falls on the bit of one."""
+    hashed = F.xxhash64("sig").alias("h")
+    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(hashed), "h", BITMAP_BITS))
 
-    def scan(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, own, at = _many(part)
-        for a, a_label, b, b_label in apart(keys, own, part.column("label").take(pa.array(at)).to_pylist()):
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array(a.view(np.int64)), "a_label": pa.array(a_label, pa.binary()), "b": pa.array(b.view(np.int64)), "b_label": pa.array(b_label, pa.binary())}
-            )
-
-    # Which of two labels comes first is each batch's own, so it is settled here.
-    met = _met(nodes, True).mapInArrow(lambda batches: _by_runs(batches, scan), "a long, a_label binary, b long, b_label binary")
-    first, last = F.struct(F.col("a_label").alias("l"), F.col("a").alias("f")), F.struct(F.col("b_label").alias("l"), F.col("b").alias("f"))
-    met = met.select(F.least(first, last).alias("x"), F.greatest(first, last).alias("y")).distinct()
-    return met.select(F.col("x.f").alias("a"), F.col("x.l").alias("a_label"), F.col("y.f").alias("b"), F.col("y.l").alias("b_label"))
-
-
-def class_labels(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(node, label) of the shingle-set classes that link with any other. ``rows``: doc_id, unique, text, fp, sig."""
-    keys, texts = rows.select("doc_id", "sig"), rows.select("doc_id", "text")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["sig", "text"]).filter(pa.array(in_bitmap(bitmap.value, batch.column("h").to_numpy(zero_copy_only=False), BITMAP_BITS)))
+
+    own = rows.where("sig <> X''").select("sig", F.col("text"), hashed).mapInArrow(pick, "sig binary, text string")
+    return own.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+
+
+def class_grams(texts: DataFrame) -> DataFrame:
+    """(sig, grams) of `class_texts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sig, raw in zip(batch.column("sig"), binaries(batch.column("text")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([sig.as_py()], pa.binary()), pa.array([ngram_set(raw, WIDTH).tobytes()], pa.binary())], names=["sig", "grams"])
+
+    return texts.mapInArrow(run, "sig binary, grams binary")
+
+
+class Wide:
+    """The classes of large runs and of repeated fingerprints. ``texts``: sig, fp, text."""
+
+    def __init__(self, texts: DataFrame):
+        own = texts.select(F.col("sig").alias("doc_id"), "text")
+        made = staged(set_keys(own, WIDTH), "near-keys")
+        self.classes = staged(made.where("sig IS NOT NULL").select("sig", "n", "cuts"), "near-cuts")
+        self.shared = staged(shared_prefixes(prefixes(own, rarity(made), WIDTH, NUM, DEN)), "near-prefixes")
+        self.fps = texts.select("sig", "fp")
+
+    def _fitting(self, pairs: DataFrame) -> DataFrame:
+        side = lambda p: self.fps.select(F.col("sig").alias(p), F.col("fp").alias(f"{p}_fp"))
+        near = suffix_filtered(pairs, self.classes, NUM, DEN).join(side("a"), "a").join(side("b"), "b")
+        return near.where(F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= RADIUS).select("a", "b")
+
+    def hub_pairs(self) -> DataFrame:
+        """(a, b) that may link, as many as there are shared shingles at most."""
+        return self._fitting(near_pairs(self.shared, NUM, DEN))
+
+    def apart_pairs(self, labels: DataFrame) -> DataFrame:
+        """All (a, b) that may link and that ``labels`` (node, label) do not connect."""
+        return self._fitting(apart_pairs(self.shared, labels, NUM, DEN, TILE))
+
+
+def class_labels(rows: DataFrame) -> DataFrame:
+    """(node, label) of the shingle-set classes that link with any other. ``rows``: text, fp, sig."""
     classes = staged(rows.where("sig <> X''").select("sig", "fp").dropDuplicates(["sig"]), "near-classes")
     fps = staged(classes.groupBy("fp").agg(F.min("sig").alias("sig"), F.count("*").alias("n")), "near-fps")
+    links = staged(met_pairs(fps.select("fp")), "near-met")
+    both = links.select(F.col("a").alias("fp"), F.col("b").alias("other"), "bits", "large").union(links.select("b", "a", "bits", "large"))
+    nearest_of = staged(both.groupBy("fp").agg(F.min(F.struct("bits", "other")).alias("near"), F.max("large").alias("large")), "nearest")
+    meeting = fps.join(nearest_of, "fp", "left").where("near IS NOT NULL OR n > 1").select("fp", (F.coalesce("large", F.lit(False)) | (F.col("n") > 1)).alias("wide"))
+    meeting = staged(classes.join(meeting, "fp"), "near-meeting")
+    texts = staged(class_texts(rows, meeting.select("sig")), "near-texts")
+    sets = staged(class_grams(texts), "near-sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         near = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        return staged(verified(near, staged(class_sets(texts, keys, ends, WIDTH, broadcast_bytes), "near-sets"), NUM, DEN), "near-links")
+        return staged(verified(near, sets, NUM, DEN), "near-links")
 
-    links = staged(met_pairs(fps.select("fp")), "near-met")
-    both = links.select(F.col("a").alias("fp"), F.col("b").alias("other"), "bits", "large").union(links.select("b", "a", "bits", "large"))
-    nearest_of = staged(both.groupBy("fp").agg(F.min(F.struct("bits", "other")).alias("near"), F.max("large").alias("large")), "nearest")
     of = lambda fp, sig: fps.select(F.col("fp").alias(fp), F.col("sig").alias(sig))
     first = nearest_of.select("fp", "near.other").join(of("fp", "a"), "fp").join(of("other", "b"), "other").select("a", "b")
     alike = classes.alias("c").join(fps.where("n > 1").alias("f"), "fp").where("c.sig <> f.sig").select(F.col("f.sig").alias("a"), F.col("c.sig").alias("b"))
-    labels = components(checked(first.union(alike)))
-
-    labelled = classes.join(labels, classes.sig == labels.node, "left").select("fp", "sig", F.coalesce("label", "sig").alias("label"))
-    meeting = nearest_of.select("fp").union(fps.where("n > 1").select("fp")).distinct()
-    labelled = staged(labelled.join(meeting, "fp", "left_semi"), "near-labelled")
-    side = lambda p: labelled.select(F.col("fp").alias(p), F.col("label").alias(f"{p}_label"), F.col("sig").alias(f"{p}_sig"))
-    same = fps.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    pairs = links.select("a", "b").union(same).join(side("a"), "a").join(side("b"), "b").where("a_label <> b_label")
-    far = apart_links(labelled.join(nearest_of.where("large").select("fp"), "fp", "left_semi").select("fp", "label").distinct())
-    far = far.join(side("a"), ["a", "a_label"]).join(side("b"), ["b", "b_label"])
-    more = checked(pairs.select("a_sig", "b_sig").union(far.select("a_sig", "b_sig")).toDF("a", "b"))
+    found = first.union(alike)
+    several = meeting.where("wide")
+    wide = None if several.isEmpty() else Wide(staged(several.select("sig", "fp").join(texts, "sig"), "near-wide"))
+    labels = components(checked(found.union(wide.hub_pairs()) if wide else found))
+
+    # Pairs of two wide classes are the second turn's; with one of another kind, a pair met in a small run.
+    labelled = meeting.join(labels, meeting.sig == labels.node, "left").select("fp", "sig", "wide", F.coalesce("label", "sig").alias("label"))
+    labelled = staged(labelled, "near-labelled")
+    side = lambda p: labelled.select(F.col("fp").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("label", "sig", "wide")])
+    pairs = links.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("a_label <> b_label AND NOT (a_wide AND b_wide)")
+    pairs = pairs.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+    more = checked(pairs.union(wide.apart_pairs(labels)) if wide else pairs)
     return labels if more.isEmpty() else staged(joined_labels(labels, more), "near-labels")
 
 
@@ -289,13 +325,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     safe, back = set_aside(docs, ("fp", "sig", "row_no"))
     rows = staged(with_keys(safe, text_col).withColumn("row_no", F.monotonically_increasing_id()), "near-documents")
     text = F.col(f"`{text_col}`").cast("string").alias("text")
-    labels = class_labels(rows.select(F.col("row_no").alias("doc_id"), text, "fp", "sig"), broadcast_bytes)
+    labels = class_labels(rows.select(text, "fp", "sig"))
     narrow = rows.select(F.col(f"`{id_col}`").alias("doc_id"), "sig", "row_no")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
     by_sig = narrow.groupBy("sig").agg(F.min(order).alias("first"))
     named = by_sig.join(labels, by_sig.sig == labels.node, "left").select("first", F.coalesce("label", "sig").alias("root"))
     stay = staged(named.groupBy("root").agg(F.min("first").alias("first")).select("first.row_no"), "near-stay")
     gone = staged(narrow.select("row_no").join(stay, "row_no", "left_anti"), "near-gone")
-    if gone.count() * 8 <= broadcast_bytes:
+    if gone.count() * 64 <= broadcast_bytes:  # what a row takes in a joined map
         gone = F.broadcast(gone)
     return rows.join(gone, "row_no", "left_anti").select(*back)

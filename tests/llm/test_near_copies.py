@@ -135,3 +135,21 @@ def test_odd_rows(spark):
     kept = m.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.fp, r.Row_No) for r in kept.collect()) == [(False, 2, "own", 7), (False, 3, "own", 7), (False, 8, "own", 7), (True, 0, "own", 7)]
+
+
+def test_like_texts_that_do_not_link_are_not_listed_pair_by_pair(spark, monkeypatch):
+    # Each text has edits of its own, so fingerprints are close and similarities of any two below 0.8.
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(300):
+        own = list(base)
+        for at in range(rng.randrange(12), 150, 24):
+            own[at] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    seen = []
+    verified = m.verified
+    monkeypatch.setattr(m, "verified", lambda near, *rest: seen.append(near.count()) or verified(near, *rest))
+    assert sorted(r.doc_id for r in m.keep_one(cases.docs(spark, rows)).collect()) == brute_kept(rows)
+    assert len(brute_kept(rows)) > 250
+    assert sum(seen) < 10 * len(rows)
