@@ -533,6 +533,19 @@ def events_of(spark, rows, gone, renames, others):
     return spark.createDataFrame([], EVENTS).unionByName(made, allowMissingColumns=True).unionByName(more, allowMissingColumns=True)
 
 
+def test_a_batch_without_uploads_scores_nothing(spark, tmp_path):
+    rows = library_rows(12, 6)
+    state = LibraryState(spark, str(tmp_path / "state"))
+    state.ingest(uploaded(spark, rows), 0)
+    before = shown(state.pairs())
+    user, file = rows[0][:2]
+    state.apply(events_of(spark, rows, {file: 1000.0}, [], []).where("kind = 'delete'"), 1)
+    parts = state.tables.latest().parts
+    assert {t for t, own in parts.items() if any(p["batch"] == 1 for p in own)} == {"gone", "renames", "kept", "refused"}
+    assert state.files().where(f"user_id = '{user}' AND file_id = {file}").isEmpty()
+    assert len(shown(state.pairs())) <= len(before)
+
+
 @pytest.mark.parametrize("ceiling", [2000, 12])
 def test_stream_of_events_matches_a_replay(spark, tmp_path, ceiling):
     rows = library_rows(40, 21)
