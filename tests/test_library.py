@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sievelake import schema
 from sievelake.functions import names, scores, text
-from sievelake.operators import identity, library, review, scoring, shingles, similar_names, tier1
+from sievelake.operators import identity, library, review, scoring, set_pairs, shingles, similar_names, tier1
 from sievelake.plans import queries
 from sievelake.sources import extract, objects, session
 from sievelake.sources import library as source
@@ -760,6 +760,48 @@ def test_names_of_one_bucket(spark):
     assert {(r.a_id, r.b_id) for r in scoring.name_pairs(files, 10).collect()} == {(k, k + 1) for k in range(0, 3000, 100)}
 
 
+def test_files_of_one_name_are_met_once(spark):
+    """Names of many files make no candidates of their own, and all their pairs are found."""
+    rows = [("u", k, k, "scan of the month" if k % 3 else "scan of a month", "md", 10, False, k % 5 == 0) for k in range(90)]
+    files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
+    assert similar_names.candidates(files, scoring.newer_files(files, 10), 0.8).count() <= 6  # of 2 names, each usable and not
+    want = {(i, j) for j in range(90) for i in range(j) if i % 5 or j % 5}
+    found = [(r.a_id, r.b_id) for r in scoring.name_pairs(files, 10).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+@pytest.mark.parametrize("tile", [4, 1 << 20])
+def test_pairs_in_tiles(spark, monkeypatch, tile):
+    """A set goes to a tile once, whatever number of pairs needs it, and small tiles lose nothing."""
+    monkeypatch.setattr(set_pairs, "TILE", tile)
+    rng = random.Random(3)
+    held = {k: sorted(rng.sample(range(30), rng.randrange(1, 12))) for k in range(20)}
+    ranked = spark.createDataFrame([("u", h, k, h % 7 + k % 3 + 1) for k, own in held.items() for h in own], "user_id string, shingle_hash long, file_id long, rank int")
+    pairs = spark.createDataFrame([("u", i, j) for j in range(20) for i in range(j)], "user_id string, a_id long, b_id long")
+    sets = stage.staged(set_pairs.sets_of(ranked, pairs.select("user_id", F.explode(F.array("a_id", "b_id")).alias("file_id")).distinct()), "sets")
+    got = {(r.a_id, r.b_id): (r.shared, round(r.shared_logs, 9), r.a_n, sorted(r.rest)) for r in set_pairs.compared(pairs, sets).collect()}
+    want = {}
+    for j in range(20):
+        for i in range(j):
+            if both := set(held[i]) & set(held[j]):
+                want[i, j] = (len(both), round(sum(log(h % 7 + j % 3 + 1) for h in both), 9), len(held[i]), sorted(set(held[i]) - both))
+    assert got == want and len(want) > 50
+    dealt = set_pairs.tiled(pairs, sets)
+    assert dealt.count() == 190
+    parts = dealt.select(*set_pairs.KEY, F.explode(F.array("a_id", "b_id")).alias("f")).distinct().count()
+    assert parts == 20 if tile > 4 else 20 < parts <= 380
+
+
+def test_sizes_beside_postings(spark):
+    rows = library_rows(40, 5)
+    usable = uploaded(spark, rows).where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
+    hashes = shingles.file_hashes(usable)
+    both = shingles.shared_postings(hashes, sizes=True)
+    assert sorted(map(tuple, both.where("user_id IS NOT NULL").collect())) == sorted(map(tuple, shingles.shared_postings(hashes).collect()))
+    sizes = {r.file_id: r.shingle_hash for r in both.where("user_id IS NULL").collect()}
+    assert sizes == {r.file_id: len(r.hashes) for r in hashes.collect()} and sizes
+
+
 def test_capped_candidates(spark):
     rows = [("u", k, k, "s", "md", 10 + k % 3, k % 5 == 4, True) for k in range(30)]
     files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
