@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sievelake import schema
 from sievelake.functions import names, scores, text
-from sievelake.operators import identity, library, review, scoring, set_pairs, shingles, similar_names, tier1
+from sievelake.operators import all_pairs, identity, library, review, scoring, set_pairs, shingles, similar_names, tier1
 from sievelake.plans import queries
 from sievelake.sources import extract, objects, session
 from sievelake.sources import library as source
@@ -389,6 +389,44 @@ def test_scores_with_deletes_match_a_replay(spark, monkeypatch, ceiling, span):
     assert shown(scoring.flagged_pairs(files.drop("extracted_text"), found, ceiling)) == want
 
 
+@pytest.mark.parametrize("sizes", [(4, 8, 3, 5), (2048, 1 << 16, 2048, 1 << 21)])
+def test_all_pairs_are_scored_without_a_shuffle_of_pairs(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "SPAN", "CHUNK", "MET"), sizes, strict=True):
+        monkeypatch.setattr(all_pairs, name, size)
+    rows = library_rows(60, 11)
+    files = tier1.with_tier1(uploaded(spark, rows)).withColumn("extraction_ok", ~F.col("deduplicated") & F.col("extraction_ok"))
+    usable = files.where("extraction_ok").select("user_id", "file_id", "upload_seq", "extracted_text")
+    made = shingles.file_shingles(usable)
+    sets = {}
+    for r in sorted(made.collect(), key=lambda r: r.file_id):
+        sets.setdefault(r.user_id, {}).setdefault(r.file_id, set()).add(r.shingle_hash)
+    arrival, plain, now = {}, {}, {}
+
+    def score(a, b, held):
+        df = lambda h: sum(h in s for s in held.values())
+        weight = lambda hs: sum(log(len(held) / df(h)) for h in hs)
+        jaccard, union = len(held[a] & held[b]) / len(held[a] | held[b]), weight(held[a] | held[b])
+        return (round(jaccard if len(held) < 10 else 0.0 if abs(union) < 1e-9 else weight(held[a] & held[b]) / union, 9), len(held) < 10)
+
+    for held in sets.values():
+        for b in held:
+            upto = {k: s for k, s in held.items() if k <= b}
+            for a in upto:
+                if a < b and held[a] & held[b]:
+                    arrival[a, b], now[a, b] = (len(held[a] & held[b]), *score(a, b, upto)), score(a, b, held)
+                    plain[a, b] = round(len(held[a] & held[b]) / len(held[a] | held[b]), 9)
+    assert len(arrival) > 40 and {v[2] for v in arrival.values()} == {True, False}
+    found = scoring.content_scores(made)
+    assert "a_id" not in "".join(line for line in found._jdf.queryExecution().toString().splitlines() if "Exchange" in line)
+    assert {(r.a_id, r.b_id): (r.shared, round(r.content_score, 9), r.provisional) for r in found.collect()} == arrival
+    assert {(r.a_id, r.b_id): round(r.score, 9) for r in scoring.plain_jaccard(made).collect()} == plain
+    assert {(r.a_id, r.b_id): (round(r.score, 9), r.provisional) for r in scoring.snapshot_scores(made).collect()} == now
+    ranked = shingles.ranked_postings(made)
+    near = lambda df: sorted((r.a_id, r.b_id, *[round(r[c], 9) for c in ("content_score", "filename_score", "composite_score")], r.confidence, r.flagged) for r in df.collect())
+    got = near(scoring.compared_pairs(files, ranked, scoring.file_sets(ranked), 12))
+    assert got == near(scoring.content_pairs(files, found, 12)) and 0 < len(got) < len(arrival)
+
+
 @pytest.mark.parametrize("least", [0.0, 0.2, 0.5, 0.9])
 def test_likely_pairs_lose_nothing(spark, monkeypatch, least):
     monkeypatch.setattr(shingles, "RANK_FILES", 7)  # ranks and counts over several ranges
