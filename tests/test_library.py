@@ -480,6 +480,27 @@ def test_texts_are_shingled_in_parts(monkeypatch):
     assert [b.column("t").to_pylist() for b in text._by_bytes(iter([batch]), "t")] == [["aaaa", "bbbbb"], ["cc", None], ["d" * 50], ["", "e"]]
 
 
+def test_texts_step_together(monkeypatch):
+    odd = ["", None, " ", "a b c d", "a b c d e", "ΑΣ Σ ΟΔΟΣ\ufeffΣΑ x y İ I ẞ", "a\x1cb c d e f g h\x1f i", "\u3000a b c d e f g "]
+    odd += ["x " * 30, "q" * 40000 + " a b c d e f", "a\x85b c d e f g", " ".join("ab" * 9)]
+    steps = []
+    real = text.fnv1a
+    monkeypatch.setattr(text, "fnv1a", lambda *a: steps.append(1) or real(*a))
+    got = text.shingle_sets(odd)
+    assert len(steps) == 1
+    assert [h.tolist() for h in got] == [sorted({*text.shingle_text(t)[0].tolist()}) for t in odd]
+    assert text.shingle_sets([]) == [] and [len(h) for h in text.shingle_sets(["", None])] == [0, 0]
+
+
+def test_postings_are_ordered_by_hash_first(spark):
+    # Tenants are few: ordered by them first, every two rows that meet in a sort are compared to the end.
+    hashes = spark.createDataFrame([("u", 1, 1, [5, 7]), ("u", 2, 2, [7])], "user_id string, file_id long, upload_seq long, hashes array<long>")
+    plan = shingles.shared_postings(hashes)._jdf.queryExecution().executedPlan().toString()
+    sorts = re.findall(r"Sort \[(\w+)#\d+L? ASC", plan)
+    assert sorts and {*sorts} == {"shingle_hash"}
+    assert sorted(tuple(r) for r in shingles.shared_postings(hashes).collect()) == [("u", 7, 1, 1, 1), ("u", 7, 2, 2, 2)]
+
+
 def test_capped_candidates_make_no_pair_beyond_the_cap(spark, tmp_path):
     rows = [("u", k, k, "s", "txt", 1000 + k % 3, False, True) for k in range(400)]
     files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
