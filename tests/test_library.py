@@ -501,6 +501,15 @@ def test_postings_are_ordered_by_hash_first(spark):
     assert sorted(tuple(r) for r in shingles.shared_postings(hashes).collect()) == [("u", 7, 1, 1, 1), ("u", 7, 2, 2, 2)]
 
 
+def test_a_batch_takes_only_postings_that_meet(spark):
+    schema = "user_id string, shingle_hash long, file_id long, upload_seq long"
+    old = spark.createDataFrame([("u", 1, 1, 1), ("u", 2, 1, 1), ("u", 2, 2, 2), ("v", 3, 3, 3)], schema)
+    own = spark.createDataFrame([("u", 1, 4, 4), ("u", 3, 4, 4), ("u", 5, 4, 4), ("u", 5, 5, 5)], schema)
+    got = sorted((r.user_id, r.shingle_hash, r.file_id, r.newer) for r in shingles.met_postings(old, own).collect())
+    assert got == [("u", 1, 1, False), ("u", 1, 4, True), ("u", 5, 4, True), ("u", 5, 5, True)]
+    assert shingles.met_postings(old.limit(0), own.where("shingle_hash = 3")).isEmpty()
+
+
 def test_capped_candidates_make_no_pair_beyond_the_cap(spark, tmp_path):
     rows = [("u", k, k, "s", "txt", 1000 + k % 3, False, True) for k in range(400)]
     files = spark.createDataFrame(rows, "user_id string, file_id long, upload_seq long, filename_stem string, extension string, size_bytes long, deduplicated boolean, extraction_ok boolean")
